@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,16 +93,20 @@ def physics_table(curves: DataFrame) -> DataFrame:
     refs = refs.select("cell_id", F.col("dqdv").alias("ref_dqdv"))
     joined = curves.join(refs, "cell_id").select("cell_id", "cycle_number", "voltage_grid", "dqdv", "ref_dqdv")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    schema = f"cell_id string, cycle_number int, {_METRICS}, peaks {PEAKS}, matches {MATCHES}, failed string"
+    arrow = curves.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for r in frame.itertuples():
-                v, ref, now = (np.asarray(x, float) for x in (r.voltage_grid, r.ref_dqdv, r.dqdv))
+            for r in batch.to_pylist():
+                v, ref, now = (np.asarray(r[c], float) for c in ("voltage_grid", "ref_dqdv", "dqdv"))
                 ok = len(v) == len(ref) == len(now)
-                rows.append({"cell_id": r.cell_id, "cycle_number": r.cycle_number} | (interpreted(v, ref, now) if ok else {"failed": "grid differs from the reference's"}))
-            yield pd.DataFrame(rows, columns=["cell_id", "cycle_number", *PHYSICS_COLS, "peaks", "matches", "failed"])
+                found = interpreted(v, ref, now) if ok else {"failed": "grid differs from the reference's"}
+                rows.append({"cell_id": str(r["cell_id"]), "cycle_number": r["cycle_number"]} | found)
+            yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in arrow.names} for x in rows], arrow)
 
-    return joined.mapInPandas(run, f"cell_id string, cycle_number int, {_METRICS}, peaks {PEAKS}, matches {MATCHES}, failed string")
+    return joined.mapInArrow(run, schema)
 
 
 def lli_summary(matches: Column, n_ref: Column) -> dict[str, Column]:
