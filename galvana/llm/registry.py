@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, fingerprint, lm, packing, quality, secrets, sharding, simhash, substrings, topk
 from .common import table
+from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
