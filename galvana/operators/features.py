@@ -171,6 +171,15 @@ def scaled(df: DataFrame, names: list[str], kind: str = "robust", train: DataFra
     return df.withColumns({n: (F.col(n) - F.lit(c)) / F.lit(s or 1.0) for n, (c, s) in pairs.items()})
 
 
+def prepared(df: DataFrame, names: list[str], kind: str = "robust", sigma: float = 5.0, train: DataFrame | None = None) -> DataFrame:
+    """Imputed, clipped and scaled, in that order; the indicator columns of missing values go through all three."""
+    source = train if train is not None else df
+    done, fit = imputed(df, names, source), imputed(source, names, source)
+    every = [*names, *[c for c in done.columns if c.endswith("_missing") and c not in df.columns]]
+    done, fit = outliers_clipped(done, every, sigma, fit), outliers_clipped(fit, every, sigma, fit)
+    return scaled(done, every, kind, fit)
+
+
 def group_folds(df: DataFrame, n_splits: int = 5, shuffle: bool = True, seed: int = 42, group: str = "cell_id") -> DataFrame:
     """`df` with a fold number that is the same for all rows of a group; groups are cells, a small dimension."""
     import numpy as np

@@ -132,6 +132,13 @@ def shift_trajectory(physics: DataFrame) -> DataFrame:
     )
 
 
+def normalised_to_first(df: DataFrame, column: str, out: str) -> DataFrame:
+    """`column` over the cell's first positive value in cycle order, as `out`; null where a cell has none."""
+    positive = F.when(F.col(column) > 0, F.col(column))
+    first = df.groupBy("cell_id").agg(F.min_by(positive, F.when(positive.isNotNull(), F.col("cycle_number"))).alias("__first"))
+    return df.join(first, "cell_id").withColumn(out, F.col(column) / F.col("__first")).drop("__first")
+
+
 def merged(ml: DataFrame, physics: DataFrame) -> DataFrame:
     """Features and physics of the cycles that have both."""
     return ml.join(physics, ["cell_id", "cycle_number"])

@@ -504,6 +504,42 @@ def union_cells(spark, d):
     return part("q", F.col("cell_id") < 4).unionByName(part("r", F.col("cell_id") >= 4))
 
 
+@query(
+    """+ f AS (SELECT cell_id, arg_min(Resistance_growth, cycle_number) AS v0 FROM physics WHERE Resistance_growth > 0 GROUP BY cell_id)
+SELECT cell_id, cycle_number, round(Resistance_growth / v0, 5) AS ratio FROM physics JOIN f USING (cell_id)""",
+    "physics",
+)
+def broadening_ratio(spark, d):
+    return physics.normalised_to_first(base.physics(spark, d), "Resistance_growth", "ratio").select("cell_id", "cycle_number", r("ratio", 5))
+
+
+@query(
+    """+ fit AS (SELECT quantile_cont(f3, 0.5) AS m FROM features),
+i AS (SELECT cell_id, cycle_number, coalesce(f3, m) AS x FROM features, fit),
+c AS (SELECT avg(x) AS a, stddev_pop(x) AS s FROM i),
+k AS (SELECT cell_id, cycle_number, greatest(a - 2 * s, least(a + 2 * s, x)) AS x FROM i, c),
+q AS (SELECT quantile_cont(x, 0.5) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS w FROM k)
+SELECT cell_id, cycle_number, round((x - m) / w, 5) AS f3 FROM k, q""",
+    "features",
+)
+def prepared_features(spark, d):
+    return features.prepared(base.features(spark, d), ["f3"], sigma=2.0).select("cell_id", "cycle_number", r("f3", 5))
+
+
+@query(
+    "SELECT cell_id, sum(w * y) AS area FROM (SELECT cell_id, abs(current) AS y, CASE WHEN nth = 1 OR nth = 21 THEN 1.0 WHEN nth % 2 = 0 THEN 4.0 ELSE 2.0 END / 3.0 AS w FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY time, row_id) AS nth FROM samples) WHERE nth <= 21) GROUP BY cell_id".replace(
+        "sum(w * y) AS area", "round(sum(w * y), 5) AS area"
+    ),
+    "samples",
+)
+def simpson_uniform(spark, d):
+    """Area under an odd number of evenly spaced points by Simpson's weights."""
+    nth = F.row_number().over(cycles.in_time())
+    weight = F.when((F.col("nth") == 1) | (F.col("nth") == 21), 1.0).when(F.col("nth") % 2 == 0, 4.0).otherwise(2.0) / 3.0
+    rows = base.samples(spark, d).withColumn("nth", nth).where("nth <= 21")
+    return rows.groupBy("cell_id").agg(F.round(F.sum(weight * F.abs("current")), 5).alias("area"))
+
+
 # --- whole curves: numpy kernels on groups, beyond SQL ---------------------------------------------------------------
 
 
