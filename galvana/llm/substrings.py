@@ -300,7 +300,7 @@ def _window_rows(segments: DataFrame, window: int) -> DataFrame:
 
 def removed_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-    shard_words: int = SHARD_WORDS, anchor_words: int = ANCHOR_WORDS, bound: int = BROADCAST_ROWS,
+    shard_words: int = SHARD_WORDS, anchor_words: int = ANCHOR_WORDS,
 ) -> DataFrame:
     """(key, spans: array<struct<b, e>>) for documents with windows that also start in a document with a smaller doc_id;
     b and e are first and one past the last such window of a run. key is xxhash64 of doc_id and text (null as empty)."""
@@ -308,8 +308,6 @@ def removed_windows(
     anchored = written(_anchor_rows(rows, window), "anchors")
     shared = anchored.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     lists = written(anchored.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
-    if lists.count() <= bound // 8:  # lists, not numbers
-        lists = F.broadcast(lists)
     flagged = rows.join(lists, "key").select("doc_id", "key", "text", "anchors")
     placed = written(_segments(flagged, window), "segments")
     n_words = F.length(F.regexp_replace(F.decode("words", "UTF-8"), "[^ ]", "")) + 1
@@ -356,7 +354,7 @@ def _kept(words: list[bytes], spans, window: int) -> list[bytes]:
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, bound: int, **sizes) -> DataFrame:
-    spans = written(removed_windows(docs, id_col, text_col, window, bound=bound, **sizes), "removed-windows")
+    spans = written(removed_windows(docs, id_col, text_col, window, **sizes), "removed-windows")
     spans = spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     if spans.count() <= bound // 4:
         spans = F.broadcast(spans)

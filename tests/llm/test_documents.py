@@ -277,7 +277,7 @@ def test_bpe_odd_rows(odd, none):
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
-def _labelled(spark, n=400):
+def _labelled(spark, n=2400):
     rng = random.Random(2)
     good = ["amber", "birch", "cedar", "delta", "ember", "fjord", "grove", "heron"]
     docs, labels = [], []
@@ -295,12 +295,12 @@ def _labelled(spark, n=400):
 
 def test_quality_on_held_out_documents(spark):
     docs, labels = _labelled(spark)
-    model = quality.trained(docs.where("doc_id < 280"), labels)
-    found = rows(quality.scored(docs.where("doc_id >= 280"), model))
+    model = quality.trained(docs.where("doc_id < 2000"), labels)
+    found = rows(quality.scored(docs.where("doc_id >= 2000"), model))
     right = [r.keep == (i % 4 in (0, 3)) for i, r in found.items()]
     assert sum(right) / len(right) > 0.95
     assert all(0 <= r.p_at_least_2 <= r.p_at_least_1 <= 1 and abs(r.expected_grade - r.p_at_least_1 - r.p_at_least_2) < 1e-9 for r in found.values())
-    kept = quality.selected(docs.where("doc_id >= 280"), model)
+    kept = quality.selected(docs.where("doc_id >= 2000"), model)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in found.items() if r.keep)
 
 
