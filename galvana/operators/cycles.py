@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .config import Parsing
 
+#: Seconds of a cell's time that one window takes.
+CHUNK_S = 86400.0
+
 
 def in_time():
     """Rows of a cell in time order."""
@@ -19,40 +22,68 @@ def sign(cfg: Parsing = Parsing()) -> Column:
     return F.when(i > rest, 1).when(i < -rest, -1).otherwise(0)
 
 
-def with_phase(samples: DataFrame, cfg: Parsing = Parsing()) -> DataFrame:
+def _chunked(samples: DataFrame, cfg: Parsing, chunk_s: float) -> DataFrame:
+    """Phase, and the number of cycles begun so far, of each row, from chunks of a cell's time.
+
+    Windows run within (cell, chunk), so the samples of one cell are spread over many tasks. A chunk is summed up by its
+    first and last movement and the cycles begun inside it; those few rows per cell are carried forward and joined back.
+    """
+    chunk = Window.partitionBy("cell_id", "__chunk").orderBy("time", "row_id")
+    so_far, before = chunk.rowsBetween(Window.unboundedPreceding, 0), chunk.rowsBetween(Window.unboundedPreceding, -1)
+    rows = samples.withColumns({"__chunk": F.floor(F.col("time") / chunk_s), "__moved": F.when(sign(cfg) != 0, sign(cfg))})
+    last = F.last("__moved", ignorenulls=True)
+    rows = rows.withColumns({"__local": last.over(so_far), "__last": last.over(before)})
+    rows = rows.withColumn("__begins", ((F.col("__moved") == 1) & F.coalesce(F.col("__last") == -1, F.lit(False))).cast("int"))
+    rows = rows.withColumn("__begun", F.sum(F.coalesce("__begins", F.lit(0))).over(so_far))
+    place = F.when(F.col("__moved").isNotNull(), F.struct("time", "row_id"))
+    ends = rows.groupBy("cell_id", "__chunk").agg(
+        F.min_by("__moved", place).alias("__first"), F.max_by("__moved", place).alias("__end"), F.sum(F.coalesce("__begins", F.lit(0))).alias("__inside")
+    )
+    earlier = Window.partitionBy("cell_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carry", F.coalesce(F.last("__end", ignorenulls=True).over(earlier), F.lit(0)))
+    ends = ends.withColumn("__opens", F.coalesce((F.col("__carry") == -1) & (F.col("__first") == 1), F.lit(False)).cast("int"))
+    offset = F.coalesce(F.sum(F.col("__inside") + F.col("__opens")).over(earlier), F.lit(0))
+    ends = ends.select("cell_id", "__chunk", "__carry", "__opens", offset.alias("__offset"))
+    opened = F.when(F.col("__local").isNotNull(), F.col("__opens")).otherwise(0)  # once the chunk has moved
+    return rows.join(ends, ["cell_id", "__chunk"]).withColumns(
+        {"phase": F.coalesce("__local", "__carry"), "__cycle": (F.col("__offset") + F.col("__begun") + opened).cast("int")}
+    )
+
+
+_OWN = ("__chunk", "__moved", "__local", "__last", "__begins", "__begun", "__carry", "__opens", "__offset")
+
+
+def with_phase(samples: DataFrame, cfg: Parsing = Parsing(), chunk_s: float = CHUNK_S) -> DataFrame:
     """phase: the sign, carried through rests from the last row that moved; 0 before the first."""
-    so_far = in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = F.when(sign(cfg) != 0, sign(cfg))
-    return samples.withColumn("phase", F.coalesce(F.last(moved, ignorenulls=True).over(so_far), F.lit(0)))
+    return _chunked(samples, cfg, chunk_s).drop(*_OWN, "__cycle")
 
 
-def with_cycles(samples: DataFrame, cfg: Parsing = Parsing()) -> DataFrame:
+def with_cycles(samples: DataFrame, cfg: Parsing = Parsing(), chunk_s: float = CHUNK_S) -> DataFrame:
     """phase and cycle_index; a cycle begins where a discharge is followed by a charge.
 
     A cycle_index that comes with the data is trusted, cell by cell, if it has no null, never falls in time and has more
     than one value; the phase of such a cell is the plain sign, so rests belong to no half-cycle.
     """
-    phased = with_phase(samples, cfg)
-    so_far = in_time().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    begins = (F.lag("phase").over(in_time()) == -1) & (F.col("phase") == 1)
-    phased = phased.withColumn("__begins", F.coalesce(begins, F.lit(False)).cast("int"))
-    counted = F.sum("__begins").over(so_far).cast("int")
+    found = _chunked(samples, cfg, chunk_s)
     if "cycle_index" not in samples.columns:
-        return phased.withColumn("cycle_index", counted).drop("__begins")
-    cell = Window.partitionBy("cell_id")
+        return found.withColumnRenamed("__cycle", "cycle_index").drop(*_OWN)
     given = F.col("cycle_index").cast("int")
-    falls = F.coalesce((given < F.lag(given).over(in_time())).cast("int"), F.lit(0))
-    checked = phased.withColumns({"__derived": counted, "__falls": falls})
-    trusted = (
-        (F.count("cycle_index").over(cell) == F.count(F.lit(1)).over(cell))
-        & (F.sum("__falls").over(cell) == 0)
-        & (F.min(given).over(cell) < F.max(given).over(cell))
+    chunk = Window.partitionBy("cell_id", "__chunk").orderBy("time", "row_id")
+    falls = F.coalesce((given < F.lag(given).over(chunk)).cast("int"), F.lit(0))
+    place = F.struct("time", "row_id")
+    ends = found.withColumn("__falls", falls).groupBy("cell_id", "__chunk").agg(
+        F.min_by(given, place).alias("first"), F.max_by(given, place).alias("last"), F.sum("__falls").alias("falls"), F.sum(given.isNull().cast("int")).alias("nulls"),
+        F.min(given).alias("lo"), F.max(given).alias("hi"),
+    )
+    across = F.coalesce((F.col("first") < F.lag("last").over(Window.partitionBy("cell_id").orderBy("__chunk"))).cast("int"), F.lit(0))
+    trust = ends.withColumn("across", across).groupBy("cell_id").agg(
+        ((F.sum(F.col("falls") + F.col("across") + F.col("nulls")) == 0) & (F.min("lo") < F.max("hi"))).alias("__trusted")
     )
     return (
-        checked.withColumn("__trusted", trusted)
-        .withColumn("cycle_index", F.when(F.col("__trusted"), given).otherwise(F.col("__derived")))
+        found.join(trust, "cell_id")
+        .withColumn("cycle_index", F.when(F.col("__trusted"), given).otherwise(F.col("__cycle")))
         .withColumn("phase", F.when(F.col("__trusted"), sign(cfg)).otherwise(F.col("phase")))
-        .drop("__begins", "__derived", "__falls", "__trusted")
+        .drop(*_OWN, "__cycle", "__trusted")
     )
 
 

@@ -89,6 +89,21 @@ def test_cycles_of_a_cell(spark, given):
     assert abs(meta[0].discharge_capacity_ah - 399 * 60 / 3600) < 1e-9
 
 
+def test_chunks_of_time_do_not_matter(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"c{k % 3}", k, float(rng.integers(0, 5000)), 3.0, float(rng.integers(-1, 2))) for k in range(3000)]
+    df = spark.createDataFrame(rows, "cell_id string, row_id long, time double, voltage double, current double")
+    found = [sorted((r.row_id, r.phase, r.cycle_index) for r in cycles.with_cycles(df, chunk_s=s).collect()) for s in (1e9, 300.0, 7.0)]
+    want, state = {}, {}
+    for cell_id, row_id, _, _, current in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        phase, count = state.get(cell_id, (0, 0))
+        new = int(current) or phase
+        count += phase == -1 and new == 1
+        state[cell_id] = (new, count)
+        want[row_id] = state[cell_id]
+    assert found[0] == found[1] == found[2] == [(k, *want[k]) for k in sorted(want)]
+
+
 def test_curves_features_and_model_end_to_end(spark, tmp_path):
     rows = [r for k in range(3) for r in cell(5, 0.01 + 0.01 * k, f"cell{k}")]
     for k in range(3):
