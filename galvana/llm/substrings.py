@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, utf8, written
+from .common import BROADCAST_ROWS, arrow_map, small_or_shuffled, utf8, written
 
 WINDOW = 50
 K = 8
@@ -34,6 +34,7 @@ MAX_RUN = 43
 SHARD_WORDS = 400_000
 ANCHOR_WORDS = 1_000_000
 MEMO_ENTRIES = 300_000
+FLUSH_BYTES = 48 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,41 +246,69 @@ def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _segments(flagged: DataFrame, window: int) -> DataFrame:
-    """Segments of documents with the list of their shared anchors: one row for each run of windows."""
-    hashes = Words()
-
-    def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(6)]
-        ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for doc, key, text, shared in zip(ids, keys, utf8(batch.column(2)), batch.column(3), strict=True):
-            words = text.split()
-            a = anchors(hashes(words), window)
-            first, size = _runs(a)
-            pick = np.isin(a[first], np.asarray(shared.values.to_numpy()))
-            for f, n in zip(first[pick].tolist(), size[pick].tolist(), strict=True):
-                segment = b" ".join(words[f : f + n + window - 1])
-                row = (doc, key, f, int(a[f]), xxhash.xxh3_128_digest(segment), segment)
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "key", "first", "anchor", "seg", "words"])
+    """Segments of documents with the list of their shared anchors.
 
-    return arrow_map(flagged, per_batch, "doc_id long, key long, first int, anchor long, seg binary, words binary")
+    Each run of windows gives a narrow row that places it in its document; the words of equal segments are handed on once
+    by each task, with the smallest and largest doc_id that it saw, so a passage of many documents is collapsed before it
+    is shuffled. A task holds FLUSH_BYTES of distinct words at most.
+    """
+    hashes = Words()
+    names = ["doc_id", "most", "key", "first", "anchor", "seg", "n_words", "words"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        size = 0
+        for batch in batches:
+            rows = []
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, key, text, shared in zip(ids, keys, utf8(batch.column(2)), batch.column(3), strict=True):
+                words = text.split()
+                a = anchors(hashes(words), window)
+                first, count = _runs(a)
+                pick = np.isin(a[first], np.asarray(shared.values.to_numpy()))
+                for f, n in zip(first[pick].tolist(), count[pick].tolist(), strict=True):
+                    part = b" ".join(words[f : f + n + window - 1])
+                    seg = xxhash.xxh3_128_digest(part)
+                    rows.append((doc, None, key, f, int(a[f]), seg, n + window - 1, None))
+                    known = held.get(seg)
+                    if known is None:
+                        held[seg] = [doc, doc, int(a[f]), n + window - 1, part]
+                        size += len(part)
+                    else:
+                        known[0], known[1] = min(known[0], doc), max(known[1], doc)
+            if rows:
+                yield out(rows)
+            if size >= FLUSH_BYTES:
+                yield out([(lo, hi, None, None, anchor, seg, n, part) for seg, (lo, hi, anchor, n, part) in held.items()])
+                held, size = {}, 0
+        if held:
+            yield out([(lo, hi, None, None, anchor, seg, n, part) for seg, (lo, hi, anchor, n, part) in held.items()])
+
+    schema = "doc_id long, most long, key long, first int, anchor long, seg binary, n_words int, words binary"
+    return flagged.mapInArrow(run, schema)
 
 
 def _search_shard(window: int):
     def search(group: pa.Table) -> pa.Table:
-        segments = [x.split() for x in group["words"].to_pylist()]
-        docs, last = group["least"].to_numpy(), group["most"].to_numpy()
+        known: dict[bytes, list] = {}
+        for seg, lo, hi, words in zip(*(group[c].to_pylist() for c in ("seg", "least", "most", "words")), strict=True):
+            have = known.setdefault(seg, [lo, hi, words])
+            have[0], have[1] = min(have[0], lo), max(have[1], hi)
+        segments = [w.split() for _, _, w in known.values()]
+        docs, last = (np.array([x[k] for x in known.values()], np.int64) for k in (0, 1))
         sizes = np.array([len(x) for x in segments], np.int64)
         flat = [w for x in segments for w in x]
         number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         symbols = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         found = [_intervals(f) for f in shared_windows(symbols, sizes, docs, window)]
-        pick = np.array([bool(x) for x in found]) | (last > docs)
-        rows = np.flatnonzero(pick)
+        rows = np.flatnonzero(np.array([bool(x) for x in found]) | (last > docs))
         shared = pa.array([found[i] for i in rows], pa.list_(pa.int32()))
-        return pa.table({"seg": group["seg"].take(pa.array(rows)), "least": pa.array(docs[rows]), "size": pa.array((sizes[rows] - window + 1).astype(np.int32)), "shared": shared})
+        seg = pa.array(list(known), pa.binary()).take(pa.array(rows))
+        return pa.table({"seg": seg, "least": pa.array(docs[rows]), "size": pa.array((sizes[rows] - window + 1).astype(np.int32)), "shared": shared})
 
     return search
 
@@ -310,26 +339,26 @@ def removed_windows(
     lists = written(anchored.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
     flagged = rows.join(lists, "key").select("doc_id", "key", "text", "anchors")
     placed = written(_segments(flagged, window), "segments")
-    n_words = F.length(F.regexp_replace(F.decode("words", "UTF-8"), "[^ ]", "")) + 1
-    distinct = written(
-        placed.groupBy("anchor", "seg").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("words").alias("words"))
-        .withColumn("n_words", n_words.cast("long")),
-        "distinct-segments",
-    )
+    texts = placed.where("words IS NOT NULL").withColumnRenamed("doc_id", "least")
+    distinct = texts.groupBy("anchor", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n_words").alias("n_words"))
+    distinct = written(distinct, "distinct-segments")  # without the words
     weights = written(distinct.groupBy("anchor").agg(F.sum("n_words").alias("weight")), "anchor-weights")
     total = weights.where(F.col("weight") <= anchor_words).agg(F.sum("weight")).first()[0] or 0
-    crowded = weights.where(F.col("weight") > anchor_words).select("anchor")  # at most total / anchor_words rows
+    crowded = weights.where(F.col("weight") > anchor_words).select("anchor")  # one for each anchor_words of words at most
     crowded_rows = crowded.count()
     shards = max(1, -(-total // shard_words))
-    calm = distinct.join(F.broadcast(crowded), "anchor", "left_anti") if crowded_rows else distinct
+    calm = texts.join(small_or_shuffled(crowded, crowded_rows), "anchor", "left_anti") if crowded_rows else texts
     dealt = calm.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "seg", "least", "most", "words")
     verdict = dealt.groupBy("shard").applyInArrow(_search_shard(window), "seg binary, least long, size int, shared array<int>")
     if crowded_rows:
-        each = written(_window_rows(distinct.join(F.broadcast(crowded), "anchor", "left_semi"), window), "crowded-windows")
+        busy = texts.join(small_or_shuffled(crowded, crowded_rows), "anchor", "left_semi")
+        each = written(_window_rows(busy, window), "crowded-windows")
         least = each.groupBy("win").agg(F.min("least").alias("win_least"))
-        found = each.join(least, "win").groupBy("seg", "least", "size").agg(
-            F.flatten(F.collect_list(F.when(F.col("win_least") < F.col("least"), F.array("at", F.col("at") + 1)))).alias("shared"),
-            F.max("most").alias("most"),
+        ends = distinct.select("seg", F.col("least").alias("seg_least"), F.col("most").alias("seg_most"))
+        judged = each.select("seg", "size", "at", "win").distinct().join(least, "win").join(ends, "seg")
+        found = judged.groupBy("seg", F.col("seg_least").alias("least"), "size").agg(
+            F.flatten(F.collect_list(F.when(F.col("win_least") < F.col("seg_least"), F.array("at", F.col("at") + 1)))).alias("shared"),
+            F.max("seg_most").alias("most"),
         )
         verdict = verdict.unionByName(found.where((F.size("shared") > 0) | (F.col("most") > F.col("least"))).select("seg", "least", "size", "shared"))
     verdict = written(verdict, "verdicts")
@@ -340,7 +369,7 @@ def removed_windows(
     whole = F.array(F.struct(F.col("first").alias("b"), (F.col("first") + F.col("size")).alias("e")))
     none = F.array().cast("array<struct<b:int,e:int>>")
     spans = F.when(F.col("doc_id") > F.col("least"), whole).when(F.size("shared") > 0, pairs).otherwise(none)
-    hits = placed.select("doc_id", "key", "first", "seg").join(verdict, "seg").select("key", F.explode(spans).alias("s"))
+    hits = placed.where("words IS NULL").select("doc_id", "key", "first", "seg").join(verdict, "seg").select("key", F.explode(spans).alias("s"))
     return hits.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("spans"))  # bounded by one document's windows
 
 
