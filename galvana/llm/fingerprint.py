@@ -178,7 +178,8 @@ def edit_report(
     if clash.limit(1).count():
         canon = canon.withColumn("key", F.xxhash64("doc_id", "text"))
         side = lambda p, c: clash.select(F.col("h1").alias(f"{p}1"), F.col("h2").alias(f"{p}2"), F.col("canon").alias(c), F.col("suffix").alias(f"{p}s"))
-        rows = rows.join(canon.select("key", "next_id", "canon", "canon_edited").distinct().withColumnRenamed("next_id", "nid").drop("nid"), "key")
+        texts = canon.select("key", "canon", "canon_edited", b1.alias("b1"), b2.alias("b2")).dropDuplicates(["key", "b1", "b2"])
+        rows = rows.join(texts, ["key", "b1", "b2"])
         rows = rows.join(side("a", "canon"), ["a1", "a2", "canon"], "left").join(side("b", "canon_edited"), ["b1", "b2", "canon_edited"], "left")
         own_print = F.concat(own_print, F.coalesce("as", F.lit("")))
         edited_print = F.concat(edited_print, F.coalesce("bs", F.lit("")))

@@ -202,6 +202,7 @@ def test_canonical_form(spark):
 
 def test_fingerprint_odd_rows(odd, none):
     assert fingerprint.edit_report(odd).count() == 8
+    assert fingerprint.edit_report(odd, bits=1).count() == 8  # colliding buckets and repeated rows
     assert fingerprint.edit_report(none).count() == 0
 
 
