@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galvana.llm import packing, quality, secrets, simhash, substrings
+from galvana.llm import near, packing, quality, secrets, substrings
 from galvana.llm.common import table, written
 
 
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return near.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
