@@ -11,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, small_or_shuffled, written
 
-#: Rows for each of the runs of ids in which neighbours are found.
-ROWS_A_RUN = 2000
-MAX_RUNS = 8191
+#: Rows of a run of ids, within which neighbours are found; a run is sorted in one task.
+ROWS_A_RUN = 1 << 16
 _NFKC = ("com.ibm.icu.text.Normalizer", "compose")
 _FOLD = ("com.ibm.icu.lang.UCharacter", "foldCase")
 
@@ -43,87 +42,96 @@ def _hex(h1: str, h2: str) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
-def _with_suffixes(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """For buckets with several canonical texts: (h1, h2, canon, suffix) of each. `texts` (h1, h2, canon) holds the texts
-    of all buckets with more than one row."""
-    mixed = texts.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo != hi").select("h1", "h2")
-    distinct = texts.join(mixed, ["h1", "h2"], "left_semi").distinct()
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, t1, t2): t1 and t2 are the 128-bit hash of the raw text and name it in narrow tables."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    t1, t2 = wide_hash(F.col("text"))
+    return rows.select("doc_id", "text", t1.alias("t1"), t2.alias("t2"))
+
+
+def _canonical_rows(texts: DataFrame, bits: int) -> DataFrame:
+    """`texts` with h1, h2 and canon in place of text; the canonical form is worked out once."""
+    with_canon = texts.withColumn("canon", canonical(F.col("text"))).drop("text")
+    h1, h2 = wide_hash(F.col("canon"), bits)
+    return with_canon.withColumns({"h1": h1, "h2": h2})
+
+
+def _suffixes(texts: DataFrame) -> DataFrame | None:
+    """`texts` (names of a text, h1, h2, canon) of all buckets with several rows, compared byte by byte: None if every
+    bucket has one canonical text; otherwise (names, h1, h2, suffix) for the buckets that have more."""
+    bytes_differ = F.min("canon") != F.max("canon")
+    mixed = written(texts.groupBy("h1", "h2").agg(bytes_differ.alias("mixed")).where("mixed").select("h1", "h2"), "mixed-buckets")
+    if mixed.limit(1).count() == 0:
+        return None
+    inside = written(texts.join(small_or_shuffled(mixed), ["h1", "h2"], "left_semi"), "mixed-texts")
     order = Window.partitionBy("h1", "h2").orderBy("canon")  # distinct texts with the same 128 bits
-    return distinct.withColumn("suffix", F.concat(F.lit("-"), F.row_number().over(order).cast("string")))
+    numbered = inside.select("h1", "h2", "canon").distinct().withColumn("suffix", F.concat(F.lit("-"), F.row_number().over(order).cast("string")))
+    return written(inside.join(numbered, ["h1", "h2", "canon"]).drop("canon").distinct(), "suffixes")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, bound: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, fingerprint) for each row; equal exactly where the canonical texts are byte for byte equal.
 
     Null and empty texts, and texts of white space alone, share one fingerprint. Null ids, repeated ids and repeated rows
     are passed through; other columns are ignored; an empty table gives an empty one.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(F.col(text_col)).alias("canon"))
-    h1, h2 = wide_hash(F.col("canon"), bits)
-    hashed = base.select("doc_id", "canon", h1.alias("h1"), h2.alias("h2"))
-    keys = written(hashed.select("doc_id", "h1", "h2"), "wide-hashes")
-    several = keys.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    several = written(several, "buckets")
-    pick = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
-    clash = written(_with_suffixes(keys, hashed.join(pick, ["h1", "h2"], "left_semi").select("h1", "h2", "canon")), "clashes")
-    if clash.limit(1).count() == 0:
-        return keys.select("doc_id", _hex("h1", "h2").alias("fingerprint"))
-    named = hashed.join(clash, ["h1", "h2", "canon"], "left")
+    source = _source(docs, id_col, text_col)
+    rows = written(_canonical_rows(source, bits).drop("canon"), "wide-hashes")
+    several = written(rows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "buckets")
+    need = written(rows.join(small_or_shuffled(several, bound=bound), ["h1", "h2"], "left_semi").select("t1", "t2").distinct(), "needed-texts")
+    texts = source.drop("doc_id").join(small_or_shuffled(need, bound=bound), ["t1", "t2"], "left_semi")
+    suffixes = _suffixes(_canonical_rows(texts, bits))
+    if suffixes is None:
+        return rows.select("doc_id", _hex("h1", "h2").alias("fingerprint"))
+    named = rows.join(small_or_shuffled(suffixes.select("t1", "t2", "suffix"), bound=bound), ["t1", "t2"], "left")
     return named.select("doc_id", F.concat(_hex("h1", "h2"), F.coalesce("suffix", F.lit(""))).alias("fingerprint"))
 
 
-def _runs(docs: DataFrame, rows_a_run: int) -> Column:
-    """Number of a row's run of ids, by quantiles of all ids; runs rise with the ids, and null ids come before all."""
-    n = docs.count()
-    runs = max(1, min(MAX_RUNS, -(-n // rows_a_run)))
-    if runs == 1:
-        return F.lit(0)
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], 20 * runs)).first()[0]
-    bounds = sorted(set(bounds or []))
-    if not bounds:
-        return F.lit(0)
-    steps = len(bounds).bit_length()
-    table = F.array(*[F.lit(b).cast("long") for b in bounds])
-    powers = F.array(*[F.lit(1 << k) for k in reversed(range(steps))])
+def _bounds(source: DataFrame, rows_a_run: int) -> tuple[Column, int]:
+    """Largest key (doc_id, t1) of each run of ids in rising order, as a scalar subquery, and their number.
 
-    def step(at: Column, power: Column) -> Column:  # binary search for the last bound that isn't above the id
-        bound = F.element_at(table, F.least(at + power, F.lit(len(bounds))))
-        return F.when((at + power <= len(bounds)) & (bound <= F.col("doc_id")), at + power).otherwise(at)
+    Runs come from a range partitioning of the narrow keys, so their number follows the rows: one entry of some 30 bytes
+    for ROWS_A_RUN rows."""
+    keys = source.select("doc_id", "t1")
+    runs = max(1, -(-keys.count() // rows_a_run))
+    tops = keys.repartitionByRange(runs, "doc_id", "t1").groupBy(F.spark_partition_id().alias("run")).agg(F.max(F.struct("doc_id", "t1")).alias("key"))
+    listed = written(tops.select("key").distinct().agg(F.sort_array(F.collect_list("key")).alias("bounds"), F.count("*").alias("n")), "run-bounds")
+    return listed.select("bounds").scalar(), listed.first()["n"]
 
-    found = F.aggregate(powers, F.lit(0), step)
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(found)
 
+def with_next(source: DataFrame, extra: list[str], rows_a_run: int = ROWS_A_RUN) -> DataFrame:
+    """`source` (doc_id, text, t1, t2 and `extra`) with a column `after`: those columns of the next row, in descending
+    order of doc_id (nulls last), then of t1 and text; after the last row comes the first.
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_run: int = ROWS_A_RUN) -> DataFrame:
-    """(doc_id, text, next_id, edited): each text with the last floor(n/2) code points replaced by the first as many of
-    the next document, descending doc_id, after the last the first.
-
-    Rows are cut into runs of ids of bounded size; within a run the neighbour comes from a window, and the last row of a
-    run takes the first row of the next, of which there is one for each run. Rows that repeat an id follow one another by
-    their text; null ids come last. A table of one row has itself as next.
+    The keys are cut into runs that end at keys of actual rows. Such an end row also goes, as a guest, to the run above,
+    whose last row it follows; so a window within each run sees every neighbour and texts are shuffled once. Rows that
+    repeat both id and text lie in one run.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    run = _runs(rows.select("doc_id"), rows_a_run)
-    rows = rows.select("doc_id", "text", run.alias("run"))
-    order = [F.desc_nulls_last("doc_id"), F.col("text")]
-    window = Window.partitionBy("run").orderBy(*order)
-    inner = rows.select(
-        "doc_id", "text", "run",
-        F.lead(F.struct("doc_id", "text")).over(window).alias("after"),
-    )
-    # one row for each run: its first document, wanted by the run above it
-    heads = rows.groupBy("run").agg(F.max("doc_id").alias("doc_id"))
-    heads = rows.join(F.broadcast(heads.select(F.col("run").alias("r"), F.col("doc_id").alias("d"))), F.col("run").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    heads = written(heads.groupBy("run").agg(F.min(F.struct("doc_id", "text")).alias("head")), "heads")
-    above = Window.orderBy("run")  # over one row for each run
-    wanted = heads.select(
-        F.coalesce(F.lead("run").over(above), F.first("run").over(above)).alias("tail_run"), "head"
-    )
-    joined = inner.join(F.broadcast(wanted), F.col("run") == F.col("tail_run"), "left")
-    after = F.coalesce("after", "head")
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(after["text"], F.lit(1), half))
-    return joined.select("doc_id", "text", after["doc_id"].alias("next_id"), edited.alias("edited"))
+    bounds, runs = _bounds(source, rows_a_run)
+    if not runs:
+        return source.withColumn("after", F.struct("doc_id", "text", "t1", "t2", *extra))
+    key = F.struct("doc_id", "t1")
+    powers = F.array(*[F.lit(1 << k) for k in reversed(range(runs.bit_length()))])
+
+    def step(at: Column, power: Column) -> Column:  # how many bounds are below the key, bit by bit
+        below = F.element_at(F.col("__bounds"), F.least(at + power, F.lit(runs))) < F.col("__key")
+        return F.when((at + power <= runs) & below, at + power).otherwise(at)
+
+    run = F.aggregate(powers, F.lit(0), step)
+    placed = source.withColumns({"__bounds": bounds, "__key": key}).withColumn("__run", run)
+    is_end = F.element_at(F.col("__bounds"), F.col("__run") + 1) == F.col("__key")
+    own = F.struct(F.col("__run").alias("run"), F.lit(False).alias("guest"))
+    guest = F.struct(((F.col("__run") + 1) % runs).alias("run"), F.lit(True).alias("guest"))
+    dealt = placed.withColumn("__at", F.explode(F.when(is_end, F.array(own, guest)).otherwise(F.array(own)))).drop("__bounds", "__key", "__run")
+    order = [F.col("__at.guest"), F.desc_nulls_last("doc_id"), F.desc("t1"), F.desc("text")]
+    window = Window.partitionBy("__at.run").orderBy(*order)
+    after = F.lead(F.struct("doc_id", "text", "t1", "t2", *extra)).over(window)
+    return dealt.withColumn("after", after).where("not __at.guest").drop("__at")
+
+
+def _edited(text: Column, following: Column) -> Column:
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
 
 
 def edit_report(
@@ -131,65 +139,56 @@ def edit_report(
 ) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A canonical digest is equal or not, so likeness is 1.0 for equal fingerprints and 0.0 otherwise. Own and edited texts
-    share the buckets. Edge cases as in `edited_pairs` and `fingerprints`.
+    The edited text has the last floor(n/2) code points replaced by the first as many of the next row's text, in the order
+    of `with_next`; a table of one row has itself as next. A canonical digest is equal or not, so likeness is 1.0 for equal
+    fingerprints and 0.0 otherwise. Own and edited texts share the buckets. Edge cases as in `fingerprints`.
     """
-    pairs = edited_pairs(docs, id_col, text_col, rows_a_run)
-    own, changed = canonical(F.col("text")), canonical(F.col("edited"))
-    canon = pairs.select("doc_id", "next_id", "text", "edited", own.alias("canon"), changed.alias("canon_edited"))
-    (a1, a2), (b1, b2) = wide_hash(F.col("canon"), bits), wide_hash(F.col("canon_edited"), bits)
-    rows = written(
-        canon.select(
-            "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"),
-            F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            F.xxhash64("doc_id", "text").alias("key"), a1.alias("a1"), a2.alias("a2"), b1.alias("b1"), b2.alias("b2"),
-        ),
-        "edit-hashes",
+    source = _source(docs, id_col, text_col)
+    own = source.withColumn("canon", canonical(F.col("text")))
+    a1, a2 = wide_hash(F.col("canon"), bits)
+    own = own.withColumns({"a1": a1, "a2": a2}).drop("canon")
+    pairs = with_next(own, ["a1", "a2"], rows_a_run)
+    pairs = pairs.select(
+        "doc_id", "t1", "t2", "a1", "a2", F.length("text").cast("long").alias("n_chars"), _edited(F.col("text"), F.col("after.text")).alias("edited"),
+        *[F.col(f"after.{c}").alias(f"n_{c}") for c in ("t1", "t2", "a1", "a2")],
     )
-    both = rows.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")))).alias("h")).select("h.*")
+    pairs = pairs.withColumn("canon", canonical(F.col("edited")))
+    b1, b2 = wide_hash(F.col("canon"), bits)
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    rows = written(pairs.withColumns({"b1": b1, "b2": b2, "edited_sha256": sha}).drop("edited", "canon"), "edit-hashes")
+
+    bucket = lambda p: F.struct(F.col(f"{p}1").alias("h1"), F.col(f"{p}2").alias("h2"))
+    both = rows.select(F.explode(F.array(bucket("a"), bucket("b"))).alias("h")).select("h.*")
     several = written(both.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "edit-buckets")
-    pick = F.broadcast(several) if several.count() <= bound else several
-    # own texts of shared buckets come straight from the table; edited ones are built from the two documents they need
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    mine = source.withColumn("canon", canonical(F.col("text")))
-    h1, h2 = wide_hash(F.col("canon"), bits)
-    mine = mine.select("canon", h1.alias("h1"), h2.alias("h2")).join(pick, ["h1", "h2"], "left_semi")
-    shared_edits = written(
-        rows.join(pick.select(F.col("h1").alias("b1"), F.col("h2").alias("b2")), ["b1", "b2"], "left_semi").select("doc_id", "next_id", "key", F.col("b1").alias("h1"), F.col("b2").alias("h2")),
-        "shared-edits",
-    )
-    ids = shared_edits.select(F.explode(F.array("doc_id", "next_id")).alias("need")).distinct()
-    ids = written(ids, "needed-ids")
-    ids = F.broadcast(ids) if ids.count() <= bound else ids
-    needed = source.join(ids, F.col("doc_id").eqNullSafe(F.col("need")), "left_semi")
-    first = needed.groupBy("doc_id").agg(F.min("text").alias("next_text")).select(F.col("doc_id").alias("n_id"), "next_text")
-    keyed = needed.select(F.xxhash64("doc_id", "text").alias("key"), "text").distinct()
-    half = F.floor(F.length("text") / 2).cast("int")
-    built = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
-    theirs = (
-        shared_edits.join(keyed, "key").join(first, F.col("next_id").eqNullSafe(F.col("n_id")))
-        .select("h1", "h2", canonical(built).alias("canon"))
-        .withColumns(dict(zip(("g1", "g2"), wide_hash(F.col("canon"), bits), strict=True)))
-        .where("h1 = g1 AND h2 = g2")
-    )
-    clash = _with_suffixes(rows, mine.select("h1", "h2", "canon").unionByName(theirs.select("h1", "h2", "canon")))
-    clash = written(clash, "edit-clashes")
-    own_print, edited_print = _hex("a1", "a2"), _hex("b1", "b2")
-    if clash.limit(1).count():
-        canon = canon.withColumn("key", F.xxhash64("doc_id", "text"))
-        side = lambda p, c: clash.select(F.col("h1").alias(f"{p}1"), F.col("h2").alias(f"{p}2"), F.col("canon").alias(c), F.col("suffix").alias(f"{p}s"))
-        texts = canon.select("key", "canon", "canon_edited", b1.alias("b1"), b2.alias("b2")).dropDuplicates(["key", "b1", "b2"])
-        rows = rows.join(texts, ["key", "b1", "b2"])
-        rows = rows.join(side("a", "canon"), ["a1", "a2", "canon"], "left").join(side("b", "canon_edited"), ["b1", "b2", "canon_edited"], "left")
-        own_print = F.concat(own_print, F.coalesce("as", F.lit("")))
-        edited_print = F.concat(edited_print, F.coalesce("bs", F.lit("")))
-    prints = written(
-        rows.select("doc_id", "next_id", "n_chars", "edited_sha256", own_print.alias("fingerprint"), edited_print.alias("edited_fingerprint"), "key"),
-        "edit-prints",
-    )
-    of_next = prints.groupBy(F.col("doc_id").alias("n_id")).agg(F.min("fingerprint").alias("next_print"))
-    same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return prints.join(of_next, F.col("next_id").eqNullSafe(F.col("n_id")), "left").select(
+    pick = lambda p: small_or_shuffled(several.select(F.col("h1").alias(f"{p}1"), F.col("h2").alias(f"{p}2")), bound=bound)
+    # own texts of shared buckets; edited ones are built from the two texts they come from
+    need_own = rows.join(pick("a"), ["a1", "a2"], "left_semi").select("t1", "t2")
+    edits = written(rows.join(pick("b"), ["b1", "b2"], "left_semi").select("t1", "t2", "n_t1", "n_t2").distinct(), "shared-edits")
+    need_edits = edits.select(F.explode(F.array(F.struct("t1", "t2"), F.struct(F.col("n_t1").alias("t1"), F.col("n_t2").alias("t2")))).alias("t")).select("t.*")
+    marked = need_own.withColumn("own", F.lit(True)).unionByName(need_edits.withColumn("own", F.lit(False)))
+    need = written(marked.groupBy("t1", "t2").agg(F.bool_or("own").alias("own"), F.bool_or(~F.col("own")).alias("part")), "needed-texts")
+    found = source.drop("doc_id").join(small_or_shuffled(need, bound=bound), ["t1", "t2"])
+    parts = written(found.where("part").groupBy("t1", "t2").agg(F.min("text").alias("text")), "edit-parts")
+    ahead = parts.select(F.col("t1").alias("n_t1"), F.col("t2").alias("n_t2"), F.col("text").alias("following"))
+    built = edits.join(parts, ["t1", "t2"]).join(ahead, ["n_t1", "n_t2"]).select("t1", "t2", "n_t1", "n_t2", _edited(F.col("text"), F.col("following")).alias("text"))
+    none = F.lit(None).cast("long")
+    whole = found.where("own").select("t1", "t2", none.alias("n_t1"), none.alias("n_t2"), "text")
+    suffixes = _suffixes(_canonical_rows(whole.unionByName(built), bits))
+
+    fingerprint, edited_print = _hex("a1", "a2"), _hex("b1", "b2")
+    same_next = (F.col("a1") == F.col("n_a1")) & (F.col("a2") == F.col("n_a2"))
+    if suffixes is not None:
+        of_own = suffixes.where("n_t1 IS NULL").select("t1", "t2", "suffix")
+        of_next = of_own.select(F.col("t1").alias("n_t1"), F.col("t2").alias("n_t2"), F.col("suffix").alias("next_suffix"))
+        of_edit = suffixes.where("n_t1 IS NOT NULL").select("t1", "t2", "n_t1", "n_t2", F.col("suffix").alias("edited_suffix"))
+        rows = (
+            rows.join(small_or_shuffled(of_own, bound=bound), ["t1", "t2"], "left").join(small_or_shuffled(of_next, bound=bound), ["n_t1", "n_t2"], "left")
+            .join(small_or_shuffled(of_edit, bound=bound), ["t1", "t2", "n_t1", "n_t2"], "left").fillna("", ["suffix", "next_suffix", "edited_suffix"])
+        )
+        fingerprint, edited_print = F.concat(fingerprint, "suffix"), F.concat(edited_print, "edited_suffix")
+        same_next &= F.col("suffix") == F.col("next_suffix")
+    named = rows.withColumns({"fingerprint": fingerprint, "edited_fingerprint": edited_print, "same_next": same_next})
+    return named.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_print").alias("near_next"),
+        (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), F.col("same_next").cast("double").alias("near_next"),
     )

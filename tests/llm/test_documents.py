@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -200,10 +201,28 @@ def test_canonical_form(spark):
     assert same(0, 1) and same(2, 3) and same(4, 5) and same(6, 7) and same(7, 8) and not same(0, 2)
 
 
-def test_fingerprint_odd_rows(odd, none):
-    assert fingerprint.edit_report(odd).count() == 8
-    assert fingerprint.edit_report(odd, bits=1).count() == 8  # colliding buckets and repeated rows
-    assert fingerprint.edit_report(none).count() == 0
+def _signed(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize(("bits", "run"), [(64, 1 << 16), (1, 2), (64, 3)])
+def test_fingerprints_of_repeated_ids_and_rows(spark, odd, none, bits, run):
+    more = [(5, t) for t in ("aa", "aa", "mm nn", "mm nn", "zz")] + [(None, "zz"), (7, "x"), (7, "X"), (1, "aa")]
+    listed = [(r.doc_id, r.text or "") for r in odd.collect()] + more
+    df = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
+    down = sorted(listed, key=lambda r: (r[0] is not None, r[0] or 0, _signed(r[1]), r[1]), reverse=True)
+    want = []
+    for k, (i, t) in enumerate(down):
+        after = down[(k + 1) % len(down)][1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        same = lambda a, b: float(brute.canonical(a) == brute.canonical(b))
+        want.append((str(i), len(t), brute.sha(edited), same(t, edited), same(t, after)))
+    found = fingerprint.edit_report(df, bits=bits, rows_a_run=run).collect()
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in found) == sorted(want)
+    plain = fingerprint.fingerprints(df.withColumn("canon", F.lit("clash")), bits=bits).collect()
+    assert len(plain) == len(listed) and len({r.fingerprint for r in plain}) == len({brute.canonical(t) for _, t in listed})
+    assert fingerprint.edit_report(none).count() == 0 and fingerprint.fingerprints(none).count() == 0
 
 
 # --- substrings ------------------------------------------------------------------------------------------------------
