@@ -235,8 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
         "fp", "rep", F.coalesce("root", "fp").alias("cluster")
     )
-    least = named.groupBy("cluster").agg(F.min("rep").alias("component_id"))
-    by_print = written(named.join(least, "cluster").select("fp", "cluster", "component_id"), "classes")
+    named = written(named, "named")
+    # written, so that neither side of the join is an aggregate and a large cluster can be split
+    least = written(named.groupBy("cluster").agg(F.min("rep").alias("component_id")), "least")
+    by_print = written(named.join(small_or_shuffled(least), "cluster").select("fp", "cluster", "component_id"), "classes")
     return rows.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "cluster"
     )
