@@ -7,11 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A relation is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 400_000
+#: The same for rows that hold texts or arrays, in bytes of them all.
+BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,33 +23,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is missing (local tests) is a temporary folder made and set.
+    Only in local mode may that setting be missing; then a temporary folder is made and set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="galvana-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_marked: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables; it is deleted when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{shared_dir(spark)}/galvana/{sc.applicationId}"
+    if folder not in _marked:
+        where = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _marked.add(folder)
+    return folder
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet under the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/galvana/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """`names`, each lengthened until `df` has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `bound` rows; otherwise as it is, so that the join shuffles.
 
-    `df` should be a written table: it is counted when `rows` isn't given.
+    `df` should be a written table of rows of a few numbers: it is counted when `rows` isn't given.
     """
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= bound else df
 
 
+def light_or_shuffled(df: DataFrame, size: Column, bound: int = BROADCAST_BYTES) -> DataFrame:
+    """Like `small_or_shuffled` for rows that hold texts or arrays: `size` is a row's bytes, `bound` those of all rows."""
+    total = df.agg(F.sum(size + F.lit(64))).first()[0] or 0
+    return F.broadcast(df) if total <= bound else df
+
+
 def arrow_map(
     df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -2,16 +2,19 @@
 
 A window is WINDOW consecutive words. Each window has an anchor, the least hash among its K-word grams, so equal windows
 have equal anchors. Anchors that only one document has can't lie in a shared window. Around each run of windows with the
-same shared anchor the document gives a segment; equal segments are collapsed to one with the smallest doc_id of theirs;
-and the segments of an anchor go to one shard. A shard's text is its segments, every one closed by a separator of its
-own. Over its Burrows-Wheeler transform, held in a wavelet matrix of packed bits, backward search computes for each
-streamed segment the matching statistics against text of smaller documents: an interval of the suffix order is followed
-only while the least document in it is smaller than the segment's. Windows whose match is long enough are reported.
+same shared anchor the document gives a segment; equal segments are collapsed to one with the smallest and the largest
+doc_id of theirs; and the segments of an anchor go to one shard. A shard's text is its segments, every one closed by a
+separator of its own. Over its Burrows-Wheeler transform, held in a wavelet matrix of packed bits, backward search
+computes for each streamed segment the matching statistics against text of smaller documents: an interval of the suffix
+order is followed only while the least document in it is smaller than the segment's. Windows whose match is long enough
+are reported, once for the segment's smallest document and once for the others that have it.
 
 A mismatch rules out all windows around it, so the search skips like backward DAWG matching, and lengths tried double
 after each success. All segments of a shard advance in lockstep, a step of the wavelet matrix at a time.
 
-Anchors whose distinct segments exceed ANCHOR_WORDS are not sent to one task: their windows are grouped one by one.
+An anchor with many distinct segments, as a line that is common everywhere has, is cut finer: its segments are anchored
+again by longer grams, in the end by whole windows, and the pieces are dealt by their new anchors to shards of the same
+kind. So no anchor weighs more than a share of a shard, and work grows with the text.
 """
 
 from __future__ import annotations
@@ -25,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_map, small_or_shuffled, utf8, written
+from .common import BROADCAST_BYTES, arrow_map, fresh, light_or_shuffled, small_or_shuffled, utf8, written
 
 WINDOW = 50
-K = 8
 #: Longest run of windows in a segment.
 MAX_RUN = 43
-SHARD_WORDS = 400_000
-ANCHOR_WORDS = 1_000_000
+SHARD_WORDS = 200_000
+#: An anchor whose distinct segments have more than this share of a shard's words is cut finer.
+SHARE = 4
 MEMO_ENTRIES = 300_000
 FLUSH_BYTES = 48 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +56,12 @@ class Words:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def anchors(hashes: np.ndarray, window: int = WINDOW, k: int = K) -> np.ndarray:
+def gram_sizes(window: int) -> list[int]:
+    """Words of the grams that give the anchors, level by level; those of the last level are whole windows."""
+    return sorted({max(1, window * 4 // 25), max(1, window * 2 // 5), max(1, window * 7 // 10), window})
+
+
+def anchors(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
     """Signed anchor of each window, from the hashes of the words; empty for texts shorter than a window."""
     n = len(hashes) - window + 1
     if n <= 0:
@@ -140,7 +148,7 @@ class FMIndex:
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, docs: np.ndarray):
         count, total = len(sizes), int(sizes.sum())
-        self.count = count
+        self.sizes = sizes
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
         text = np.empty(total + count, np.int64)
         closing = self.starts + sizes
@@ -157,7 +165,8 @@ class FMIndex:
         self.base = self.wavelet.rank(np.arange(size), np.zeros(size, np.int64))
         owner = np.repeat(np.arange(count), sizes + 1)
         # documents by rank, in suffix order, with the least of every power-of-two range
-        self.doc_rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)
+        self.docs, rank = np.unique(docs, return_inverse=True)
+        self.doc_rank = rank.astype(np.int32)
         level = self.doc_rank[owner][order]
         self.least = [level]
         while 2 ** len(self.least) <= len(level):
@@ -182,19 +191,19 @@ class FMIndex:
         return out
 
 
-def shared_windows(words: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment, which of its windows also occur in a segment of a smaller document."""
-    index = FMIndex(words, sizes, docs)
-    windows = np.maximum(sizes - window + 1, 0)
+def matched_windows(index: FMIndex, lane: np.ndarray, own: np.ndarray, window: int) -> list[np.ndarray]:
+    """For the segments numbered `lane`, which windows also occur in a segment of a document of smaller rank than `own`."""
+    asked, windows = lane, np.maximum(index.sizes - window + 1, 0)
     change = np.zeros(len(index.text) + 1, np.int32)
-    lane = np.flatnonzero(windows)
+    keep = windows[lane] > 0
+    lane, own = lane[keep], own[keep]
     i = np.zeros(len(lane), np.int64)  # first window that isn't decided
     reach = np.ones(len(lane), np.int64)  # windows tried at once
     j = np.minimum(i + reach, windows[lane]) - 1
     at = j + window - 1
     lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), len(index.text), np.int64)
     while len(lane):
-        start, own = index.starts[lane], index.doc_rank[lane]
+        start = index.starts[lane]
         lo, hi = index.back(index.text[start + at], lo, hi)
         ok = index.has_smaller(lo, hi, own)
         done = ok & (at == i)
@@ -207,15 +216,21 @@ def shared_windows(words: np.ndarray, sizes: np.ndarray, docs: np.ndarray, windo
         alone = missed & (reach == 1)  # [at, at + rest] is nowhere, and every window from i to at holds it
         i = np.where(done, j + 1, np.where(alone, at + 1, i))
         reach = np.where(done, np.minimum(2 * reach, 64), np.where(missed, 1, reach))
-        fresh = done | missed
-        j = np.where(fresh, np.minimum(i + reach, windows[lane]) - 1, j)
-        at = np.where(fresh, j + window - 1, at - 1)
-        lo, hi = np.where(fresh, 0, lo), np.where(fresh, len(index.text), hi)
+        fresh_start = done | missed
+        j = np.where(fresh_start, np.minimum(i + reach, windows[lane]) - 1, j)
+        at = np.where(fresh_start, j + window - 1, at - 1)
+        lo, hi = np.where(fresh_start, 0, lo), np.where(fresh_start, len(index.text), hi)
         stay = i < windows[lane]
         if not stay.all():
-            lane, i, j, reach, at, lo, hi = (x[stay] for x in (lane, i, j, reach, at, lo, hi))
+            lane, own, i, j, reach, at, lo, hi = (x[stay] for x in (lane, own, i, j, reach, at, lo, hi))
     flags = np.cumsum(change) > 0
-    return [flags[s : s + n] for s, n in zip(index.starts.tolist(), windows.tolist(), strict=True)]
+    return [flags[s : s + n] for s, n in zip(index.starts[asked].tolist(), windows[asked].tolist(), strict=True)]
+
+
+def shared_windows(words: np.ndarray, sizes: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+    """For each segment, which of its windows also occur in a segment of a smaller document."""
+    index = FMIndex(words, sizes, docs)
+    return matched_windows(index, np.arange(len(sizes)), index.doc_rank.astype(np.int64), window)
 
 
 def _intervals(flags: np.ndarray) -> list[int]:
@@ -228,149 +243,200 @@ def _intervals(flags: np.ndarray) -> list[int]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text): key, the hash of the text, tells rows with the same doc_id apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
 
-def _anchor_rows(rows: DataFrame, window: int) -> DataFrame:
-    hashes = Words()
+def _summaries(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, key, n_words, sha256 of the words joined by one space, anchors) of each row."""
+    hashes, k = Words(), gram_sizes(window)[0]
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(anchors(hashes(t.split()), window)) for t in utf8(batch.column(2))]
-        sizes = [len(x) for x in found]
-        columns = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), sizes) for k in (0, 1)]
-        return pa.record_batch([*map(pa.array, columns), pa.array(np.concatenate(found))], ["doc_id", "key", "anchor"])
+        n, sha, found = [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), strict=True):
+            words = text.split()
+            n.append(len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            found.append(np.unique(anchors(hashes(words), window, k)) if doc_id is not None and len(words) >= window else np.zeros(0, np.int64))
+        ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sha), lists], ["doc_id", "key", "n_words", "sha", "anchors"])
+
+    return arrow_map(rows.select("doc_id", "key", "text"), per_batch, "doc_id long, key long, n_words long, sha string, anchors array<long>")
 
-    named = rows.where("doc_id IS NOT NULL").select("doc_id", "key", "text")
-    return arrow_map(named, per_batch, "doc_id long, key long, anchor long")
+
+class _Held:
+    """Distinct segments of a task with their smallest and largest doc_id; a passage of many documents is collapsed here
+    before it is shuffled. At most FLUSH_BYTES of words are held."""
+
+    def __init__(self):
+        self.rows: dict[bytes, list] = {}
+        self.size = 0
+
+    def add(self, seg: bytes, least: int, most: int, anchor: int, n_words: int, words: bytes) -> None:
+        known = self.rows.get(seg)
+        if known is None:
+            self.rows[seg] = [least, most, anchor, n_words, words]
+            self.size += len(words)
+        else:
+            known[0], known[1] = min(known[0], least), max(known[1], most)
+
+    def out(self) -> list[tuple]:
+        rows = [(lo, hi, None, None, None, anchor, seg, n, words) for seg, (lo, hi, anchor, n, words) in self.rows.items()]
+        self.rows, self.size = {}, 0
+        return rows
+
+
+_PLACED = "doc_id long, most long, key long, parent binary, first int, anchor long, seg binary, n_words int, words binary"
+_PLACED_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+
+def _placed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [x.split()[0] for x in _PLACED.split(", ")]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _PLACED_TYPES, strict=True)], names)
 
 
 def _segments(flagged: DataFrame, window: int) -> DataFrame:
-    """Segments of documents with the list of their shared anchors.
+    """Segments of documents (doc_id, key, text, anchors: the shared ones).
 
     Each run of windows gives a narrow row that places it in its document; the words of equal segments are handed on once
-    by each task, with the smallest and largest doc_id that it saw, so a passage of many documents is collapsed before it
-    is shuffled. A task holds FLUSH_BYTES of distinct words at most.
+    by each task, with the smallest and the largest doc_id.
     """
-    hashes = Words()
-    names = ["doc_id", "most", "key", "first", "anchor", "seg", "n_words", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    hashes, k = Words(), gram_sizes(window)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
-        size = 0
+        held = _Held()
         for batch in batches:
             rows = []
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for doc, key, text, shared in zip(ids, keys, utf8(batch.column(2)), batch.column(3), strict=True):
                 words = text.split()
-                a = anchors(hashes(words), window)
+                a = anchors(hashes(words), window, k)
                 first, count = _runs(a)
                 pick = np.isin(a[first], np.asarray(shared.values.to_numpy()))
                 for f, n in zip(first[pick].tolist(), count[pick].tolist(), strict=True):
                     part = b" ".join(words[f : f + n + window - 1])
                     seg = xxhash.xxh3_128_digest(part)
-                    rows.append((doc, None, key, f, int(a[f]), seg, n + window - 1, None))
-                    known = held.get(seg)
-                    if known is None:
-                        held[seg] = [doc, doc, int(a[f]), n + window - 1, part]
-                        size += len(part)
-                    else:
-                        known[0], known[1] = min(known[0], doc), max(known[1], doc)
+                    rows.append((doc, None, key, None, f, int(a[f]), seg, n + window - 1, None))
+                    held.add(seg, doc, doc, int(a[f]), n + window - 1, part)
+                if held.size >= FLUSH_BYTES:
+                    rows += held.out()
+            if rows:
+                yield _placed_batch(rows)
+        if held.rows:
+            yield _placed_batch(held.out())
+
+    return flagged.select("doc_id", "key", "text", "anchors").mapInArrow(run, _PLACED)
+
+
+def _recut(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """The segments `texts` (seg, least, most, words) cut finer, by anchors of k-word grams: rows that place a piece in its
+    parent, and the distinct pieces with their words, as `_segments` gives them."""
+    hashes = Words()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            rows = []
+            for parent, least, most, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                words = text.split()
+                a = anchors(hashes(words), window, k)
+                for f, n in zip(*(x.tolist() for x in _runs(a)), strict=True):
+                    part = b" ".join(words[f : f + n + window - 1])
+                    seg = xxhash.xxh3_128_digest(part)
+                    rows.append((None, None, None, parent, f, int(a[f]), seg, n + window - 1, None))
+                    held.add(seg, least, most, int(a[f]), n + window - 1, part)
+                if held.size >= FLUSH_BYTES:
+                    rows += held.out()
             if rows:
-                yield out(rows)
-            if size >= FLUSH_BYTES:
-                yield out([(lo, hi, None, None, anchor, seg, n, part) for seg, (lo, hi, anchor, n, part) in held.items()])
-                held, size = {}, 0
-        if held:
-            yield out([(lo, hi, None, None, anchor, seg, n, part) for seg, (lo, hi, anchor, n, part) in held.items()])
+                yield _placed_batch(rows)
+        if held.rows:
+            yield _placed_batch(held.out())
 
-    schema = "doc_id long, most long, key long, first int, anchor long, seg binary, n_words int, words binary"
-    return flagged.mapInArrow(run, schema)
+    return texts.select("seg", "least", "most", "words").mapInArrow(run, _PLACED)
 
 
 def _search_shard(window: int):
-    def search(group: pa.Table) -> pa.Table:
-        known: dict[bytes, list] = {}
-        for seg, lo, hi, words in zip(*(group[c].to_pylist() for c in ("seg", "least", "most", "words")), strict=True):
-            have = known.setdefault(seg, [lo, hi, words])
-            have[0], have[1] = min(have[0], lo), max(have[1], hi)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, list] = {}  # distinct segments; copies from several tasks end here as they stream in
+        for batch in batches:
+            for seg, lo, hi, words in zip(*(batch.column(c).to_pylist() for c in ("seg", "least", "most", "words")), strict=True):
+                have = known.setdefault(seg, [lo, hi, words])
+                have[0], have[1] = min(have[0], lo), max(have[1], hi)
         segments = [w.split() for _, _, w in known.values()]
         docs, last = (np.array([x[k] for x in known.values()], np.int64) for k in (0, 1))
         sizes = np.array([len(x) for x in segments], np.int64)
         flat = [w for x in segments for w in x]
         number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
         symbols = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        found = [_intervals(f) for f in shared_windows(symbols, sizes, docs, window)]
-        rows = np.flatnonzero(np.array([bool(x) for x in found]) | (last > docs))
-        shared = pa.array([found[i] for i in rows], pa.list_(pa.int32()))
-        seg = pa.array(list(known), pa.binary()).take(pa.array(rows))
-        return pa.table({"seg": seg, "least": pa.array(docs[rows]), "size": pa.array((sizes[rows] - window + 1).astype(np.int32)), "shared": shared})
+        index = FMIndex(symbols, sizes, docs)
+        first = matched_windows(index, np.arange(len(sizes)), index.doc_rank.astype(np.int64), window)
+        several = np.flatnonzero(last > docs)
+        others = dict(zip(several.tolist(), matched_windows(index, several, np.searchsorted(index.docs, last[several]), window), strict=True))
+        rows, shared, rest = [], [], []
+        for k, flags in enumerate(first):
+            a, b = _intervals(flags), _intervals(others[k]) if k in others else []
+            if a or b:
+                rows.append(k)
+                shared.append(a)
+                rest.append(b)
+        lists = pa.list_(pa.int32())
+        columns = [pa.array(list(known), pa.binary()).take(pa.array(rows, pa.int64())), pa.array(docs[rows]), pa.array(shared, lists), pa.array(rest, lists)]
+        yield pa.record_batch(columns, ["seg", "least", "shared", "rest"])
 
     return search
 
 
-def _window_rows(segments: DataFrame, window: int) -> DataFrame:
-    """Each window of the distinct segments of crowded anchors: (seg, least, most, size, at, words)."""
-
-    def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for seg, least, most, words in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            w = words.split()
-            n = len(w) - window + 1
-            each = [xxhash.xxh3_128_digest(b" ".join(w[i : i + window])) for i in range(n)]
-            columns = [pa.array([seg] * n, pa.binary()), pa.array([least] * n), pa.array([most] * n), pa.array([n] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(each, pa.binary())]
-            yield pa.record_batch(columns, ["seg", "least", "most", "size", "at", "win"])
+def _ranges(least: str, most: str) -> list:
+    return [F.min(least).alias("least"), F.max(most).alias("most")]
 
-    return arrow_map(segments.select("seg", "least", "most", "words"), per_batch, "seg binary, least long, most long, size int, at int, win binary")
 
-
-def removed_windows(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-    shard_words: int = SHARD_WORDS, anchor_words: int = ANCHOR_WORDS,
-) -> DataFrame:
-    """(key, spans: array<struct<b, e>>) for documents with windows that also start in a document with a smaller doc_id;
-    b and e are first and one past the last such window of a run. key is xxhash64 of doc_id and text (null as empty)."""
-    rows = _keyed(docs, id_col, text_col)
-    anchored = written(_anchor_rows(rows, window), "anchors")
-    shared = anchored.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    lists = written(anchored.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "shared-anchors")
-    flagged = rows.join(lists, "key").select("doc_id", "key", "text", "anchors")
+def removed_windows(flagged: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(doc_id, key, spans: array<struct<b, e>>) for documents of `flagged` (doc_id, key, text, anchors) with windows that
+    also start in a document with a smaller doc_id; b and e are first and one past the last such window of a run."""
     placed = written(_segments(flagged, window), "segments")
-    texts = placed.where("words IS NOT NULL").withColumnRenamed("doc_id", "least")
-    distinct = texts.groupBy("anchor", "seg").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("n_words").alias("n_words"))
-    distinct = written(distinct, "distinct-segments")  # without the words
-    weights = written(distinct.groupBy("anchor").agg(F.sum("n_words").alias("weight")), "anchor-weights")
-    total = weights.where(F.col("weight") <= anchor_words).agg(F.sum("weight")).first()[0] or 0
-    crowded = weights.where(F.col("weight") > anchor_words).select("anchor")  # one for each anchor_words of words at most
-    crowded_rows = crowded.count()
-    shards = max(1, -(-total // shard_words))
-    calm = texts.join(small_or_shuffled(crowded, crowded_rows), "anchor", "left_anti") if crowded_rows else texts
-    dealt = calm.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard"), "seg", "least", "most", "words")
-    verdict = dealt.groupBy("shard").applyInArrow(_search_shard(window), "seg binary, least long, size int, shared array<int>")
-    if crowded_rows:
-        busy = texts.join(small_or_shuffled(crowded, crowded_rows), "anchor", "left_semi")
-        each = written(_window_rows(busy, window), "crowded-windows")
-        least = each.groupBy("win").agg(F.min("least").alias("win_least"))
-        ends = distinct.select("seg", F.col("least").alias("seg_least"), F.col("most").alias("seg_most"))
-        judged = each.select("seg", "size", "at", "win").distinct().join(least, "win").join(ends, "seg")
-        found = judged.groupBy("seg", F.col("seg_least").alias("least"), "size").agg(
-            F.flatten(F.collect_list(F.when(F.col("win_least") < F.col("seg_least"), F.array("at", F.col("at") + 1)))).alias("shared"),
-            F.max("seg_most").alias("most"),
-        )
-        verdict = verdict.unionByName(found.where((F.size("shared") > 0) | (F.col("most") > F.col("least"))).select("seg", "least", "size", "shared"))
+    places = placed.where("words IS NULL").select("doc_id", "key", "first", "anchor", "seg")
+    texts = placed.where("words IS NOT NULL").select(F.col("doc_id").alias("least"), "most", "anchor", "seg", "n_words", "words")
+    limit, calm, all_places, total = shard_words // SHARE, [], [], 0
+    for k in [*gram_sizes(window)[1:], None]:
+        segs = texts.groupBy("anchor", "seg").agg(F.max("n_words").alias("n_words"))
+        weights = written(segs.groupBy("anchor").agg(F.sum("n_words").alias("weight")), "anchor-weights")  # a number for each anchor
+        crowded = weights.where(F.col("weight") > limit).select("anchor") if k else weights.where("false")
+        many = crowded.count()
+        total += weights.where(F.col("weight") <= limit if k else F.lit(True)).agg(F.sum("weight")).first()[0] or 0
+        all_places.append(places)
+        if not many:
+            calm.append(texts)
+            break
+        crowded = small_or_shuffled(crowded, many)
+        calm.append(texts.join(crowded, "anchor", "left_anti"))
+        finer = written(_recut(texts.join(crowded, "anchor", "left_semi"), window, k), "finer-segments")
+        pieces = finer.where("words IS NOT NULL").select(F.col("doc_id").alias("least"), "most", "anchor", "seg", "n_words", "words")
+        shared = written(pieces.groupBy("anchor").agg(*_ranges("least", "most")).where("least < most").select("anchor"), "finer-anchors")
+        texts = pieces.join(small_or_shuffled(shared), "anchor", "left_semi")
+        inside = finer.where("words IS NULL").select("parent", F.col("first").alias("more"), "anchor", "seg").distinct()
+        inside = written(inside.join(small_or_shuffled(shared), "anchor", "left_semi"), "finer-places")
+        above = places.join(crowded, "anchor", "left_semi").select("doc_id", "key", "first", F.col("seg").alias("parent"))
+        places = above.join(inside, "parent").select("doc_id", "key", (F.col("first") + F.col("more")).alias("first"), "anchor", "seg")
+        places = written(places, "placed-pieces")
+    shards = max(1, -(-2 * total // shard_words))  # half full on average; no anchor has more than a share of one
+    dealt = None
+    for part in calm:
+        part = part.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "seg", "least", "most", "words")
+        dealt = part if dealt is None else dealt.unionByName(part)
+    verdict = dealt.groupBy("shard").applyInArrow(_search_shard(window), "seg binary, least long, shared array<int>, rest array<int>")
     verdict = written(verdict, "verdicts")
+    found = None
+    for part in all_places:
+        hits = part.join(verdict, "seg").select("doc_id", "key", "first", F.when(F.col("doc_id") > F.col("least"), F.col("rest")).otherwise(F.col("shared")).alias("found"))
+        found = hits if found is None else found.unionByName(hits)
     pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("shared") / 2).cast("int") - 1),
-        lambda i: F.struct((F.col("first") + F.element_at("shared", 2 * i + 1)).alias("b"), (F.col("first") + F.element_at("shared", 2 * i + 2)).alias("e")),
+        F.sequence(F.lit(0), F.floor(F.size("found") / 2).cast("int") - 1),
+        lambda i: F.struct((F.col("first") + F.element_at("found", 2 * i + 1)).alias("b"), (F.col("first") + F.element_at("found", 2 * i + 2)).alias("e")),
     )
-    whole = F.array(F.struct(F.col("first").alias("b"), (F.col("first") + F.col("size")).alias("e")))
-    none = F.array().cast("array<struct<b:int,e:int>>")
-    spans = F.when(F.col("doc_id") > F.col("least"), whole).when(F.size("shared") > 0, pairs).otherwise(none)
-    hits = placed.where("words IS NULL").select("doc_id", "key", "first", "seg").join(verdict, "seg").select("key", F.explode(spans).alias("s"))
-    return hits.groupBy("key").agg(F.array_sort(F.collect_set("s")).alias("spans"))  # bounded by one document's windows
+    each = found.where(F.size("found") > 0).select("doc_id", "key", F.explode(pairs).alias("s"))
+    return each.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("s")).alias("spans"))  # bounded by one document's windows
 
 
 def _kept(words: list[bytes], spans, window: int) -> list[bytes]:
@@ -382,58 +448,56 @@ def _kept(words: list[bytes], spans, window: int) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(keep).tolist()]
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, window: int, bound: int, **sizes) -> DataFrame:
-    spans = written(removed_windows(docs, id_col, text_col, window, **sizes), "removed-windows")
-    spans = spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    if spans.count() <= bound // 4:
-        spans = F.broadcast(spans)
-    own = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return docs.withColumn("__own", own).join(spans, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+def _changed(rows: DataFrame, summaries: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """(doc_id, key, n_removed, text: the kept words joined by one space) of the documents that lose words.
 
+    Only documents with shared anchors take their texts along, and those twice.
+    """
+    anchored = summaries.select("doc_id", "key", F.explode("anchors").alias("anchor"))
+    shared = written(anchored.groupBy("anchor").agg(*_ranges("doc_id", "doc_id")).where("least < most").select("anchor"), "shared-anchors")
+    lists = written(anchored.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors")), "anchor-lists")
+    flagged = written(rows.join(lists.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "flagged")
+    spans = written(removed_windows(flagged, window, shard_words), "removed-windows")
+    hit = flagged.select("doc_id", "key", "text").join(spans.hint("merge"), ["doc_id", "key"])
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bound: int = BROADCAST_ROWS, **sizes) -> DataFrame:
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        gone, texts = [], []
+        for text, found in zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            words = text.split()
+            kept = _kept(words, found, window)
+            gone.append(len(words) - len(kept))
+            texts.append(b" ".join(kept))
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "key", "n_removed", "text"])
+
+    return arrow_map(hit, per_batch, "doc_id long, key long, n_removed long, text string")
+
+
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space.
 
     A word is removed if a window over it also starts in a document with a smaller doc_id. A null or empty text has no
     words. A row with a null id neither removes nor loses words; rows that repeat an id count as one document; other
     columns are ignored; an empty table gives an empty one. Words are split at ASCII white space and compared unchanged.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = _with_spans(base, "doc_id", "text", window, bound, **sizes).select("doc_id", "text", "__spans")
-
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, gone, sha = [], [], []
-        for text, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = text.split()
-            kept = _kept(words, spans, window) if spans else words
-            n.append(len(words))
-            gone.append(len(words) - len(kept))
-            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return arrow_map(joined, per_batch, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows = _keyed(docs, id_col, text_col)
+    summaries = written(_summaries(rows, window), "word-summaries")
+    changed = _changed(rows, summaries, window, shard_words).select("doc_id", "key", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept"))
+    joined = summaries.select("doc_id", "key", "n_words", "sha").join(written(changed, "changed"), ["doc_id", "key"], "left")
+    return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bound: int = BROADCAST_ROWS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bound: int = BROADCAST_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
     """`docs` with the repeated words removed from its texts, the kept ones joined by one space; texts that lose nothing
-    stay as they are. n_chars, if there, follows the text; other columns and all rows stay."""
-    joined = _with_spans(docs, id_col, text_col, window, bound)
-    at, names = docs.columns.index(text_col), docs.columns
-    length_at = names.index("n_chars") if "n_chars" in names else None
-
-    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = batch.column(len(names)).to_pylist()
-        columns = [batch.column(k) for k in range(len(names))]
-        if any(spans):
-            texts = batch.column(at).to_pylist()
-            for i, s in enumerate(spans):
-                if s:
-                    texts[i] = b" ".join(_kept(texts[i].encode().split(), s, window)).decode()
-            if length_at is not None:
-                sizes = columns[length_at].to_pylist()
-                sizes = [len(t) if s else x for t, s, x in zip(texts, spans, sizes, strict=True)]
-                columns[length_at] = pa.array(sizes, columns[length_at].type)
-            columns[at] = pa.array(texts, columns[at].type)
-        return pa.record_batch(columns, names)
-
-    return arrow_map(joined.select(*[docs[c] for c in names], "__spans"), per_batch, docs.schema)
+    stay as they are. n_chars, if there, follows the text; other columns, of whatever names, and all rows stay. Edge cases
+    as in `report`; an empty table gives an empty one. Changed texts are joined by broadcast up to `bound` bytes of them."""
+    rows = _keyed(docs, id_col, text_col)
+    summaries = written(_summaries(rows, window), "word-summaries")
+    changed = written(_changed(rows, summaries, window, shard_words).drop("n_removed"), "changed-texts")
+    own_id, own_key, new = fresh(docs, "own_id", "own_key", "new_text")
+    changed = light_or_shuffled(changed.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("text").alias(new)), F.length(new), bound)
+    marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_key: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    out = marked.join(changed, [own_id, own_key], "left")
+    fresh_text = {text_col: F.coalesce(F.col(new), F.col(text_col))}
+    if "n_chars" in docs.columns:
+        fresh_text["n_chars"] = F.coalesce(F.length(new), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(fresh_text).select(*[F.col(f"`{c}`") for c in docs.columns])

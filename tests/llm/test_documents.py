@@ -228,9 +228,9 @@ def test_fingerprints_of_repeated_ids_and_rows(spark, odd, none, bits, run):
 # --- substrings ------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("window", "anchor", "bound"), [(50, 10**6, 10**6), (12, 40, 0)])
-def test_removed_words(docs, texts, window, anchor, bound):
-    found = rows(substrings.report(docs, window=window, bound=bound, shard_words=500, anchor_words=anchor))
+@pytest.mark.parametrize(("window", "shard"), [(50, 200_000), (12, 500), (12, 60)])
+def test_removed_words(docs, texts, window, shard):
+    found = rows(substrings.report(docs, window=window, shard_words=shard))
     for i, (words, kept) in brute.removed_words(texts, window).items():
         r = found[i]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (len(words), len(words) - len(kept), brute.sha(" ".join(kept))), i
@@ -238,7 +238,36 @@ def test_removed_words(docs, texts, window, anchor, bound):
 
 def test_substrings_odd_rows(odd, none):
     assert sorted(r.n_removed for r in substrings.report(odd).collect()) == [0] * 8
-    assert substrings.report(none).count() == 0
+    assert substrings.report(none).count() == 0 and substrings.deduplicated(none).count() == 0
+    assert sorted(map(str, substrings.deduplicated(odd).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_passages_of_null_and_repeated_ids(spark):
+    """Rows of one id are one document, which removes nothing from itself; null ids neither give nor lose words."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    listed = [(1, passage + " a"), (1, passage + " b"), (2, "x " + passage), (2, "x " + passage), (2, passage + " y"), (None, passage), (3, "only")]
+    df = spark.createDataFrame(listed, "doc_id long, text string").withColumn("own_key", F.lit("k")).withColumn("spans", F.lit("s"))
+    kept = {(2, "x " + passage): "x", (2, passage + " y"): "y"}
+    want = sorted((str(i), kept.get((i, t), t)) for i, t in listed)
+    for shard in (200_000, 10):
+        got = substrings.deduplicated(df, shard_words=shard, bound=0 if shard == 10 else 1 << 20)
+        assert got.columns == df.columns
+        assert sorted((str(r.doc_id), r.text) for r in got.collect()) == want
+        sizes = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.report(df, shard_words=shard).collect())
+        assert sizes == sorted((str(i), len(t.split()), 60 if (i, t) in kept else 0, brute.sha(kept.get((i, t), t))) for i, t in listed)
+
+
+def test_common_line_is_cut_finer(spark):
+    """A line of 20 words in many different contexts: its anchor is crowded at every level but the last."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(400)}"
+    line = [f"line{k}" for k in range(20)]
+    listed = [(k, " ".join([word() for _ in range(25)] + line + [word() for _ in range(25)])) for k in range(40)]
+    listed += [(100 + k, listed[k][1] + " end") for k in range(0, 40, 7)]
+    df = spark.createDataFrame(listed, "doc_id long, text string").repartition(3)
+    found = rows(substrings.report(df, window=24, shard_words=400))
+    for i, (words, kept) in brute.removed_words(listed, 24).items():
+        assert (found[i].n_words, found[i].n_removed, found[i].kept_sha256) == (len(words), len(words) - len(kept), brute.sha(" ".join(kept))), i
 
 
 def test_deduplicated_texts(docs, texts):
