@@ -33,9 +33,11 @@ from .common import BROADCAST_BYTES, arrow_map, fresh, light_or_shuffled, small_
 WINDOW = 50
 #: Longest run of windows in a segment.
 MAX_RUN = 43
-SHARD_WORDS = 200_000
+SHARD_WORDS = 400_000
 #: An anchor whose distinct segments have more than this share of a shard's words is cut finer.
-SHARE = 4
+SHARE = 8
+#: Part of SHARD_WORDS that a shard holds on average.
+FILL = 0.75
 MEMO_ENTRIES = 300_000
 FLUSH_BYTES = 48 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -191,14 +193,15 @@ class FMIndex:
         return out
 
 
-def matched_windows(index: FMIndex, lane: np.ndarray, own: np.ndarray, window: int) -> list[np.ndarray]:
-    """For the segments numbered `lane`, which windows also occur in a segment of a document of smaller rank than `own`."""
+def matched_windows(index: FMIndex, lane: np.ndarray, own: np.ndarray, window: int, first_reach: int = 1) -> list[np.ndarray]:
+    """For the segments numbered `lane`, which windows also occur in a segment of a document of smaller rank than `own`.
+    `first_reach` windows are tried at once to begin with."""
     asked, windows = lane, np.maximum(index.sizes - window + 1, 0)
     change = np.zeros(len(index.text) + 1, np.int32)
     keep = windows[lane] > 0
     lane, own = lane[keep], own[keep]
     i = np.zeros(len(lane), np.int64)  # first window that isn't decided
-    reach = np.ones(len(lane), np.int64)  # windows tried at once
+    reach = np.full(len(lane), first_reach)  # windows tried at once
     j = np.minimum(i + reach, windows[lane]) - 1
     at = j + window - 1
     lo, hi = np.zeros(len(lane), np.int64), np.full(len(lane), len(index.text), np.int64)
@@ -373,7 +376,7 @@ def _search_shard(window: int):
         index = FMIndex(symbols, sizes, docs)
         first = matched_windows(index, np.arange(len(sizes)), index.doc_rank.astype(np.int64), window)
         several = np.flatnonzero(last > docs)
-        others = dict(zip(several.tolist(), matched_windows(index, several, np.searchsorted(index.docs, last[several]), window), strict=True))
+        others = dict(zip(several.tolist(), matched_windows(index, several, np.searchsorted(index.docs, last[several]), window, MAX_RUN), strict=True))
         rows, shared, rest = [], [], []
         for k, flags in enumerate(first):
             a, b = _intervals(flags), _intervals(others[k]) if k in others else []
@@ -420,7 +423,7 @@ def removed_windows(flagged: DataFrame, window: int = WINDOW, shard_words: int =
         above = places.join(crowded, "anchor", "left_semi").select("doc_id", "key", "first", F.col("seg").alias("parent"))
         places = above.join(inside, "parent").select("doc_id", "key", (F.col("first") + F.col("more")).alias("first"), "anchor", "seg")
         places = written(places, "placed-pieces")
-    shards = max(1, -(-2 * total // shard_words))  # half full on average; no anchor has more than a share of one
+    shards = max(1, round(total / (FILL * shard_words)))  # no anchor has more than a share of one
     dealt = None
     for part in calm:
         part = part.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "seg", "least", "most", "words")
