@@ -1,14 +1,17 @@
 """Exact top-k by inner product with the threshold algorithm over sorted per-dimension lists.
 
-The candidates are dealt by a hash of their id into shards of about SHARD_ROWS rows. In a shard every dimension has the
-list of its rows sorted by value. For a query the lists are read from the end that its weight favours, all to the same
-depth; rows met for the first time are scored in full, and reading stops when the sum of weight times value at the depth,
-which bounds every row not yet met, is below the shard's kth score. The shards' answers, k rows a query at most, are
-merged by a grouped top-k. Queries go to the shards in blocks of QUERY_ROWS.
+The candidates are dealt by a hash of their id into shards of about SHARD_ROWS rows, each to one shard. In a shard every
+dimension has the list of its rows sorted by value. For a query the lists are read from the end that its weight favours,
+all to the same depth; rows met for the first time are scored in full, and reading stops when the sum of weight times
+value at the depth, which bounds every row not yet met, is below the shard's kth score, or below the kth score that the
+query brings along from the shard that it asked first. The shards' answers, k rows a query at most, are merged by a
+grouped top-k.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,7 +21,6 @@ from .common import written
 
 SCALE = 1024
 SHARD_ROWS = 8192
-QUERY_ROWS = 4096
 QUERY_EVERY = 100
 FIRST_DEPTH = 16
 #: Sums below this are exact in double precision, which multiplies much faster than integers.
@@ -47,8 +49,9 @@ class SortedLists:
         self.lists = np.argsort(self.values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.values, self.lists, 0)
 
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than those with id `own`; ties go to the smaller id."""
+    def top(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows other than those with id `own`; ties go to the smaller id. Rows that score
+        below `floor` may be left out."""
         n, used = len(self.ids), np.flatnonzero(query)
         up = query[used] > 0
         seen = self.ids == own
@@ -71,12 +74,53 @@ class SortedLists:
                 break
             last = np.where(up, n - depth, depth - 1)
             bound = self.sorted[last, used] @ query[used]
-            if len(best_rows) == k and bound < best_scores.min():
+            if len(best_rows) == k and bound < best_scores.min() or floor is not None and bound < floor:
                 break
             done, depth = depth, min(n, 2 * depth)
+        if floor is not None:
+            best_rows, best_scores = best_rows[best_scores >= floor], best_scores[best_scores >= floor]
         return self.ids[best_rows], best_scores
 
 
+def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy()
+    values = np.zeros((len(sizes), dims), np.int64)
+    values[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return values
+
+
+def _search(k: int, dims: int, exact_in_double: bool):
+    """Over rows sorted by shard, candidates before queries: each query's best in the shard. A shard's lists stay while its
+    queries stream past, so candidates are sent once."""
+    kind = np.float64 if exact_in_double else np.int64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, index = None, [], None
+        for batch in batches:
+            shards, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            ids, floors = batch.column(2).to_numpy(), batch.column(4).to_pylist()
+            values = _matrix(batch.column(3), dims).astype(kind)
+            out: list[list] = [[], [], []]
+            edges = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (asks[1:] != asks[:-1])])
+            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(shards)], strict=True):
+                if shards[a] != shard:
+                    shard, held, index = shards[a], [], None
+                if not asks[a]:
+                    held.append((ids[a:z], values[a:z]))
+                    continue
+                if index is None and held:
+                    index = SortedLists(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
+                for q in range(a, z) if index else ():
+                    found, scores = index.top(values[q], ids[q], k, floors[q])
+                    for column, x in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
+                        column.append(x)
+            if out[0]:
+                yield pa.record_batch([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["query_id", "vec_id", "score"])
+
+    return run
+
+
 def top_k(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -84,50 +128,38 @@ def top_k(
     k: int = 10,
     query_every: int = QUERY_EVERY,
     shard_rows: int = SHARD_ROWS,
-    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id is divisible by `query_every`, its k best others.
 
     All candidates if there are fewer than k; ties go to the smaller vec_id. Vectors with null or non-finite parts take no
     part. A shorter vector counts as filled up with zeros. Rows that repeat an id are one candidate each and are all left
     out for a query of that id; a query id that repeats is answered once, for its least vector. Other columns are
-    ignored; an empty table gives an empty one.
+    ignored; an empty table gives an empty one. Scores are 64-bit integers: ValueError if the largest component, squared
+    and times the number of components, doesn't fit.
+
+    Every query first asks the shard that its own id falls into; its kth score there goes along to the other shards as a
+    floor, below which they neither read on nor answer.
     """
     rows = written(quantised(vectors, id_col, vector_col), "vectors")
-    n = rows.count()
+    sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)"))))).alias("most")).first()
+    n, dims, most = sizes["n"], max(sizes["dims"] or 0, 1), int(sizes["most"] or 0)
+    if most * most * dims >= 1 << 63:
+        raise ValueError(f"scores don't fit 64 bits: components up to {most} after scaling, {dims} of them")
     shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-(n // query_every + 1) // query_rows))
-    to = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    queries = (
-        rows.where(F.col("vec_id") % query_every == 0)
-        .groupBy("vec_id").agg(F.min("v").alias("v"))
-        .select(to("vec_id", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
-    )
-    candidates = rows.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), to("vec_id", shards).alias("shard"), F.lit(False).alias("asks"), "vec_id", "v"
-    )
-
-    def search(group: pa.Table) -> pa.Table:
-        ids, asks = group["vec_id"].to_numpy(), group["asks"].to_numpy()
-        lists = group["v"].combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        dims = int(sizes.max(initial=0))
-        flat = lists.flatten().to_numpy()
-        values = np.zeros((len(ids), dims), np.int64)
-        values[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-        if float(np.abs(values).max(initial=0)) ** 2 * max(dims, 1) < EXACT_DOUBLE:
-            values = values.astype(np.float64)
-        index = SortedLists(ids[~asks], values[~asks])
-        out: list[list] = [[], [], []]
-        if len(index.ids):
-            for own, query in zip(ids[asks].tolist(), values[asks], strict=True):
-                found, scores = index.top(query, own, k)
-                for column, x in zip(out, (np.full(len(found), own), found, scores), strict=True):
-                    column.append(x)
-        joined = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, joined), strict=True)))
-
-    met = candidates.unionByName(queries).groupBy("shard", "block").applyInArrow(search, "query_id long, vec_id long, score long")
+    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    none = F.lit(None).cast("long")
+    candidates = rows.select(home.alias("shard"), F.lit(False).alias("asks"), "vec_id", "v", none.alias("floor"))
+    queries = rows.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def answers(asked: DataFrame) -> DataFrame:
+        dealt = candidates.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
+        return dealt.mapInArrow(_search(k, dims, most * most * dims < EXACT_DOUBLE), "query_id long, vec_id long, score long")
+
+    at_home = written(answers(queries.select(home.alias("shard"), F.lit(True).alias("asks"), "vec_id", "v", none.alias("floor"))), "home-answers")
+    floors = at_home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    away = queries.withColumn("home", home).join(floors, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    away = away.where("shard != home").select("shard", F.lit(True).alias("asks"), "vec_id", "v", "floor")
+    met = at_home.unionByName(answers(away)) if shards > 1 else at_home
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
