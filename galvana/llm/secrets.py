@@ -15,7 +15,7 @@ from re import _parser as sre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, fresh, light_or_shuffled, small_or_shuffled, written
 
 #: Alternatives that the derivation follows before it treats a part as unknown.
 MAX_ALTERNATIVES = 64
@@ -44,7 +44,8 @@ ADDED_RULES = (
     Rule("maps_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # the header, what may be a key's body, and the end line where there is one
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=:,\x20\x09-\x0D]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
 )
 RULES = BASE_RULES + ADDED_RULES
 
@@ -95,10 +96,15 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 def _index(rows: DataFrame, grams: list[str]) -> DataFrame:
-    """Posting entries (gram: number of the trigram, key): one for each listed trigram that a row's text contains."""
+    """Posting entries (gram: number of the trigram, k1, k2): one for each listed trigram that a row's text contains."""
     folded = F.lower("text")  # a superset of folding A-Z; candidates are verified
     present = F.filter(F.array(*[F.when(F.contains("folded", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())
-    return rows.select("key", folded.alias("folded")).select("key", F.explode(present).alias("gram"))
+    return rows.select("k1", "k2", folded.alias("folded")).select("k1", "k2", F.explode(present).alias("gram"))
+
+
+def _key(id_col, text_col) -> tuple[Column, Column]:
+    """128 bits that name a row."""
+    return F.xxhash64(id_col, text_col), F.xxhash64(text_col, id_col)
 
 
 def _spans(rule: Rule, at: int) -> Column:
@@ -129,12 +135,12 @@ def found_spans(
     """One row per input row: doc_id, text (null as empty), spans: array<struct<b, e, k>> in code points, end exclusive,
     sorted by begin and then rule number.
 
-    Rows are told apart by a hash of id and text, so null ids and repeated ids or rows are scanned like any others. Texts
-    without a match have an empty array; an empty table gives an empty one; other columns are ignored. The candidates are
-    joined back by broadcast while a count shows at most `bound` of them, and by a shuffle otherwise.
+    Rows are told apart by 128 bits of hashes of id and text, so null ids and repeated ids or rows are scanned like any
+    others. Texts without a match have an empty array; an empty table gives an empty one; other columns are ignored. The
+    candidates are joined back by broadcast while a count shows at most `bound` of them, and by a shuffle otherwise.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumns(dict(zip(("k1", "k2"), _key("doc_id", "text"), strict=True)))
     queries = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     grams = sorted({g for q in queries.values() for c in q for g in c})
     number = {g: i for i, g in enumerate(grams)}
@@ -148,14 +154,11 @@ def found_spans(
     asked = F.broadcast(spark.createDataFrame(clauses, "gram int, clause int, rule int, need int"))
     hits = (
         _index(rows, grams).join(asked, "gram")
-        .groupBy("key", "rule", "clause", "need").agg(F.count_distinct("gram").alias("have"))
+        .groupBy("k1", "k2", "rule", "clause", "need").agg(F.count_distinct("gram").alias("have"))
         .where("have = need")
-        .groupBy("key").agg(F.bit_or("rule").alias("rules"))
+        .groupBy("k1", "k2").agg(F.bit_or("rule").alias("rules"))
     )
-    hits = written(hits.select(F.col("key").alias("__key"), "rules"), "candidates")
-    if hits.count() <= bound:
-        hits = F.broadcast(hits)
-    joined = rows.join(hits, rows["key"] == hits["__key"], "left")
+    joined = rows.join(small_or_shuffled(written(hits, "candidates"), bound=bound), ["k1", "k2"], "left")
     none = F.array().cast("array<struct<b:int,e:int,k:int>>")
     verified = [
         F.when(F.col("rules").bitwiseAND(F.lit(1 << i)) != 0, _spans(r, i)).otherwise(none) for i, r in enumerate(rules) if queries[i]
@@ -186,35 +189,30 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boun
     )
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", bound: int = BROADCAST_BYTES) -> DataFrame:
     """`docs` with every found span replaced by `mark`; overlapping spans give one mark. Texts without spans, null texts
-    and all other columns stay as they are; n_chars, if there, follows the text."""
-    rules = RULES
-    found = found_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules=rules)
-    found = found.where(F.size("spans") > 0)
+    and all other columns, of whatever names, stay as they are; n_chars, if there, follows the text. Null ids, repeated ids
+    and repeated rows are masked like others; an empty table gives an empty one. Masked texts are joined back by broadcast
+    up to `bound` bytes of them, and by a shuffle otherwise."""
+    found = found_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where(F.size("spans") > 0)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["b"] - acc["at"], F.lit(0)))
-        fresh = s["b"] >= acc["at"]
+        fresh_span = s["b"] >= acc["at"]
         return F.struct(
             F.greatest(acc["at"], s["e"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            F.when(fresh_span, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"),
         )
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    changed = found.select(
-        F.xxhash64("doc_id", "text").alias("__key"), F.aggregate("spans", start, step, rest).alias("__text")
-    ).dropDuplicates(["__key"])
-    changed = written(changed, "redacted")
-    if changed.count() <= BROADCAST_ROWS // 8:  # texts, not numbers
-        changed = F.broadcast(changed)
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    out = docs.withColumn("__own", key).join(changed, F.col("__own") == F.col("__key"), "left")
-    columns = {c: docs[c] for c in docs.columns}
-    columns[text_col] = F.coalesce("__text", docs[text_col])
-    if "n_chars" in columns:
-        length = F.coalesce(F.length("__text"), docs["n_chars"])
-        columns["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
-    return out.select(*[c.alias(name) for name, c in columns.items()])
-
+    k1, k2, new = fresh(docs, "k1", "k2", "new_text")
+    names = dict(zip((k1, k2), _key("doc_id", "text"), strict=True))
+    changed = found.select(*[c.alias(n) for n, c in names.items()], F.aggregate("spans", start, step, rest).alias(new)).dropDuplicates([k1, k2])
+    changed = light_or_shuffled(written(changed, "redacted"), F.length(new), bound)
+    own = dict(zip((k1, k2), _key(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))), strict=True))
+    out = docs.withColumns(own).join(changed, [k1, k2], "left")
+    columns = {text_col: F.coalesce(F.col(new), F.col(text_col))}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.length(new), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
