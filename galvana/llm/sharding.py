@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Three numeric dimensions are quantised by their own quantiles to CODE_BITS bits each, a cell of that grid has a place on
+Three dimensions, numbers or strings, are quantised by their own quantiles to CODE_BITS bits each, a cell of that grid has a place on
 the Hilbert curve, and documents are ordered by that place. Equal runs of the order are the shards, so each shard covers
 a compact region and its minima and maxima prune reads in every dimension. Only DataFrame functions are used.
 
@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 CODE_BITS = 4
 DIMENSIONS = 3
@@ -61,62 +61,55 @@ def curve(bits: int = CODE_BITS, dims: int = DIMENSIONS) -> list[int]:
     return places
 
 
-def leading_number(column: Column) -> Column:
-    """A number that orders strings by their first seven UTF-8 bytes; null for null."""
-    head = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
 def default_dimensions(docs: DataFrame, text_col: str) -> list[Column]:
     """Language, source and length; a column that the table lacks is replaced by the text's length."""
     length = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
-    named = [leading_number(F.col(c).cast("string")) if c in docs.columns else length for c in ("lang", "source")]
-    return [*named, length]
+    return [*(F.col(c) if c in docs.columns else length for c in ("lang", "source")), length]
 
 
-def placed(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    dimensions: list[Column] | None = None,
-    shards: int = SHARDS,
-    rows_a_salt: int = ROWS_A_SALT,
-) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, curve_place, shard, slot.
+def _string_code(rows: DataFrame, name: str) -> Column:
+    """Level of a string among the table's values, by the ends of ranges that hold about equally many rows."""
+    levels = 1 << CODE_BITS
+    ranges = rows.select(name).repartitionByRange(levels, name).groupBy(F.spark_partition_id()).agg(F.max(name).alias("end"))
+    ends = sorted({r["end"] for r in ranges.collect() if r["end"] is not None})  # one for each range
+    below = sum((F.when(F.col(name) > F.lit(e), 1).otherwise(0) for e in ends), F.lit(0))
+    return F.floor(below * levels / max(len(ends), levels)).cast("int")
 
-    Shards are runs of the curve's order, and their row counts differ by at most one; slots are gapless from 0 in each.
-    A null text has size 1 (no bytes, plus one) and CRC 0; a null in a dimension has code 0; ties of a place are ordered
-    by a hash of the row and then by id, so repeated rows get slots of their own. An empty table gives an empty one, and
-    fewer rows than shards leave some shards empty. Other columns don't matter.
-    """
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, dimensions: list[Column] | None, shards: int, rows_a_salt: int) -> DataFrame:
     dims = dimensions or default_dimensions(docs, text_col)
     if len(dims) != DIMENSIONS:
         raise ValueError(f"{DIMENSIONS} dimensions are needed")
-    data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    names = [f"d{k}" for k in range(DIMENSIONS)]
+    kinds = dict(docs.select(*[d.alias(n) for d, n in zip(dims, names, strict=True)]).dtypes)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    data = F.encode(text, "UTF-8")
     rows = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.length(data).cast("long") + 1).alias("size"),
             F.crc32(data).alias("text_crc32"),
-            *[d.cast("long").alias(f"d{k}") for k, d in enumerate(dims)],
+            F.xxhash64(text).alias("key"),
+            *[(d if kinds[n] == "string" else d.cast("long")).alias(n) for d, n in zip(dims, names, strict=True)],
         ),
         "shard-rows",
     )
     levels = 1 << CODE_BITS
     at = [k / levels for k in range(1, levels)]
-    cuts = rows.agg(
-        F.count("*").alias("n"), *[F.percentile_approx(f"d{k}", at, PERCENTILE_ACCURACY).alias(f"d{k}") for k in range(DIMENSIONS)]
-    ).first()
+    numbers = [n for n in names if kinds[n] != "string"]
+    cuts = rows.agg(F.count("*").alias("n"), *[F.percentile_approx(n, at, PERCENTILE_ACCURACY).alias(n) for n in numbers]).first()
     n = cuts["n"]
     code = F.lit(0)
-    for k in range(DIMENSIONS):
-        value = F.col(f"d{k}")
-        own = sum((F.when(value > F.lit(c), 1).otherwise(0) for c in cuts[f"d{k}"] or []), F.lit(0))
+    for name in names:
+        if name in numbers:
+            own = sum((F.when(F.col(name) > F.lit(c), 1).otherwise(0) for c in cuts[name] or []), F.lit(0))
+        else:
+            own = _string_code(rows, name)
         code = code * levels + own
     salts = max(MIN_SALTS, -(-n // rows_a_salt))
     table = F.array(*[F.lit(p) for p in curve()])
     keyed = rows.select(
-        "doc_id", "size", "text_crc32", F.element_at(table, (code + 1).cast("int")).cast("int").alias("curve_place"),
+        "doc_id", "size", "text_crc32", "key", F.element_at(table, (code + 1).cast("int")).cast("int").alias("curve_place"),
         F.xxhash64("text_crc32", "size", "doc_id").alias("tie"),
     ).withColumn("salt", F.pmod(F.shiftright("tie", 7), F.lit(salts)).cast("int"))
     keyed = written(keyed, "shard-keys")
@@ -126,7 +119,7 @@ def placed(
     cells = cells.select("curve_place", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("cell_start"))
     within = Window.partitionBy("curve_place").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("salt_start", F.coalesce(F.sum("m").over(within), F.lit(0))).join(F.broadcast(cells), "curve_place")
-    order = Window.partitionBy("curve_place", "salt").orderBy("tie", "doc_id", "text_crc32", "size")
+    order = Window.partitionBy("curve_place", "salt").orderBy("tie", "doc_id", "text_crc32", "size", "key")
     numbered = keyed.withColumn("nth", F.row_number().over(order)).join(
         starts.select("curve_place", "salt", (F.col("cell_start") + F.col("salt_start")).alias("start")), ["curve_place", "salt"]
     )
@@ -137,10 +130,28 @@ def placed(
         numbered.withColumn("place", place)
         .withColumn("shard", shard)
         .withColumn("slot", F.col("place") - first)
-        .select("doc_id", "size", "text_crc32", "curve_place", "shard", "slot")
+        .select("doc_id", "size", "text_crc32", "key", "curve_place", "shard", "slot")
     )
 
 
+def placed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    dimensions: list[Column] | None = None,
+    shards: int = SHARDS,
+    rows_a_salt: int = ROWS_A_SALT,
+) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, curve_place, shard, slot.
+
+    Shards are runs of the curve's order, and their row counts differ by at most one; slots are gapless from 0 in each.
+    A null text has size 1 (no bytes, plus one) and CRC 0; a null in a dimension has code 0; ties of a place are ordered
+    by a hash of the row and then by id, so repeated rows get slots of their own. An empty table gives an empty one, and
+    fewer rows than shards leave some shards empty. Other columns don't matter. Dimensions are numbers or strings.
+    """
+    return _placed(docs, id_col, text_col, dimensions, shards, rows_a_salt).drop("key")
+
+
 def assignments(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """`placed` with the law it keeps: `rows`, counts at most one apart. Growing by a shard moves runs, so grown_shard
     is null."""
@@ -152,14 +163,20 @@ def assignments(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """Write the table as Parquet, one folder per shard, rows in the curve's order; returns a manifest with each shard's
-    rows, bytes, and the minimum and maximum of the pruning columns. Ids must be unique."""
-    found = placed(docs, id_col, text_col, shards=shards).select(
-        F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"), F.col("size").alias("__size")
+    rows, bytes, and the minimum and maximum of the pruning columns. Every row is written once: rows that repeat an id, and
+    those with a null one, are told apart by their text, and equal ones are counted off against the places they have."""
+    own_id, key, nth, slot, size = fresh(docs, "own_id", "own_key", "own_nth", "own_slot", "own_size")
+    count_off = F.row_number().over(Window.partitionBy(own_id, key).orderBy(F.lit(0)))
+    found = _placed(docs, id_col, text_col, None, shards, ROWS_A_SALT).select(
+        F.col("doc_id").alias(own_id), F.col("key").alias(key), F.col("shard").alias("__shard"), F.col("slot").alias(slot), F.col("size").alias(size)
     )
-    joined = docs.join(found, docs[id_col].cast("long") == found["__id"]).drop("__id")
-    joined.repartition("__shard", F.expr("__slot div 100000")).sortWithinPartitions("__shard", "__slot").drop("__slot", "__size").write.partitionBy("__shard").parquet(path)
+    found = written(found.withColumn(nth, F.row_number().over(Window.partitionBy(own_id, key).orderBy("__shard", slot))), "shard-places")
+    rows = docs.withColumns({own_id: F.col(id_col).cast("long"), key: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}).withColumn(nth, count_off)
+    same = rows[own_id].eqNullSafe(found[own_id]) & (rows[key] == found[key]) & (rows[nth] == found[nth])
+    joined = rows.join(found, same).select(*[rows[c] for c in docs.columns], "__shard", slot, size)
+    joined.repartition("__shard", F.expr(f"`{slot}` div 100000")).sortWithinPartitions("__shard", slot).drop(slot, size).write.partitionBy("__shard").parquet(path)
     ranged = [c for c in ("lang", "source", "n_chars") if c in docs.columns]
-    return joined.groupBy(F.col("__shard").alias("shard")).agg(
-        F.count("*").alias("rows"), F.sum("__size").alias("bytes"),
-        *[f(c).alias(f"{name}_{c}") for c in ranged for name, f in (("min", F.min), ("max", F.max))],
-    )
+    sizes = found.groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"))
+    kept = docs.sparkSession.read.parquet(path).groupBy(F.col("__shard").alias("shard"))
+    ranges = kept.agg(*[f(c).alias(f"{name}_{c}") for c in ranged for name, f in (("min", F.min), ("max", F.max))]) if ranged else None
+    return sizes if ranges is None else sizes.join(ranges, "shard")
