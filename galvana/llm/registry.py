@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprint, lm, packing, quality, secrets, sharding, simhash, substrings, topk
+from . import byte_bpe, fingerprint, lm, packing, pipeline, quality, secrets, sharding, simhash, substrings, topk
 from .common import table
 from .oracles import ORACLES
 
@@ -55,13 +54,9 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
-def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
-
-
 def queries() -> dict[str, Query]:
     own = (op1_simhash, op2_secrets, op3_packing, op4_topk, op5_fingerprint, op6_substrings, op7_byte_bpe, op8_quality, op9_lm, op10_hilbert)
-    return {f.__name__: f for f in own} | {"pipeline": _pipeline}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracles() -> dict[str, str]:

@@ -33,6 +33,16 @@ def simhash(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingled(t, size):
+    w = WORD.findall(low(t))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def similar(one, two):
+    """Jaccard similarity of 0.8 or more; two empty sets are equal."""
+    return one == two or 5 * len(one & two) >= 4 * len(one | two)
+
+
 def components(ids, linked):
     root = {i: i for i in ids}
 

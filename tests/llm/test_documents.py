@@ -107,6 +107,20 @@ def test_secrets_odd_rows(odd, none):
     assert secrets.report(none).count() == 0
 
 
+def test_redaction_of_odd_rows_and_clashing_columns(spark, odd, none):
+    """Rows that repeat, null ids and null texts are masked or kept like others; columns of any name stay."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIB\nabc+/=\n-----END RSA PRIVATE KEY----- end"
+    more = [(5, "token: abcdefgh"), (5, "token: abcdefgh"), (None, "token: abcdefgh"), (9, "a " + key), (9, "-----BEGIN PRIVATE KEY-----\nMIIB")]
+    df = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumns({c: F.lit("own") for c in ("k1", "k2", "new_text", "spans", "__key", "key")})
+    masked = {"token: abcdefgh": "[secret]", "a " + key: "a [secret] end", "-----BEGIN PRIVATE KEY-----\nMIIB": "[secret]"}
+    for bound in (0, 1 << 20):
+        out = secrets.redacted(df, bound=bound)
+        assert out.columns == df.columns
+        want = sorted((str(r.doc_id), str(masked.get(r.text, r.text)), "own") for r in df.collect())
+        assert sorted((str(r.doc_id), str(r.text), r.k1) for r in out.collect()) == want
+    assert secrets.redacted(none).count() == 0 and secrets.redacted(none).columns == none.columns
+
+
 def test_redaction_masks_and_keeps_the_rest(docs, texts):
     found = rows(secrets.redacted(docs))
     for i, t in texts:
@@ -354,6 +368,73 @@ def test_quality_on_held_out_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in found.items() if r.keep)
 
 
+def _plain_features(text):
+    """Names of the features of a text, by their definitions."""
+    words = text.split()
+    n, found = len(words), set()
+    edge = quality._EDGE
+    for w in words:
+        low = w.lower()
+        core = low.strip(edge)
+        tail = low[len(low.rstrip(edge)) :] if core else low
+        if core:
+            found.add("w:" + core)
+        if len(tail) > 1 or not core:
+            found.add("s:" + tail[:4])
+    level = lambda k: round(10 * k / n) if n else 0
+    shares = {
+        "repeat": level(sum(a == b for a, b in zip(words, words[1:], strict=False))), "pipe": level(words.count("|")), "symbol": level(sum(not w.isalpha() for w in words)),
+        "distinct": level(len(set(words))), "size": len(text).bit_length(), "word": min(len(text) // n, 40) if n else 0,
+        "upper": level(sum(w.isupper() for w in words)), "digit": level(sum(w.isdigit() for w in words)),
+    }
+    return {xxhash.xxh32_intdigest(x) % (1 << 18) for x in found | {f"{k}={v}" for k, v in shares.items()}}
+
+
+def test_quality_scores_against_a_plain_version(docs, texts):
+    """Scores, tails and expected grades of made weights, text by text."""
+    weights = np.random.default_rng(1).normal(0, 0.3, 1 << 18).astype(np.float32)
+    found = rows(quality.scored(docs, quality.OrdinalModel(weights.astype(float), np.array([-1.0, 0.5]))))
+    for i, t in texts:
+        score = sum(float(weights[b]) for b in _plain_features(t))
+        tails = [1 - 1 / (1 + math.exp(score - cut)) for cut in (-1.0, 0.5)]
+        r = found[i]
+        assert (r.score, r.expected_grade, r.p_at_least_1, r.p_at_least_2) == pytest.approx((score, sum(tails), *tails), abs=1e-5)
+        assert (r.n_words, r.keep) == (len(t.split()), tails[1] >= 0.5)
+
+
+def test_quality_fit_descends_the_likelihood(monkeypatch):
+    """Without penalty, the fit ends where finite differences of the plain likelihood vanish, with ordered thresholds."""
+    rng = np.random.default_rng(4)
+    n, size = 60, 5
+    x = rng.random((n, size)) < 0.5
+    score = x @ np.array([1.0, -1.0, 0.5, 0.0, 0.8]) + rng.normal(0, 1.2, n)
+    grades = np.digitize(score, [-0.2, 0.8])
+    weight = rng.integers(1, 4, n).astype(float)
+    monkeypatch.setattr(quality, "PENALTY", 0.0)
+    at, cols = np.nonzero(x)
+    fitted = quality.fit(at, cols, grades, weight, size, steps=6000)
+
+    def loss(w, cuts):
+        total = 0.0
+        for row, g, k in zip(x, grades, weight, strict=True):
+            s = row @ w
+            below = [0.0] + [1 / (1 + math.exp(s - c)) for c in cuts] + [1.0]
+            total -= k * math.log(below[g + 1] - below[g])
+        return total / weight.sum()
+
+    params = np.r_[fitted.weights, fitted.thresholds]
+    split = lambda p: loss(p[:size], p[size:])
+    slopes = [(split(params + d) - split(params - d)) / 2e-5 for d in np.eye(len(params)) * 1e-5]
+    assert np.abs(slopes).max() < 2e-3 and fitted.thresholds[0] < fitted.thresholds[1]
+
+
+def test_quality_labels(spark):
+    """Labels with nulls count for nothing, and a repeated id has its worst grade."""
+    labels = [(1, 1, 0), (1, 1, 1), (2, None, 0), (3, 0, None), (4, 0, 0), (5, 1, 0), (5, 1, 0), (None, 1, 0)]
+    df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("grade", F.lit("clash"))
+    assert sorted((r.label_id, r.grade) for r in quality._grades(df, "doc_id").collect()) == [(1, 0), (3, 1), (4, 1), (5, 2)]
+
+
 def test_quality_odd_rows(spark, odd, none):
     docs, labels = _labelled(spark, 40)
     no_labels = labels.where("doc_id < 0")
@@ -487,6 +568,34 @@ def test_shards(docs, texts, rows_a_salt):
     assert order == sorted(order)
 
 
+def test_shard_codes_and_places(spark):
+    """Codes of numbers by exact quantiles, of strings by their order even where their beginnings agree; places on the curve."""
+    rng = random.Random(9)
+    listed = [(i, "x" * rng.randint(0, 40), f"https://example.org/{rng.randint(0, 9)}", rng.choice([None, 1, 5, 900])) for i in range(300)]
+    df = spark.createDataFrame(listed, "doc_id long, text string, source string, year long")
+    found = rows(sharding.placed(df, dimensions=[F.col("source"), F.col("year"), F.length("text")]))
+    cell_of = {p: c for c, p in enumerate(sharding.curve())}
+    codes = {i: (cell_of[r.curve_place] >> 8, cell_of[r.curve_place] >> 4 & 15, cell_of[r.curve_place] & 15) for i, r in found.items()}
+
+    def plain(values):
+        known = sorted(v for v in values if v is not None)
+        cuts = [known[math.ceil(len(known) * k / 16) - 1] for k in range(1, 16)]
+        return [sum(v is not None and v > c for c in cuts) for v in values]
+
+    assert [codes[i][1] for i in range(300)] == plain([r[3] for r in listed])
+    assert [codes[i][2] for i in range(300)] == plain([len(r[1]) for r in listed])
+    by_source = sorted({(r[2], codes[r[0]][0]) for r in listed})
+    assert len(by_source) == 10 and [c for _, c in by_source] == sorted(c for _, c in by_source) and len({c for _, c in by_source}) > 4
+
+
+def test_written_shards_hold_every_row(spark, odd, tmp_path):
+    df = odd.withColumn("own_key", F.lit("clash"))
+    manifest = sharding.write_shards(df, str(tmp_path / "s"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+    assert sorted(r["rows"] for r in manifest.collect()) == [2, 3, 3]
+
+
 def test_shards_odd_rows(odd, none, docs, tmp_path):
     found = sharding.placed(odd).collect()
     assert len(found) == 8 and all(r.size == 1 and r.text_crc32 == 0 for r in found if r.doc_id == 1)

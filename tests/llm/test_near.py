@@ -4,20 +4,17 @@ import random
 
 import numpy as np
 
-import corpus_pipeline
-from galvana.llm import near, simhash
+from galvana.llm import near, pipeline, simhash
 from galvana.llm.common import table
 
 from . import brute
 
 
 def shingled(text):
-    w = brute.WORD.findall(brute.low(text))
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return brute.shingled(text, 5)
 
 
-def linked(one, two):
-    return one == two or 5 * len(one & two) >= 4 * len(one | two)
+linked = brute.similar
 
 
 def edited(rng, words, edits):
@@ -42,7 +39,7 @@ def test_stage_drops_what_similarity_links_and_no_more(spark, sf_dir):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
     sets = {i: shingled(t or "") for i, t in texts}
     root = brute.components([i for i, _ in texts], lambda a, b: linked(sets[a], sets[b]))
-    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()}
+    kept = {r.doc_id for r in pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()}
     assert kept == {i for i in root if root[i] == i}
     prints = {i: simhash.fingerprint((t or "").encode()) for i, t in texts}
     far = [(a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b]) and (prints[a] ^ prints[b]).bit_count() > 4]
