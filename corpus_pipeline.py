@@ -1,56 +1,5 @@
-"""The corpus pipeline: quality, near duplicates, repeated passages, secrets, packing.
+"""The corpus pipeline: its stages and its run, as the driver looks them up. They live in the llm subpackage."""
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of `documents`. Between stages the rows are written as Parquet in the shared folder and read back.
-"""
+from galvana.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from galvana.llm import near, packing, quality, secrets, substrings
-from galvana.llm.common import table, written
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, keeps."""
-    return quality.selected(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return near.one_of_each(docs)
-
-
-def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that a document with a smaller id has."""
-    return substrings.deduplicated(docs)
-
-
-def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets masked."""
-    return secrets.redacted(docs)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
-    return packing.packed(docs)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("substrings", substring_stage),
-    ("secrets", secrets_stage),
-    ("packing", packing_stage),
-]
-
-#: A fitted classifier and byte-level BPE are beyond SQL; the tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
