@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INFINITY = float("inf")
+#: A table with a row for each cell, file or the like is broadcast only up to this many rows.
+BROADCAST_ROWS = 400_000
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a table of one row per key: by broadcast if a count shows at most `rows` of them, else by a shuffle."""
+    few = small.count() <= rows
+    return df.join(F.broadcast(small) if few else small, keys, how)
 
 
 def finite(c: Column) -> Column:
@@ -18,13 +26,9 @@ def measured(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def trapezoid(y: Column, x: Column, window) -> Column:
-    """Area between a row and the one before it; null on the first row."""
-    return (y + F.lag(y).over(window)) / 2 * (x - F.lag(x).over(window))
-
-
 def clamp(c: Column, lo: Column, hi: Column) -> Column:
-    return F.greatest(lo, F.least(hi, c))
+    """The column held between two bounds; null stays null, which `greatest` and `least` alone would pass over."""
+    return F.when(c.isNotNull(), F.greatest(lo, F.least(hi, c)))
 
 
 def segment_rows(df, x: str, ys: list[str], keys: list[str], step: float, origin: float, index: str = "grid_idx"):

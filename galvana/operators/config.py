@@ -20,6 +20,14 @@ VENDOR_NAMES = {
 ALIASES = {name: canonical for canonical, names in VENDOR_NAMES.items() for name in names}
 
 
+def _require(holds: bool, name: str, value: object, wanted: str) -> None:
+    if not holds:
+        raise ValueError(f"{name}={value!r} isn't {wanted}")
+
+
+#: Names, order and defaults of the fields of Parsing, Ica and Features enter the hashes of their results.
+
+
 @dataclass(frozen=True)
 class Cell:
     """What a raw file can't tell about its cell."""
@@ -82,12 +90,10 @@ class Features:
     chemistry: str = "generic"
 
     def __post_init__(self):
-        if self.sg_window % 2 == 0:
-            raise ValueError(f"sg_window must be odd: {self.sg_window}")
-        if self.sg_polyorder >= self.sg_window:
-            raise ValueError("sg_polyorder must be below sg_window")
-        if self.half_cycle not in ("charge", "discharge"):
-            raise ValueError(f"half_cycle must be charge or discharge: {self.half_cycle}")
+        halves = ("charge", "discharge")
+        _require(self.half_cycle in halves, "half_cycle", self.half_cycle, f"one of {halves}")
+        _require(0 <= self.sg_polyorder < self.sg_window, "sg_polyorder", self.sg_polyorder, "smaller than sg_window")
+        _require(self.sg_window & 1 == 1, "sg_window", self.sg_window, "an odd number")
 
     @property
     def grid_points(self) -> int:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.columns import join_small
 from .config import Parsing
 
 #: Seconds of a cell's time that one window takes.
@@ -80,20 +83,49 @@ def with_cycles(samples: DataFrame, cfg: Parsing = Parsing(), chunk_s: float = C
         ((F.sum(F.col("falls") + F.col("across") + F.col("nulls")) == 0) & (F.min("lo") < F.max("hi"))).alias("__trusted")
     )
     return (
-        found.join(trust, "cell_id")
+        join_small(found, trust, ["cell_id"])
         .withColumn("cycle_index", F.when(F.col("__trusted"), given).otherwise(F.col("__cycle")))
         .withColumn("phase", F.when(F.col("__trusted"), sign(cfg)).otherwise(F.col("phase")))
         .drop(*_OWN, "__cycle", "__trusted")
     )
 
 
+def with_place(samples: DataFrame, chunk_s: float = CHUNK_S) -> DataFrame:
+    """`samples` with `place`, a row's number in its cell from 0, in time order. Rows are numbered within chunks of a
+    cell's time, and the chunks' sizes are summed up before them."""
+    rows = samples.withColumn("__chunk", F.floor(F.col("time") / chunk_s))
+    local = F.row_number().over(Window.partitionBy("cell_id", "__chunk").orderBy("time", "row_id"))
+    sizes = rows.groupBy("cell_id", "__chunk").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("cell_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("cell_id", "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = rows.withColumn("__nth", local).join(starts, ["cell_id", "__chunk"])
+    return placed.withColumn("place", F.col("__start") + F.col("__nth") - 1).drop("__chunk", "__nth", "__start")
+
+
+def over_blocks(samples: DataFrame, reach: int, columns: dict[str, Callable[[WindowSpec], Column]], block: int = 4096) -> DataFrame:
+    """`samples` with columns of windows that reach at most `reach` rows either way in a cell's time order.
+
+    The windows run within blocks of a cell's rows, each with copies of the `reach` rows beyond its ends, so a cell that
+    holds a third of all rows is still spread over many tasks."""
+    if reach >= block:
+        raise ValueError(f"blocks of {block} rows are too short for a reach of {reach}")
+    at, own = F.pmod(F.col("place"), F.lit(block)), F.floor(F.col("place") / block)
+    entry = lambda b, guest: F.struct(b.alias("block"), F.lit(guest).alias("guest"))
+    lent = F.array_compact(F.array(entry(own, False), F.when((at < reach) & (own > 0), entry(own - 1, True)), F.when(at >= block - reach, entry(own + 1, True))))
+    rows = with_place(samples).withColumn("__in", F.explode(lent))
+    w = Window.partitionBy("cell_id", "__in.block").orderBy("place")
+    return rows.withColumns({name: f(w) for name, f in columns.items()}).where("not __in.guest").drop("__in", "place")
+
+
 def half_cycle(samples: DataFrame, half: str) -> DataFrame:
     return samples.where(F.col("phase") == (1 if half == "charge" else -1))
 
 
-def cycle_meta(samples: DataFrame, nominal_capacity_ah: float | None, cfg: Parsing = Parsing()) -> DataFrame:
+def cycle_meta(samples: DataFrame, nominal_capacity_ah: float | str | None, cfg: Parsing = Parsing()) -> DataFrame:
     """One row per (cell, cycle): size, duration, voltages, capacities of the halves, C-rate, flags.
 
+    The nominal capacity is a number for all cells or the name of a column that holds each cell's own.
+
     A half's capacity is the largest absolute capacity measured, or else the trapezoid of its absolute current. The halves
     are integrated within one window per (cell, cycle, phase), and everything is one aggregation after that.
     """
@@ -104,9 +136,9 @@ def cycle_meta(samples: DataFrame, nominal_capacity_ah: float | None, cfg: Parsi
     rows = samples.withColumns({"__amps": amps, "__area": area, "__capacity": capacity})
     of = lambda p, c: F.when(F.col("phase") == p, F.col(c))
     half_capacity = lambda p: F.coalesce(F.max(of(p, "__capacity")), F.sum(of(p, "__area")), F.lit(0.0))
-    rated = bool(nominal_capacity_ah and nominal_capacity_ah > 0)
+    nominal = F.max(nominal_capacity_ah) if isinstance(nominal_capacity_ah, str) else F.lit(nominal_capacity_ah).cast("double")
     active = F.avg(F.when(F.col("__amps") > 0, F.col("__amps")))
-    rate = F.coalesce(active / F.lit(float(nominal_capacity_ah)), F.lit(0.0)) if rated else F.lit(None).cast("double")
+    rate = F.when(nominal > 0, F.coalesce(active / nominal, F.lit(0.0)))
     meta = rows.groupBy("cell_id", "cycle_index").agg(
         F.count("*").alias("n_points"),
         (F.max("time") - F.min("time")).alias("duration_s"),

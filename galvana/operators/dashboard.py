@@ -94,11 +94,56 @@ def batch_average(df: DataFrame, columns: list[str], points: int = POINTS) -> Da
     """(k, cycle, columns): the mean over cells at evenly spaced cycles up to the mean of their last cycles."""
     last = df.groupBy("cell_id").agg(F.max("cycle_number").alias("last")).agg(F.floor(F.avg("last")).alias("top"))
     grid = last.select(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.bround(k / F.lit(float(points - 1)) * F.col("top"), 0).cast("int")).alias("__grid"))
-    joined = df.join(F.broadcast(grid))  # one row
+    joined = df.withColumn("__grid", grid.scalar())
     return on_cycles(joined, columns, F.col("__grid")).groupBy("k", "cycle").agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def cell_json(cycles: DataFrame) -> DataFrame:
-    """(cell_id, body): a cell's rows in cycle order as JSON."""
-    row = F.struct("cycle_number", "soh_true", "soh_pred", F.struct("sig_LLI", "sig_LAM", "sig_RES").alias("signals"), "dominant", "confidence")
-    return cycles.groupBy("cell_id").agg(F.to_json(F.struct(F.count("*").alias("nCycles"), F.array_sort(F.collect_list(row)).alias("rows"))).alias("body"))
+def _listed(*columns) -> Column:
+    return F.array_sort(F.collect_list(F.struct(*columns)))
+
+
+def _mechanism_rows() -> Column:
+    probabilities = F.struct(*[(F.col(f"sig_{m}") / (F.col("sig_LLI") + F.col("sig_LAM") + F.col("sig_RES") + 1e-9)).alias(m) for m in ("LLI", "LAM", "RES")])
+    signals = F.struct(*[F.col(f"sig_{m}").alias(m) for m in ("LLI", "LAM", "RES")])
+    return _listed(
+        F.col("cycle_number").alias("cycle"), F.col("soh_true").alias("sohTrue"), F.col("soh_pred").alias("sohPred"), signals.alias("signals"),
+        probabilities.alias("probs"), F.col("dominant"), F.col("confidence").alias("conf"),
+    )
+
+
+def views(df: DataFrame, limit: float = END_OF_LIFE) -> DataFrame:
+    """One row for each cell of (cell_id, cycle_number, soh_true, soh_pred, sig_*, dominant, confidence): its rows in cycle
+    order, phases, onsets, end of life and dominant mechanism. A cell's cycles are few enough for one row."""
+    phases = phase_segments(df.withColumn("soh", F.col("soh_true")))
+    listed = phases.groupBy("cell_id").agg(
+        _listed("phase", "mech", F.col("start_cycle").alias("start"), F.col("end_cycle").alias("end"), F.col("soh_start").alias("sohStart"), F.col("soh_end").alias("sohEnd")).alias("phases")
+    )
+    rows = df.groupBy("cell_id").agg(
+        F.count("*").alias("nCycles"), F.max("cycle_number").alias("maxCycle"), F.max_by("soh_true", "cycle_number").alias("sohLast"), _mechanism_rows().alias("rows")
+    )
+    starts = onsets(df).select("cell_id", F.struct(*[F.col(f"onset_{m}").alias(m) for m in ("LLI", "LAM", "RES")]).alias("onsets"))
+    out = rows
+    for part in (listed, starts, eol_cycle(df, limit).withColumnRenamed("eol_cycle", "rul"), cell_dominant(phases).withColumnRenamed("dominant", "cellDominant")):
+        out = out.join(part, "cell_id", "left")
+    return out.withColumn("eol", F.lit(limit))
+
+
+def cell_json(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """(cell_id, body): `views` of each cell, with its metrics (cell_id, rmse, mae, r2) if given, as JSON."""
+    out = views(df)
+    if metrics is not None:
+        of = metrics.where("cell_id IS NOT NULL").select("cell_id", F.struct(F.round("r2", 4).alias("r2"), F.round("rmse", 5).alias("rmse"), F.round("mae", 5).alias("mae")).alias("metrics"))
+        out = out.join(of, "cell_id", "left")
+    return out.select("cell_id", F.to_json(F.struct(*[c for c in out.columns if c != "cell_id"]), {"ignoreNullFields": "false"}).alias("body"))
+
+
+#: Fixed value: the name of the average of all cells.
+BATCH = "Batch average"
+
+
+def batch_json(df: DataFrame, points: int = POINTS) -> DataFrame:
+    """One row (cell_id, body) like `cell_json` for the average cell: health and signals averaged on common cycles, the
+    mechanism worked out anew from the averages."""
+    columns = ["soh_true", "soh_pred", "sig_LLI", "sig_LAM", "sig_RES"]
+    mean = with_dominant(batch_average(df, columns, points)).withColumn("cell_id", F.lit(BATCH)).withColumnRenamed("cycle", "cycle_number")
+    return cell_json(mean.dropDuplicates(["cell_id", "cycle_number"]).drop("k"))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import clamp, finite
+from ..functions.columns import clamp, finite, join_small
 from .config import FEATURE_COLS, LEAKING, LEGACY_NAMES, METADATA_COLS, Features
 
 
+#: References, a curve for each cell, are broadcast up to this many.
+BROADCAST_CURVES = 20_000
+
+
 def exploded(curves: DataFrame, column: str = "q_smooth") -> DataFrame:
     """(cell_id, cycle_index, grid_idx, q) of curves held as arrays."""
     return curves.select("cell_id", "cycle_index", F.posexplode(column).alias("grid_idx", "q"))
@@ -44,8 +52,8 @@ def _area(x: Column, dv: float) -> Column:
     return (F.sum(x) - (F.min_by(x, idx) + F.max_by(x, idx)) / 2) * dv
 
 
-def curve_features(delta: DataFrame, dv: float = 0.005, chemistry: str = "generic", keys=("cell_id", "cycle_index"), least: int = 10) -> DataFrame:
-    """The ten features of each curve (and the chemistry's own); null where fewer than `least` points are finite.
+def curve_features(delta: DataFrame, dv: float = 0.005, keys=("cell_id", "cycle_index"), least: int = 10) -> DataFrame:
+    """The ten features of each curve given point by point; null where fewer than `least` points are finite.
 
     Moments are population moments: variance, skewness and excess kurtosis; a constant curve has null for the last two.
     One hash aggregation with partial sums.
@@ -64,31 +72,106 @@ def curve_features(delta: DataFrame, dv: float = 0.005, chemistry: str = "generi
         "dqv_mean": F.avg(x),
         "dqv_rms": F.sqrt(F.avg(x * x)),
     }
-    if chemistry.lower() in ("lfp", "nmc"):
-        made["dqv_range"] = F.max(x) - F.min(x)
-    if chemistry.lower() == "nmc":
-        made["dqv_positive_integral"] = _area(F.greatest(x, F.lit(0.0)), dv)
-        made["dqv_negative_integral"] = _area(F.least(x, F.lit(0.0)), dv)
     check_no_leakage(list(made))
     out = delta.groupBy(*keys).agg(n.alias("n_finite"), *[F.when(n >= least, c).alias(name) for name, c in made.items()])
     any_value = F.coalesce(*[F.col(name) for name in made]).isNotNull()
     return out.withColumn("extraction_ok", any_value)
 
 
-def feature_matrix(curves: DataFrame, cfg: Features = Features(), supplied: DataFrame | None = None) -> DataFrame:
-    """The feature columns for each cycle of `curves` (from curves.qv_curves). Failed curves keep a row of nulls.
+def check_no_leakage(names: list[str]) -> None:
+    leaked = sorted(set(names) & set(LEAKING))
+    if leaked:
+        raise ValueError(f"features that tell the state of health: {leaked}")
 
-    supplied: (cell_id, grid_idx, q_ref) of references from elsewhere; their cells have ref_cycle_index -1.
-    """
-    points = exploded(curves.where("ok"))
-    own = reference_cycles(curves, cfg.reference_cycle_rank)
-    delta = delta_curves(points, own)
+
+#: Features that a chemistry adds, by name: functions of the finite values of a difference curve, an array in grid order,
+#: and the grid step. `register_chemistry` adds to them.
+CHEMISTRIES: dict[str, dict[str, Callable[[Column, float], Column]]] = {}
+
+
+def register_chemistry(name: str, extra: dict[str, Callable[[Column, float], Column]]) -> None:
+    check_no_leakage(list(extra))
+    CHEMISTRIES[name.lower()] = extra
+
+
+def _total(a: Column, f: Callable[[Column], Column]) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + f(x))
+
+
+def _array_area(a: Column, f: Callable[[Column], Column], dv: float) -> Column:
+    """Trapezoids of unit steps over the values of an array, times the step."""
+    return (_total(a, f) - (f(a[0]) + f(F.element_at(a, -1))) / 2) * dv
+
+
+def _range(a: Column, dv: float) -> Column:
+    return F.array_max(a) - F.array_min(a)
+
+
+register_chemistry("lfp", {"dqv_range": _range})
+register_chemistry(
+    "nmc",
+    {
+        "dqv_range": _range,
+        "dqv_positive_integral": lambda a, dv: _array_area(a, lambda x: F.greatest(x, F.lit(0.0)), dv),
+        "dqv_negative_integral": lambda a, dv: _array_area(a, lambda x: F.least(x, F.lit(0.0)), dv),
+    },
+)
+
+
+def array_features(delta: DataFrame, cfg: Features = Features(), least: int = 10) -> DataFrame:
+    """`delta` with the features of its difference curves, held as arrays `dq`, as `curve_features` of `clipped` has them.
+
+    Everything happens inside the row, so no point of a curve is shuffled."""
+    rows = delta.withColumn("__x", F.filter("dq", finite))
+    rows = rows.withColumn("__n", F.size("__x")).withColumn("__m", _total(F.col("__x"), lambda x: x) / F.nullif("__n", F.lit(0)))
+    deviation = lambda a, m, n, k: _total(F.col(a), lambda x: F.pow(x - F.col(m), F.lit(k))) / F.nullif(n, F.lit(0))
+    rows = rows.withColumn("__s", F.sqrt(deviation("__x", "__m", "__n", 2)) * cfg.outlier_sigma)
+    held = F.transform("__x", lambda x: clamp(x, F.col("__m") - F.col("__s"), F.col("__m") + F.col("__s")))
+    rows = rows.withColumn("__a", F.when(F.col("__s") > 0, held).otherwise(F.col("__x")))
+    a, n = F.col("__a"), F.col("__n")
+    rows = rows.withColumn("__m", _total(a, lambda x: x) / F.nullif(n, F.lit(0)))
+    rows = rows.withColumn("__v", deviation("__a", "__m", "__n", 2))
+    spread = F.col("__v") > 0
+    made = {
+        "dqv_variance": F.col("__v"),
+        "dqv_log_variance": F.log(F.col("__v") + 1e-30),
+        "dqv_skewness": F.when(spread, deviation("__a", "__m", "__n", 3) / F.pow("__v", F.lit(1.5))),
+        "dqv_kurtosis": F.when(spread, deviation("__a", "__m", "__n", 4) / (F.col("__v") * F.col("__v")) - 3),
+        "dqv_integral_abs": _array_area(a, F.abs, cfg.dv),
+        "dqv_max_deviation": F.array_max(F.transform(a, F.abs)),
+        "dqv_min": F.array_min(a),
+        "dqv_max": F.array_max(a),
+        "dqv_mean": F.col("__m"),
+        "dqv_rms": F.sqrt(_total(a, lambda x: x * x) / F.nullif(n, F.lit(0))),
+    } | {name: f(a, cfg.dv) for name, f in CHEMISTRIES.get(cfg.chemistry.lower(), {}).items()}
+    check_no_leakage(list(made))
+    out = rows.withColumns({name: F.when(n >= least, c) for name, c in made.items()})
+    return out.withColumn("extraction_ok", n >= least).drop("__x", "__n", "__m", "__s", "__a", "__v")
+
+
+def delta_arrays(curves: DataFrame, rank: int = 1, supplied: DataFrame | None = None) -> DataFrame:
+    """(cell_id, cycle_index, ref_cycle_index, dq: array) of the valid curves: each minus its cell's reference, which is one
+    narrow table of arrays. supplied: (cell_id, grid_idx, q_ref) of references from elsewhere; their cells have -1."""
+    valid = curves.where("ok").select("cell_id", "cycle_index", "q_smooth")
+    refs = valid.join(reference_cycles(curves, rank), "cell_id").where("cycle_index = ref_cycle_index").select("cell_id", "ref_cycle_index", F.col("q_smooth").alias("q_ref"))
     if supplied is not None:
-        given = points.join(supplied, ["cell_id", "grid_idx"]).select(
-            "cell_id", "cycle_index", "grid_idx", F.lit(-1).alias("ref_cycle_index"), (F.col("q") - F.col("q_ref")).alias("dq")
-        )
-        delta = delta.join(supplied.select("cell_id").distinct(), "cell_id", "left_anti").unionByName(given)
-    made = curve_features(clipped(delta, cfg.outlier_sigma), cfg.dv, cfg.chemistry)
+        points = F.array_sort(F.collect_list(F.struct("grid_idx", "q_ref")))
+        given = supplied.groupBy("cell_id").agg(F.lit(-1).alias("ref_cycle_index"), F.map_from_entries(points).alias("points"))
+        size = F.size(F.first("q_smooth"))
+        sized = given.join(valid.groupBy("cell_id").agg(size.alias("n")), "cell_id")
+        own = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.element_at("points", i))
+        given = sized.select("cell_id", "ref_cycle_index", own.alias("q_ref"))
+        refs = refs.join(given.select("cell_id"), "cell_id", "left_anti").unionByName(given)
+    return join_small(valid, refs, ["cell_id"], rows=BROADCAST_CURVES).select(
+        "cell_id", "cycle_index", "ref_cycle_index", F.zip_with("q_smooth", "q_ref", lambda a, b: a - b).alias("dq")
+    )
+
+
+def feature_matrix(curves: DataFrame, cfg: Features = Features(), supplied: DataFrame | None = None) -> DataFrame:
+    """The feature columns for each cycle of `curves` (from curves.qv_curves). Failed curves keep a row of nulls, with the
+    reference cycle of their cell; supplied as in `delta_arrays`."""
+    delta = delta_arrays(curves, cfg.reference_cycle_rank, supplied)
+    made = array_features(delta, cfg).drop("dq", "ref_cycle_index")
     refs = delta.select("cell_id", "ref_cycle_index").distinct()
     out = curves.select("cell_id", "cycle_index").join(made, ["cell_id", "cycle_index"], "left").join(refs, "cell_id", "left")
     return out.select(
@@ -97,10 +180,10 @@ def feature_matrix(curves: DataFrame, cfg: Features = Features(), supplied: Data
     )
 
 
-def check_no_leakage(names: list[str]) -> None:
-    leaked = sorted(set(names) & set(LEAKING))
-    if leaked:
-        raise ValueError(f"features that tell the state of health: {leaked}")
+def usable(features: DataFrame) -> DataFrame:
+    """The rows whose features could be extracted; all rows of a cell where none could."""
+    any_ok = features.groupBy("cell_id").agg(F.bool_or("extraction_ok").alias("__any"))
+    return join_small(features, any_ok, ["cell_id"]).where("extraction_ok or not coalesce(__any, false)").drop("__any")
 
 
 def validated(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -116,7 +199,10 @@ def schema() -> dict[str, list[str]]:
     return {"metadata": list(METADATA_COLS), "features": list(FEATURE_COLS)}
 
 
-def soh(discharge_capacity: Column, nominal_capacity_ah: float) -> Column:
+def soh(discharge_capacity: Column, nominal_capacity_ah: float | Column) -> Column:
+    """Discharge capacity over nominal capacity: a positive number, or a column, null where that isn't positive."""
+    if isinstance(nominal_capacity_ah, Column):
+        return discharge_capacity / F.when(nominal_capacity_ah > 0, nominal_capacity_ah)
     if not nominal_capacity_ah or nominal_capacity_ah <= 0:
         raise ValueError("nominal capacity must be positive")
     return discharge_capacity / F.lit(float(nominal_capacity_ah))
@@ -142,13 +228,44 @@ def stability(features: DataFrame, names: list[str], group: str = "cell_id", ref
 # --- preprocessing before a model ------------------------------------------------------------------------------------
 
 
+#: Accuracy of the quantiles that bracket the exact ones.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, names: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles, linear between ranks, of the finite values of columns; None where there are none.
+
+    Approximate quantiles first give a bracket around each rank, then the values below and inside it are counted, and the
+    exact quantile is taken inside. So no task holds more than a few ten-thousandths of the distinct values."""
+    value = {n: F.when(finite(F.col(n).cast("double")), F.col(n).cast("double")) for n in names}
+    sizes = df.agg(*[F.count(value[n]).alias(n) for n in names]).first()
+    slack = {n: max(2 / ACCURACY, 2 / max(sizes[n], 1)) for n in names}
+    ends = {n: [q for p in probs for q in (max(p - slack[n], 0.0), min(p + slack[n], 1.0))] for n in names}
+    found = df.agg(*[F.percentile_approx(value[n], ends[n], ACCURACY).alias(n) for n in names]).first()
+    known = [(n, k, found[n][2 * k], found[n][2 * k + 1]) for n in names if sizes[n] for k in range(len(probs))]
+    if not known:
+        return {n: [None] * len(probs) for n in names}
+    inside = {(n, k): value[n].between(lo, hi) for n, k, lo, hi in known}
+    counts = df.agg(*[c.alias(f"{tag}{i}") for i, (n, k, lo, _) in enumerate(known) for tag, c in (("b", F.count_if(value[n] < lo)), ("i", F.count_if(inside[n, k])))]).first()
+    wanted = []
+    for i, (n, k, _, _) in enumerate(known):
+        rank = (sizes[n] - 1) * probs[k] - counts[f"b{i}"]
+        share = min(max(rank / max(counts[f"i{i}"] - 1, 1), 0.0), 1.0)
+        wanted.append(F.percentile(F.when(inside[n, k], value[n]), F.lit(share)).alias(f"q{i}"))
+    got = df.agg(*wanted).first()
+    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
+    for i, (n, k, _, _) in enumerate(known):
+        out[n][k] = got[f"q{i}"]
+    return out
+
+
 def imputed(df: DataFrame, names: list[str], train: DataFrame | None = None, flags: bool = True) -> DataFrame:
     """Missing values by the training median, with an indicator for each column that had any missing in training."""
-    fit = (train if train is not None else df).agg(
-        *[F.percentile(n, F.lit(0.5)).alias(f"m_{n}") for n in names], *[F.max((~finite(F.col(n))).cast("int")).alias(f"f_{n}") for n in names]
-    ).first()
-    value = {n: F.when(finite(F.col(n)), F.col(n)).otherwise(F.lit(fit[f"m_{n}"])) for n in names}
-    marks = {f"{n}_missing": (~finite(F.col(n))).cast("double") for n in names if flags and fit[f"f_{n}"]}
+    source = train if train is not None else df
+    median = quantiles(source, names, [0.5])
+    gaps = source.agg(*[F.max((~finite(F.col(n))).cast("int")).alias(n) for n in names]).first()
+    value = {n: F.when(finite(F.col(n)), F.col(n)).otherwise(F.lit(median[n][0])) for n in names}
+    marks = {f"{n}_missing": (~finite(F.col(n))).cast("double") for n in names if flags and gaps[n]}
     return df.withColumns(marks).withColumns(value)
 
 
@@ -163,8 +280,7 @@ def scaled(df: DataFrame, names: list[str], kind: str = "robust", train: DataFra
         raise ValueError(f"unknown scaler: {kind}")
     source = train if train is not None else df
     if kind == "robust":
-        fit = source.agg(*[F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]).first()
-        pairs = {n: (fit[n][1], fit[n][2] - fit[n][0]) for n in names}
+        pairs = {n: (middle, high - low if high is not None else None) for n, (low, middle, high) in quantiles(source, names, [0.25, 0.5, 0.75]).items()}
     else:
         fit = source.agg(*[F.struct(F.avg(n), F.stddev_pop(n)).alias(n) for n in names]).first()
         pairs = {n: tuple(fit[n]) for n in names}
@@ -181,15 +297,18 @@ def prepared(df: DataFrame, names: list[str], kind: str = "robust", sigma: float
 
 
 def group_folds(df: DataFrame, n_splits: int = 5, shuffle: bool = True, seed: int = 42, group: str = "cell_id") -> DataFrame:
-    """`df` with a fold number that is the same for all rows of a group; groups are cells, a small dimension."""
-    import numpy as np
-
-    names = sorted(r[0] for r in df.select(group).distinct().collect())
-    if len(names) < n_splits:
-        raise ValueError(f"{n_splits} folds need as many groups; there are {len(names)}")
-    order = np.array(names, dtype=object)
-    if shuffle:
-        np.random.RandomState(seed).shuffle(order)
-    folds = [(str(c), k) for k, part in enumerate(np.array_split(order, n_splits)) for c in part]
-    table = df.sparkSession.createDataFrame(folds, "__g string, fold int")
-    return df.join(F.broadcast(table), F.col(group).cast("string") == F.col("__g")).drop("__g")
+    """`df` with a fold number that is the same for all rows of a group. Groups are cells, a narrow dimension: their names
+    are shuffled on the driver with numpy's generator, so that a seed always gives the same folds; without shuffling they
+    are dealt in order, by Spark."""
+    names = df.select(F.col(group)).distinct()
+    n = names.count()
+    if n < n_splits:
+        raise ValueError(f"{n_splits} folds need as many groups; there are {n}")
+    if not shuffle:
+        tiles = names.withColumn("fold", F.ntile(n_splits).over(Window.orderBy(group)) - 1)  # one row for each cell
+        return join_small(df, tiles, [group])
+    order = np.array(sorted(r[0] for r in names.collect()), dtype=object)
+    np.random.RandomState(seed).shuffle(order)
+    folds = [(c, k) for k, part in enumerate(np.array_split(order, n_splits)) for c in part]
+    table = df.sparkSession.createDataFrame(folds, T.StructType([df.schema[group], T.StructField("fold", T.IntegerType())]))
+    return join_small(df, table, [group])

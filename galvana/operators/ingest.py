@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import measured
+from ..functions.columns import join_small, measured
 from .config import CANONICAL, REQUIRED, Cell, Parsing
 
 
@@ -18,19 +18,29 @@ def unit_hint(name: str) -> str | None:
     return None
 
 
+def _taken(columns: list[str], cfg: Parsing) -> dict[str, str]:
+    """By canonical name, the first column that stands for it."""
+    taken: dict[str, str] = {}
+    for name in columns:
+        canonical = cfg.aliases.get(name.strip().lower())
+        if canonical:
+            taken.setdefault(canonical, name)
+    return taken
+
+
+def missing_columns(columns: list[str], cfg: Parsing = Parsing()) -> list[str]:
+    taken = _taken(columns, cfg)
+    return [c for c in REQUIRED if c not in taken]
+
+
 def standardised(raw: DataFrame, cfg: Parsing = Parsing()) -> tuple[DataFrame, dict[str, str]]:
     """Rename vendor columns to canonical ones; the first that matches wins and all others are kept.
 
     Returns the table and the unit hints of the renamed columns. ValueError if a required column is missing.
     """
-    taken: dict[str, str] = {}
-    for name in raw.columns:
-        canonical = cfg.aliases.get(name.strip().lower())
-        if canonical and canonical not in taken:
-            taken[canonical] = name
-    missing = [c for c in REQUIRED if c not in taken]
-    if missing:
+    if missing := missing_columns(raw.columns, cfg):
         raise ValueError(f"required columns are missing: {missing}; the table has {raw.columns}")
+    taken = _taken(raw.columns, cfg)
     back = {name: canonical for canonical, name in taken.items()}
     clash = {c for c in raw.columns if c in taken and c not in back}
     out = raw.select(*[F.col(f"`{c}`").alias(back.get(c, f"raw_{c}" if c in clash else c)) for c in raw.columns])
@@ -47,21 +57,30 @@ def numeric(df: DataFrame, keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
     if "time" in df.columns:
         text = F.col("time").cast("string")
         number, moment = text.try_cast("double"), F.try_to_timestamp(text)
-        w = Window.partitionBy(*[k for k in keys if k in df.columns])
-        dated = F.avg(F.when(number.isNull() & moment.isNotNull(), 1.0).otherwise(0.0)).over(w) > 0.5
-        micros = F.unix_micros(moment)
-        out = out.withColumn("time", F.when(dated, (micros - F.min(micros).over(w)) / 1e6).otherwise(number))
+        named = [k for k in keys if k in df.columns]
+        dated = F.avg(F.when(number.isNull() & moment.isNotNull(), 1.0).otherwise(0.0)) > 0.5
+        per_cell = df.groupBy(*named).agg(F.when(dated, F.min(F.unix_micros(moment))).alias("__first"))
+        out = join_small(out, per_cell, named) if named else out.withColumn("__first", per_cell.scalar())
+        out = out.withColumn("time", F.when(F.col("__first").isNotNull(), (F.unix_micros(moment) - F.col("__first")) / 1e6).otherwise(number))
+        out = out.select(*df.columns)
     return out
 
 
+def _unit(declared: str | None | Column, hint: str) -> Column:
+    given = declared if isinstance(declared, Column) else F.lit(declared).cast("string")
+    return F.coalesce(given, F.lit(hint))
+
+
 def in_si_units(df: DataFrame, hints: dict[str, str], cell: Cell = Cell()) -> DataFrame:
-    """A, Ah and s, by the cell's declared units or else the names' hints; never guessed from magnitudes."""
+    """A, Ah and s, by the cell's declared units or else the names' hints; never guessed from magnitudes.
+
+    The cell's units may be columns, for tables that hold cells of several kinds."""
+    current, capacity, time = _unit(cell.current_unit, hints.get("current", "A")), _unit(cell.capacity_unit, hints.get("capacity", "Ah")), _unit(cell.time_unit, "s")
     scale = {
-        "current": {"mA": 1e-3}.get(cell.current_unit or hints.get("current", "A"), 1.0),
-        "capacity": {"mAh": 1e-3}.get(cell.capacity_unit or hints.get("capacity", "Ah"), 1.0),
-        "time": {"h": 3600.0, "min": 60.0}.get(cell.time_unit or "s", 1.0),
-    }
-    return df.withColumns({c: F.col(c) * F.lit(k) for c, k in scale.items() if c in df.columns and k != 1.0})
+        "current": F.when(current == "mA", 1e-3).otherwise(1.0), "capacity": F.when(capacity == "mAh", 1e-3).otherwise(1.0),
+        "time": F.when(time == "h", 3600.0).when(time == "min", 60.0).otherwise(1.0),
+    }
+    return df.withColumns({c: F.col(c) * k for c, k in scale.items() if c in df.columns})
 
 
 def clean_rows(df: DataFrame, cfg: Parsing = Parsing()) -> DataFrame:

@@ -8,12 +8,12 @@ sample leaves the executors. Predictions are a native dot product.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
@@ -90,10 +90,14 @@ def solve(n: float, sx: np.ndarray, sxx: np.ndarray, sy: float, sxy: np.ndarray,
 _FIT = "mean array<double>, scale array<double>, coef array<double>, intercept double, n_train long"
 
 
-def loco_models(stats: DataFrame, net: ElasticNet = ElasticNet()) -> DataFrame:
+#: Fits a linear model from n, sx, sxx (upper triangle), sy, sxy, syy: a dict of mean, scale, coef, intercept.
+Solver = Callable[..., dict]
+
+
+def loco_models(stats: DataFrame, net: ElasticNet = ElasticNet(), solver: Solver = solve) -> DataFrame:
     """(cell_id, mean, scale, coef, intercept, n_train): the model of each fold, fitted without that cell.
 
-    With one cell there is no training data, and no row for it.
+    With one cell there is no training data, and no row for it. `solver` may be any function like `solve`.
     """
     size = stats.select(F.size("sx").alias("p")).first()
     p = size["p"] if size else 0
@@ -106,19 +110,20 @@ def loco_models(stats: DataFrame, net: ElasticNet = ElasticNet()) -> DataFrame:
             for r in frame.itertuples():
                 n = r.t_n - r.n
                 if n > 0:
-                    fit = solve(n, np.array(r.t_sx) - r.sx, np.array(r.t_sxx) - r.sxx, r.t_sy - r.sy, np.array(r.t_sxy) - r.sxy, r.t_syy - r.syy, net)
+                    fit = solver(n, np.array(r.t_sx) - r.sx, np.array(r.t_sxx) - r.sxx, r.t_sy - r.sy, np.array(r.t_sxy) - r.sxy, r.t_syy - r.syy, net)
                     out.append({"cell_id": r.cell_id, "n_train": n} | fit)
             yield pd.DataFrame(out, columns=["cell_id", "mean", "scale", "coef", "intercept", "n_train"])
 
-    return stats.join(F.broadcast(total)).mapInPandas(folds, f"cell_id string, {_FIT}")  # total is one row
+    sums = {c: total.select(c).scalar() for c in total.columns}  # one row, as scalar subqueries
+    return stats.withColumns(sums).mapInPandas(folds, f"cell_id string, {_FIT}")
 
 
-def full_model(stats: DataFrame, net: ElasticNet = ElasticNet()) -> dict:
+def full_model(stats: DataFrame, net: ElasticNet = ElasticNet(), solver: Solver = solve) -> dict:
     """The model over all cells; one row of sums reaches the driver."""
     p = stats.select(F.size("sx")).first()[0]
     add = lambda c, m: F.array(*[F.sum(F.col(c)[i]) for i in range(m)]).alias(c)
     t = stats.agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), add("sx", p), add("sxy", p), add("sxx", p * (p + 1) // 2)).first()
-    return solve(t["n"], np.array(t["sx"]), np.array(t["sxx"]), t["sy"], np.array(t["sxy"]), t["syy"], net)
+    return solver(t["n"], np.array(t["sx"]), np.array(t["sxx"]), t["sy"], np.array(t["sxy"]), t["syy"], net)
 
 
 def linear(names, mean, scale, coef, intercept: Column) -> Column:
@@ -130,10 +135,10 @@ def linear(names, mean, scale, coef, intercept: Column) -> Column:
     return total
 
 
-def loco_predictions(df: DataFrame, net: ElasticNet = ElasticNet(), names=FEATURE_COLS, target: str = "soh") -> DataFrame:
+def loco_predictions(df: DataFrame, net: ElasticNet = ElasticNet(), names=FEATURE_COLS, target: str = "soh", solver: Solver = solve) -> DataFrame:
     """(cell_id, cycle_number, y_true, y_pred) of every row with a target, by the model that hasn't seen its cell."""
     rows = df.withColumn("cell_id", F.col("cell_id").cast("string")).where(finite(F.col(target)))
-    models = loco_models(gram_stats(rows, names, target), net)
+    models = loco_models(gram_stats(rows, names, target), net, solver)
     joined = rows.join(models, "cell_id")
     y = linear(names, F.col("mean"), F.col("scale"), F.col("coef"), F.col("intercept"))
     return joined.select("cell_id", "cycle_number", F.col(target).alias("y_true"), y.alias("y_pred"))
@@ -161,6 +166,21 @@ def importance(spark, model: dict, names=FEATURE_COLS) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, coefficient double, abs_coefficient double").orderBy(F.desc("abs_coefficient"), "feature")
 
 
+def top_importance(importance: DataFrame, n: int) -> DataFrame:
+    """The n features of largest absolute weight with their rank; ties by name. One row for each feature."""
+    order = Window.orderBy(F.desc("abs_coefficient"), "feature")
+    return importance.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def saved_models(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, config_hash, features, net) of the models that `save` wrote into a folder, newest name first; what isn't such
+    a file is left out."""
+    net = ", ".join(f"{f.name}: {'int' if f.name == 'max_iter' else 'double'}" for f in fields(ElasticNet))
+    schema = f"features array<string>, config_hash string, net struct<{net}>"
+    read = spark.read.schema(schema).option("mode", "PERMISSIVE").json(f"{folder}/*.json", multiLine=True)
+    return read.select(F.col("_metadata.file_name").alias("path"), "config_hash", "features", "net").where("config_hash IS NOT NULL").orderBy(F.desc("path"))
+
+
 def save(model: dict, path: str, config_hash: str, net: ElasticNet = ElasticNet(), names=FEATURE_COLS) -> None:
     """The model as JSON, tied to the configuration of its features."""
     plain = {k: v.tolist() if isinstance(v, np.ndarray) else float(v) for k, v in model.items()}

@@ -64,10 +64,12 @@ def resistance_growth(reference_widths: np.ndarray, current_widths: np.ndarray)
     return float(np.mean((c[:n] - r[:n]) / (r[:n] + 1e-8)))
 
 
-def interpreted(voltage: np.ndarray, reference: np.ndarray, current: np.ndarray, spacing_mv: float | None = None) -> dict:
-    """All metrics of one curve against its reference, with the peaks and matches they come from."""
+def interpreted(voltage: np.ndarray, reference: np.ndarray, current: np.ndarray, spacing_mv: float | None = None, before: list[dict] | None = None) -> dict:
+    """All metrics of one curve against its reference, with the peaks and matches they come from. `before`: the peaks of
+    the reference, if they are known."""
     spacing = spacing_mv or grid_spacing(voltage)
-    before, now = peaks_of(voltage, reference, spacing), peaks_of(voltage, current, spacing)
+    before = peaks_of(voltage, reference, spacing) if before is None else before
+    now = peaks_of(voltage, current, spacing)
     matches = matched_peaks(np.array([p["voltage"] for p in before]), np.array([p["voltage"] for p in now]))
     shifts = [m["shift"] for m in matches if m["matched"]]
     lost = sum(m["disappeared"] for m in matches)
@@ -85,28 +87,73 @@ _COUNTS = ("LLI_n_matched", "LLI_n_disappeared", "LLI_n_appeared")
 _METRICS = ", ".join(f"{c} {'int' if c in _COUNTS else 'double'}" for c in PHYSICS_COLS)
 
 
-def physics_table(curves: DataFrame) -> DataFrame:
+def physics_table(curves: DataFrame, reference_cycle: int | None = None) -> DataFrame:
     """Metrics of each curve of (cell_id, cycle_number, is_reference, voltage_grid, dqdv) against its cell's reference: the
-    marked curve, or else the cell's earliest. One join on the cell and one pass; curves must share their cell's grid."""
-    first = Window.partitionBy("cell_id").orderBy(F.desc(F.coalesce("is_reference", F.lit(False))), "cycle_number")
-    refs = curves.withColumn("__nth", F.row_number().over(first)).where("__nth = 1")
-    refs = refs.select("cell_id", F.col("dqdv").alias("ref_dqdv"))
-    joined = curves.join(refs, "cell_id").select("cell_id", "cycle_number", "voltage_grid", "dqdv", "ref_dqdv")
-
+    marked curve, or else `reference_cycle` if given and the cell's earliest if not. One join on the cell and one pass;
+    curves must share their cell's grid. Cells without a reference say so in `failed`."""
+    marked = F.coalesce("is_reference", F.lit(False))
+    chosen = curves if reference_cycle is None else curves.where(marked | (F.col("cycle_number") == reference_cycle))
+    place = F.struct((~marked).alias("unmarked"), "cycle_number")
+    refs = chosen.groupBy("cell_id").agg(F.min_by("dqdv", place).alias("ref_dqdv"))
+    return against_reference(curves.join(refs, "cell_id", "left").select("cell_id", "cycle_number", "voltage_grid", "dqdv", "ref_dqdv"))
+
+
+def against_reference(pairs: DataFrame) -> DataFrame:
+    """Metrics of each row of (cell_id, cycle_number, voltage_grid, dqdv, ref_dqdv), in one pass; a row that can't be
+    interpreted has nulls and the reason in `failed`."""
     schema = f"cell_id string, cycle_number int, {_METRICS}, peaks {PEAKS}, matches {MATCHES}, failed string"
-    arrow = curves.sparkSession.createDataFrame([], schema).toArrow().schema
+    arrow = pairs.sparkSession.createDataFrame([], schema).toArrow().schema
+
+    def one(v: np.ndarray, now: np.ndarray, ref: np.ndarray | None, known: dict) -> dict:
+        if ref is None:
+            return {"failed": "the cell has no reference"}
+        if not len(v) == len(ref) == len(now):
+            return {"failed": "grid differs from the reference's"}
+        try:
+            key = (v.tobytes(), ref.tobytes())
+            if key not in known:
+                known.clear()  # curves of a cell mostly follow one another
+                known[key] = peaks_of(v, ref)
+            return interpreted(v, ref, now, before=known[key])
+        except ValueError as e:  # a grid that isn't uniform, or widths that aren't positive
+            return {"failed": str(e)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                v, ref, now = (np.asarray(r[c], float) for c in ("voltage_grid", "ref_dqdv", "dqdv"))
-                ok = len(v) == len(ref) == len(now)
-                found = interpreted(v, ref, now) if ok else {"failed": "grid differs from the reference's"}
-                rows.append({"cell_id": str(r["cell_id"]), "cycle_number": r["cycle_number"]} | found)
+            arrays = ([None if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(float) for x in batch.column(c)] for c in ("voltage_grid", "dqdv", "ref_dqdv"))
+            keys = zip(batch.column("cell_id").to_pylist(), batch.column("cycle_number").to_pylist(), *arrays, strict=True)
+            rows = [{"cell_id": str(c), "cycle_number": k} | one(v, now, ref, known) for c, k, v, now, ref in keys]
             yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in arrow.names} for x in rows], arrow)
 
-    return joined.mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
+
+
+def min_max(column: str | Column) -> Column:
+    """An array scaled to between 0 and 1 by its least and greatest value."""
+    a = F.col(column) if isinstance(column, str) else column
+    low, high = F.array_min(a), F.array_max(a)
+    return F.transform(a, lambda x: (x - low) / (high - low + 1e-8))
+
+
+def peak_matches(df: DataFrame, reference: str = "ref_peaks", current: str = "peaks", tolerance: float = TOLERANCE_V) -> DataFrame:
+    """`df` with `matches`: the peaks of two arrays of voltages assigned to each other."""
+
+    @F.pandas_udf(MATCHES)
+    def matched(ref: pd.Series, now: pd.Series) -> pd.Series:
+        return pd.Series([matched_peaks(np.asarray(a, float), np.asarray(b, float), tolerance) for a, b in zip(ref, now, strict=True)])
+
+    return df.withColumn("matches", matched(reference, current))
+
+
+def width_growth(reference: str, current: str) -> Column:
+    """Mean relative growth of two arrays of widths paired by position; 0 where one is empty, an error for widths that
+    aren't positive."""
+    pairs = F.slice(F.arrays_zip(F.col(reference).alias("r"), F.col(current).alias("c")), 1, F.least(F.size(reference), F.size(current)))
+    bad = F.exists(reference, lambda x: x <= 0) | F.exists(current, lambda x: x <= 0)
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["c"] - p["r"]) / (p["r"] + 1e-8))
+    mean = F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(0.0)
+    return F.when(bad, F.raise_error(F.lit("widths must be positive, in mV")).cast("double")).otherwise(mean)
 
 
 def lli_summary(matches: Column, n_ref: Column) -> dict[str, Column]:
@@ -154,21 +201,27 @@ def peak_table(curves: DataFrame) -> DataFrame:
     return curves.select("cell_id", "cycle_number", F.explode(found("voltage_grid", "dqdv")).alias("p")).select("cell_id", "cycle_number", "p.*")
 
 
+#: The sentences of an explanation.
+SENTENCES = {
+    "health": "Predicted SOH: %.1f%%.",
+    "shift": "Lithium inventory loss (LLI): ICA peaks shifted %.1f mV to %s voltage (match confidence %.0f%%).",
+    "lost": "Lithium inventory loss (LLI): %d reference peak(s) disappeared, suggesting capacity-limiting Li plating or SEI growth.",
+    "area": "Active material loss (LAM): %.1f%% reduction in total ICA area — electrode active sites consumed.",
+    "width": "Resistance growth: ICA peak width increased %.1f%% (broadening = higher impedance / polarisation).",
+    "none": "No significant degradation signature detected at this cycle.",
+}
+
+
 def explained(df: DataFrame) -> DataFrame:
     """`df` (soh_pred and physics columns) with a sentence for each mechanism that shows, as explanation."""
     c = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
     shift, conf, lam, res, lost = (c(n) for n in ("LLI_mean_shift", "LLI_confidence", "LAM_loss", "Resistance_growth", "LLI_n_disappeared"))
-    to = F.when(shift > 0, "higher").otherwise("lower")
-    moved = F.format_string(
-        "Lithium inventory loss (LLI): ICA peaks shifted %.1f mV to %s voltage (match confidence %.0f%%).", shift * 1000, to, conf * 100
-    )
-    gone = F.format_string(
-        "Lithium inventory loss (LLI): %d reference peak(s) disappeared, suggesting capacity-limiting Li plating or SEI growth.", lost.cast("int")
-    )
+    say = lambda name, *values: F.format_string(SENTENCES[name], *values)
+    moved = say("shift", shift * 1000, F.when(shift > 0, "higher").otherwise("lower"), conf * 100)
     parts = [
-        F.when((conf > 0.5) & (F.abs(shift) > 0.003), moved).when(lost > 0, gone),
-        F.when(lam > 0.02, F.format_string("Active material loss (LAM): %.1f%% reduction in total ICA area — electrode active sites consumed.", lam * 100)),
-        F.when(res > 0.05, F.format_string("Resistance growth: ICA peak width increased %.1f%% (broadening = higher impedance / polarisation).", res * 100)),
+        F.when((conf > 0.5) & (F.abs(shift) > 0.003), moved).when(lost > 0, say("lost", lost.cast("int"))),
+        F.when(lam > 0.02, say("area", lam * 100)),
+        F.when(res > 0.05, say("width", res * 100)),
     ]
-    none = F.when(F.coalesce(*parts).isNull(), F.lit("No significant degradation signature detected at this cycle."))
-    return df.withColumn("explanation", F.concat_ws(" ", F.format_string("Predicted SOH: %.1f%%.", F.col("soh_pred") * 100), *parts, none))
+    none = F.when(F.coalesce(*parts).isNull(), F.lit(SENTENCES["none"]))
+    return df.withColumn("explanation", F.concat_ws(" ", say("health", F.col("soh_pred") * 100), *parts, none))

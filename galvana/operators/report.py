@@ -11,6 +11,11 @@ from .config import MECHANISM_SCALES, TREND_SIGNALS
 KEYS = ["cell_id", "cycle_number"]
 
 
+def repeated_keys(df: DataFrame) -> DataFrame:
+    """(cell_id, cycle_number, count) of the keys that occur more than once."""
+    return df.groupBy(*KEYS).count().where("count > 1")
+
+
 def validate(predictions: DataFrame, per_cell: DataFrame, physics: DataFrame | None = None) -> None:
     """ValueError for missing columns, repeated keys or cells without metrics. Only counts and one name reach the driver."""
     need = {"predictions": (predictions, [*KEYS, "y_true", "y_pred"]), "per_cell": (per_cell, ["cell_id", "rmse"])}
@@ -21,7 +26,7 @@ def validate(predictions: DataFrame, per_cell: DataFrame, physics: DataFrame | N
         if missing:
             raise ValueError(f"{name} lacks {missing}")
     for name, df in (("predictions", predictions), ("physics", physics)):
-        if df is not None and (twice := df.groupBy(*KEYS).count().where("count > 1").first()):
+        if df is not None and (twice := repeated_keys(df).first()):
             raise ValueError(f"{name} has {twice['cell_id']}, {twice['cycle_number']} {twice['count']} times")
     if lone := predictions.join(per_cell, "cell_id", "left_anti").first():
         raise ValueError(f"cell {lone['cell_id']} has no metrics")

@@ -47,15 +47,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def physics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mechanism metrics for two of three cycles."""
-    return meta(spark, sf_dir).where(F.col("cycle_index") % 3 != 1).select(
+    """Mechanism metrics of each cycle."""
+    return meta(spark, sf_dir).select(
         "cell_id", F.col("cycle_index").alias("cycle_number"), (F.col("cycle_index") * 0.0001 + (F.col("voltage_min") - 2.6) * 0.01).alias("LLI_mean_shift"),
         (F.col("n_points") % 4).alias("LLI_n_disappeared"), (F.col("n_points") % 10 / 10).alias("LLI_confidence"),
         (F.col("n_points") % 5 / 10).alias("LLI_disappearance_penalty"), (F.col("cycle_index") * 0.001).alias("LAM_loss"),
-        (F.col("voltage_max") - 3.9).alias("Resistance_growth"),
+        (F.col("voltage_max") - 3.9).alias("Resistance_growth"), "n_points",
     )
 
 
+def physics_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a cycle has points enough for a curve; other cycles have no physics."""
+    return physics(spark, sf_dir).where("n_points >= 4").drop("n_points")
+
+
 def binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cell_id, cycle_index, grid_idx, q): charge of each voltage bin of a discharge."""
     bin_of = F.floor((F.col("voltage") - 2.5) * 10).cast("int")
@@ -102,7 +107,8 @@ meta AS (SELECT *, c_rate_est <= 0.1 AS ica_suitable, c_rate_est >= 1.0 AS fast_
   SELECT cell_id, cycle_index AS cycle_number, cycle_index * CAST(0.0001 AS DOUBLE) + (voltage_min - CAST(2.6 AS DOUBLE)) * CAST(0.01 AS DOUBLE) AS LLI_mean_shift,
     n_points % 4 AS LLI_n_disappeared, (n_points % 10) / CAST(10 AS DOUBLE) AS LLI_confidence,
     (n_points % 5) / CAST(10 AS DOUBLE) AS LLI_disappearance_penalty, cycle_index * CAST(0.001 AS DOUBLE) AS LAM_loss,
-    voltage_max - CAST(3.9 AS DOUBLE) AS Resistance_growth FROM meta WHERE cycle_index % 3 <> 1)""",
+    voltage_max - CAST(3.9 AS DOUBLE) AS Resistance_growth, n_points FROM meta)""",
+    "physics_known": "physics_known AS (SELECT * EXCLUDE (n_points) FROM physics WHERE n_points >= 4)",
     "binned": """binned AS (
   SELECT cell_id, cycle_index, CAST(floor((voltage - 2.5) * 10) AS INTEGER) AS grid_idx, sum(abs(current)) / 1000 AS q FROM discharge GROUP BY ALL)""",
     "features": """features AS (
@@ -110,7 +116,7 @@ meta AS (SELECT *, c_rate_est <= 0.1 AS ica_suitable, c_rate_est >= 1.0 AS fast_
     CASE WHEN n_points % 7 <> 0 THEN c_rate_est END AS f3 FROM meta)""",
 }
 _NEEDS = {
-    "samples": [], "cycled": ["samples"], "discharge": ["cycled"], "meta": ["cycled"], "predictions": ["meta"], "physics": ["meta"],
+    "samples": [], "cycled": ["samples"], "discharge": ["cycled"], "meta": ["cycled"], "predictions": ["meta"], "physics": ["meta"], "physics_known": ["physics"],
     "binned": ["discharge"], "features": ["meta"],
 }
 

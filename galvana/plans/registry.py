@@ -196,7 +196,8 @@ def gradient(spark, d):
     "SELECT cell_id, row_id, round(sum(voltage) OVER (PARTITION BY cell_id ORDER BY time, row_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5.0, 6) AS mean FROM samples", "samples"
 )
 def moving_avg(spark, d):
-    return base.samples(spark, d).select("cell_id", "row_id", F.round(curves.moving_average("voltage", cycles.in_time(), 5), 6).alias("mean"))
+    found = cycles.over_blocks(base.samples(spark, d), 2, {"mean": lambda w: curves.moving_average("voltage", w, 5)}, block=512)
+    return found.select("cell_id", "row_id", r("mean"))
 
 
 def _sg_sql() -> str:
@@ -208,7 +209,8 @@ def _sg_sql() -> str:
 
 @query(_sg_sql(), "samples")
 def sg_smooth(spark, d):
-    return base.samples(spark, d).select("cell_id", "row_id", F.round(curves.savgol_interior("voltage", cycles.in_time(), 21, 3), 6).alias("smooth"))
+    found = cycles.over_blocks(base.samples(spark, d), 10, {"smooth": lambda w: curves.savgol_interior("voltage", w, 21, 3)}, block=512)
+    return found.select("cell_id", "row_id", r("smooth"))
 
 
 # --- difference curves and features ----------------------------------------------------------------------------------
@@ -337,7 +339,7 @@ def metrics_grouping_sets(spark, d):
 
 @query()
 def loco_predictions(spark, d):
-    """Coordinate descent isn't SQL; tests hold it against the recorded run."""
+    """Coordinate descent over several features isn't SQL; a test holds it against a row-wise version."""
     return model.loco_predictions(base.features(spark, d), names=("f1", "f2", "f3"))
 
 
@@ -345,25 +347,25 @@ def loco_predictions(spark, d):
 
 
 def _cycle_table(spark, d):
-    return report.cycle_table(base.predictions(spark, d), base.physics(spark, d))
+    return report.cycle_table(base.predictions(spark, d), base.physics_known(spark, d))
 
 
-_CT = "+ ct AS (SELECT p.cell_id, p.cycle_number, y_true AS soh_true, y_pred AS soh_pred, f.* EXCLUDE (cell_id, cycle_number) FROM predictions p LEFT JOIN physics f ON p.cell_id = f.cell_id AND p.cycle_number = f.cycle_number)"
+_CT = "+ ct AS (SELECT p.cell_id, p.cycle_number, y_true AS soh_true, y_pred AS soh_pred, f.* EXCLUDE (cell_id, cycle_number) FROM predictions p LEFT JOIN physics_known f ON p.cell_id = f.cell_id AND p.cycle_number = f.cycle_number)"
 
 
-@query(_CT + " SELECT cell_id, cycle_number, round(soh_pred, 6) AS soh_pred, round(LLI_mean_shift, 6) AS LLI_mean_shift, LAM_loss FROM ct", "predictions physics")
+@query(_CT + " SELECT cell_id, cycle_number, round(soh_pred, 6) AS soh_pred, round(LLI_mean_shift, 6) AS LLI_mean_shift, LAM_loss FROM ct", "predictions physics_known")
 def report_left_join(spark, d):
     return _cycle_table(spark, d).select("cell_id", "cycle_number", r("soh_pred"), r("LLI_mean_shift"), "LAM_loss")
 
 
-@query("SELECT p.cell_id, p.cycle_number, round(f1, 6) AS f1, LAM_loss FROM features p JOIN physics f ON p.cell_id = f.cell_id AND p.cycle_number = f.cycle_number", "features physics")
+@query("SELECT p.cell_id, p.cycle_number, round(f1, 6) AS f1, LAM_loss FROM features p JOIN physics_known f ON p.cell_id = f.cell_id AND p.cycle_number = f.cycle_number", "features physics_known")
 def ml_physics_inner(spark, d):
-    return physics.merged(base.features(spark, d), base.physics(spark, d)).select("cell_id", "cycle_number", r("f1"), "LAM_loss")
+    return physics.merged(base.features(spark, d), base.physics_known(spark, d)).select("cell_id", "cycle_number", r("f1"), "LAM_loss")
 
 
-@query("SELECT cell_id, cycle_number FROM predictions p WHERE NOT EXISTS (SELECT 1 FROM physics f WHERE f.cell_id = p.cell_id AND f.cycle_number = p.cycle_number)", "predictions physics")
+@query("SELECT cell_id, cycle_number FROM predictions p WHERE NOT EXISTS (SELECT 1 FROM physics_known f WHERE f.cell_id = p.cell_id AND f.cycle_number = p.cycle_number)", "predictions physics_known")
 def anti_missing(spark, d):
-    return report.missing_physics(base.predictions(spark, d), base.physics(spark, d)).select("cell_id", "cycle_number")
+    return report.missing_physics(base.predictions(spark, d), base.physics_known(spark, d)).select("cell_id", "cycle_number")
 
 
 _TRENDS = """, st AS (SELECT cell_id, CAST(cycle_number AS DOUBLE) AS x, unnest([{'s': 'soh_pred', 'y': soh_pred}, {'s': 'LLI_mean_shift', 'y': LLI_mean_shift}, {'s': 'LAM_loss', 'y': LAM_loss}, {'s': 'Resistance_growth', 'y': Resistance_growth}]) AS p FROM ct),
@@ -371,7 +373,7 @@ fits AS (SELECT cell_id, p.s AS signal, count(p.y) AS n, regr_slope(p.y, x) AS s
 trends AS (SELECT *, 1 - (syy - slope * sxy) / (syy + 1e-12) AS r2 FROM fits)"""
 
 
-@query(_CT + _TRENDS + " SELECT cell_id, signal, n, round(slope, 8) AS slope, round(intercept, 6) AS intercept, round(r2, 5) AS r2 FROM trends", "predictions physics")
+@query(_CT + _TRENDS + " SELECT cell_id, signal, n, round(slope, 8) AS slope, round(intercept, 6) AS intercept, round(r2, 5) AS r2 FROM trends", "predictions physics_known")
 def trend_ols(spark, d):
     return report.trends(_cycle_table(spark, d)).select("cell_id", "signal", "n", r("slope", 8), r("intercept"), r("r2", 5))
 
@@ -393,7 +395,7 @@ rates AS (SELECT cell_id, max(CASE WHEN signal = 'LLI_mean_shift' THEN abs(slope
     _CT + _TRENDS + _SUMMARY
     + """ SELECT cell_id, n_cycles, first_cycle, last_cycle, round(soh_pred_first, 6) AS soh_pred_first, round(soh_pred_last, 6) AS soh_pred_last, round(mean_residual, 6) AS mean_residual,
   round(conf, 6) AS mean_lli_confidence, round(greatest(0.0, least(1.0, ((greatest(0.0, least(1.0, coalesce(model_r2, 0.0))) + 1) / 2 + coalesce(conf, 0.5)) / 2)), 5) AS overall_confidence FROM base""",
-    "predictions physics",
+    "predictions physics_known",
 )
 def cell_summary(spark, d):
     return _summary(spark, d).select(
@@ -404,7 +406,7 @@ def cell_summary(spark, d):
 @query(
     _CT + _TRENDS + _SUMMARY
     + " SELECT cell_id, CASE WHEN greatest(a, b, c) < 0.1 THEN 'indeterminate' WHEN a = greatest(a, b, c) THEN 'LLI' WHEN b = greatest(a, b, c) THEN 'LAM' ELSE 'resistance_growth' END AS dominant_mechanism FROM rates",
-    "predictions physics",
+    "predictions physics_known",
 )
 def dominant_mech(spark, d):
     return _summary(spark, d).select("cell_id", "dominant_mechanism")
@@ -490,7 +492,7 @@ def batch_average(spark, d):
   CASE WHEN NOT (coalesce(LLI_confidence, 0) > 0.5 AND abs(coalesce(LLI_mean_shift, 0)) > 0.003) AND coalesce(LLI_n_disappeared, 0) = 0 AND coalesce(LAM_loss, 0) <= 0.02 AND coalesce(Resistance_growth, 0) <= 0.05
     THEN 'No significant degradation signature detected at this cycle.' END) AS explanation
 FROM (SELECT * REPLACE (round(soh_pred, 7) + 1e-7 AS soh_pred, round(LLI_mean_shift, 7) + 1e-8 AS LLI_mean_shift, round(LAM_loss, 4) + 1e-7 AS LAM_loss, round(Resistance_growth, 4) + 1e-7 AS Resistance_growth) FROM ct)""",
-    "predictions physics",
+    "predictions physics_known",
 )
 def explain_text(spark, d):
     off_ties = {c: F.round(c, k) + e for c, k, e in (("soh_pred", 7, 1e-7), ("LLI_mean_shift", 7, 1e-8), ("LAM_loss", 4, 1e-7), ("Resistance_growth", 4, 1e-7))}
@@ -526,20 +528,6 @@ def prepared_features(spark, d):
     return features.prepared(base.features(spark, d), ["f3"], sigma=2.0).select("cell_id", "cycle_number", r("f3", 5))
 
 
-@query(
-    "SELECT cell_id, sum(w * y) AS area FROM (SELECT cell_id, abs(current) AS y, CASE WHEN nth = 1 OR nth = 21 THEN 1.0 WHEN nth % 2 = 0 THEN 4.0 ELSE 2.0 END / 3.0 AS w FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY time, row_id) AS nth FROM samples) WHERE nth <= 21) GROUP BY cell_id".replace(
-        "sum(w * y) AS area", "round(sum(w * y), 5) AS area"
-    ),
-    "samples",
-)
-def simpson_uniform(spark, d):
-    """Area under an odd number of evenly spaced points by Simpson's weights."""
-    nth = F.row_number().over(cycles.in_time())
-    weight = F.when((F.col("nth") == 1) | (F.col("nth") == 21), 1.0).when(F.col("nth") % 2 == 0, 4.0).otherwise(2.0) / 3.0
-    rows = base.samples(spark, d).withColumn("nth", nth).where("nth <= 21")
-    return rows.groupBy("cell_id").agg(F.round(F.sum(weight * F.abs("current")), 5).alias("area"))
-
-
 @query(
     """SELECT cell_id, day, round(sum(w * y), 5) AS area FROM (SELECT cell_id, day, abs(current) AS y,
   CASE WHEN n = 1 THEN 0.0 WHEN nth > odd THEN 0.5 WHEN odd = 1 THEN 0.5 WHEN nth = odd AND n > odd THEN 1.0 / 3.0 + 0.5
@@ -583,3 +571,6 @@ def ica_peaks(spark, d):
         "cell_id", "cycle_number", F.transform(grid, lambda i: F.lit(2.5) + i * F.lit(0.02)).alias("voltage_grid"),
         F.transform(grid, lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("dqdv"),
     ))
+
+
+from . import more  # noqa: E402, F401  (registers the rest)

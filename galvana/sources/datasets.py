@@ -36,9 +36,10 @@ def read_batch(spark: SparkSession, path: str, time_unit: str = "min") -> DataFr
     health = F.map_from_arrays(F.transform("cell.summary.cycle", lambda c: c.cast("int")), F.transform("cell.summary.QDischarge", lambda q: q / first))
     cycles = cells.select("cell_id", health.alias("health"), F.col("cell.charge_policy").alias("protocol"), F.explode("cell.cycles").alias("key", "c"))
     cycles = cycles.withColumn("cycle_index", F.col("key").try_cast("int")).where("cycle_index IS NOT NULL AND c['t'] IS NOT NULL AND c['V'] IS NOT NULL AND c['I'] IS NOT NULL")
+    none = F.array().cast("array<double>")  # a field that a cycle lacks is null at every point
     points = cycles.select(
         "cell_id", "cycle_index", "protocol", F.try_element_at("health", F.col("cycle_index")).alias("soh"),
-        F.posexplode(F.arrays_zip(*[F.col("c")[n].alias(f"x{k}") for k, n in enumerate(("t", "V", "I", "Qc", "Qd", "T"))])).alias("pos", "p"),
+        F.posexplode(F.arrays_zip(*[F.coalesce(F.col("c")[n], none).alias(f"x{k}") for k, n in enumerate(("t", "V", "I", "Qc", "Qd", "T"))])).alias("pos", "p"),
     )
     order = F.col("cycle_index").cast("long") * F.lit(1 << 32) + F.col("pos")
     return points.select(

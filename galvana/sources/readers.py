@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Callable
+from functools import reduce
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,67 @@ def read_raw(spark: SparkSession, path: str, cell_id: str | None = None) -> Data
     return df.withColumns({"cell_id": stem, "row_id": F.monotonically_increasing_id()})
 
 
+def _file_name():
+    """The file of a row, spelt as `files_of` spells it."""
+    return F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias("file")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files of a path or pattern as Spark knows them; none if nothing is there. No job runs."""
+    try:
+        return sorted(re.sub("^file:/+", "file:///", f) for f in spark.read.text(path).inputFiles())
+    except AnalysisException:
+        return []
+
+
+def columns_of(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, list[str]] | str]:
+    """By file: its delimiter ("" where it has none) and columns, or the reason why it can't be read.
+
+    The first lines of all text files come from one job; other formats tell their schema by themselves."""
+    out: dict[str, tuple[str, list[str]] | str] = {}
+    texts = [f for f in files if PurePosixPath(f).suffix.lower() in (".csv", ".txt")]
+    if texts:
+        lines = spark.read.text(texts).select(_file_name(), "value", F.monotonically_increasing_id().alias("line"))
+        heads = {r.file: r.head for r in lines.groupBy("file").agg(F.min_by("value", "line").alias("head")).collect()}  # a line for each file
+        for f in texts:
+            head = heads.get(f)
+            if not head:
+                out[f] = "the file is empty"
+            else:
+                delimiter = max(DELIMITERS, key=head.count)
+                out[f] = (delimiter, [c.strip().strip('"') for c in head.split(delimiter)])
+    for f in sorted(set(files) - set(texts)):
+        kind = PurePosixPath(f).suffix.lower()
+        try:
+            out[f] = ("", FORMATS[kind](spark, f).columns) if kind in FORMATS else f"unknown extension {kind!r}"
+        except Exception as e:  # whatever a reader says about a broken file belongs to that file alone
+            out[f] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+    return out
+
+
+def read_alike(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
+    """Files of one format and header as one table, with `file` and a row_id that rises within each. Files that turn out
+    to be corrupt give no rows."""
+    kind = PurePosixPath(files[0]).suffix.lower()
+    reader = spark.read.option("ignoreCorruptFiles", True)
+    if kind in (".csv", ".txt"):
+        df = reader.csv(files, header=True, sep=delimiter)
+    elif kind == ".feather":
+        parts = [read_feather(spark, f).withColumn("file", F.lit(f)) for f in files]
+        return reduce(DataFrame.unionByName, parts).withColumn("row_id", F.monotonically_increasing_id())
+    else:
+        df = reader.format({".pq": "parquet"}.get(kind, kind[1:])).load(files)
+    return df.select("*", _file_name(), F.monotonically_increasing_id().alias("row_id"))
+
+
 class Registry:
     """Named loaders of datasets, `(spark, path) -> DataFrame`, also found by extension."""
 
