@@ -384,12 +384,16 @@ def test_stream_of_samples(spark, tmp_path):
 
     rows = cell(3)
     df = spark.createDataFrame(rows, SAMPLES).drop("cycle_index")
+    late = spark.createDataFrame([("a", 9001, 30.0, 3.0, 1.0)], df.schema)
     for k in range(3):
-        df.where(f"row_id div 700 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+        part = df.where(f"row_id div 700 = {k}")
+        (part.union(late) if k == 1 else part).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     q = stream.with_cycles(source).writeStream.format("memory").queryName("cycles_out").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    got = {r.row_id: (r.phase, r.cycle_index) for r in spark.table("cycles_out").collect()}
+    seen = spark.table("cycles_out").collect()
+    assert [(r.row_id, r.phase, r.cycle_index) for r in seen if r.late] == [(9001, None, None)]
+    got = {r.row_id: (r.phase, r.cycle_index) for r in seen if not r.late}
     want = {r.row_id: (r.phase, r.cycle_index) for r in cycles.with_cycles(df).collect()}
     assert got == want
