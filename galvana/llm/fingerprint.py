@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, small_or_shuffled, written
 
 #: Rows of a run of ids, within which neighbours are found; a run is sorted in one task.
-ROWS_A_RUN = 1 << 16
+ROWS_A_RUN = 1 << 14
 _NFKC = ("com.ibm.icu.text.Normalizer", "compose")
 _FOLD = ("com.ibm.icu.lang.UCharacter", "foldCase")
 
