@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A relation is broadcast only when a count has shown that it has no more rows than this.
 BROADCAST_ROWS = 400_000
-#: The same for rows that hold texts or arrays, in bytes of them all.
-BROADCAST_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +79,21 @@ def small_or_shuffled(df: DataFrame, rows: int | None = None, bound: int = BROAD
     return F.broadcast(df) if n <= bound else df
 
 
-def light_or_shuffled(df: DataFrame, size: Column, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """Like `small_or_shuffled` for rows that hold texts or arrays: `size` is a row's bytes, `bound` those of all rows."""
-    total = df.agg(F.sum(size + F.lit(64))).first()[0] or 0
-    return F.broadcast(df) if total <= bound else df
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow and the like, giving its memory back when a task ends: Spark uses a Python worker again for other
+    stages, and what an allocator keeps would add up beside the executor's own."""
+
+    def and_release(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return and_release
 
 
 def arrow_map(
@@ -99,7 +110,7 @@ def arrow_map(
                 else:
                     yield from out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import MEMO_ENTRIES, pieces
+from .common import tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -200,4 +201,4 @@ def packed(
             yield flush()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, SCHEMA)
+    return chosen.mapInArrow(tidy(run), SCHEMA)

@@ -31,7 +31,7 @@ LEARNING_RATE = 0.15
 PENALTY = 2e-4
 #: A document is kept if the probability of the top grade is at least this.
 KEEP_TAIL = 0.5
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 _EDGE = "\"'.,;:!?()[]{}<>*&%$#@|~^=+-_/\\`“”‘’«»…"
 
 

@@ -15,7 +15,7 @@ from re import _parser as sre
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, BROADCAST_ROWS, fresh, light_or_shuffled, small_or_shuffled, written
+from .common import BROADCAST_ROWS, fresh, small_or_shuffled, written
 
 #: Alternatives that the derivation follows before it treats a part as unknown.
 MAX_ALTERNATIVES = 64
@@ -189,11 +189,11 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boun
     )
 
 
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", bound: int = BROADCAST_BYTES) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """`docs` with every found span replaced by `mark`; overlapping spans give one mark. Texts without spans, null texts
     and all other columns, of whatever names, stay as they are; n_chars, if there, follows the text. Null ids, repeated ids
-    and repeated rows are masked like others; an empty table gives an empty one. Masked texts are joined back by broadcast
-    up to `bound` bytes of them, and by a shuffle otherwise."""
+    and repeated rows are masked like others; an empty table gives an empty one. Masked texts grow with the table, so the
+    join that puts them back always shuffles."""
     found = found_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).where(F.size("spans") > 0)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -209,9 +209,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     k1, k2, new = fresh(docs, "k1", "k2", "new_text")
     names = dict(zip((k1, k2), _key("doc_id", "text"), strict=True))
     changed = found.select(*[c.alias(n) for n, c in names.items()], F.aggregate("spans", start, step, rest).alias(new)).dropDuplicates([k1, k2])
-    changed = light_or_shuffled(written(changed, "redacted"), F.length(new), bound)
+    changed = written(changed, "redacted")
     own = dict(zip((k1, k2), _key(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))), strict=True))
-    out = docs.withColumns(own).join(changed, [k1, k2], "left")
+    out = docs.withColumns(own).join(changed.hint("merge"), [k1, k2], "left")
     columns = {text_col: F.coalesce(F.col(new), F.col(text_col))}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.coalesce(F.length(new), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

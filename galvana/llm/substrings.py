@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, arrow_map, fresh, light_or_shuffled, small_or_shuffled, utf8, written
+from .common import arrow_map, fresh, small_or_shuffled, tidy, utf8, written
 
 WINDOW = 50
 #: Longest run of windows in a segment.
@@ -38,7 +38,7 @@ SHARD_WORDS = 400_000
 SHARE = 8
 #: Part of SHARD_WORDS that a shard holds on average.
 FILL = 0.75
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 FLUSH_BYTES = 48 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -330,7 +330,7 @@ def _segments(flagged: DataFrame, window: int) -> DataFrame:
         if held.rows:
             yield _placed_batch(held.out())
 
-    return flagged.select("doc_id", "key", "text", "anchors").mapInArrow(run, _PLACED)
+    return flagged.select("doc_id", "key", "text", "anchors").mapInArrow(tidy(run), _PLACED)
 
 
 def _recut(texts: DataFrame, window: int, k: int) -> DataFrame:
@@ -357,11 +357,11 @@ def _recut(texts: DataFrame, window: int, k: int) -> DataFrame:
         if held.rows:
             yield _placed_batch(held.out())
 
-    return texts.select("seg", "least", "most", "words").mapInArrow(run, _PLACED)
+    return texts.select("seg", "least", "most", "words").mapInArrow(tidy(run), _PLACED)
 
 
 def _search_shard(window: int):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, list] = {}  # distinct segments; copies from several tasks end here as they stream in
         for batch in batches:
             for seg, lo, hi, words in zip(*(batch.column(c).to_pylist() for c in ("seg", "least", "most", "words")), strict=True):
@@ -388,6 +388,9 @@ def _search_shard(window: int):
         columns = [pa.array(list(known), pa.binary()).take(pa.array(rows, pa.int64())), pa.array(docs[rows]), pa.array(shared, lists), pa.array(rest, lists)]
         yield pa.record_batch(columns, ["seg", "least", "shared", "rest"])
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tidy(found)(batches)
+
     return search
 
 
@@ -489,17 +492,17 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bound: int = BROADCAST_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """`docs` with the repeated words removed from its texts, the kept ones joined by one space; texts that lose nothing
     stay as they are. n_chars, if there, follows the text; other columns, of whatever names, and all rows stay. Edge cases
-    as in `report`; an empty table gives an empty one. Changed texts are joined by broadcast up to `bound` bytes of them."""
+    as in `report`; an empty table gives an empty one. Changed texts grow with the table, so their join always shuffles."""
     rows = _keyed(docs, id_col, text_col)
     summaries = written(_summaries(rows, window), "word-summaries")
     changed = written(_changed(rows, summaries, window, shard_words).drop("n_removed"), "changed-texts")
     own_id, own_key, new = fresh(docs, "own_id", "own_key", "new_text")
-    changed = light_or_shuffled(changed.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("text").alias(new)), F.length(new), bound)
+    changed = changed.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("text").alias(new))
     marked = docs.withColumns({own_id: F.col(id_col).cast("long"), own_key: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    out = marked.join(changed, [own_id, own_key], "left")
+    out = marked.join(changed.hint("merge"), [own_id, own_key], "left")
     fresh_text = {text_col: F.coalesce(F.col(new), F.col(text_col))}
     if "n_chars" in docs.columns:
         fresh_text["n_chars"] = F.coalesce(F.length(new), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

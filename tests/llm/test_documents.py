@@ -113,11 +113,10 @@ def test_redaction_of_odd_rows_and_clashing_columns(spark, odd, none):
     more = [(5, "token: abcdefgh"), (5, "token: abcdefgh"), (None, "token: abcdefgh"), (9, "a " + key), (9, "-----BEGIN PRIVATE KEY-----\nMIIB")]
     df = odd.unionByName(spark.createDataFrame(more, "doc_id long, text string")).withColumns({c: F.lit("own") for c in ("k1", "k2", "new_text", "spans", "__key", "key")})
     masked = {"token: abcdefgh": "[secret]", "a " + key: "a [secret] end", "-----BEGIN PRIVATE KEY-----\nMIIB": "[secret]"}
-    for bound in (0, 1 << 20):
-        out = secrets.redacted(df, bound=bound)
-        assert out.columns == df.columns
-        want = sorted((str(r.doc_id), str(masked.get(r.text, r.text)), "own") for r in df.collect())
-        assert sorted((str(r.doc_id), str(r.text), r.k1) for r in out.collect()) == want
+    out = secrets.redacted(df)
+    assert out.columns == df.columns
+    want = sorted((str(r.doc_id), str(masked.get(r.text, r.text)), "own") for r in df.collect())
+    assert sorted((str(r.doc_id), str(r.text), r.k1) for r in out.collect()) == want
     assert secrets.redacted(none).count() == 0 and secrets.redacted(none).columns == none.columns
 
 
@@ -265,7 +264,7 @@ def test_passages_of_null_and_repeated_ids(spark):
     kept = {(2, "x " + passage): "x", (2, passage + " y"): "y"}
     want = sorted((str(i), kept.get((i, t), t)) for i, t in listed)
     for shard in (200_000, 10):
-        got = substrings.deduplicated(df, shard_words=shard, bound=0 if shard == 10 else 1 << 20)
+        got = substrings.deduplicated(df, shard_words=shard)
         assert got.columns == df.columns
         assert sorted((str(r.doc_id), r.text) for r in got.collect()) == want
         sizes = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substrings.report(df, shard_words=shard).collect())

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from galvana.llm import near, pipeline, simhash
 from galvana.llm.common import table
@@ -71,3 +72,16 @@ def test_forest_links_through_others():
     sets = [np.arange(k, k + 20) for k in range(0, 12, 2)]
     a, b = near.forest(np.full(6, 20), np.concatenate(sets))
     assert sorted(zip(a, b, strict=True)) == [(k, k + 1) for k in range(5)]
+
+
+def test_chains_join_the_nodes_of_each_key(monkeypatch):
+    """Whatever the batches, the edges connect exactly the nodes that share a key, and no node has many."""
+    monkeypatch.setattr(near, "HUB", 4)
+    rng = random.Random(8)
+    keys = sorted(rng.choice([1, 2, 2, 2, 3, 4, 5]) for _ in range(120))
+    for size in (1, 3, 7, 120):
+        batches = [pa.record_batch([pa.array(keys[i : i + size]), pa.array(range(i, min(i + size, 120)))], ["key", "node"]) for i in range(0, 120, size)]
+        edges = [e for b in near._chains(iter(batches)) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        pairs = {frozenset(e) for e in edges}
+        assert brute.components(range(120), lambda a, b: frozenset((a, b)) in pairs) == brute.components(range(120), lambda a, b: keys[a] == keys[b])  # noqa: B023
+        assert max(sum(x in e for e in edges) for x in range(120)) <= 5
