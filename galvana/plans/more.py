@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.columns import join_small
 from ..operators import curves, cycles, dashboard, features, ingest, model, physics, report
 from ..operators.config import Features, Ica
 from ..sources import datasets, readers, sinks
@@ -374,10 +375,10 @@ def usable_rows(spark, d):
 # --- physics ---------------------------------------------------------------------------------------------------------
 
 
-def _tents(height: Column, width: Column, shift: Column) -> Column:
-    """Two triangular peaks on the grid of 341 points of 5 mV: half widths and shifts in grid steps."""
+def _tents(width: Column, shift: Column) -> Column:
+    """Two triangular peaks of height 1 on the grid of 341 points of 5 mV: half widths and shifts in grid steps."""
     tent = lambda i, at: F.greatest(F.lit(0.0), 1 - F.abs(i - (F.lit(at) + shift)) / width)
-    return F.transform(F.sequence(F.lit(0), F.lit(340)), lambda i: height * (tent(i, 100) + tent(i, 220)))
+    return F.transform(F.sequence(F.lit(0), F.lit(340)), lambda i: tent(i, 100) + tent(i, 220))
 
 
 @query(
@@ -397,7 +398,10 @@ def physics_table(spark, d):
     made = meta.select("cell_id", F.col("cycle_index").alias("cycle_number"), F.lit(False).alias("is_reference"), (1 - F.col("n_points") % 20 * 0.002).alias("h"), (20.0 + 2 * (F.col("n_points") % 4)).alias("w"), (2 * (F.col("cycle_index") % 2)).alias("s"))
     refs = meta.select("cell_id").distinct().select("cell_id", F.lit(-1).alias("cycle_number"), F.lit(True).alias("is_reference"), F.lit(1.0).alias("h"), F.lit(20.0).alias("w"), F.lit(0).alias("s"))
     grid = F.transform(F.sequence(F.lit(0), F.lit(340)), lambda i: F.lit(2.5) + i * F.lit(0.005))
-    table = made.unionByName(refs).select("cell_id", "cycle_number", "is_reference", grid.alias("voltage_grid"), _tents(F.col("h"), F.col("w"), F.col("s")).alias("dqdv"))
+    every = made.unionByName(refs)
+    shapes = every.select("w", "s").distinct().withColumns({"tents": _tents(F.col("w"), F.col("s")), "voltage_grid": grid})  # few
+    scaled = F.transform("tents", lambda x: x * F.col("h"))
+    table = join_small(every, shapes, ["w", "s"]).select("cell_id", "cycle_number", "is_reference", "voltage_grid", scaled.alias("dqdv"))
     found = physics.physics_table(table).where("cycle_number >= 0")
     return found.select(
         "cell_id", "cycle_number", r("LLI_mean_shift"), "LLI_n_matched", "LLI_n_disappeared", "LLI_n_appeared", "LLI_confidence", r("LAM_loss", 5), r("Resistance_growth", 5),
