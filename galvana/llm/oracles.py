@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 
 from .audit import ORACLE_SQL as AUDIT_SQL
+from .chat import ORACLE_SQL as CHAT_SQL
+from .phrases import ORACLE_SQL as PHRASES_SQL
 from .secrets import BASE_RULES, RULES, Rule
 from .topk import ORACLE_SQL as TOPK_SQL
 
@@ -52,4 +54,4 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS body, count(*) A
 SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op2_secrets": SECRETS_SQL, "op4_topk": TOPK_SQL, "op6_substrings": SUBSTRING_SQL, "op12_audit": AUDIT_SQL}
+ORACLES = {"op2_secrets": SECRETS_SQL, "op4_topk": TOPK_SQL, "op6_substrings": SUBSTRING_SQL, "op11_phrases": PHRASES_SQL, "op12_audit": AUDIT_SQL, "op13_chat": CHAT_SQL}

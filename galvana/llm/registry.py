@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, byte_bpe, fingerprint, lm, packing, pipeline, quality, secrets, sharding, simhash, substrings, topk
+from . import audit, byte_bpe, chat, fingerprint, lm, packing, phrases, pipeline, quality, secrets, sharding, simhash, substrings, topk
 from .common import table
 from .oracles import ORACLES
 
@@ -54,14 +54,22 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assignments(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined(table(spark, sf_dir, "documents"))
+
+
 def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_simhash, op2_secrets, op3_packing, op4_topk, op5_fingerprint, op6_substrings, op7_byte_bpe, op8_quality, op9_lm, op10_hilbert,
-        op12_audit,
+        op11_phrases, op12_audit, op13_chat,
     )
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
