@@ -134,12 +134,12 @@ class ByteBPE:
                 return n, i
         return None
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece of `pieces`, with its space."""
+    def encode_piece(self, piece: str) -> tuple[int, ...] | list[int]:
+        """Ids of a piece of `pieces`, with its space. Linear in the piece, which is a whole text where that has no spaces."""
         if piece.lstrip(" ").isalpha() and piece.count(" ") <= 1:  # one pretoken, as most pieces are
             return self.encode_word(piece.encode())
         words = self.words
-        out: tuple[int, ...] = ()
+        out: list[int] = []
         for x in self.pretokens(piece):
             ids = words.get(x)
             if ids is None:
