@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .mat import read_halves, read_mat
 from .readers import registry
 
 _NUMBERS = T.ArrayType(T.DoubleType())
@@ -92,3 +93,12 @@ def joined_cycles(halves: DataFrame) -> DataFrame:
 
 
 registry.register("batch", read_batch, (".jsonl",))
+
+
+def converted_mat(spark: SparkSession, path: str, points: int = 1500) -> DataFrame:
+    """Samples of the cells of a file of half-cycles: of each cycle the preferred half-cycle, at most `points` of its rows,
+    one cycle after another. Written by cell (`sinks.write_csv` after `partitionBy`), it is what a cycler would export."""
+    return joined_cycles(downsampled(preferred_halves(read_halves(spark, path)), points)).drop("kind")
+
+
+registry.register("mat", read_mat, (".mat",))
