@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.peaks import find_all
 from .config import PHYSICS_COLS
 
 PROMINENCE = 0.02
@@ -29,12 +30,17 @@ def grid_spacing(voltage: np.ndarray, tolerance: float = 0.02) -> float:
     return float(mean * 1000)
 
 
+def peaks_of_all(voltages: list[np.ndarray], curves: list[np.ndarray], spacings: list[float]) -> list[list[dict]]:
+    """The peaks of every curve of a batch, each with its voltage, height and width in mV."""
+    width = [max(1, round(LEAST_WIDTH_MV / s)) for s in spacings]
+    out: list[list[dict]] = [[] for _ in curves]
+    for k, i, w in zip(*(x.tolist() for x in find_all(curves, np.full(len(curves), PROMINENCE), np.array(width))), strict=True):
+        out[k].append({"idx": i, "voltage": float(voltages[k][i]), "height": float(curves[k][i]), "width_mv": w * spacings[k]})
+    return out
+
+
 def peaks_of(voltage: np.ndarray, dqdv: np.ndarray, spacing_mv: float | None = None) -> list[dict]:
-    spacing = spacing_mv or grid_spacing(voltage)
-    at, widths = kernels.find_peaks(dqdv, PROMINENCE, max(1, round(LEAST_WIDTH_MV / spacing)))
-    return [
-        {"idx": int(i), "voltage": float(voltage[i]), "height": float(dqdv[i]), "width_mv": float(w * spacing)} for i, w in zip(at, widths, strict=True)
-    ]
+    return peaks_of_all([voltage], [dqdv], [spacing_mv or grid_spacing(voltage)])[0]
 
 
 def matched_peaks(reference: np.ndarray, current: np.ndarray, tolerance: float = TOLERANCE_V) -> list[dict]:
@@ -64,12 +70,12 @@ def resistance_growth(reference_widths: np.ndarray, current_widths: np.ndarray)
     return float(np.mean((c[:n] - r[:n]) / (r[:n] + 1e-8)))
 
 
-def interpreted(voltage: np.ndarray, reference: np.ndarray, current: np.ndarray, spacing_mv: float | None = None, before: list[dict] | None = None) -> dict:
-    """All metrics of one curve against its reference, with the peaks and matches they come from. `before`: the peaks of
-    the reference, if they are known."""
+def interpreted(voltage: np.ndarray, reference: np.ndarray, current: np.ndarray, spacing_mv: float | None = None, before: list[dict] | None = None, now: list[dict] | None = None) -> dict:
+    """All metrics of one curve against its reference, with the peaks and matches they come from. `before` and `now`: the
+    peaks of the two, if they are known."""
     spacing = spacing_mv or grid_spacing(voltage)
     before = peaks_of(voltage, reference, spacing) if before is None else before
-    now = peaks_of(voltage, current, spacing)
+    now = peaks_of(voltage, current, spacing) if now is None else now
     matches = matched_peaks(np.array([p["voltage"] for p in before]), np.array([p["voltage"] for p in now]))
     shifts = [m["shift"] for m in matches if m["matched"]]
     lost = sum(m["disappeared"] for m in matches)
@@ -104,26 +110,42 @@ def against_reference(pairs: DataFrame) -> DataFrame:
     schema = f"cell_id string, cycle_number int, {_METRICS}, peaks {PEAKS}, matches {MATCHES}, failed string"
     arrow = pairs.sparkSession.createDataFrame([], schema).toArrow().schema
 
-    def one(v: np.ndarray, now: np.ndarray, ref: np.ndarray | None, known: dict) -> dict:
-        if ref is None:
-            return {"failed": "the cell has no reference"}
-        if not len(v) == len(ref) == len(now):
-            return {"failed": "grid differs from the reference's"}
-        try:
-            key = (v.tobytes(), ref.tobytes())
-            if key not in known:
-                known.clear()  # curves of a cell mostly follow one another
-                known[key] = peaks_of(v, ref)
-            return interpreted(v, ref, now, before=known[key])
-        except ValueError as e:  # a grid that isn't uniform, or widths that aren't positive
-            return {"failed": str(e)}
+    def judged(rows: list[tuple]) -> list[dict]:
+        """Metrics of a batch of (voltage, current, reference); the peaks of all its curves are found together."""
+        out: list[dict] = [{} for _ in rows]
+        good, curves, place = [], [], {}
+        for k, (v, now, ref) in enumerate(rows):
+            if ref is None:
+                out[k] = {"failed": "the cell has no reference"}
+            elif not len(v) == len(ref) == len(now):
+                out[k] = {"failed": "grid differs from the reference's"}
+            else:
+                try:
+                    spacing = grid_spacing(v)
+                except ValueError as e:
+                    out[k] = {"failed": str(e)}
+                    continue
+                key = (v.tobytes(), ref.tobytes())  # curves of a cell share a reference
+                if key not in place:
+                    place[key] = len(curves)
+                    curves.append((v, ref, spacing))
+                good.append((k, place[key], len(curves), spacing))
+                curves.append((v, now, spacing))
+        peaks = peaks_of_all(*map(list, zip(*curves, strict=True))) if curves else []
+        for k, before, own, spacing in good:
+            v, now, ref = rows[k]
+            try:
+                out[k] = interpreted(v, ref, now, spacing, peaks[before], peaks[own])
+            except ValueError as e:  # widths that aren't positive
+                out[k] = {"failed": str(e)}
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
         for batch in batches:
             arrays = ([None if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(float) for x in batch.column(c)] for c in ("voltage_grid", "dqdv", "ref_dqdv"))
-            keys = zip(batch.column("cell_id").to_pylist(), batch.column("cycle_number").to_pylist(), *arrays, strict=True)
-            rows = [{"cell_id": str(c), "cycle_number": k} | one(v, now, ref, known) for c, k, v, now, ref in keys]
+            found = judged(list(zip(*arrays, strict=True)))
+            keys = zip(batch.column("cell_id").to_pylist(), batch.column("cycle_number").to_pylist(), found, strict=True)
+            rows = [{"cell_id": str(c), "cycle_number": k} | x for c, k, x in keys]
             yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in arrow.names} for x in rows], arrow)
 
     return pairs.mapInArrow(run, schema)
@@ -196,7 +218,8 @@ def peak_table(curves: DataFrame) -> DataFrame:
 
     @F.pandas_udf(PEAKS)
     def found(voltage: pd.Series, dqdv: pd.Series) -> pd.Series:
-        return pd.Series([peaks_of(np.asarray(v, float), np.asarray(y, float)) for v, y in zip(voltage, dqdv, strict=True)])
+        grids = [np.asarray(v, float) for v in voltage]
+        return pd.Series(peaks_of_all(grids, [np.asarray(y, float) for y in dqdv], [grid_spacing(v) for v in grids]))
 
     return curves.select("cell_id", "cycle_number", F.explode(found("voltage_grid", "dqdv")).alias("p")).select("cell_id", "cycle_number", "p.*")
 

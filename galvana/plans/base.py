@@ -133,4 +133,6 @@ def with_tables(names: str, body: str) -> str:
 
     for n in names.split():
         add(n)
-    return "WITH " + ",\n".join(SQL[n] for n in order) + (",\n" if body.lstrip().startswith("+") else "\n") + body.lstrip().removeprefix("+")
+    more = body.lstrip().removeprefix("+")
+    recursive = "RECURSIVE " if "RECURSIVE_ " in more else ""
+    return f"WITH {recursive}" + ",\n".join(SQL[n] for n in order) + (",\n" if body.lstrip().startswith("+") else "\n") + more.replace("RECURSIVE_ ", "")

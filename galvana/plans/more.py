@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -159,6 +159,24 @@ def downsample(spark, d):
     return datasets.downsampled(base.samples(spark, d).withColumn("cycle_index", _day()), 20).select("cell_id", "cycle_index", "row_id")
 
 
+@query(
+    """+ h AS (SELECT cell_id, CAST(floor(time / 86400) AS INTEGER) AS c, row_id, time / 86400 AS t, abs(current) * 10 AS q, voltage FROM samples WHERE current < 0),
+s AS (SELECT *, (t - min(t) OVER (PARTITION BY cell_id, c)) * CAST(86400 AS DOUBLE) AS ts, q / 1000 AS cap FROM h),
+span AS (SELECT cell_id, c, max(ts) + 1 AS size FROM s GROUP BY ALL),
+st AS (SELECT cell_id, c, coalesce(sum(size) OVER (PARTITION BY cell_id ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start FROM span),
+g AS (SELECT *, coalesce((lead(cap) OVER w - lag(cap) OVER w) / 2, lead(cap) OVER w - cap, cap - lag(cap) OVER w) AS dq,
+  coalesce((lead(ts) OVER w - lag(ts) OVER w) / 2, lead(ts) OVER w - ts, ts - lag(ts) OVER w) / 3600 AS hours FROM s WINDOW w AS (PARTITION BY cell_id, c ORDER BY ts, row_id))
+SELECT g.cell_id, g.c AS cycle_index, row_id, round(ts + start, 3) AS time, voltage, round(cap, 6) AS capacity, round(CASE WHEN abs(hours) > 1e-12 THEN dq / hours ELSE 0.0 END, 3) + 0.0 AS current FROM g JOIN st USING (cell_id, c)""",
+    "samples",
+)
+def joined_cycles(spark, d):
+    """The discharge rows of days as half-cycles of a characterisation, one after another, with the current from charge."""
+    rows = base.samples(spark, d).where("current < 0")
+    halves = rows.select("cell_id", _day().alias("cycle_index"), "row_id", (F.col("time") / 86400).alias("time"), (F.abs("current") * 10).alias("q"), "voltage")
+    found = datasets.joined_cycles(halves)
+    return found.select("cell_id", "cycle_index", "row_id", r("time", 3), "voltage", r("capacity"), (F.round("current", 3) + 0.0).alias("current"))
+
+
 @query(
     """SELECT cell_id, row_id, round(sum(a) OVER (PARTITION BY cell_id, cycle_index ORDER BY time, row_id ROWS UNBOUNDED PRECEDING), 4) AS q_ah FROM (
   SELECT *, coalesce((abs(current) + lag(abs(current)) OVER h) / 2 * (time - lag(time) OVER h) / 3600, 0.0) AS a FROM discharge WINDOW h AS (PARTITION BY cell_id, cycle_index ORDER BY time, row_id))""",
@@ -239,12 +257,10 @@ SELECT cell_id, CAST(k - 1 AS INTEGER) AS k, round((y + y1) / 2 + h * (m - m1) /
 )
 def pchip(spark, d):
     """The monotone cubic through each cell's quarter days, half-way between its knots."""
-
-    @F.pandas_udf("array<double>")
-    def halfway(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([kernels.pchip(a, b, (a[1:] + a[:-1]) / 2, False) for a, b in zip(x, y, strict=True)])
-
-    return _series(spark, d).select("cell_id", F.posexplode(halfway("x", "y")).alias("k", "y")).select("cell_id", "k", r("y"))
+    knots = _hourly(spark, d).where("y IS NOT NULL").withColumn("x", F.col("grid_idx").cast("double"))
+    seg = curves.pchip_segments(knots, "x", "y", ("cell_id",))
+    k = F.row_number().over(Window.partitionBy("cell_id").orderBy("x0")) - 1
+    return seg.select("cell_id", k.alias("k"), F.round(curves.hermite((F.col("x0") + F.col("x1")) / 2), 6).alias("y"))
 
 
 def _edge_sql() -> str:
@@ -266,17 +282,11 @@ SELECT cell_id, CAST(k AS INTEGER) AS k, round(smooth, 6) AS smooth, round(slope
 @query(_edge_sql(), "samples")
 def sg_edges(spark, d):
     """Savitzky-Golay value and derivative with polynomial edges, and the gradient of the smoothed values."""
-
-    @F.pandas_udf("array<struct<smooth:double,slope:double,gradient:double>>")
-    def filtered(y: pd.Series) -> pd.Series:
-        out = []
-        for v in y:
-            smooth = kernels.savgol(v, 21, 3)
-            out.append([dict(zip(("smooth", "slope", "gradient"), map(float, t), strict=True)) for t in zip(smooth, kernels.savgol(v, 21, 3, 1), np.gradient(smooth), strict=True)])
-        return pd.Series(out)
-
-    long = _series(spark, d).where(F.size("y") >= 21)
-    return long.select("cell_id", F.posexplode(filtered("y")).alias("k", "p")).select("cell_id", "k", r("p.smooth").alias("smooth"), r("p.slope").alias("slope"), r("p.gradient").alias("gradient"))
+    rows = _series(spark, d).where(F.size("y") >= 21)
+    rows = rows.select("cell_id", curves.savgol_arrays("y", 21, 3).alias("smooth"), curves.savgol_arrays("y", 21, 3, 1).alias("slope"))
+    rows = rows.withColumn("gradient", curves.gradient_array(F.col("smooth")))
+    rows = rows.select("cell_id", F.posexplode(F.arrays_zip("smooth", "slope", "gradient")).alias("k", "p"))
+    return rows.select("cell_id", "k", r("p.smooth").alias("smooth"), r("p.slope").alias("slope"), r("p.gradient").alias("gradient"))
 
 
 @query(
@@ -303,6 +313,8 @@ def simpson_uniform(spark, d):
 # --- difference curves held as arrays --------------------------------------------------------------------------------
 
 _GRID = 17
+#: Added before rounding, so that sums of short decimals, in whatever order, don't lie on a tie.
+_OFF_TIE = 3.3e-8
 _DAILY_SQL = "+ daily AS (SELECT cell_id, CAST(floor(time / 86400) AS INTEGER) AS c, CAST(floor((voltage - 2.5) * 10) AS INTEGER) AS g, sum(abs(current)) / 1000 AS q FROM samples GROUP BY ALL), days AS (SELECT cell_id, c, count(*) AS n FROM daily GROUP BY ALL)"
 
 
@@ -325,12 +337,12 @@ c4 AS (SELECT cell_id, c, avg((dq - mo.m) ** 3) AS m3, avg((dq - mo.m) ** 4) AS
 @query(
     _DAILY_SQL + _FEATURES_SQL
     + f""" SELECT d.cell_id, d.c AS cycle_number, rc AS ref_cycle_index, '{Features(dv=0.1, outlier_sigma=1.5, chemistry="nmc").hash()}' AS config_hash, coalesce(k >= 10, FALSE) AS extraction_ok,
-  round(CASE WHEN k >= 10 THEN v END, 6) AS dqv_variance, round(CASE WHEN k >= 10 THEN ln(v + 1e-30) END, 5) AS dqv_log_variance, round(CASE WHEN k >= 10 AND v > 0 THEN m3 / v ** 1.5 END, 5) AS dqv_skewness,
-  round(CASE WHEN k >= 10 AND v > 0 THEN m4 / (v * v) - 3 END, 5) AS dqv_kurtosis, round(CASE WHEN k >= 10 THEN (s - (abs(a) + abs(b)) / 2) * 0.1 END, 5) AS dqv_integral_abs,
-  round(CASE WHEN k >= 10 THEN dev END, 6) AS dqv_max_deviation, round(CASE WHEN k >= 10 THEN lo END, 6) AS dqv_min, round(CASE WHEN k >= 10 THEN hi END, 6) AS dqv_max, round(CASE WHEN k >= 10 THEN mo.m END, 6) AS dqv_mean,
-  round(CASE WHEN k >= 10 THEN rms END, 6) AS dqv_rms, round(CASE WHEN k >= 10 THEN hi - lo END, 6) AS dqv_range,
-  round(CASE WHEN k >= 10 THEN (pos - (greatest(a, 0.0) + greatest(b, 0.0)) / 2) * 0.1 END, 5) AS dqv_positive_integral,
-  round(CASE WHEN k >= 10 THEN (neg - (least(a, 0.0) + least(b, 0.0)) / 2) * 0.1 END, 5) AS dqv_negative_integral
+  round({_OFF_TIE} + CASE WHEN k >= 10 THEN v END, 6) AS dqv_variance, round({_OFF_TIE} + CASE WHEN k >= 10 THEN ln(v + 1e-30) END, 5) AS dqv_log_variance, round({_OFF_TIE} + CASE WHEN k >= 10 AND v > 0 THEN m3 / v ** 1.5 END, 5) AS dqv_skewness,
+  round({_OFF_TIE} + CASE WHEN k >= 10 AND v > 0 THEN m4 / (v * v) - 3 END, 5) AS dqv_kurtosis, round({_OFF_TIE} + CASE WHEN k >= 10 THEN (s - (abs(a) + abs(b)) / 2) * 0.1 END, 5) AS dqv_integral_abs,
+  round({_OFF_TIE} + CASE WHEN k >= 10 THEN dev END, 6) AS dqv_max_deviation, round({_OFF_TIE} + CASE WHEN k >= 10 THEN lo END, 6) AS dqv_min, round({_OFF_TIE} + CASE WHEN k >= 10 THEN hi END, 6) AS dqv_max, round({_OFF_TIE} + CASE WHEN k >= 10 THEN mo.m END, 6) AS dqv_mean,
+  round({_OFF_TIE} + CASE WHEN k >= 10 THEN rms END, 6) AS dqv_rms, round({_OFF_TIE} + CASE WHEN k >= 10 THEN hi - lo END, 6) AS dqv_range,
+  round({_OFF_TIE} + CASE WHEN k >= 10 THEN (pos - (greatest(a, 0.0) + greatest(b, 0.0)) / 2) * 0.1 END, 5) AS dqv_positive_integral,
+  round({_OFF_TIE} + CASE WHEN k >= 10 THEN (neg - (least(a, 0.0) + least(b, 0.0)) / 2) * 0.1 END, 5) AS dqv_negative_integral
 FROM days d LEFT JOIN refs USING (cell_id) LEFT JOIN mo USING (cell_id, c) LEFT JOIN c4 USING (cell_id, c)""",
     "samples",
 )
@@ -338,7 +350,7 @@ def feature_matrix(spark, d):
     """All features, a chemistry's own included, of each day's difference curve, from arrays."""
     made = features.feature_matrix(_daily(spark, d), Features(dv=0.1, outlier_sigma=1.5, chemistry="nmc"))
     digits = {c: 5 for c in ("dqv_log_variance", "dqv_skewness", "dqv_kurtosis", "dqv_integral_abs", "dqv_positive_integral", "dqv_negative_integral")}
-    return made.select("cell_id", "cycle_number", "ref_cycle_index", "config_hash", "extraction_ok", *[F.round(c, digits.get(c, 6)).alias(c) for c in made.columns if c.startswith("dqv_")])
+    return made.select("cell_id", "cycle_number", "ref_cycle_index", "config_hash", "extraction_ok", *[F.round(F.col(c) + _OFF_TIE, digits.get(c, 6)).alias(c) for c in made.columns if c.startswith("dqv_")])
 
 
 @query(

@@ -112,11 +112,13 @@ def cc_segment(spark, d):
 
 
 @query(
-    f"""SELECT cell_id, row_id, abs(current) / 100.0 <= 2.5 AS gate_rate,
-  slope IS NULL OR slope <= 5 * greatest(quantile_cont(slope, 0.5) OVER (PARTITION BY cell_id, cycle_index), 1e-9) AS gate_step,
-  coalesce(stddev_samp(abs(current)) OVER w, 0.0) / greatest(avg(abs(current)) OVER w, 1e-12) <= 0.75 AS gate_cv
-FROM (SELECT *, abs(abs(current) - lag(abs(current)) OVER h) / greatest(time - lag(time) OVER h, 1e-6) AS slope FROM discharge WINDOW h AS ({_HALF}))
-WINDOW w AS ({_HALF} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+    f"""+ s AS (SELECT *, abs(abs(current) - lag(abs(current)) OVER h) / greatest(time - lag(time) OVER h, 1e-6) AS slope, row_number() OVER h AS k,
+  count(*) OVER (PARTITION BY cell_id, cycle_index) AS n FROM discharge WINDOW h AS ({_HALF})),
+cv AS (SELECT x.row_id, coalesce(stddev_samp(abs(y.current)), 0.0) / greatest(avg(abs(y.current)), 1e-12) AS cv FROM s x JOIN s y ON x.cell_id = y.cell_id AND x.cycle_index = y.cycle_index
+  AND y.k BETWEEN x.k - (greatest(5, x.n // 20) - 1 - (greatest(5, x.n // 20) - 1) // 2) AND x.k + (greatest(5, x.n // 20) - 1) // 2 GROUP BY ALL)
+SELECT cell_id, row_id, abs(current) / 100.0 <= 2.5 AS gate_rate,
+  slope IS NULL OR slope <= 5 * greatest(quantile_cont(slope, 0.5) OVER (PARTITION BY cell_id, cycle_index), 1e-9) AS gate_step, cv <= 0.75 AS gate_cv
+FROM s JOIN cv USING (row_id)""",
     "discharge",
 )
 def cc_gates(spark, d):
@@ -124,14 +126,25 @@ def cc_gates(spark, d):
     return found.select("cell_id", "row_id", "gate_rate", F.coalesce("gate_step", F.lit(True)).alias("gate_step"), "gate_cv")
 
 
-@query(
-    f"SELECT cell_id, row_id, voltage FROM (SELECT *, max(voltage) OVER ({_HALF} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM discharge) WHERE top IS NULL OR voltage > top + 1e-9",
-    "discharge",
-)
+#: The fold, one kept row after another: the next one is the first that rises more than a step above it.
+_RISING = """RECURSIVE_ seqd AS (SELECT *, row_number() OVER (PARTITION BY cell_id, cycle_index ORDER BY time, row_id) AS k FROM {src}),
+rising AS (SELECT * FROM seqd WHERE k = 1 UNION ALL
+  SELECT s.* FROM (SELECT r.cell_id AS c0, r.cycle_index AS c1, min(s.k) AS nxt FROM rising r JOIN seqd s ON s.cell_id = r.cell_id AND s.cycle_index = r.cycle_index AND s.k > r.k AND s.voltage > r.voltage + {step} GROUP BY ALL)
+  JOIN seqd s ON s.cell_id = c0 AND s.cycle_index = c1 AND s.k = nxt)"""
+
+
+@query("+" + _RISING.format(src="discharge", step="1e-9") + " SELECT cell_id, row_id, voltage FROM rising", "discharge")
 def mono_running(spark, d):
     return curves.monotone_running(base.discharge(spark, d)).select("cell_id", "row_id", "voltage")
 
 
+@query("+" + _RISING.format(src="days", step="0.3").replace("RECURSIVE_ ", "RECURSIVE_ days AS (SELECT * EXCLUDE (cycle_index), CAST(floor(time / 86400) AS INTEGER) AS cycle_index FROM cycled), ") + " SELECT cell_id, row_id FROM rising", "cycled")
+def mono_steps(spark, d):
+    """The same with steps so wide that most rises are too small on their own."""
+    days = base.cycled(spark, d).withColumn("cycle_index", F.floor(F.col("time") / 86400).cast("int"))
+    return curves.monotone_running(days, 0.3).select("cell_id", "row_id")
+
+
 @query(f"SELECT cell_id, row_id FROM (SELECT *, lag(voltage) OVER ({_HALF}) AS before FROM discharge) WHERE before IS NULL OR voltage <= before + 1e-4", "discharge")
 def mono_adjacent(spark, d):
     return curves.monotone_adjacent(base.discharge(spark, d)).select("cell_id", "row_id")
@@ -146,7 +159,7 @@ def volt_dedup(spark, d):
 
 
 @query(
-    """+rising AS (SELECT * FROM (SELECT *, max(voltage) OVER (PARTITION BY cell_id, cycle_index ORDER BY time, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM discharge) WHERE top IS NULL OR voltage > top + 1e-9),
+    "+" + _RISING.format(src="discharge", step="1e-9") + """,
 seg AS (SELECT *, lead(voltage) OVER w AS v1, lead(abs(current)) OVER w AS y1 FROM rising WINDOW w AS (PARTITION BY cell_id, cycle_index ORDER BY voltage)),
 idx AS (SELECT *, CAST(ceil((voltage - 2.5) / 0.05) AS BIGINT) AS lo, CAST(ceil((v1 - 2.5) / 0.05) AS BIGINT) - 1 AS hi FROM seg),
 pts AS (SELECT *, unnest(CASE WHEN v1 IS NULL THEN (CASE WHEN lo * CAST(0.05 AS DOUBLE) + 2.5 = voltage THEN [lo] ELSE [] END) WHEN hi >= lo THEN generate_series(lo, hi) ELSE [] END) AS grid_idx FROM idx)
@@ -560,17 +573,34 @@ def qv_curves(spark, d):
     return curves.qv_curves(half, 100.0, Features(c_rate_max=10.0, current_cv_max=10.0, max_nan_fraction=0.5))
 
 
-@query()
-def ica_peaks(spark, d):
-    """Peaks of the daily charge histogram over voltage."""
+_PEAKS_SQL = """+ bins AS (SELECT cell_id, CAST(floor(time / 86400) AS INTEGER) AS c, CAST(floor((voltage - 2.5) / 0.02) AS INTEGER) AS b, sum(abs(current)) AS y FROM samples GROUP BY ALL),
+y AS (SELECT k.cell_id, k.c, t.b, coalesce(y, 0.0) AS y FROM (SELECT DISTINCT cell_id, c FROM bins) k JOIN range(85) t(b) ON TRUE LEFT JOIN bins n ON n.cell_id = k.cell_id AND n.c = k.c AND n.b = t.b),
+run AS (SELECT cell_id, c, y, min(b) AS b0, max(b) AS b1 FROM (SELECT *, b - row_number() OVER (PARTITION BY cell_id, c, y ORDER BY b) AS g FROM y) GROUP BY cell_id, c, y, g),
+top AS (SELECT cell_id, c, y AS top, CAST(floor((b0 + b1) / 2) AS INTEGER) AS p FROM (SELECT *, lag(y) OVER w AS before, lead(y) OVER w AS after FROM run WINDOW w AS (PARTITION BY cell_id, c ORDER BY b0)) WHERE y > before AND y > after),
+wall AS (SELECT t.*, coalesce(max(CASE WHEN q.b < p AND q.y > top THEN q.b END), -1) AS l, coalesce(min(CASE WHEN q.b > p AND q.y > top THEN q.b END), 85) AS r FROM top t JOIN y q USING (cell_id, c) GROUP BY ALL),
+low AS (SELECT w.*, any_value(top) - greatest(min(CASE WHEN q.b <= p THEN q.y END), min(CASE WHEN q.b >= p THEN q.y END)) AS prom FROM wall w JOIN y q ON q.cell_id = w.cell_id AND q.c = w.c AND q.b > l AND q.b < r GROUP BY ALL),
+halfway AS (SELECT w.*, top - prom / 2 AS lev, max(CASE WHEN q.b < p AND q.y <= top - prom / 2 THEN q.b END) AS a, min(CASE WHEN q.b > p AND q.y <= top - prom / 2 THEN q.b END) AS z FROM low w JOIN y q USING (cell_id, c) WHERE prom >= 0.02 GROUP BY ALL),
+wide AS (SELECT halfway.*, z - (lev - yz.y) / (yz1.y - yz.y) - a - (lev - ya.y) / (ya1.y - ya.y) AS w FROM halfway JOIN y ya ON ya.cell_id = halfway.cell_id AND ya.c = halfway.c AND ya.b = a JOIN y ya1 ON ya1.cell_id = halfway.cell_id AND ya1.c = halfway.c AND ya1.b = a + 1
+  JOIN y yz ON yz.cell_id = halfway.cell_id AND yz.c = halfway.c AND yz.b = z JOIN y yz1 ON yz1.cell_id = halfway.cell_id AND yz1.c = halfway.c AND yz1.b = z - 1)
+SELECT cell_id, c AS cycle_number, p AS idx, round(2.5 + p * CAST(0.02 AS DOUBLE), 6) AS voltage, round(top, 6) AS height, round(w * 20, 5) AS width_mv FROM wide WHERE w >= 1"""
+
+
+def _histograms(spark, d):
+    """(cell_id, cycle_number, voltage_grid, dqdv): each day's charge by voltage."""
     day = F.floor(F.col("time") / 86400).cast("int")
     bins = base.samples(spark, d).groupBy("cell_id", day.alias("cycle_number"), F.floor((F.col("voltage") - 2.5) / 0.02).cast("int").alias("b")).agg(F.sum(F.abs("current")).alias("y"))
     lists = bins.groupBy("cell_id", "cycle_number").agg(F.map_from_entries(F.collect_list(F.struct("b", "y"))).alias("m"))
     grid = F.sequence(F.lit(0), F.lit(84))
-    return physics.peak_table(lists.select(
+    return lists.select(
         "cell_id", "cycle_number", F.transform(grid, lambda i: F.lit(2.5) + i * F.lit(0.02)).alias("voltage_grid"),
-        F.transform(grid, lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("dqdv"),
-    ))
+        F.transform(grid, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("dqdv"),
+    )
+
+
+@query(_PEAKS_SQL, "samples")
+def ica_peaks(spark, d):
+    """Peaks of the daily charge histogram over voltage, by prominence and width."""
+    return physics.peak_table(_histograms(spark, d)).select("cell_id", "cycle_number", "idx", r("voltage"), r("height"), r("width_mv", 5))
 
 
 from . import more  # noqa: E402, F401  (registers the rest)
