@@ -131,13 +131,12 @@ def ranked_leaves(messages: DataFrame, tables: list[DataFrame], paths: int | Non
 def expanded(leaves: DataFrame, tables: list[DataFrame]) -> DataFrame:
     """(tree, rank, leaf, mid, above): every message of the chosen paths and how many replies it is above the leaf.
 
-    Round k adds to each message found so far the one 2^k above it, so nothing is found twice."""
-    found = leaves.withColumns({"mid": F.col("leaf"), "above": F.lit(0)})
+    Those less than 2^k above a leaf lead to those 2^k higher, so a round finds only new ones, each once."""
+    found = leaves.select("tree", "rank", "leaf", F.col("leaf").alias("mid"), F.lit(0).alias("above"))
     for k, table in enumerate(tables):
         step = table.select("mid", F.col("up").alias("to"))
-        here, there = F.struct("mid", "above"), F.struct(F.col("to").alias("mid"), (F.col("above") + (1 << k)).alias("above"))
-        both = F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there))
-        found = found.join(step, "mid", "left").select("tree", "rank", "leaf", F.explode(both).alias("x")).select("tree", "rank", "leaf", "x.*")
+        further = found.join(step, "mid").select("tree", "rank", "leaf", F.col("to").alias("mid"), (F.col("above") + (1 << k)).alias("above"))
+        found = found.unionByName(written(further, "chat-path"))
     return found
 
 
