@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,7 +57,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that `written` gave, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tidy, utf8, written
+from .common import forget, tidy, utf8, written
 
 LEAST_COUNT, LONGEST, FIRST = 100, 5, 2000
 #: Bytes of text in a chunk, unless one text is longer.
@@ -92,69 +93,70 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
 # --- runs ------------------------------------------------------------------------------------------------------------
 
 
-def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, chunk, at, n): (key, n) for each key whose n sum to `least` or more, and (chunk, at) of its rows.
+RUNS = "{key} {kind}, run long, chunk long, at int, n long"
+
+
+def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (key, chunk, at, n): (key, run, n) for each key whose n sum to `least` or more, and (run, chunk, at) of its
+    rows; and the written table that both come from. `run` numbers keys: the task in the upper bits, a count in the lower 33.
 
     Rows are dealt by ranges of the key and sorted, so equal keys are neighbours in one task; a run is counted while it
     streams by, and only the rows before it reached `least` are held, which are fewer than `least`, or one batch."""
-    kind = dict(rows.dtypes)[key]
-    schema = f"{key} {kind}, chunk long, at int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows of the last run, as long as it isn't known to be frequent
-        last, total = None, 0
+        serial = TaskContext.get().partitionId() << 33  # of the next frequent key
+        held: list[pa.RecordBatch] = []  # rows of the last run, as long as it isn't known to be frequent
+        last, total, number = None, 0, None
+
+        def members(part: pa.RecordBatch, numbers) -> pa.RecordBatch:
+            none = pa.nulls(part.num_rows)
+            return pa.record_batch([none.cast(schema.field(0).type), pa.array(numbers, pa.int64()), part.column("chunk"), part.column("at"), none.cast(pa.int64())], schema=schema)
+
+        def totals(keys, numbers, sums) -> pa.RecordBatch:
+            none = pa.nulls(len(sums))
+            return pa.record_batch([keys, pa.array(numbers, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(sums, pa.int64())], schema=schema)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            keys = table[key].combine_chunks()
-            new = np.r_[True, pa.compute.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)] if len(keys) > 1 else np.ones(1, bool)
-            first = np.flatnonzero(new)
-            sums = np.add.reduceat(table["n"].to_numpy(), first)
-            carried = keys[0].as_py() == last if last is not None else False
-            ends: list = []
-            if carried:
+            keys = batch.column(key)
+            first = np.flatnonzero(np.r_[True, pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)])
+            length = np.diff(np.r_[first, len(keys)])
+            sums = np.add.reduceat(batch.column("n").to_numpy(), first)
+            goes_on = last is not None and keys[0].as_py() == last
+            if goes_on:
                 sums[0] += total
-            elif last is not None and total >= least:
-                ends.append((last, total))
-            # rows of runs that have reached the mark, with those held from before
-            rows_of = np.repeat(sums >= least, np.diff(np.r_[first, len(keys)]))
-            if carried and sums[0] >= least and held is not None:
-                yield from _members(held, schema_)
-                held = None
-            done = first[:-1]
-            whole = sums[:-1] >= least
-            ends_keys = keys.take(pa.array(done[whole]))
-            if rows_of.any():
-                yield from _members(table.filter(pa.array(rows_of)), schema_)
-            yield from _totals(ends, ends_keys, sums[:-1][whole], schema_)
-            tail = int(first[-1])
-            if sums[-1] < least:
-                rest = table.slice(tail)
-                held = pa.concat_tables([held, rest]) if carried and len(first) == 1 and held is not None else rest
-            else:
-                held = None
-            last, total = keys[tail].as_py(), int(sums[-1])
-        if last is not None and total >= least:
-            yield from _totals([(last, total)], None, None, schema_)
-
-    schema_ = rows.select(key, "chunk", "at", "n").sparkSession.createDataFrame([], schema).toArrow().schema
+            elif number is not None:
+                yield totals(pa.array([last], schema.field(0).type), [number], [total])
+            good = sums >= least
+            numbers = serial + np.cumsum(good) - 1
+            if goes_on and number is not None:
+                numbers -= 1  # the first run has its number already
+                numbers[0] = number
+            serial = max(serial, int(numbers[good].max(initial=-1)) + 1)
+            if goes_on and good[0]:
+                for part in held:
+                    yield members(part, np.full(part.num_rows, numbers[0]))
+            if not goes_on or good[0]:
+                held = []
+            if good.any():
+                yield members(batch.filter(pa.array(np.repeat(good, length))), np.repeat(numbers[good], length[good]))
+            ended = np.flatnonzero(good[:-1])
+            if len(ended):
+                yield totals(keys.take(pa.array(first[ended])), numbers[ended], sums[ended])
+            if not good[-1]:
+                held.append(batch.slice(int(first[-1])))
+            elif len(first) > 1:
+                held = []
+            last, total, number = keys[int(first[-1])].as_py(), int(sums[-1]), int(numbers[-1]) if good[-1] else None
+        if number is not None:
+            yield totals(pa.array([last], schema.field(0).type), [number], [total])
+
+    ddl = RUNS.format(key=key, kind=dict(rows.dtypes)[key])
+    schema = rows.sparkSession.createDataFrame([], ddl).toArrow().schema
     ordered = rows.select(key, "chunk", "at", "n").repartitionByRange(key).sortWithinPartitions(key)
-    out = written(ordered.mapInArrow(tidy(run), schema), label)
-    return out.where(F.col("chunk").isNull()).select(key, "n"), out.where(F.col("chunk").isNotNull()).select(key, "chunk", "at")
-
-
-def _members(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    yield from table.cast(schema).to_batches()
-
-
-def _totals(ends: list, keys: pa.Array | None, sums: np.ndarray | None, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows that have a total instead of a chunk."""
-    found = [k for k, _ in ends] + (keys.to_pylist() if keys is not None else [])
-    totals = [n for _, n in ends] + (sums.tolist() if sums is not None else [])
-    if found:
-        none = pa.nulls(len(found))
-        yield pa.record_batch([pa.array(found, schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(totals, pa.int64())], schema=schema)
+    out = written(ordered.mapInArrow(tidy(run), ddl), label)
+    return out.where(F.col("chunk").isNull()).select(key, "run", "n"), out.where(F.col("chunk").isNotNull()).select("run", "chunk", "at"), out
 
 
 def per_chunk(members: DataFrame, *values: str) -> DataFrame:
@@ -165,36 +167,55 @@ def per_chunk(members: DataFrame, *values: str) -> DataFrame:
 # --- levels ----------------------------------------------------------------------------------------------------------
 
 
-def dense_ids(words: DataFrame) -> DataFrame:
-    """`words` with ids from 1 without gaps: places in partitions, after the sizes of the partitions before (one row each)."""
-    placed = written(words.withColumn("__at", F.monotonically_increasing_id()), "phrases-words")
-    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy(part.alias("p")).agg(F.max(inside) + 1).collect())
+def dense_ids(totals: DataFrame) -> Column:
+    """An id from 1 without gaps for each `run`: its count, after those of the tasks before (one row for each task)."""
+    task, count = F.shiftright("run", 33), F.col("run").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r[0], r[1]) for r in totals.groupBy(task.alias("t")).agg(F.max(count) + 1).collect())
     offsets, total = {}, 1
-    for p, size in sizes:
-        offsets[p], total = total, total + size
+    for t, size in sizes:
+        offsets[t], total = total, total + size
     if total > 1 << 32:
         raise ValueError("more frequent words than 32-bit ids")
-    offset = F.lit(0) if not offsets else F.element_at(F.create_map(*[F.lit(x) for p in offsets for x in (p, offsets[p])]), part)
-    return placed.withColumn("id", (offset + inside).cast("long")).drop("__at")
+    if not offsets:
+        return F.lit(0).cast("long")
+    return (F.element_at(F.create_map(*[F.lit(x) for t in offsets for x in (t, offsets[t])]), task) + count).cast("long")
+
 
+#: Keys of two words are one 64-bit number, longer ones are bytes.
+LEVEL = "chunk long, lang string, seq binary, pos binary, code binary, keys array<{key}>, counts array<long>"
 
-LEVEL = "chunk long, lang string, seq binary, pos binary, code binary, keys array<binary>, counts array<long>"
+
+def _compact(seq: np.ndarray, pos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk without what no phrase of k words at `pos` covers, but for one break after each stretch, and the new places."""
+    cover = np.zeros(len(seq) + 1, np.int32)
+    np.add.at(cover, pos, 1)
+    np.add.at(cover, pos + k, -1)
+    inside = np.cumsum(cover)[:-1] > 0
+    keep = inside | np.r_[False, inside[:-1]]
+    return np.where(inside, seq, np.uint32(0))[keep], (np.cumsum(keep) - 1)[pos]
 
 
 def _level(chunk: int, lang: str, seq: np.ndarray, pos: np.ndarray, pairs: np.ndarray, k: int) -> pa.RecordBatch:
     """A chunk with its phrases of k words at `pos`; two of them are equal if their `pairs` are."""
     found, first, code, counts = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
-    at = pos[first][:, None] + np.arange(k)
-    raw = seq.astype(">u4")[at].tobytes() if len(found) else b""
-    keys = [raw[i : i + 4 * k] for i in range(0, len(raw), 4 * k)]
+    if k == 2:
+        keys, kind, raw = found.view(np.int64), pa.int64(), (None, None)  # places and codes follow from the sequence
+    else:
+        data = seq.astype(">u4")[pos[first][:, None] + np.arange(k)].tobytes() if len(found) else b""
+        keys, kind, raw = [data[i : i + 4 * k] for i in range(0, len(data), 4 * k)], pa.binary(), (pos.astype(np.int32).tobytes(), code.astype(np.int32).tobytes())
     arrays = [
-        pa.array([chunk]), pa.array([lang]), pa.array([seq.tobytes()]), pa.array([pos.astype(np.int32).tobytes()]), pa.array([code.astype(np.int32).tobytes()]),
-        pa.array([keys], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())),
+        pa.array([chunk]), pa.array([lang]), pa.array([seq.tobytes()]), *[pa.array([x], pa.binary()) for x in raw],
+        pa.array([keys], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())),
     ]
     return pa.record_batch(arrays, ["chunk", "lang", "seq", "pos", "code", "keys", "counts"])
 
 
+def _two_words(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two words in a row, and the two as one number."""
+    pos = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
+    return pos, seq[pos].astype(np.uint64) << np.uint64(32) | seq[pos + 1]
+
+
 def first_level(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Chunks with ids in place of codes, and their phrases of two words. `ids`: (chunk, found: array<(at, id)>)."""
 
@@ -206,11 +227,10 @@ def first_level(texts: DataFrame, ids: DataFrame) -> DataFrame:
                 table = np.zeros(int(seq.max(initial=0)) + 1, np.uint32)
                 table[found.field("at").to_numpy() + 1] = found.field("id").to_numpy()
                 seq = table[seq]
-                pos = np.flatnonzero((seq[:-1] > 0) & (seq[1:] > 0))
-                pairs = seq[pos].astype(np.uint64) << np.uint64(32) | seq[pos + 1]
-                yield _level(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), seq, pos, pairs, 2)
+                seq, _ = _compact(seq, _two_words(seq)[0], 2)
+                yield _level(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), seq, *_two_words(seq), 2)
 
-    return texts.select("chunk", "lang", "seq").join(ids, "chunk").mapInArrow(tidy(run), LEVEL)
+    return texts.select("chunk", "lang", "seq").join(ids, "chunk").mapInArrow(tidy(run), LEVEL.format(key="long"))
 
 
 def next_level(level: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
@@ -219,48 +239,61 @@ def next_level(level: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq, pos, code = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in ((2, np.uint32), (3, np.int32), (4, np.int32)))
+                seq = np.frombuffer(batch.column(2)[i].as_py(), np.uint32)
+                if k == 3:
+                    pos, pairs = _two_words(seq)
+                    code = np.unique(pairs, return_inverse=True)[1]
+                else:
+                    pos, code = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in (3, 4))
                 good = np.zeros(int(code.max(initial=-1)) + 1, bool)
                 good[batch.column(5)[i].values.field("at").to_numpy()] = True
                 keep = good[code]
                 pos, code = pos[keep], code[keep]
                 both = np.flatnonzero(np.diff(pos) == 1)  # the phrase that begins a word later is frequent too
                 pairs = code[both].astype(np.uint64) << np.uint64(32) | seq[pos[both] + k - 1]
-                yield _level(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), seq, pos[both], pairs, k)
+                seq, pos = _compact(seq, pos[both], k)
+                yield _level(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), seq, pos, pairs, k)
 
-    return level.select("chunk", "lang", "seq", "pos", "code").join(frequent, "chunk").mapInArrow(tidy(run), LEVEL)
+    return level.select("chunk", "lang", "seq", "pos", "code").join(frequent, "chunk").mapInArrow(tidy(run), LEVEL.format(key="binary"))
 
 
-def exploded(level: DataFrame, label: str) -> DataFrame:
-    """(key, chunk, at, n) of a level, written for the sampling of ranges."""
+def exploded(level: DataFrame) -> DataFrame:
+    """(key, chunk, at, n) of a level."""
     rows = level.select("chunk", F.posexplode(F.arrays_zip("keys", "counts")).alias("at", "x"))
-    return written(rows.select(F.col("x.keys").alias("key"), "chunk", "at", F.col("x.counts").alias("n")), label)
+    return rows.select(F.col("x.keys").alias("key"), "chunk", "at", F.col("x.counts").alias("n"))
 
 
 def counted(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lang, n): words of each language; (lang, word, id, n): frequent words; (key, n, size): frequent phrases and words."""
+    """(lang, n): words of each language; (lang, word, id, n): frequent words; (key, n, size): frequent phrases and words.
+
+    Tables of one level are deleted when the next one is written."""
     texts = chunks(docs, lang_col, text_col)
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    every = written(texts.select("lang", total.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     words = texts.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
-    words = words.select(F.struct("lang", F.col("x.words").alias("word")).alias("key"), "chunk", "at", F.col("x.counts").alias("n"))
-    every = texts.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    joined = words.withColumn("key", F.concat("key.lang", F.lit("\n"), "key.word"))  # a word holds no line feed
-    totals, members = frequent_runs(joined, "key", least, "phrases-words")
-    lexicon = written(dense_ids(totals), "phrases-lexicon")
-    ids = members.join(lexicon.select("key", F.col("id")), "key").select("chunk", "at", F.col("id").cast("long").alias("id"))
-    level = written(first_level(texts, per_chunk(ids, "at", "id")), "phrases-level")
-    big = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))  # noqa: E731  four bytes, big-endian
-    found = [lexicon.select(big(F.col("id")).alias("key"), "n", F.lit(1).alias("size"))]
+    words = words.select(F.concat("lang", F.lit("\n"), "x.words").alias("key"), "chunk", "at", F.col("x.counts").alias("n"))  # a word holds no line feed
+    totals, members, table = frequent_runs(words, "key", least, "phrases-words")
+    number = dense_ids(totals)
+    lexicon = written(totals.select("key", "n", number.alias("id")), "phrases-lexicon")
+    level = written(first_level(texts, per_chunk(members.select("chunk", "at", number.alias("id")), "at", "id")), "phrases-level")
+    forget(texts)
+    forget(table)
+    bytes_of = lambda c, width: F.unhex(F.lpad(F.hex(c), 2 * width, "0"))  # noqa: E731  big-endian
+    found = [lexicon.select(bytes_of("id", 4).alias("key"), "n", F.lit(1).alias("size"))]
     for k in range(2, longest + 1):
-        totals, members = frequent_runs(exploded(level, "phrases-keys"), "key", least, "phrases-runs")
-        found.append(totals.select("key", "n", F.lit(k).alias("size")))
+        totals, members, table = frequent_runs(exploded(level), "key", least, "phrases-runs")
+        found.append(written(totals.select((bytes_of("key", 8) if k == 2 else F.col("key")).alias("key"), "n", F.lit(k).alias("size")), "phrases-frequent"))
         if k < longest:
-            level = written(next_level(level, per_chunk(members, "at"), k + 1), "phrases-level")
+            further = written(next_level(level, per_chunk(members, "at"), k + 1), "phrases-level")
+        forget(level)
+        forget(table)
+        level = further
     phrases = found[0]
     for more in found[1:]:
         phrases = phrases.unionByName(more)
     cut = F.length(F.col("key")) - F.locate("\n", F.reverse("key")) + 1
     named = lexicon.select(F.substring(F.col("key"), F.lit(1), cut - 1).alias("lang"), F.substring(F.col("key"), cut + 1, F.length("key")).alias("word"), "id", "n")
-    return written(every, "phrases-totals"), named, written(phrases, "phrases-frequent")
+    return every, named, phrases
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------

@@ -215,9 +215,11 @@ def test_runs_survive_batch_borders(spark, small_batches, least):
     total = Counter()
     for key, _, _, n in rows:
         total[key] += n
-    found, members = phrases.frequent_runs(df, "key", least, "test")
+    found, members, _ = phrases.frequent_runs(df, "key", least, "test")
     assert {r.key: r.n for r in found.collect()} == {k: n for k, n in total.items() if n >= least}
-    assert Counter((r.key, r.chunk, r.at) for r in members.collect()) == Counter((k, c, at) for k, c, at, _ in rows if total[k] >= least)
+    named = {r.run: r.key for r in found.collect()}
+    assert len(named) == found.count()
+    assert Counter((named[r.run], r.chunk, r.at) for r in members.collect()) == Counter((k, c, at) for k, c, at, _ in rows if total[k] >= least)
 
 
 def test_products_pass_64_bits(spark):
