@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clamp, finite, join_small
+from . import folds
 from .config import FEATURE_COLS, LEAKING, LEGACY_NAMES, METADATA_COLS, Features
 
 
@@ -228,44 +229,16 @@ def stability(features: DataFrame, names: list[str], group: str = "cell_id", ref
 # --- preprocessing before a model ------------------------------------------------------------------------------------
 
 
-#: Accuracy of the quantiles that bracket the exact ones.
-ACCURACY = 10_000
-
-
 def quantiles(df: DataFrame, names: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles, linear between ranks, of the finite values of columns; None where there are none.
-
-    Approximate quantiles first give a bracket around each rank, then the values below and inside it are counted, and the
-    exact quantile is taken inside. So no task holds more than a few ten-thousandths of the distinct values."""
-    value = {n: F.when(finite(F.col(n).cast("double")), F.col(n).cast("double")) for n in names}
-    sizes = df.agg(*[F.count(value[n]).alias(n) for n in names]).first()
-    slack = {n: max(2 / ACCURACY, 2 / max(sizes[n], 1)) for n in names}
-    ends = {n: [q for p in probs for q in (max(p - slack[n], 0.0), min(p + slack[n], 1.0))] for n in names}
-    found = df.agg(*[F.percentile_approx(value[n], ends[n], ACCURACY).alias(n) for n in names]).first()
-    known = [(n, k, found[n][2 * k], found[n][2 * k + 1]) for n in names if sizes[n] for k in range(len(probs))]
-    if not known:
-        return {n: [None] * len(probs) for n in names}
-    inside = {(n, k): value[n].between(lo, hi) for n, k, lo, hi in known}
-    counts = df.agg(*[c.alias(f"{tag}{i}") for i, (n, k, lo, _) in enumerate(known) for tag, c in (("b", F.count_if(value[n] < lo)), ("i", F.count_if(inside[n, k])))]).first()
-    wanted = []
-    for i, (n, k, _, _) in enumerate(known):
-        rank = (sizes[n] - 1) * probs[k] - counts[f"b{i}"]
-        share = min(max(rank / max(counts[f"i{i}"] - 1, 1), 0.0), 1.0)
-        wanted.append(F.percentile(F.when(inside[n, k], value[n]), F.lit(share)).alias(f"q{i}"))
-    got = df.agg(*wanted).first()
-    out: dict[str, list[float | None]] = {n: [None] * len(probs) for n in names}
-    for i, (n, k, _, _) in enumerate(known):
-        out[n][k] = got[f"q{i}"]
-    return out
+    """Exact quantiles, linear between ranks, of the finite values of columns; None where there are none. Two scans."""
+    return dict(zip(names, folds.exact_quantiles(df, names, probs)[folds.ALL], strict=True))
 
 
 def imputed(df: DataFrame, names: list[str], train: DataFrame | None = None, flags: bool = True) -> DataFrame:
     """Missing values by the training median, with an indicator for each column that had any missing in training."""
-    source = train if train is not None else df
-    median = quantiles(source, names, [0.5])
-    gaps = source.agg(*[F.max((~finite(F.col(n))).cast("int")).alias(n) for n in names]).first()
-    value = {n: F.when(finite(F.col(n)), F.col(n)).otherwise(F.lit(median[n][0])) for n in names}
-    marks = {f"{n}_missing": (~finite(F.col(n))).cast("double") for n in names if flags and gaps[n]}
+    fit = folds.fitted(train if train is not None else df, names)[folds.ALL]
+    value = {n: F.when(finite(F.col(n)), F.col(n)).otherwise(F.lit(fit[n].fill)) for n in names}
+    marks = {f"{n}_missing": (~finite(F.col(n))).cast("double") for n in names if flags and f"{n}_missing" in fit}
     return df.withColumns(marks).withColumns(value)
 
 
@@ -288,12 +261,8 @@ def scaled(df: DataFrame, names: list[str], kind: str = "robust", train: DataFra
 
 
 def prepared(df: DataFrame, names: list[str], kind: str = "robust", sigma: float = 5.0, train: DataFrame | None = None) -> DataFrame:
-    """Imputed, clipped and scaled, in that order; the indicator columns of missing values go through all three."""
-    source = train if train is not None else df
-    done, fit = imputed(df, names, source), imputed(source, names, source)
-    every = [*names, *[c for c in done.columns if c.endswith("_missing") and c not in df.columns]]
-    done, fit = outliers_clipped(done, every, sigma, fit), outliers_clipped(fit, every, sigma, fit)
-    return scaled(done, every, kind, fit)
+    """Imputed, clipped and scaled, in that order; the indicator columns of missing values go through all three. One fit."""
+    return folds.prepared(df, names, folds.fitted(train if train is not None else df, names, None, kind, sigma))
 
 
 def group_folds(df: DataFrame, n_splits: int = 5, shuffle: bool = True, seed: int = 42, group: str = "cell_id") -> DataFrame:
@@ -309,6 +278,6 @@ def group_folds(df: DataFrame, n_splits: int = 5, shuffle: bool = True, seed: in
         return join_small(df, tiles, [group])
     order = np.array(sorted(r[0] for r in names.collect()), dtype=object)
     np.random.RandomState(seed).shuffle(order)
-    folds = [(c, k) for k, part in enumerate(np.array_split(order, n_splits)) for c in part]
-    table = df.sparkSession.createDataFrame(folds, T.StructType([df.schema[group], T.StructField("fold", T.IntegerType())]))
+    dealt = [(c, k) for k, part in enumerate(np.array_split(order, n_splits)) for c in part]
+    table = df.sparkSession.createDataFrame(dealt, T.StructType([df.schema[group], T.StructField("fold", T.IntegerType())]))
     return join_small(df, table, [group])

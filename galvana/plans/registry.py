@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import curves, cycles, dashboard, features, ingest, model, physics, report
+from ..operators import curves, cycles, dashboard, features, folds, ingest, model, physics, report
 from ..operators.config import Features
 from . import base
 
@@ -541,6 +541,30 @@ def prepared_features(spark, d):
     return features.prepared(base.features(spark, d), ["f3"], sigma=2.0).select("cell_id", "cycle_number", r("f3", 5))
 
 
+@query(
+    """+ tiles AS (SELECT cell_id, ntile(3) OVER (ORDER BY cell_id) - 1 AS fold FROM (SELECT DISTINCT cell_id FROM features)),
+x AS (SELECT f.cell_id, cycle_number, fold, unnest(['f1', 'f3']) AS name, unnest([f1, f3]) AS v FROM features f JOIN tiles USING (cell_id)),
+tr AS (SELECT k.fold AS k, x.* FROM x JOIN (SELECT DISTINCT fold FROM tiles) k ON x.fold <> k.fold),
+med AS (SELECT k, name, quantile_cont(v, 0.5) AS m FROM tr GROUP BY ALL),
+im AS (SELECT tr.k, tr.name, coalesce(v, m) AS v, CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END AS gone FROM tr JOIN med USING (k, name)),
+twice AS (SELECT k, name, v FROM im UNION ALL SELECT k, name || '_missing', gone FROM im WHERE name = 'f3'),
+mo AS (SELECT k, name, avg(v) AS a, stddev_pop(v) AS s FROM twice GROUP BY ALL),
+cl AS (SELECT k, name, greatest(a - 2 * s, least(a + 2 * s, v)) AS v FROM twice JOIN mo USING (k, name)),
+q AS (SELECT k, name, quantile_cont(v, 0.5) AS c, CASE WHEN quantile_cont(v, 0.75) = quantile_cont(v, 0.25) THEN 1.0 ELSE quantile_cont(v, 0.75) - quantile_cont(v, 0.25) END AS w FROM cl GROUP BY ALL),
+t AS (SELECT x.cell_id, cycle_number, fold, x.name, coalesce(v, m) AS v FROM x JOIN med ON med.k = fold AND med.name = x.name
+  UNION ALL SELECT cell_id, cycle_number, fold, 'f3_missing', CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END FROM x WHERE name = 'f3'),
+z AS (SELECT t.cell_id, cycle_number, t.fold, t.name, (greatest(a - 2 * s, least(a + 2 * s, v)) - c) / w AS z FROM t JOIN mo ON mo.k = t.fold AND mo.name = t.name JOIN q ON q.k = t.fold AND q.name = t.name)
+SELECT cell_id, cycle_number, CAST(fold AS INTEGER) AS fold, round(max(CASE WHEN name = 'f1' THEN z END), 5) + 0.0 AS f1, round(max(CASE WHEN name = 'f3' THEN z END), 5) + 0.0 AS f3,
+  round(max(CASE WHEN name = 'f3_missing' THEN z END), 5) + 0.0 AS f3_missing FROM z GROUP BY ALL""",
+    "features",
+)
+def fold_preparation(spark, d):
+    """Every row prepared as the other folds' rows say: imputed, clipped and scaled."""
+    rows = features.group_folds(base.features(spark, d), 3, shuffle=False)
+    done = folds.prepared(rows, ["f1", "f3"], folds.fitted(rows, ["f1", "f3"], "fold", sigma=2.0), "fold")
+    return done.select("cell_id", "cycle_number", "fold", *[(F.round(c, 5) + 0.0).alias(c) for c in ("f1", "f3", "f3_missing")])
+
+
 @query(
     """SELECT cell_id, day, round(sum(w * y), 5) AS area FROM (SELECT cell_id, day, abs(current) AS y,
   CASE WHEN n = 1 THEN 0.0 WHEN nth > odd THEN 0.5 WHEN odd = 1 THEN 0.5 WHEN nth = odd AND n > odd THEN 1.0 / 3.0 + 0.5
