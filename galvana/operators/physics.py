@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -224,6 +224,33 @@ def peak_table(curves: DataFrame) -> DataFrame:
     return curves.select("cell_id", "cycle_number", F.explode(found("voltage_grid", "dqdv")).alias("p")).select("cell_id", "cycle_number", "p.*")
 
 
+class ExplodePeaks:
+    """`explode_peaks(TABLE(curves) PARTITION BY cell_id)`: a row for each peak of curves that have the columns cell_id,
+    cycle_number, voltage_grid and dqdv. Curves are worked on a few hundred at a time."""
+
+    def __init__(self):
+        self.held: list[tuple] = []
+
+    def eval(self, row: Row):
+        if row["dqdv"] is not None and row["voltage_grid"] is not None:
+            self.held.append((str(row["cell_id"]), row["cycle_number"], np.asarray(row["voltage_grid"], float), np.asarray(row["dqdv"], float)))
+        if len(self.held) >= 256:
+            yield from self.terminate()
+
+    def terminate(self):
+        held, self.held = self.held, []
+        grids = [h[2] for h in held]
+        for (cell, cycle, _, _), peaks in zip(held, peaks_of_all(grids, [h[3] for h in held], [grid_spacing(v) for v in grids]), strict=True):
+            for p in peaks:
+                yield cell, cycle, p["idx"], p["voltage"], p["height"], p["width_mv"]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """The table functions of this module, for SQL."""
+    kind = "cell_id string, cycle_number int, idx int, voltage double, height double, width_mv double"
+    spark.udtf.register("explode_peaks", F.udtf(ExplodePeaks, returnType=kind))
+
+
 #: The sentences of an explanation.
 SENTENCES = {
     "health": "Predicted SOH: %.1f%%.",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import curves, cycles, dashboard, features, folds, ingest, model, physics, report
 from ..operators.config import Features
+from ..streaming import summaries
 from . import base
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -627,4 +628,26 @@ def ica_peaks(spark, d):
     return physics.peak_table(_histograms(spark, d)).select("cell_id", "cycle_number", "idx", r("voltage"), r("height"), r("width_mv", 5))
 
 
+@query(_PEAKS_SQL.replace("SELECT cell_id, c AS cycle_number", "SELECT CAST(cell_id AS VARCHAR) AS cell_id, c AS cycle_number"), "samples")
+def peaks_by_sql(spark, d):
+    """The same from SQL, by a table function over partitions of the curves."""
+    physics.register_functions(spark)
+    found = spark.sql("SELECT * FROM explode_peaks(TABLE({curves}) PARTITION BY cell_id)", curves=_histograms(spark, d))
+    return found.select("cell_id", "cycle_number", "idx", r("voltage"), r("height"), r("width_mv", 5))
+
+
+@query(
+    """+ mv AS (SELECT cell_id, CASE WHEN current > 1e-4 THEN 1 ELSE -1 END AS sign, time, voltage, abs(current) AS a FROM samples WHERE abs(current) > 1e-4),
+gap AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY cell_id, sign ORDER BY time) < 7001.5 THEN 0 ELSE 1 END AS opens FROM mv),
+isl AS (SELECT *, sum(opens) OVER (PARTITION BY cell_id, sign ORDER BY time ROWS UNBOUNDED PRECEDING) AS island FROM gap)
+SELECT cell_id, sign, round(min(time), 3) AS "begin", round(max(time), 3) AS "end", count(*) AS n_points, min(voltage) AS voltage_min, max(voltage) AS voltage_max, round(sum(a), 5) AS ampere_seconds
+FROM isl GROUP BY cell_id, sign, island""",
+    "samples",
+)
+def rest_sessions(spark, d):
+    """Half-cycles that rests of some two hours part, by session windows."""
+    found = summaries.rest_sessions(base.samples(spark, d), 7001.5)
+    return found.select("cell_id", "sign", r("begin", 3), r("end", 3), "n_points", "voltage_min", "voltage_max", r("ampere_seconds", 5))
+
+
 from . import more  # noqa: E402, F401  (registers the rest)

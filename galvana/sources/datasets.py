@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +35,14 @@ def read_batch(spark: SparkSession, path: str, time_unit: str = "min") -> DataFr
     cell's first; cycles whose key isn't a number or that lack time, voltage or current are left out, and a temperature
     that is never there is null.
     """
+    raw = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).text(path)
+    return _samples(raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), _CELL))).alias("cell_id", "cell")), time_unit)
+
+
+def _samples(cells: DataFrame, time_unit: str) -> DataFrame:
+    """Samples of (cell_id, cell: _CELL)."""
     if time_unit not in TIME_UNITS:
         raise ValueError(f"time unit {time_unit!r}; known: {sorted(TIME_UNITS)}")
-    raw = spark.read.schema(T.StructType([T.StructField("value", T.StringType())])).text(path)
-    cells = raw.select(F.explode(F.from_json("value", T.MapType(T.StringType(), _CELL))).alias("cell_id", "cell"))
     first = F.col("cell.summary.QDischarge")[0]
     health = F.map_from_arrays(F.transform("cell.summary.cycle", lambda c: c.cast("int")), F.transform("cell.summary.QDischarge", lambda q: q / first))
     cycles = cells.select("cell_id", health.alias("health"), F.col("cell.charge_policy").alias("protocol"), F.explode("cell.cycles").alias("key", "c"))
@@ -49,6 +59,64 @@ def read_batch(spark: SparkSession, path: str, time_unit: str = "min") -> DataFr
     )
 
 
+#: What a pickle of plain data and numpy arrays may name.
+_ADMITTED = {
+    ("numpy", "ndarray"), ("numpy", "dtype"), ("numpy", "float64"), ("numpy.core.multiarray", "_reconstruct"), ("numpy.core.multiarray", "scalar"),
+    ("numpy._core.multiarray", "_reconstruct"), ("numpy._core.multiarray", "scalar"), ("numpy._core.numeric", "_frombuffer"), ("numpy.core.numeric", "_frombuffer"),
+    ("collections", "OrderedDict"), ("_codecs", "encode"),
+}
+
+
+class _Plain(pickle.Unpickler):
+    """Unpickles numbers, strings, containers and numpy arrays; anything else that a pickle names is refused unseen."""
+
+    def find_class(self, module: str, name: str):
+        if (module, name) not in _ADMITTED:
+            raise pickle.UnpicklingError(f"the pickle names {module}.{name}, which isn't plain data")
+        return super().find_class(module, name)
+
+
+def _numbers(x) -> list[float] | None:
+    if x is None or isinstance(x, (str, bytes, dict)):
+        return None
+    a = np.asarray(x)
+    return a.astype(float).ravel().tolist() if a.dtype.kind in "fiub" else None
+
+
+def _cell_row(key: str, cell: dict) -> dict:
+    """A pickled cell in the shape of _CELL; fields that aren't there are null."""
+    text = lambda *names: next((str(cell[n]) for n in names if cell.get(n)), None)
+    summary = cell.get("summary") or {}
+    first = lambda *names: next((v for n in names if (v := _numbers(summary.get(n))) is not None), None)
+    cycles = [(str(k), [(f, v) for f in ("t", "V", "I", "Qc", "Qd", "T") if (v := _numbers(c.get(f))) is not None]) for k, c in (cell.get("cycles") or {}).items() if isinstance(c, dict)]
+    return {
+        "cell_id": text("barcode") or key,
+        "cell": {
+            "barcode": text("barcode"), "cathode": text("cathode"), "charge_policy": text("charge_policy", "charge_protocol"),
+            "summary": {"QDischarge": first("QDischarge", "Qd"), "cycle": first("cycle", "cycles")}, "cycles": cycles,
+        },
+    }
+
+
+def read_pickled_batch(spark: SparkSession, path: str, time_unit: str = "min") -> DataFrame:
+    """The same of pickled batches, a dict or list of cells: one task for each file, which gives a row for each cell. Only
+    plain data are unpickled (`_Plain`); a pickle that names any other class or function is an error, and nothing of it runs."""
+    schema = T.StructType([T.StructField("cell_id", T.StringType()), T.StructField("cell", _CELL)])
+    arrow = spark.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found = _Plain(io.BytesIO(content.as_buffer()), encoding="latin1").load()
+                if not isinstance(found, (dict, list)):
+                    raise ValueError(f"a batch is a dict or a list of cells, not {type(found).__name__}")
+                for key, cell in found.items() if isinstance(found, dict) else enumerate(found):
+                    if isinstance(cell, dict):
+                        yield pa.RecordBatch.from_pylist([_cell_row(str(key), cell)], arrow)
+
+    return _samples(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema), time_unit)
+
+
 #: The kinds of half-cycles of a characterisation, by preference.
 HALF_PREFERENCE = ("OCVdc", "C1dc", "OCVch", "C1ch")
 
@@ -93,6 +161,7 @@ def joined_cycles(halves: DataFrame) -> DataFrame:
 
 
 registry.register("batch", read_batch, (".jsonl",))
+registry.register("pickled_batch", read_pickled_batch, (".pkl", ".pickle"))
 
 
 def converted_mat(spark: SparkSession, path: str, points: int = 1500) -> DataFrame:

@@ -141,3 +141,45 @@ def test_files_that_cannot_be_read(spark, tmp_path):
     assert readers.registry.auto_load(spark, whole[1]).count() == 24
     write(tmp_path / "empty.mat", {})
     assert mat.read_mat(spark, f"file://{tmp_path}/empty.mat").count() == 0
+
+
+# --- pickled batches -------------------------------------------------------------------------------------------------
+
+
+def _batch():
+    cycle = {"t": np.array([0.0, 1.0]), "V": [3.0, 4.0], "I": np.array([1, -1], dtype=np.int32), "Qc": [0.0, 1.0], "Qd": np.array([0.0, 2.0]), "T": np.array([25.0, 26.0])}
+    bare = {"t": [0.0], "V": np.array([3.5]), "I": [0.5]}
+    cell = {"barcode": "X1", "cathode": "LFP", "charge_policy": "4C", "summary": {"QDischarge": np.array([1.0, 0.95]), "cycle": np.array([1, 2])}, "cycles": {"1": cycle, "2": bare, "bad": cycle, "3": {"t": [1.0]}}}
+    return {"b1": cell, "b2": {"cycles": {1: bare}}, "none": "not a cell"}
+
+
+@pytest.mark.parametrize("protocol", [2, 4, 5])
+@pytest.mark.parametrize("as_list", [False, True])
+def test_pickled_batches_hold_plain_data(spark, tmp_path, protocol, as_list):
+    import pickle
+
+    batch = _batch()
+    path = tmp_path / f"batch{protocol}{as_list}.pkl"
+    path.write_bytes(pickle.dumps(list(batch.values()) if as_list else batch, protocol=protocol))
+    rows = readers.registry.auto_load(spark, f"file://{path}").orderBy("cell_id", "row_id").collect()
+    got = [(r.cell_id, r.cycle_index, r.time, r.voltage, r.current, r.capacity, r.temperature, r.soh, r.protocol) for r in rows]
+    second = "1" if as_list else "b2"
+    want = [("X1", 1, 0.0, 3.0, 1.0, 0.0, 25.0, 1.0, "4C"), ("X1", 1, 60.0, 4.0, -1.0, 2.0, 26.0, 1.0, "4C"), ("X1", 2, 0.0, 3.5, 0.5, None, None, 0.95, "4C"), (second, 1, 0.0, 3.5, 0.5, None, None, None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+class Hostile:
+    def __reduce__(self):
+        import os
+
+        return os.system, ("touch /tmp/galvana-hostile-ran",)
+
+
+def test_hostile_pickles_are_refused(spark, tmp_path):
+    import os
+    import pickle
+
+    (tmp_path / "bad.pkl").write_bytes(pickle.dumps({"b": {"cycles": {"1": Hostile()}}}))
+    with pytest.raises(Exception, match="isn't plain data"):
+        datasets.read_pickled_batch(spark, f"file://{tmp_path}/bad.pkl").collect()
+    assert not os.path.exists("/tmp/galvana-hostile-ran")
