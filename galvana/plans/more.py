@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..functions.columns import join_small
 from ..operators import curves, cycles, dashboard, features, ingest, model, physics, report
-from ..operators.config import Features, Ica
+from ..operators.config import FEATURE_COLS, Features, Ica
 from ..sources import datasets, readers, sinks
 from ..sources.scratch import scratch_path
-from . import base, summary
+from . import base, summary, training
 from .registry import _CT, _PHASES, _SIG, _SUMMARY, _TRENDS, _cycle_table, _hourly, _signals, _summary, query, r
 
 def _day() -> Column:
@@ -353,6 +353,25 @@ def feature_matrix(spark, d):
     return made.select("cell_id", "cycle_number", "ref_cycle_index", "config_hash", "extraction_ok", *[F.round(F.col(c) + _OFF_TIE, digits.get(c, 6)).alias(c) for c in made.columns if c.startswith("dqv_")])
 
 
+@query(
+    _DAILY_SQL + _FEATURES_SQL
+    + """, told AS (SELECT CAST(d.cell_id AS VARCHAR) AS cell_id, d.c AS cycle_number, CASE WHEN n >= 12 THEN round(0.9 + 3.3e-8
+    + CASE WHEN coalesce(k, 0) >= 10 THEN mo.m * CAST(0.02 AS DOUBLE) + lo * CAST(0.01 AS DOUBLE) - hi * CAST(0.015 AS DOUBLE) ELSE 0.0 END, 6) END AS soh_pred,
+  CASE WHEN n < 12 THEN 'Extraction failed: too few bins' END AS failed FROM days d JOIN refs USING (cell_id) LEFT JOIN mo USING (cell_id, c))
+SELECT * FROM told""",
+    "samples",
+)
+def assessment(spark, d):
+    """Each day's curve as a new one of its cell: health by a fixed model against the first usable day, or why there is none."""
+    days = _daily(spark, d).withColumns({"dqdv": F.col("q_smooth"), "fail_reason": F.lit("too few bins")})
+    weights = {"dqv_mean": 0.02, "dqv_min": 0.01, "dqv_max": -0.015}
+    zero = [0.0] * len(FEATURE_COLS)
+    fitted = {"mean": zero, "scale": [1.0] * len(zero), "coef": [weights.get(c, 0.0) for c in FEATURE_COLS], "intercept": 0.9}
+    told = training.Predictor(fitted, Features(dv=0.1, outlier_sigma=1.5)).with_reference(days).trajectory(days)
+    failed = F.when(F.col("explanation").startswith(training.FAILED), F.col("explanation"))
+    return told.select("cell_id", "cycle_number", F.round(F.col("soh_pred") + _OFF_TIE, 6).alias("soh_pred"), failed.alias("failed"))
+
+
 @query(
     _DAILY_SQL
     + """, refs AS (SELECT cell_id, min(c) AS rc FROM days WHERE n >= 12 GROUP BY ALL)

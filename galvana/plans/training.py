@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import join_small
-from ..operators import curves, cycles, features, ingest, model, physics
+from ..operators import curves, cycles, features, ingest, model, physics, report
 from ..operators.config import Cell, Features, Ica, Parsing
 from ..sources import readers, sinks
 from . import summary
 
 #: Fixed value: how the explanation of a curve that can't be assessed begins.
 FAILED = "Extraction failed: "
-STAGES = ("samples", "meta", "curves", "ica", "features", "predictions")
+STAGES = ("samples", "meta", "picks", "curves", "ica", "features", "predictions", "physics", "report")
 
 
 @dataclass(frozen=True)
@@ -103,10 +103,16 @@ def files_table(spark: SparkSession, job: Job) -> tuple[DataFrame, dict[tuple, l
     return table, alike, failed
 
 
-def samples_of(spark: SparkSession, job: Job) -> tuple[DataFrame, DataFrame]:
+def samples_of(spark: SparkSession, job: Job, damaged: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Samples of all cells, and (cell_id, error) of those that can't be read. Files of one format and header are read
-    together, so the plan grows with the kinds of files and not with the cells."""
+    together, so the plan grows with the kinds of files and not with the cells. A cell with a file in `damaged` fails as a
+    whole."""
     table, alike, failed = files_table(spark, job)
+    if damaged:
+        cell_of = {r.file: r.cell_id for r in table.select("file", "cell_id").collect()}  # a row for each file
+        failed += [(cell_of[f], why) for f, why in damaged.items()]
+        lost = {cell_of[f] for f in damaged}
+        alike = {kind: kept for kind, files in alike.items() if (kept := [f for f in files if cell_of[f] not in lost])}
     units = Cell(None, F.col("capacity_unit"), F.col("current_unit"), F.col("time_unit"))
     parts = []
     for (_, delimiter, _), files in alike.items():
@@ -131,11 +137,21 @@ def run(spark: SparkSession, job: Job) -> dict[str, DataFrame]:
     root = f"{job.output}/{job.key()}"
     half = lambda: cycles.half_cycle(done["samples"], job.features.half_cycle)
 
-    def samples() -> DataFrame:
-        rows, failures = samples_of(spark, job)
+    def samples(damaged: dict[str, str] | None = None) -> DataFrame:
+        rows, failures = samples_of(spark, job, damaged)
         failures.write.mode("overwrite").parquet(f"{root}/failures")
         return rows
 
+    def write(stage: str, path: str) -> None:
+        try:
+            make[stage]().write.mode("overwrite").parquet(path)
+        except Exception:
+            # a file may be damaged behind its header; only now is it worth reading each to find out which
+            damaged = readers.damaged(spark, [f for p, _ in job.cells.values() for f in readers.files_of(spark, p)]) if stage == "samples" else {}
+            if not damaged:
+                raise
+            samples(damaged).write.mode("overwrite").parquet(path)
+
     def meta() -> DataFrame:
         made = cycles.cycle_meta(done["samples"], "nominal_ah", job.parsing)
         return made.join(done["samples"].groupBy("cell_id").agg(F.max("nominal_ah").alias("nominal_ah")), "cell_id")
@@ -145,13 +161,29 @@ def run(spark: SparkSession, job: Job) -> dict[str, DataFrame]:
         health = features.soh(F.col("discharge_capacity_ah"), F.col("nominal_ah")).alias("soh")
         return made.join(done["meta"].select("cell_id", F.col("cycle_index").alias("cycle_number"), health), ["cell_id", "cycle_number"], "left")
 
+    def graded() -> DataFrame:
+        grade = (F.col("c_rate_est") <= job.ica.max_c_rate_research).alias("research_grade")
+        return half().join(done["meta"].select("cell_id", "cycle_index", grade), ["cell_id", "cycle_index"], "left")
+
+    def mechanisms() -> DataFrame:
+        first = features.reference_cycles(done["curves"]).withColumnRenamed("ref_cycle_index", "cycle_index")
+        return curve_physics(done["curves"], done["curves"].join(first, ["cell_id", "cycle_index"]), job.features).drop("peaks", "matches")
+
+    def reported() -> DataFrame:
+        table = report.cycle_table(done["predictions"], done["physics"].drop("failed"))
+        made = report.cell_summary(table, report.trends(table), model.metrics(done["predictions"]).where("cell_id IS NOT NULL"))
+        return made.join(report.evidence(made), "cell_id")
+
     make = {
         "samples": samples,
         "meta": meta,
+        "picks": lambda: cycles.pick_for_ica(done["meta"], job.ica.max_c_rate_research, job.ica.max_c_rate_fallback),
         "curves": lambda: curves.qv_curves(half(), "nominal_ah", job.features),
-        "ica": lambda: curves.ica_curves(half(), job.ica),
+        "ica": lambda: curves.ica_curves(graded(), job.ica),
         "features": feature_rows,
         "predictions": lambda: model.loco_predictions(done["features"], job.net),
+        "physics": mechanisms,
+        "report": reported,
     }
     for stage in STAGES:
         if stage not in job.stages:
@@ -159,7 +191,7 @@ def run(spark: SparkSession, job: Job) -> dict[str, DataFrame]:
         path, began = f"{root}/{stage}", time.time()
         ready = job.resume and readers.exists(spark, f"{path}/_SUCCESS")
         if not ready:
-            make[stage]().write.mode("overwrite").parquet(path)
+            write(stage, path)
         done[stage] = spark.read.parquet(path)
         job.progress(stage, "resumed" if ready else "ok", time.time() - began)
     if "meta" in done:
@@ -211,25 +243,36 @@ def write_outputs(done: dict[str, DataFrame], path: str, net: model.ElasticNet =
     sinks.write_model_run(done["predictions"], model.metrics(done["predictions"]), model.importance(spark, fitted), f"{path}/model")
     sinks.write_json(done["summary"], f"{path}/summary.json")
     sinks.write_json(done["overall"], f"{path}/overall.json")
+    if "report" in done:
+        sinks.write_csv(done["physics"], f"{path}/physics.csv")
+        sinks.write_json(done["report"], f"{path}/report.json")
+
+
+def curve_physics(current: DataFrame, reference: DataFrame, cfg: Features = Features()) -> DataFrame:
+    """Mechanisms of each usable curve of `current` against the one curve of its cell in `reference`, on the grid points that
+    both have; curves with fewer than 20 of these, and cells without a reference, have no row."""
+    ref = reference.where("ok").select("cell_id", F.col("dqdv").alias("ref_dqdv"))
+    joined = current.where("ok").join(ref, "cell_id")
+    both = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("dqdv") - 1).alias("i"), F.col("dqdv").alias("now"), F.col("ref_dqdv").alias("was")), lambda p: p["now"].isNotNull() & p["was"].isNotNull())
+    shared = joined.select("cell_id", F.col("cycle_index").alias("cycle_number"), both.alias("p")).where(F.size("p") >= 20)
+    volts = F.transform("p.i", lambda i: F.lit(cfg.v_min) + i * F.lit(cfg.dv))
+    return physics.against_reference(shared.select("cell_id", "cycle_number", volts.alias("voltage_grid"), F.col("p.now").alias("dqdv"), F.col("p.was").alias("ref_dqdv")))
 
 
 def assess(current: DataFrame, reference: DataFrame, fitted: dict, cfg: Features = Features()) -> DataFrame:
     """Health, mechanisms and explanation of each curve of `current` (cell_id, cycle_index, q_smooth, dqdv, ok) against the
     one curve per cell of `reference`. Curves with fewer than 20 grid points in common have no physics; curves that
     couldn't be extracted, and those of cells without a reference, keep a row that says so."""
-    ref = reference.where("ok").select("cell_id", F.col("cycle_index").alias("ref_cycle_index"), F.col("q_smooth").alias("ref_q"), F.col("dqdv").alias("ref_dqdv"))
+    ref = reference.where("ok").select("cell_id", F.col("cycle_index").alias("ref_cycle_index"), F.col("q_smooth").alias("ref_q"))
     joined = current.where("ok").join(ref, "cell_id")
     delta = joined.select("cell_id", "cycle_index", "ref_cycle_index", F.zip_with("q_smooth", "ref_q", lambda a, b: a - b).alias("dq"))
     rows = model.predictions(features.array_features(delta, cfg), fitted)
-    both = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("dqdv") - 1).alias("i"), F.col("dqdv").alias("now"), F.col("ref_dqdv").alias("was")), lambda p: p["now"].isNotNull() & p["was"].isNotNull())
-    shared = joined.select("cell_id", F.col("cycle_index").alias("cycle_number"), both.alias("p")).where(F.size("p") >= 20)
-    volts = F.transform("p.i", lambda i: F.lit(cfg.v_min) + i * F.lit(cfg.dv))
-    found = physics.against_reference(shared.select("cell_id", "cycle_number", volts.alias("voltage_grid"), F.col("p.now").alias("dqdv"), F.col("p.was").alias("ref_dqdv")))
-    out = rows.withColumnRenamed("cycle_index", "cycle_number").join(found.drop("peaks", "matches", "failed"), ["cell_id", "cycle_number"], "left")
+    found = curve_physics(current, reference, cfg)
+    out = rows.withColumn("cell_id", F.col("cell_id").cast("string")).withColumnRenamed("cycle_index", "cycle_number").join(found.drop("peaks", "matches", "failed"), ["cell_id", "cycle_number"], "left")
     told = physics.explained(out)
     why = F.when(~F.col("ok"), F.concat(F.lit(FAILED), F.coalesce("fail_reason", F.lit("unknown")))).otherwise(F.lit(FAILED + "no reference curve"))
     lost = current.join(ref.select("cell_id", F.lit(True).alias("__ref")), "cell_id", "left").where("not ok or __ref is null")
-    lost = lost.select("cell_id", F.col("cycle_index").alias("cycle_number"), why.alias("explanation"))
+    lost = lost.select(F.col("cell_id").cast("string").alias("cell_id"), F.col("cycle_index").alias("cycle_number"), why.alias("explanation"))
     return told.unionByName(lost, allowMissingColumns=True)
 
 

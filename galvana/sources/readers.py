@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import csv
+import json
 import re
 from collections.abc import Callable
-from functools import reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote, urlparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +17,32 @@ from pyspark.sql import functions as F
 DELIMITERS = ",;\t|"
 
 
-def sniffed_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter of a text file, from its first lines; only those reach the driver."""
-    lines = [r.value for r in spark.read.text(path).limit(5).collect()]
-    if not lines:
-        raise ValueError(f"{path} is empty")
+#: Bytes of a text file that are read for its header.
+HEAD_BYTES = 1 << 16
+
+
+def delimiter_of(lines: list[str]) -> str:
+    """What separates the columns of a text file, from its first lines."""
     try:
         return csv.Sniffer().sniff("\n".join(lines), DELIMITERS).delimiter
     except csv.Error:
         return ","
 
 
+def sniffed_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter of a text file; only its first lines reach the driver."""
+    lines = [r.value for r in spark.read.text(path).limit(5).collect()]
+    if not lines:
+        raise ValueError(f"{path} is empty")
+    return delimiter_of(lines)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep=sniffed_delimiter(spark, path))
 
 
-def read_feather(spark: SparkSession, path: str) -> DataFrame:
-    """Arrow IPC files, a task for each file; the first file's schema counts."""
+def read_feather(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Arrow IPC files, a task for each file, with the `file` that a row comes from; the first file's schema counts."""
     import pyarrow as pa
     import pyarrow.feather as feather
 
@@ -41,13 +51,16 @@ def read_feather(spark: SparkSession, path: str) -> DataFrame:
     if first is None:
         raise FileNotFoundError(path)
     schema = spark.createDataFrame(feather.read_table(pa.BufferReader(bytes(first.content))).slice(0, 0)).schema
+    names = list(schema.names)
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                yield from feather.read_table(pa.BufferReader(content.as_buffer())).to_batches()
+            for content, name in zip(batch.column(0), batch.column(1), strict=True):
+                for part in feather.read_table(pa.BufferReader(content.as_buffer())).select(names).to_batches():
+                    yield pa.record_batch([*part.columns, pa.array([name.as_py()] * part.num_rows)], [*names, "file"])
 
-    return files.select("content").mapInArrow(run, schema)
+    spelt = F.regexp_replace("path", "^file:/+", "file:///")
+    return files.select("content", spelt.alias("file")).mapInArrow(run, schema.add("file", "string"))
 
 
 FORMATS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -57,7 +70,7 @@ FORMATS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     ".json": lambda s, p: s.read.json(p),
     ".csv": read_text,
     ".txt": read_text,
-    ".feather": read_feather,
+    ".feather": lambda s, p: read_feather(s, p).drop("file"),
 }
 
 
@@ -99,43 +112,115 @@ def files_of(spark: SparkSession, path: str) -> list[str]:
         return []
 
 
+def _opened(path: str):
+    """A file by the file system that its address names. ValueError where pyarrow knows none."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_file(unquote(urlparse(path).path) if "://" in path else path)
+    where, name = fs.FileSystem.from_uri(path)
+    return where.open_input_file(name)
+
+
+def _header(file, kind: str) -> tuple[str, list[str]]:
+    """Delimiter and columns of an open file: of text its first block is read, of other formats the footer."""
+    import pyarrow as pa
+    from pyarrow import orc, parquet
+
+    if kind in (".csv", ".txt"):
+        lines = file.read(HEAD_BYTES).decode("utf-8", "replace").lstrip("\ufeff").splitlines()[:5]
+        if not lines or not lines[0].strip():
+            raise ValueError("the file is empty")
+        delimiter = delimiter_of(lines)
+        return delimiter, [c.strip() for c in next(csv.reader(lines[:1], delimiter=delimiter))]
+    if kind == ".feather":
+        return "", pa.ipc.open_file(file).schema.names
+    return "", orc.ORCFile(file).schema.names if kind == ".orc" else parquet.read_schema(file).names
+
+
+def _read_through(file, kind: str) -> None:
+    """Reads all of a file, so that damage anywhere shows."""
+    import pyarrow as pa
+    from pyarrow import orc, parquet
+
+    if kind in (".csv", ".txt", ".json"):
+        while file.read(1 << 22):
+            pass
+    elif kind == ".feather":
+        for k in range((found := pa.ipc.open_file(file)).num_record_batches):
+            found.get_batch(k)
+    elif kind == ".orc":
+        for k in range((found := orc.ORCFile(file)).nstripes):
+            found.read_stripe(k)
+    else:
+        for _ in parquet.ParquetFile(file, page_checksum_verification=True).iter_batches():
+            pass
+
+
+def _of_each(spark: SparkSession, files: list[str], look: Callable, tasks: int = 64) -> dict[str, tuple]:
+    """`look(open file, extension)` for each file, in tasks: (result, None) or (None, what was wrong)."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for f in frame["file"]:
+                try:
+                    with _opened(f) as file:
+                        rows.append((f, json.dumps(look(file, PurePosixPath(f).suffix.lower())), None))
+                except Exception as e:  # whatever is wrong with a file belongs to that file alone
+                    rows.append((f, None, f"{type(e).__name__}: {(str(e).splitlines() or [''])[0]}"))
+            yield pd.DataFrame(rows, columns=["file", "found", "error"])
+
+    table = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, min(len(files), tasks)))
+    got = table.mapInPandas(run, "file string, found string, error string").collect()  # a row for each file
+    return {r.file: (None if r.found is None else json.loads(r.found), r.error) for r in got}
+
+
 def columns_of(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, list[str]] | str]:
     """By file: its delimiter ("" where it has none) and columns, or the reason why it can't be read.
 
-    The first lines of all text files come from one job; other formats tell their schema by themselves."""
-    out: dict[str, tuple[str, list[str]] | str] = {}
-    texts = [f for f in files if PurePosixPath(f).suffix.lower() in (".csv", ".txt")]
+    Tasks open the files and read a first block or a footer of each. Where only Spark can open them, text files give their
+    first lines by a scan; JSON files have no header, and Spark infers their columns."""
+    known = [f for f in files if PurePosixPath(f).suffix.lower() in FORMATS]
+    out: dict[str, tuple[str, list[str]] | str] = {f: f"unknown extension {PurePosixPath(f).suffix.lower()!r}" for f in files}
+    openable = ("file", "hdfs", "s3", "gs", "abfs")
+    near = [f for f in known if PurePosixPath(f).suffix.lower() != ".json" and ("://" not in f or f.split(":")[0] in openable)]
+    for f, (found, error) in _of_each(spark, near, _header).items() if near else ():
+        out[f] = error.removeprefix("ValueError: ") if found is None else (found[0], found[1])
+    far = sorted(set(known) - set(near))
+    texts = [f for f in far if PurePosixPath(f).suffix.lower() in (".csv", ".txt")]
     if texts:
         lines = spark.read.text(texts).select(_file_name(), "value", F.monotonically_increasing_id().alias("line"))
-        heads = {r.file: r.head for r in lines.groupBy("file").agg(F.min_by("value", "line").alias("head")).collect()}  # a line for each file
+        heads = {r.file: r.head for r in lines.groupBy("file").agg(F.min_by("value", "line").alias("head")).collect()}
         for f in texts:
             head = heads.get(f)
-            if not head:
-                out[f] = "the file is empty"
-            else:
-                delimiter = max(DELIMITERS, key=head.count)
-                out[f] = (delimiter, [c.strip().strip('"') for c in head.split(delimiter)])
-    for f in sorted(set(files) - set(texts)):
-        kind = PurePosixPath(f).suffix.lower()
+            out[f] = (d := delimiter_of([head]), [c.strip() for c in next(csv.reader([head], delimiter=d))]) if head else "the file is empty"
+    for f in sorted(set(far) - set(texts)):
         try:
-            out[f] = ("", FORMATS[kind](spark, f).columns) if kind in FORMATS else f"unknown extension {kind!r}"
-        except Exception as e:  # whatever a reader says about a broken file belongs to that file alone
+            out[f] = ("", FORMATS[PurePosixPath(f).suffix.lower()](spark, f).columns)
+        except Exception as e:
             out[f] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
     return out
 
 
+def damaged(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """What is wrong with those of the files that can't be read to their end. Every file is read, so ask only after a read has
+    failed."""
+    return {f: error for f, (_, error) in _of_each(spark, files, _read_through, 4096).items() if error}
+
+
 def read_alike(spark: SparkSession, files: list[str], delimiter: str) -> DataFrame:
-    """Files of one format and header as one table, with `file` and a row_id that rises within each. Files that turn out
-    to be corrupt give no rows."""
+    """Files of one format and header as one table, with `file` and a row_id that rises within each. A damaged file makes the
+    read fail rather than lose rows; `damaged` tells which it is."""
     kind = PurePosixPath(files[0]).suffix.lower()
-    reader = spark.read.option("ignoreCorruptFiles", True)
+    if kind == ".feather":
+        return read_feather(spark, files).withColumn("row_id", F.monotonically_increasing_id())
     if kind in (".csv", ".txt"):
-        df = reader.csv(files, header=True, sep=delimiter)
-    elif kind == ".feather":
-        parts = [read_feather(spark, f).withColumn("file", F.lit(f)) for f in files]
-        return reduce(DataFrame.unionByName, parts).withColumn("row_id", F.monotonically_increasing_id())
+        df = spark.read.csv(files, header=True, sep=delimiter, encoding="UTF-8")
     else:
-        df = reader.format({".pq": "parquet"}.get(kind, kind[1:])).load(files)
+        df = spark.read.format({".pq": "parquet"}.get(kind, kind[1:])).load(files)
     return df.select("*", _file_name(), F.monotonically_increasing_id().alias("row_id"))
 
 

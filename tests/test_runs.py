@@ -183,3 +183,53 @@ def test_unreadable_files_say_why(spark, tmp_path):
     (tmp_path / "c.csv").write_text("")
     found = readers.columns_of(spark, [f"file://{tmp_path}/{n}" for n in ("a.parquet", "b.xyz", "c.csv")])
     assert all(isinstance(x, str) for x in found.values()) and readers.files_of(spark, f"{tmp_path}/none.csv") == []
+
+
+def test_headers_are_read_from_first_blocks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('"time, s";"voltage";current\n' + "1;2;3\n" * 100_000)
+    (tmp_path / "t.txt").write_text("time\tvoltage\tcurrent\n1\t2\t3\n")
+    (tmp_path / "c.csv").write_text('time,"voltage, V",current\n1,2,3\n')
+    spark.createDataFrame([(1.0, 2.0)], "time double, voltage double").toPandas().to_feather(tmp_path / "f.feather")
+    spark.createDataFrame([(1.0, 2.0)], "time double, voltage double").toPandas().to_parquet(tmp_path / "p.parquet")
+    names = ("q.csv", "t.txt", "c.csv", "f.feather", "p.parquet")
+    found = readers.columns_of(spark, [f"file://{tmp_path}/{n}" for n in names])
+    want = [(";", ["time, s", "voltage", "current"]), ("\t", ["time", "voltage", "current"]), (",", ["time", "voltage, V", "current"]), ("", ["time", "voltage"]), ("", ["time", "voltage"])]
+    assert [found[f"file://{tmp_path}/{n}"] for n in names] == want
+    both = readers.read_alike(spark, [f"file://{tmp_path}/f.feather"] * 1, "").collect()
+    assert [(r.time, r.voltage, r.file) for r in both] == [(1.0, 2.0, f"file://{tmp_path}/f.feather")]
+
+
+def test_damaged_files_fail_their_cell_alone(spark, tmp_path):
+    import pandas as pd
+
+    for k in range(4):
+        rows = cell(3, 0.01 + 0.01 * k, f"cell{k}")
+        pd.DataFrame([(float(r[2]), float(r[3]), float(r[4])) for r in rows], columns=["time", "voltage", "current"]).to_parquet(tmp_path / f"cell{k}.parquet", compression="gzip")
+    whole = (tmp_path / "cell1.parquet").read_bytes()
+    (tmp_path / "cell1.parquet").write_bytes(whole[: len(whole) // 2])  # cut off: no footer
+    whole = bytearray((tmp_path / "cell2.parquet").read_bytes())
+    for at in range(200, len(whole) // 2, 7):
+        whole[at] ^= 0x5A  # damaged within, while the footer is there
+    (tmp_path / "cell2.parquet").write_bytes(bytes(whole))
+    (tmp_path / "cell4.csv.gz").write_bytes(b"\x1f\x8b\x08\x00cut")
+    cells = {f"cell{k}": {"path": f"{tmp_path}/cell{k}.parquet"} for k in range(4)} | {"cell4": {"path": f"{tmp_path}/cell4.csv.gz"}}
+    done = training.run(spark, training.job_from_config({"dataset": {"cells": cells, "nominal_capacity_ah": 10.0}} | LOOSE, str(tmp_path / "out")))
+    status = {(r.cell_id, r.stage): r.status for r in done["status"].collect()}
+    assert [status[f"cell{k}", "parse"] for k in range(5)] == ["ok", "failed", "failed", "ok", "failed"]
+    assert {r.cell_id: r["count"] for r in done["samples"].groupBy("cell_id").count().collect()}.keys() == {"cell0", "cell3"}
+    assert done["predictions"].select("cell_id").distinct().count() == 2
+
+
+def test_a_job_grades_picks_and_reports(spark, tmp_path):
+    cells = written_cells(tmp_path, [3, 3], [1.0, 3.0])
+    config = {"dataset": {"cells": cells, "nominal_capacity_ah": 10.0}, "features": {"c_rate_max": 1.0, "current_cv_max": 0.05}, "ica": {"max_c_rate_research": 0.12, "max_c_rate_fallback": 0.5}}
+    done = training.run(spark, training.job_from_config(config, str(tmp_path / "out")))
+    assert {(r.cell_id, r.research_grade) for r in done["picks"].collect()} == {("cell0", True), ("cell1", False)}
+    flags = {(r.cell_id, curves.NOT_RESEARCH in r.flags) for r in done["ica"].collect()}
+    assert flags == {("cell0", False), ("cell1", True)}
+    physics_of = {(r.cell_id, r.cycle_number): r for r in done["physics"].collect()}
+    assert set(physics_of) == {(f"cell{k}", c) for k in range(2) for c in range(3)} and physics_of["cell0", 0].LAM_loss == pytest.approx(0, abs=1e-6)
+    told = {r.cell_id: r for r in done["report"].collect()}
+    assert told["cell0"].n_cycles == 3 and json.loads(told["cell1"].evidence)["dominant_mechanism"] == told["cell1"].dominant_mechanism
+    training.write_outputs(done, str(tmp_path / "files"))
+    assert spark.read.json(str(tmp_path / "files/report.json")).count() == 2
