@@ -99,31 +99,46 @@ def loco_models(stats: DataFrame, net: ElasticNet = ElasticNet(), solver: Solver
 
     With one cell there is no training data, and no row for it. `solver` may be any function like `solve`.
     """
-    size = stats.select(F.size("sx").alias("p")).first()
-    p = size["p"] if size else 0
-    add = lambda c, m: F.array(*[F.sum(F.col(c)[i]) for i in range(m)]).alias(f"t_{c}")
-    total = stats.agg(F.sum("n").alias("t_n"), F.sum("sy").alias("t_sy"), F.sum("syy").alias("t_syy"), add("sx", p), add("sxy", p), add("sxx", p * (p + 1) // 2))
+    p = stats.select(F.size("sx").alias("p")).first()
+    p = p["p"] if p else 0
+    add = lambda c, m: F.array(*[F.sum(F.col(c)[i]) for i in range(m)]).alias(c)
+    total = stats.agg(F.struct(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), add("sx", p), add("sxy", p), add("sxx", p * (p + 1) // 2)).alias("t"))
 
     def folds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                n = r.t_n - r.n
+                n = r.t["n"] - r.n
                 if n > 0:
-                    fit = solver(n, np.array(r.t_sx) - r.sx, np.array(r.t_sxx) - r.sxx, r.t_sy - r.sy, np.array(r.t_sxy) - r.sxy, r.t_syy - r.syy, net)
+                    rest = {c: np.array(r.t[c]) - getattr(r, c) for c in ("sx", "sxx", "sxy")}
+                    fit = solver(n, rest["sx"], rest["sxx"], r.t["sy"] - r.sy, rest["sxy"], r.t["syy"] - r.syy, net)
                     out.append({"cell_id": r.cell_id, "n_train": n} | fit)
             yield pd.DataFrame(out, columns=["cell_id", "mean", "scale", "coef", "intercept", "n_train"])
 
-    sums = {c: total.select(c).scalar() for c in total.columns}  # one row, as scalar subqueries
-    return stats.withColumns(sums).mapInPandas(folds, f"cell_id string, {_FIT}")
+    return stats.withColumn("t", total.scalar()).mapInPandas(folds, f"cell_id string, {_FIT}")  # one struct, by one subquery
 
 
-def full_model(stats: DataFrame, net: ElasticNet = ElasticNet(), solver: Solver = solve) -> dict:
-    """The model over all cells; one row of sums reaches the driver."""
-    p = stats.select(F.size("sx")).first()[0]
+def totals(stats: DataFrame) -> dict:
+    """The sums of all cells as numbers and arrays; one row reaches the driver."""
+    p = len(stats.select("sx").first()["sx"])
     add = lambda c, m: F.array(*[F.sum(F.col(c)[i]) for i in range(m)]).alias(c)
     t = stats.agg(F.sum("n").alias("n"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), add("sx", p), add("sxy", p), add("sxx", p * (p + 1) // 2)).first()
-    return solver(t["n"], np.array(t["sx"]), np.array(t["sxx"]), t["sy"], np.array(t["sxy"]), t["syy"], net)
+    return {c: np.array(t[c]) if isinstance(t[c], list) else t[c] for c in t.asDict()}
+
+
+def of_features(t: dict, chosen: list[int]) -> dict:
+    """The same sums for some of the features, in their order: a model of fewer features needs no scan of its own."""
+    p = len(t["sx"])
+    full = np.zeros((p, p))
+    full[np.triu_indices(p)] = t["sxx"]
+    full = full + np.triu(full, 1).T
+    return t | {"sx": t["sx"][chosen], "sxy": t["sxy"][chosen], "sxx": full[np.ix_(chosen, chosen)][np.triu_indices(len(chosen))]}
+
+
+def full_model(stats: DataFrame | dict, net: ElasticNet = ElasticNet(), solver: Solver = solve) -> dict:
+    """The model over all cells, from their statistics or from `totals`."""
+    t = stats if isinstance(stats, dict) else totals(stats)
+    return solver(t["n"], t["sx"], t["sxx"], t["sy"], t["sxy"], t["syy"], net)
 
 
 def linear(names, mean, scale, coef, intercept: Column) -> Column:

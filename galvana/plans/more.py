@@ -501,8 +501,9 @@ def loco_one_feature(spark, d):
 )
 def top_importance(spark, d):
     """The two features of largest weight, each fitted by itself."""
-    rows, names = base.features(spark, d), ("f1", "f2", "f3")
-    coef = [model.full_model(model.gram_stats(rows, (n,)))["coef"][0] for n in names]
+    names = ("f1", "f2", "f3")
+    sums = model.totals(model.gram_stats(base.features(spark, d), names))
+    coef = [model.full_model(model.of_features(sums, [i]))["coef"][0] for i in range(len(names))]
     return model.top_importance(model.importance(spark, {"coef": coef}, names), 2).select("feature", r("coefficient"), r("abs_coefficient"), "rank")
 
 

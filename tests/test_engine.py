@@ -113,14 +113,14 @@ def test_curves_features_and_model_end_to_end(spark, tmp_path):
     job = training.job_from_config(config, str(tmp_path / "out"))
     object.__setattr__(job, "progress", lambda *x: seen.append(x[:2]))
     done = training.run(spark, job)
-    assert [s for _, s in seen] == ["ok"] * 6
+    assert [s for _, s in seen] == ["ok"] * len(training.STAGES)
     made = done["features"].collect()
     assert len(made) == 15 and all(r.extraction_ok for r in made) and {r.config_hash for r in made} == {job.features.hash()}
     first = [r for r in made if r.cycle_number == 0]
     assert all(r.dqv_variance == 0 and r.dqv_skewness is None for r in first)
     assert done["predictions"].count() == 15
     training.run(spark, job)
-    assert [s for _, s in seen[6:]] == ["resumed"] * 6
+    assert [s for _, s in seen[len(training.STAGES) :]] == ["resumed"] * len(training.STAGES)
     assert done["ica"].where("size(peaks_v) >= 0").count() == 15
     curves.assert_comparable(done["ica"])
     ref = done["curves"].where("cycle_index = 0")
