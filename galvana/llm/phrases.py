@@ -93,12 +93,38 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
 # --- runs ------------------------------------------------------------------------------------------------------------
 
 
-RUNS = "{key} {kind}, run long, chunk long, at int, n long"
+RUNS = "{key} {kind}, run long, n long, chunk long, ats binary, runs binary"
+#: Rows of frequent keys that a task holds before it passes them on, sorted by chunk.
+HELD_ROWS = 1 << 22
 
 
-def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (key, chunk, at, n): (key, run, n) for each key whose n sum to `least` or more, and (run, chunk, at) of its
-    rows; and the written table that both come from. `run` numbers keys: the task in the upper bits, a count in the lower 33.
+class _Members:
+    """Rows of frequent keys, as one row for each chunk with the numbers `at` (and the runs) packed."""
+
+    def __init__(self, schema: pa.Schema, numbered: bool):
+        self.schema, self.numbered, self.parts, self.size = schema, numbered, [], 0
+
+    def add(self, rows: pa.RecordBatch, runs: np.ndarray) -> None:
+        self.parts.append((rows.column("chunk").to_numpy(), rows.column("at").to_numpy(), runs if self.numbered else None))
+        self.size += rows.num_rows
+
+    def passed_on(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            chunk, at = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+            order = np.argsort(chunk, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0])
+            ats = np.split(at[order].astype(np.int32), first[1:])
+            runs = np.split(np.concatenate([p[2] for p in self.parts])[order], first[1:]) if self.numbered else [None] * len(first)
+            none = pa.nulls(len(first))
+            arrays = [none.cast(self.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(chunk[order][first]), pa.array([x.tobytes() for x in ats], pa.binary()), pa.array([None if x is None else x.tobytes() for x in runs], pa.binary())]
+            yield pa.record_batch(arrays, schema=self.schema)
+        self.parts, self.size = [], 0
+
+
+def frequent_runs(rows: DataFrame, key: str, least: int, label: str, numbered: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (key, chunk, at, n): (key, run, n) for each key whose n sum to `least` or more; (chunk, ats, runs), with the
+    numbers `at` of a chunk's rows of such keys, packed, and their runs if `numbered`; and the written table of both. `run`
+    numbers keys: the task in the upper bits, a count in the lower 33.
 
     Rows are dealt by ranges of the key and sorted, so equal keys are neighbours in one task; a run is counted while it
     streams by, and only the rows before it reached `least` are held, which are fewer than `least`, or one batch."""
@@ -107,14 +133,11 @@ def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[Da
         serial = TaskContext.get().partitionId() << 33  # of the next frequent key
         held: list[pa.RecordBatch] = []  # rows of the last run, as long as it isn't known to be frequent
         last, total, number = None, 0, None
-
-        def members(part: pa.RecordBatch, numbers) -> pa.RecordBatch:
-            none = pa.nulls(part.num_rows)
-            return pa.record_batch([none.cast(schema.field(0).type), pa.array(numbers, pa.int64()), part.column("chunk"), part.column("at"), none.cast(pa.int64())], schema=schema)
+        members = _Members(schema, numbered)
 
         def totals(keys, numbers, sums) -> pa.RecordBatch:
             none = pa.nulls(len(sums))
-            return pa.record_batch([keys, pa.array(numbers, pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(sums, pa.int64())], schema=schema)
+            return pa.record_batch([keys, pa.array(numbers, pa.int64()), pa.array(sums, pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -136,11 +159,11 @@ def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[Da
             serial = max(serial, int(numbers[good].max(initial=-1)) + 1)
             if goes_on and good[0]:
                 for part in held:
-                    yield members(part, np.full(part.num_rows, numbers[0]))
+                    members.add(part, np.full(part.num_rows, numbers[0]))
             if not goes_on or good[0]:
                 held = []
             if good.any():
-                yield members(batch.filter(pa.array(np.repeat(good, length))), np.repeat(numbers[good], length[good]))
+                members.add(batch.filter(pa.array(np.repeat(good, length))), np.repeat(numbers[good], length[good]))
             ended = np.flatnonzero(good[:-1])
             if len(ended):
                 yield totals(keys.take(pa.array(first[ended])), numbers[ended], sums[ended])
@@ -149,6 +172,9 @@ def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[Da
             elif len(first) > 1:
                 held = []
             last, total, number = keys[int(first[-1])].as_py(), int(sums[-1]), int(numbers[-1]) if good[-1] else None
+            if members.size >= HELD_ROWS:
+                yield from members.passed_on()
+        yield from members.passed_on()
         if number is not None:
             yield totals(pa.array([last], schema.field(0).type), [number], [total])
 
@@ -156,29 +182,37 @@ def frequent_runs(rows: DataFrame, key: str, least: int, label: str) -> tuple[Da
     schema = rows.sparkSession.createDataFrame([], ddl).toArrow().schema
     ordered = rows.select(key, "chunk", "at", "n").repartitionByRange(key).sortWithinPartitions(key)
     out = written(ordered.mapInArrow(tidy(run), ddl), label)
-    return out.where(F.col("chunk").isNull()).select(key, "run", "n"), out.where(F.col("chunk").isNotNull()).select("run", "chunk", "at"), out
+    return out.where(F.col("chunk").isNull()).select(key, "run", "n"), out.where(F.col("chunk").isNotNull()).select("chunk", "ats", "runs"), out
+
+
+def per_chunk(members: DataFrame) -> DataFrame:
+    """(chunk, ats, runs): what was found frequent in each chunk, as lists of packed parts; a chunk bounds them."""
+    return members.groupBy("chunk").agg(F.collect_list("ats").alias("ats"), F.collect_list("runs").alias("runs"))
 
 
-def per_chunk(members: DataFrame, *values: str) -> DataFrame:
-    """(chunk, found): what was found frequent in each chunk, as one array; a chunk bounds it."""
-    return members.groupBy("chunk").agg(F.collect_list(F.struct(*values)).alias("found"))
+def _unpacked(parts: pa.ListScalar, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in parts.as_py()])
 
 
 # --- levels ----------------------------------------------------------------------------------------------------------
 
 
-def dense_ids(totals: DataFrame) -> Column:
-    """An id from 1 without gaps for each `run`: its count, after those of the tasks before (one row for each task)."""
+def dense_ids(totals: DataFrame) -> dict[int, int]:
+    """By task: the first of its ids, so that ids run from 1 without gaps. One row for each task reaches the driver."""
     task, count = F.shiftright("run", 33), F.col("run").bitwiseAND((1 << 33) - 1)
-    sizes = sorted((r[0], r[1]) for r in totals.groupBy(task.alias("t")).agg(F.max(count) + 1).collect())
     offsets, total = {}, 1
-    for t, size in sizes:
+    for t, size in sorted((r[0], r[1]) for r in totals.groupBy(task.alias("t")).agg(F.max(count) + 1).collect()):
         offsets[t], total = total, total + size
     if total > 1 << 32:
         raise ValueError("more frequent words than 32-bit ids")
+    return offsets
+
+
+def _id(offsets: dict[int, int]) -> Column:
     if not offsets:
         return F.lit(0).cast("long")
-    return (F.element_at(F.create_map(*[F.lit(x) for t in offsets for x in (t, offsets[t])]), task) + count).cast("long")
+    first = F.create_map(*[F.lit(x) for t in offsets for x in (t, offsets[t])])
+    return (F.element_at(first, F.shiftright("run", 33)) + F.col("run").bitwiseAND((1 << 33) - 1)).cast("long")
 
 
 #: Keys of two words are one 64-bit number, longer ones are bytes.
@@ -216,21 +250,23 @@ def _two_words(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pos, seq[pos].astype(np.uint64) << np.uint64(32) | seq[pos + 1]
 
 
-def first_level(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Chunks with ids in place of codes, and their phrases of two words. `ids`: (chunk, found: array<(at, id)>)."""
+def first_level(texts: DataFrame, frequent: DataFrame, offsets: dict[int, int]) -> DataFrame:
+    """Chunks with ids in place of the codes of frequent words, and their phrases of two words."""
+    first = np.zeros(max(offsets, default=-1) + 1, np.int64)
+    first[list(offsets)] = list(offsets.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 seq = np.frombuffer(batch.column(2)[i].as_py(), np.uint32)
-                found = batch.column(3)[i].values
+                at, runs = _unpacked(batch.column(3)[i], np.int32), _unpacked(batch.column(4)[i], np.int64)
                 table = np.zeros(int(seq.max(initial=0)) + 1, np.uint32)
-                table[found.field("at").to_numpy() + 1] = found.field("id").to_numpy()
+                table[at + 1] = first[runs >> 33] + (runs & ((1 << 33) - 1))
                 seq = table[seq]
                 seq, _ = _compact(seq, _two_words(seq)[0], 2)
                 yield _level(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), seq, *_two_words(seq), 2)
 
-    return texts.select("chunk", "lang", "seq").join(ids, "chunk").mapInArrow(tidy(run), LEVEL.format(key="long"))
+    return texts.select("chunk", "lang", "seq").join(frequent, "chunk").mapInArrow(tidy(run), LEVEL.format(key="long"))
 
 
 def next_level(level: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
@@ -246,7 +282,7 @@ def next_level(level: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
                 else:
                     pos, code = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in (3, 4))
                 good = np.zeros(int(code.max(initial=-1)) + 1, bool)
-                good[batch.column(5)[i].values.field("at").to_numpy()] = True
+                good[_unpacked(batch.column(5)[i], np.int32)] = True
                 keep = good[code]
                 pos, code = pos[keep], code[keep]
                 both = np.flatnonzero(np.diff(pos) == 1)  # the phrase that begins a word later is frequent too
@@ -272,10 +308,10 @@ def counted(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, l
     every = written(texts.select("lang", total.alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
     words = texts.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "x"))
     words = words.select(F.concat("lang", F.lit("\n"), "x.words").alias("key"), "chunk", "at", F.col("x.counts").alias("n"))  # a word holds no line feed
-    totals, members, table = frequent_runs(words, "key", least, "phrases-words")
-    number = dense_ids(totals)
-    lexicon = written(totals.select("key", "n", number.alias("id")), "phrases-lexicon")
-    level = written(first_level(texts, per_chunk(members.select("chunk", "at", number.alias("id")), "at", "id")), "phrases-level")
+    totals, members, table = frequent_runs(words, "key", least, "phrases-words", numbered=True)
+    offsets = dense_ids(totals)
+    lexicon = written(totals.select("key", "n", _id(offsets).alias("id")), "phrases-lexicon")
+    level = written(first_level(texts, per_chunk(members), offsets), "phrases-level")
     forget(texts)
     forget(table)
     bytes_of = lambda c, width: F.unhex(F.lpad(F.hex(c), 2 * width, "0"))  # noqa: E731  big-endian
@@ -284,7 +320,7 @@ def counted(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, l
         totals, members, table = frequent_runs(exploded(level), "key", least, "phrases-runs")
         found.append(written(totals.select((bytes_of("key", 8) if k == 2 else F.col("key")).alias("key"), "n", F.lit(k).alias("size")), "phrases-frequent"))
         if k < longest:
-            further = written(next_level(level, per_chunk(members, "at"), k + 1), "phrases-level")
+            further = written(next_level(level, per_chunk(members), k + 1), "phrases-level")
         forget(level)
         forget(table)
         level = further

@@ -208,18 +208,21 @@ def test_phrases_of_an_empty_table(spark, none):
 
 
 @pytest.mark.parametrize("least", [1, 4, 40])
-def test_runs_survive_batch_borders(spark, small_batches, least):
+def test_runs_survive_batch_borders(spark, small_batches, monkeypatch, least):
     rng = random.Random(least)
     rows = [(rng.choice("aabbbbbbbcd") * 2, k, rng.randrange(5), rng.choice([1, 1, 3])) for k in range(120)] + [(f"z{k}", k, 0, 1) for k in range(9)]
     df = spark.createDataFrame(rows, "key string, chunk long, at int, n long")
     total = Counter()
     for key, _, _, n in rows:
         total[key] += n
-    found, members, _ = phrases.frequent_runs(df, "key", least, "test")
-    assert {r.key: r.n for r in found.collect()} == {k: n for k, n in total.items() if n >= least}
-    named = {r.run: r.key for r in found.collect()}
-    assert len(named) == found.count()
-    assert Counter((named[r.run], r.chunk, r.at) for r in members.collect()) == Counter((k, c, at) for k, c, at, _ in rows if total[k] >= least)
+    for held in (1, 1 << 20):
+        monkeypatch.setattr(phrases, "HELD_ROWS", held)
+        found, members, _ = phrases.frequent_runs(df, "key", least, "test", numbered=True)
+        assert {r.key: r.n for r in found.collect()} == {k: n for k, n in total.items() if n >= least}
+        named = {r.run: r.key for r in found.collect()}
+        assert len(named) == found.count()
+        got = Counter((named[run], r.chunk, at) for r in members.collect() for at, run in zip(np.frombuffer(r.ats, np.int32), np.frombuffer(r.runs, np.int64), strict=True))
+        assert got == Counter((k, c, at) for k, c, at, _ in rows if total[k] >= least)
 
 
 def test_products_pass_64_bits(spark):
