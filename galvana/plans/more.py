@@ -357,7 +357,7 @@ def feature_matrix(spark, d):
     _DAILY_SQL + _FEATURES_SQL
     + """, told AS (SELECT CAST(d.cell_id AS VARCHAR) AS cell_id, d.c AS cycle_number, CASE WHEN n >= 12 THEN round(0.9 + 3.3e-8
     + CASE WHEN coalesce(k, 0) >= 10 THEN mo.m * CAST(0.02 AS DOUBLE) + lo * CAST(0.01 AS DOUBLE) - hi * CAST(0.015 AS DOUBLE) ELSE 0.0 END, 6) END AS soh_pred,
-  CASE WHEN n < 12 THEN 'Extraction failed: too few bins' END AS failed FROM days d JOIN refs USING (cell_id) LEFT JOIN mo USING (cell_id, c))
+  CASE WHEN n < 12 THEN 'Extraction failed: too few bins' END AS failed FROM days d LEFT JOIN refs USING (cell_id) LEFT JOIN mo USING (cell_id, c))
 SELECT * FROM told""",
     "samples",
 )

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from galvana.operators import curves, cycles, dashboard, features, ingest, model, physics, report
+from galvana.operators import curves, cycles, dashboard, features, folds, ingest, model, physics, report
 from galvana.operators.config import FEATURE_COLS, Cell, Features
 from galvana.plans import registry, training
 from galvana.sources import curves as curve_tables
@@ -252,7 +252,7 @@ def test_exact_quantiles(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = np.round(rng.gamma(2, 3, 5000), 1)  # many ties
     df = spark.createDataFrame([(float(v), None if k % 7 else float(k), float("nan"), 5.0) for k, v in enumerate(x)], "a double, b double, c double, d double").repartition(3)
-    monkeypatch.setattr(features, "ACCURACY", 50)  # coarse brackets
+    monkeypatch.setattr(folds, "SKETCH", 8)  # coarse brackets, some of which miss
     got = features.quantiles(df, ["a", "b", "c", "d"], [0.0, 0.25, 0.5, 0.75, 1.0])
     assert got["a"] == pytest.approx(np.quantile(x, [0, 0.25, 0.5, 0.75, 1]).tolist())
     assert got["b"] == pytest.approx(np.quantile(np.arange(0, 5000, 7), [0, 0.25, 0.5, 0.75, 1]).tolist()) and got["c"] == [None] * 5 and got["d"] == [5.0] * 5
