@@ -16,6 +16,10 @@ from ..sources.scratch import scratch_path
 from . import base, summary, training
 from .registry import _CT, _PHASES, _SIG, _SUMMARY, _TRENDS, _cycle_table, _hourly, _signals, _summary, query, r
 
+#: Added before rounding, so that sums of short decimals, in whatever order, don't lie on a tie.
+_OFF_TIE = 3.3e-8
+
+
 def _day() -> Column:
     return F.floor(F.col("time") / 86400).cast("int")
 
@@ -124,7 +128,7 @@ def trusted_cycles(spark, d):
     """+ cap AS (SELECT cell_id, cycle_index, max(CASE WHEN phase = 1 THEN abs(current) / 100 END) AS c, max(CASE WHEN phase = -1 THEN abs(current) / 100 END) AS d FROM cycled GROUP BY ALL)
 SELECT m.cell_id, m.cycle_index, round(CASE WHEN m.cell_id % 2 = 0 THEN coalesce(c, 0.0) ELSE charge_capacity_ah END, 4) AS charge_capacity_ah,
   round(CASE WHEN m.cell_id % 2 = 0 THEN coalesce(d, 0.0) ELSE discharge_capacity_ah END, 4) AS discharge_capacity_ah,
-  round(CASE WHEN m.cell_id < 6 THEN c_rate_est * 50 / (m.cell_id + 1) END, 6) AS c_rate_est FROM meta m JOIN cap ON m.cell_id = cap.cell_id AND m.cycle_index = cap.cycle_index""",
+  round(3.3e-8 + CASE WHEN m.cell_id < 6 THEN c_rate_est * 50 / (m.cell_id + 1) END, 6) AS c_rate_est FROM meta m JOIN cap ON m.cell_id = cap.cell_id AND m.cycle_index = cap.cycle_index""",
     "meta",
 )
 def capacity_measured(spark, d):
@@ -132,7 +136,8 @@ def capacity_measured(spark, d):
     rows = base.cycled(spark, d).withColumns(
         {"capacity": F.when(F.col("cell_id") % 2 == 0, F.col("current") / 100), "nominal_ah": F.when(F.col("cell_id") < 6, F.col("cell_id") + 1.0)}
     )
-    return cycles.cycle_meta(rows, "nominal_ah").select("cell_id", "cycle_index", r("charge_capacity_ah", 4), r("discharge_capacity_ah", 4), r("c_rate_est"))
+    found = cycles.cycle_meta(rows, "nominal_ah").withColumn("c_rate_est", F.round(F.col("c_rate_est") + _OFF_TIE, 6))
+    return found.select("cell_id", "cycle_index", r("charge_capacity_ah", 4), r("discharge_capacity_ah", 4), "c_rate_est")
 
 
 @query(
@@ -313,8 +318,6 @@ def simpson_uniform(spark, d):
 # --- difference curves held as arrays --------------------------------------------------------------------------------
 
 _GRID = 17
-#: Added before rounding, so that sums of short decimals, in whatever order, don't lie on a tie.
-_OFF_TIE = 3.3e-8
 _DAILY_SQL = "+ daily AS (SELECT cell_id, CAST(floor(time / 86400) AS INTEGER) AS c, CAST(floor((voltage - 2.5) * 10) AS INTEGER) AS g, sum(abs(current)) / 1000 AS q FROM samples GROUP BY ALL), days AS (SELECT cell_id, c, count(*) AS n FROM daily GROUP BY ALL)"
 
 

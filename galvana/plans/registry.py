@@ -387,9 +387,9 @@ fits AS (SELECT cell_id, p.s AS signal, count(p.y) AS n, regr_slope(p.y, x) AS s
 trends AS (SELECT *, 1 - (syy - slope * sxy) / (syy + 1e-12) AS r2 FROM fits)"""
 
 
-@query(_CT + _TRENDS + " SELECT cell_id, signal, n, round(slope, 8) AS slope, round(intercept, 6) AS intercept, round(r2, 5) AS r2 FROM trends", "predictions physics_known")
+@query(_CT + _TRENDS + " SELECT cell_id, signal, n, round(slope, 8) + 0.0 AS slope, round(intercept, 6) + 0.0 AS intercept, round(r2, 5) AS r2 FROM trends", "predictions physics_known")
 def trend_ols(spark, d):
-    return report.trends(_cycle_table(spark, d)).select("cell_id", "signal", "n", r("slope", 8), r("intercept"), r("r2", 5))
+    return report.trends(_cycle_table(spark, d)).select("cell_id", "signal", "n", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("slope", 8), ("intercept", 6))], r("r2", 5))
 
 
 def _summary(spark, d):
