@@ -11,10 +11,11 @@ from ..functions import kernels
 from ..functions.columns import join_small
 from ..operators import curves, cycles, dashboard, features, ingest, model, physics, report
 from ..operators.config import FEATURE_COLS, Features, Ica
+from ..sources import curves as curve_tables
 from ..sources import datasets, readers, sinks
 from ..sources.scratch import scratch_path
 from . import base, summary, training
-from .registry import _CT, _PHASES, _SIG, _SUMMARY, _TRENDS, _cycle_table, _hourly, _signals, _summary, query, r
+from .registry import _CT, _histograms, _PEAKS_SQL, _PHASES, _SIG, _SUMMARY, _TRENDS, _cycle_table, _hourly, _signals, _summary, query, r
 
 #: Added before rounding, so that sums of short decimals, in whatever order, don't lie on a tie.
 _OFF_TIE = 3.3e-8
@@ -612,3 +613,36 @@ def cell_views(spark, d):
     got = lambda path, kind: F.get_json_object("body", path).cast(kind)
     phases = F.json_array_length(F.get_json_object("body", "$.phases"))
     return body.select("cell_id", got("$.nCycles", "long").alias("n_cycles"), got("$.maxCycle", "int").alias("max_cycle"), phases.alias("n_phases"), got("$.onsets.LAM", "int").alias("onset_lam"), got("$.rul", "int").alias("rul"))
+
+
+@query(
+    """+ known AS (SELECT p.* FROM predictions p JOIN physics_known f ON p.cell_id = f.cell_id AND p.cycle_number = f.cycle_number),
+top AS (SELECT floor(avg(m)) AS top FROM (SELECT max(cycle_number) AS m FROM known GROUP BY cell_id)),
+grid AS (SELECT DISTINCT CAST(round_even(k / CAST(80 AS DOUBLE) * top, 0) AS INTEGER) AS cycle FROM top, range(81) t(k)),
+seg AS (SELECT *, lead(cycle_number) OVER w AS c1, lead(y_true) OVER w AS t1, row_number() OVER w AS nth FROM known WINDOW w AS (PARTITION BY cell_id ORDER BY cycle_number)),
+pts AS (SELECT cycle, CASE WHEN c1 IS NULL THEN y_true ELSE y_true + greatest(0.0, (cycle - cycle_number) / CAST(c1 - cycle_number AS DOUBLE)) * (t1 - y_true) END AS y
+  FROM seg JOIN grid ON (cycle >= cycle_number OR nth = 1) AND (c1 IS NULL OR cycle < c1)),
+mean AS (SELECT cycle, avg(y) AS y FROM pts GROUP BY cycle)
+SELECT count(*) AS n_cycles, max(cycle) AS max_cycle, round(arg_max(y, cycle) + 3.3e-8, 6) AS soh_last, round(arg_min(y, cycle) + 3.3e-8, 6) AS soh_first FROM mean""",
+    "predictions physics_known",
+)
+def batch_view(spark, d):
+    """The JSON of the average cell for a dashboard, some of it read back."""
+    joined = physics.merged(base.predictions(spark, d), dashboard.signals(base.physics_known(spark, d))).withColumnsRenamed({"y_true": "soh_true", "y_pred": "soh_pred"})
+    got = lambda path, kind: F.get_json_object("body", path).cast(kind)
+    off = lambda path: F.round(got(path, "double") + _OFF_TIE, 6)
+    return dashboard.batch_json(joined).select(
+        got("$.nCycles", "long").alias("n_cycles"), got("$.maxCycle", "int").alias("max_cycle"), off("$.sohLast").alias("soh_last"), off("$.rows[0].sohTrue").alias("soh_first")
+    )
+
+
+@query(_PEAKS_SQL[: _PEAKS_SQL.index(",\nrun AS")] + " SELECT cell_id, c AS cycle_number, count(*) AS points, round(sum(y), 4) AS area, round(max(y), 6) AS top FROM y GROUP BY ALL", "samples")
+def curve_table(spark, d):
+    """Each day's curve through a curve table on disk, validated both ways."""
+    path = scratch_path(spark, "curves.parquet")
+    empty = {"capacity_ah": "double", "ref_cycle_number": "long", "temperature": "double", "protocol": "string"}
+    table = _histograms(spark, d).withColumns({c: F.lit(None).cast(t) for c, t in empty.items()} | {"is_reference": F.lit(False), "grid_spacing_mv": F.lit(20.0)})
+    curve_tables.save(table.select(*curve_tables.COLUMNS), path)
+    back = curve_tables.load(spark, path)
+    total = F.aggregate("dqdv", F.lit(0.0), lambda a, x: a + x)
+    return back.select("cell_id", "cycle_number", F.size("dqdv").cast("long").alias("points"), F.round(total, 4).alias("area"), F.round(F.array_max("dqdv"), 6).alias("top"))
