@@ -240,6 +240,31 @@ def ica_curves(spark, d):
     return found.select("cell_id", "cycle_index", "window_pts", r("voltage_span_v"), "direction", F.size("voltage_grid").alias("n_grid"))
 
 
+def _flags_sql() -> str:
+    terms = [f"CAST({float(c)!r} AS DOUBLE) * {f'lead(q, {k - 5})' if k >= 5 else f'lag(q, {5 - k})'} OVER w" for k, c in enumerate(kernels.savgol_weights(11, 3, 0, 5))]
+    return f"""+ ramp AS (SELECT cell_id, row_id, time, CAST(floor(time / 86400) AS INTEGER) AS c, 4.15 - 1.2 * (time / 86400 - floor(time / 86400)) AS v, 1 + abs(current) * 0.0001 AS a FROM samples),
+near AS (SELECT * FROM (SELECT *, quantile_cont(a, 0.5) OVER (PARTITION BY cell_id, c) AS med FROM ramp) WHERE abs(a - med) <= 0.05 * med),
+area AS (SELECT *, coalesce((a + lag(a) OVER t) / 2 * (time - lag(time) OVER t) / 3600, 0.0) AS x FROM near WINDOW t AS (PARTITION BY cell_id, c ORDER BY time, row_id)),
+sums AS (SELECT *, sum(x) OVER (PARTITION BY cell_id, c) - sum(x) OVER (PARTITION BY cell_id, c ORDER BY time, row_id ROWS UNBOUNDED PRECEDING) AS q, count(*) OVER (PARTITION BY cell_id, c) AS n,
+  max(v) OVER (PARTITION BY cell_id, c ORDER BY time DESC, row_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM area),
+up AS (SELECT *, lead(v) OVER w AS v1, lead(q) OVER w AS q1 FROM sums WHERE n >= 5 AND (top IS NULL OR v > top + 1e-9) WINDOW w AS (PARTITION BY cell_id, c ORDER BY v)),
+ends AS (SELECT cell_id, c, min(v) AS lo, max(v) AS hi FROM up GROUP BY ALL HAVING count(*) >= 8 AND max(v) - min(v) >= 0.05),
+grid AS (SELECT cell_id, c, i, lo + i * CAST(0.002 AS DOUBLE) AS g, CAST(ceil((hi + CAST(0.002 AS DOUBLE) - lo) / CAST(0.002 AS DOUBLE)) AS INTEGER) AS n FROM ends, range(700) t(i) WHERE i < ceil((hi + CAST(0.002 AS DOUBLE) - lo) / CAST(0.002 AS DOUBLE))),
+raw AS (SELECT grid.*, CASE WHEN v1 IS NULL THEN up.q ELSE up.q + (g - v) / (v1 - v) * (q1 - up.q) END AS q FROM grid ASOF JOIN up ON grid.cell_id = up.cell_id AND grid.c = up.c AND grid.g >= up.v),
+sm AS (SELECT cell_id, c, i, n, q, {' + '.join(terms)} AS s FROM raw WINDOW w AS (PARTITION BY cell_id, c ORDER BY i)),
+res AS (SELECT cell_id, c, sqrt(avg((s - q) ** 2)) / greatest(abs(arg_max(q, i) - arg_min(q, i)), 1e-9) AS f FROM sm WHERE i >= 5 AND i < n - 5 GROUP BY ALL)
+SELECT CAST(cell_id AS VARCHAR) AS cell_id, c AS cycle_index, round(f * 1e6, 2) AS residual_ppm, f > 1.2e-5 AS distorted FROM res"""
+
+
+@query(_flags_sql(), "samples")
+def ica_distortion(spark, d):
+    """How far smoothing moves the linearly read charge of falling ramps, and the flag of those that it moves too far."""
+    share = F.col("time") / 86400 - F.floor(F.col("time") / 86400)
+    ramp = base.samples(spark, d).withColumns({"cycle_index": _day(), "voltage": 4.15 - 1.2 * share, "current": -(1 + F.abs("current") * 0.0001)})
+    found = curves.ica_curves(ramp, Ica(interp="linear", max_residual_frac=1.2e-5))
+    return found.select("cell_id", "cycle_index", F.round(F.col("residual_frac") * 1e6, 2).alias("residual_ppm"), F.exists("flags", lambda f: f.startswith("smoothing_distortion")).alias("distorted"))
+
+
 def _series(spark, d) -> DataFrame:
     """(cell_id, x, y): the values of each cell's quarter days, in order, as arrays."""
     points = F.array_sort(F.collect_list(F.when(F.col("y").isNotNull(), F.struct("grid_idx", "y"))))
