@@ -1,7 +1,7 @@
 """Phrase collocation mining: frequent phrases of two to five words, each scored by its weakest cut.
 
 1. One pass over the texts cuts them into chunks of one language. A chunk holds its distinct words with their counts, and
-   its pieces as 32-bit codes of those words, with a break between pieces.
+   its pieces as 32-bit codes of those words, with a break between pieces; arrays travel compressed by byte planes.
 2. Words are counted over all chunks; those that are frequent get dense ids, and each goes back to the chunks that hold it.
    Other words become breaks, since no frequent phrase holds them.
 3. Phrases of k words are counted for k = 2 to 5: a phrase is tried only where both of its parts of k - 1 words are frequent.
@@ -40,6 +40,23 @@ _CLASSES = bytes.maketrans(_LETTERS[0] + b".,;:!?\x0a\x0b\x0c\x0d\t", _LETTERS[1
 # --- chunks ----------------------------------------------------------------------------------------------------------
 
 
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def _packed(a: np.ndarray) -> bytes:
+    """An array of 32-bit numbers, its four byte planes one after another, compressed; its length stands before."""
+    planes = np.ascontiguousarray(a.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return len(a).to_bytes(8, "little") + (_ZSTD.compress(planes, asbytes=True) if len(a) else b"")
+
+
+def _numbers(data: bytes, kind=np.uint32) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(_ZSTD.decompress(data[8:], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(kind)
+
+
 def coded(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of some texts, their counts, and the texts as codes: word number plus 1, and 0 for a break."""
     raw = np.frombuffer(b"\n".join(texts).translate(_CLASSES), np.uint8)
@@ -71,7 +88,7 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
             words, counts, seq = coded(waiting.pop(lang))
             del size[lang]
             chunk += 1
-            row = [[chunk], [lang], pa.array([words.to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), [seq.tobytes()]]
+            row = [[chunk], [lang], pa.array([words.to_pylist()], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64())), [_packed(seq)]]
             return pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in row], ["chunk", "lang", "words", "counts", "seq"])
 
         for batch in batches:
@@ -116,7 +133,7 @@ class _Members:
             ats = np.split(at[order].astype(np.int32), first[1:])
             runs = np.split(np.concatenate([p[2] for p in self.parts])[order], first[1:]) if self.numbered else [None] * len(first)
             none = pa.nulls(len(first))
-            arrays = [none.cast(self.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(chunk[order][first]), pa.array([x.tobytes() for x in ats], pa.binary()), pa.array([None if x is None else x.tobytes() for x in runs], pa.binary())]
+            arrays = [none.cast(self.schema.field(0).type), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(chunk[order][first]), pa.array([_packed(x) for x in ats], pa.binary()), pa.array([None if x is None else x.tobytes() for x in runs], pa.binary())]
             yield pa.record_batch(arrays, schema=self.schema)
         self.parts, self.size = [], 0
 
@@ -190,8 +207,8 @@ def per_chunk(members: DataFrame) -> DataFrame:
     return members.groupBy("chunk").agg(F.collect_list("ats").alias("ats"), F.collect_list("runs").alias("runs"))
 
 
-def _unpacked(parts: pa.ListScalar, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in parts.as_py()])
+def _ats(parts: pa.ListScalar) -> np.ndarray:
+    return np.concatenate([_numbers(x, np.int64) for x in parts.as_py()])
 
 
 # --- levels ----------------------------------------------------------------------------------------------------------
@@ -236,9 +253,9 @@ def _level(chunk: int, lang: str, seq: np.ndarray, pos: np.ndarray, pairs: np.nd
         keys, kind, raw = found.view(np.int64), pa.int64(), (None, None)  # places and codes follow from the sequence
     else:
         data = seq.astype(">u4")[pos[first][:, None] + np.arange(k)].tobytes() if len(found) else b""
-        keys, kind, raw = [data[i : i + 4 * k] for i in range(0, len(data), 4 * k)], pa.binary(), (pos.astype(np.int32).tobytes(), code.astype(np.int32).tobytes())
+        keys, kind, raw = [data[i : i + 4 * k] for i in range(0, len(data), 4 * k)], pa.binary(), (_packed(pos), _packed(code))
     arrays = [
-        pa.array([chunk]), pa.array([lang]), pa.array([seq.tobytes()]), *[pa.array([x], pa.binary()) for x in raw],
+        pa.array([chunk]), pa.array([lang]), pa.array([_packed(seq)]), *[pa.array([x], pa.binary()) for x in raw],
         pa.array([keys], pa.list_(kind)), pa.array([counts], pa.list_(pa.int64())),
     ]
     return pa.record_batch(arrays, ["chunk", "lang", "seq", "pos", "code", "keys", "counts"])
@@ -258,8 +275,8 @@ def first_level(texts: DataFrame, frequent: DataFrame, offsets: dict[int, int])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq = np.frombuffer(batch.column(2)[i].as_py(), np.uint32)
-                at, runs = _unpacked(batch.column(3)[i], np.int32), _unpacked(batch.column(4)[i], np.int64)
+                seq = _numbers(batch.column(2)[i].as_py())
+                at, runs = _ats(batch.column(3)[i]), np.concatenate([np.frombuffer(x, np.int64) for x in batch.column(4)[i].as_py()])
                 table = np.zeros(int(seq.max(initial=0)) + 1, np.uint32)
                 table[at + 1] = first[runs >> 33] + (runs & ((1 << 33) - 1))
                 seq = table[seq]
@@ -275,14 +292,14 @@ def next_level(level: DataFrame, frequent: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                seq = np.frombuffer(batch.column(2)[i].as_py(), np.uint32)
+                seq = _numbers(batch.column(2)[i].as_py())
                 if k == 3:
                     pos, pairs = _two_words(seq)
                     code = np.unique(pairs, return_inverse=True)[1]
                 else:
-                    pos, code = (np.frombuffer(batch.column(c)[i].as_py(), np.int32) for c in (3, 4))
+                    pos, code = (_numbers(batch.column(c)[i].as_py(), np.int64) for c in (3, 4))
                 good = np.zeros(int(code.max(initial=-1)) + 1, bool)
-                good[_unpacked(batch.column(5)[i], np.int32)] = True
+                good[_ats(batch.column(5)[i])] = True
                 keep = good[code]
                 pos, code = pos[keep], code[keep]
                 both = np.flatnonzero(np.diff(pos) == 1)  # the phrase that begins a word later is frequent too

@@ -221,7 +221,7 @@ def test_runs_survive_batch_borders(spark, small_batches, monkeypatch, least):
         assert {r.key: r.n for r in found.collect()} == {k: n for k, n in total.items() if n >= least}
         named = {r.run: r.key for r in found.collect()}
         assert len(named) == found.count()
-        got = Counter((named[run], r.chunk, at) for r in members.collect() for at, run in zip(np.frombuffer(r.ats, np.int32), np.frombuffer(r.runs, np.int64), strict=True))
+        got = Counter((named[run], r.chunk, at) for r in members.collect() for at, run in zip(phrases._numbers(r.ats), np.frombuffer(r.runs, np.int64), strict=True))
         assert got == Counter((k, c, at) for k, c, at, _ in rows if total[k] >= least)
 
 
