@@ -68,12 +68,31 @@ def default_dimensions(docs: DataFrame, text_col: str) -> list[Column]:
 
 
 def _string_code(rows: DataFrame, name: str) -> Column:
-    """Level of a string among the table's values, by the ends of ranges that hold about equally many rows."""
+    """Level of a string among the table's values: a value's level is the share of rows that come before it, times the levels.
+
+    Rows are counted by value first, so a frequent value is one row of a few counts; the counts are summed up over ranges of
+    values. The driver gets a total for each range and the end of each level.
+    """
     levels = 1 << CODE_BITS
-    ranges = rows.select(name).repartitionByRange(levels, name).groupBy(F.spark_partition_id()).agg(F.max(name).alias("end"))
-    ends = sorted({r["end"] for r in ranges.collect() if r["end"] is not None})  # one for each range
-    below = sum((F.when(F.col(name) > F.lit(e), 1).otherwise(0) for e in ends), F.lit(0))
-    return F.floor(below * levels / max(len(ends), levels)).cast("int")
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("m"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = written(counts.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()), "value-counts")
+    totals = {r["range"]: r["m"] for r in counts.groupBy("range").agg(F.sum("m").alias("m")).collect()}
+    n, begins, begin = sum(totals.values()), [], 0
+    for r in sorted(totals):
+        begins.append((r, begin))
+        begin += totals[r]
+    if not n:
+        return F.lit(0)
+    starts = rows.sparkSession.createDataFrame(begins, "range int, begin long")
+    earlier = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("begin") + F.coalesce(F.sum("m").over(earlier), F.lit(0))
+    level = counts.join(F.broadcast(starts), "range").select("value", F.floor(before * levels / n).cast("int").alias("level"))
+    ends = level.groupBy("level").agg(F.max("value").alias("end")).orderBy("level").collect()  # at most one for each level
+    below = F.lit(ends[-1]["level"])
+    for r in reversed(ends[:-1]):
+        below = F.when(F.col(name) <= F.lit(r["end"]), r["level"]).otherwise(below)
+    return F.when(F.col(name).isNull(), 0).otherwise(below).cast("int")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, dimensions: list[Column] | None, shards: int, rows_a_salt: int) -> DataFrame:

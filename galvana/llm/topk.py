@@ -1,6 +1,6 @@
 """Exact top-k by inner product with the threshold algorithm over sorted per-dimension lists.
 
-The candidates are dealt by a hash of their id into shards of about SHARD_ROWS rows, each to one shard. In a shard every
+The candidates are dealt by a hash of their id into shards of about SHARD_VALUES components, each to one shard. In a shard every
 dimension has the list of its rows sorted by value. For a query the lists are read from the end that its weight favours,
 all to the same depth; rows met for the first time are scored in full, and reading stops when the sum of weight times
 value at the depth, which bounds every row not yet met, is below the shard's kth score, or below the kth score that the
@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 from .common import written
 
 SCALE = 1024
-SHARD_ROWS = 8192
+#: Components of a shard that holds as much as a task should; the lists and their values take 24 bytes for each.
+SHARD_VALUES = 1 << 22
+#: Rows of a shard while the table is too small to give every core one of full size.
+LEAST_ROWS = 8192
 QUERY_EVERY = 100
 FIRST_DEPTH = 16
 #: Sums below this are exact in double precision, which multiplies much faster than integers.
 EXACT_DOUBLE = 1 << 53
+LONG = 1 << 63
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -90,10 +94,11 @@ def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
     return values
 
 
-def _search(k: int, dims: int, exact_in_double: bool):
+def _search(k: int, dims: int, bound: int):
     """Over rows sorted by shard, candidates before queries: each query's best in the shard. A shard's lists stay while its
-    queries stream past, so candidates are sent once."""
-    kind = np.float64 if exact_in_double else np.int64
+    queries stream past, so candidates are sent once. `bound` is above every score: beyond 64 bits, numbers of any length
+    are used, and only a score among the best that doesn't fit is an error."""
+    kind = np.float64 if bound < EXACT_DOUBLE else np.int64 if bound < LONG else object
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, index = None, [], None
@@ -113,6 +118,8 @@ def _search(k: int, dims: int, exact_in_double: bool):
                     index = SortedLists(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
                 for q in range(a, z) if index else ():
                     found, scores = index.top(values[q], ids[q], k, floors[q])
+                    if kind is object and any(abs(x) >= LONG for x in scores):
+                        raise ValueError(f"a score of query {ids[q]} doesn't fit 64 bits")
                     for column, x in zip(out, (np.full(len(found), ids[q]), found, scores), strict=True):
                         column.append(x)
             if out[0]:
@@ -127,15 +134,18 @@ def top_k(
     vector_col: str = "embedding",
     k: int = 10,
     query_every: int = QUERY_EVERY,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each row whose id is divisible by `query_every`, its k best others.
 
     All candidates if there are fewer than k; ties go to the smaller vec_id. Vectors with null or non-finite parts take no
     part. A shorter vector counts as filled up with zeros. Rows that repeat an id are one candidate each and are all left
     out for a query of that id; a query id that repeats is answered once, for its least vector. Other columns are
-    ignored; an empty table gives an empty one. Scores are 64-bit integers: ValueError if the largest component, squared
-    and times the number of components, doesn't fit.
+    ignored; an empty table gives an empty one. Scores are 64-bit integers; where one among the best doesn't fit, the job
+    fails with that message.
+
+    Shards have `shard_rows` rows, or as many as SHARD_VALUES components make; smaller ones are taken while there are fewer
+    shards than cores, down to LEAST_ROWS. Each query is sent to every shard, so larger shards mean fewer copies.
 
     Every query first asks the shard that its own id falls into; its kth score there goes along to the other shards as a
     floor, below which they neither read on nor answer.
@@ -143,8 +153,9 @@ def top_k(
     rows = written(quantised(vectors, id_col, vector_col), "vectors")
     sizes = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("decimal(20,0)"))))).alias("most")).first()
     n, dims, most = sizes["n"], max(sizes["dims"] or 0, 1), int(sizes["most"] or 0)
-    if most * most * dims >= 1 << 63:
-        raise ValueError(f"scores don't fit 64 bits: components up to {most} after scaling, {dims} of them")
+    if shard_rows is None:
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        shard_rows = max(1, min(SHARD_VALUES // dims, max(LEAST_ROWS, -(-n // cores))))
     shards = max(1, -(-n // shard_rows))
     home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     none = F.lit(None).cast("long")
@@ -153,7 +164,7 @@ def top_k(
 
     def answers(asked: DataFrame) -> DataFrame:
         dealt = candidates.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
-        return dealt.mapInArrow(_search(k, dims, most * most * dims < EXACT_DOUBLE), "query_id long, vec_id long, score long")
+        return dealt.mapInArrow(_search(k, dims, most * most * dims), "query_id long, vec_id long, score long")
 
     at_home = written(answers(queries.select(home.alias("shard"), F.lit(True).alias("asks"), "vec_id", "v", none.alias("floor"))), "home-answers")
     floors = at_home.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))

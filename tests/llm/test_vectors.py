@@ -47,7 +47,10 @@ def test_repeated_ids_and_clashing_columns(spark):
 
 def test_components_too_large_for_the_scores(spark):
     big = spark.createDataFrame([(0, [4e6, 1.0]), (1, [4e6, 2.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError, match="64 bits"):
-        topk.top_k(big)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(big).collect()
+    apart = spark.createDataFrame([(0, [4e6, 1.0]), (1, [0.0, 2.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")  # only the bound is too large
+    for shard_rows in (None, 1):
+        assert [(r.vec_id, r.score) for r in topk.top_k(apart, shard_rows=shard_rows).orderBy("rank").collect()] == [(2, 4_000_000 << 20), (1, 2 << 20)]
     wide = spark.createDataFrame([(0, [2e6, 1.0]), (1, [2e6, 2.0]), (2, [2e6, 3.0])], "vec_id long, embedding array<double>")  # beyond doubles, within 64 bits
     assert [r.score for r in topk.top_k(wide).orderBy("rank").collect()] == [(1024 * 2_000_000) ** 2 + 1024 * 1024 * x for x in (3, 2)]
