@@ -498,6 +498,14 @@ def test_lm_scores_against_a_plain_version(docs, texts, head, scale):
             assert abs(found[i].score - want) < 1e-4 * max(1, abs(want)), i
 
 
+def test_lm_model_does_not_depend_on_the_layout(docs, monkeypatch):
+    """Several trainers, summed by a tree of several levels: the same scores whatever the partitions of the table."""
+    monkeypatch.setattr(lm, "FAN", 2)
+    got = [rows(lm.scores(d, tokens_a_trainer=900, least_steps=12)) for d in (docs.coalesce(1), docs.repartition(5, "n_chars"))]
+    assert got[0].keys() == got[1].keys()
+    assert max(abs(got[0][i].score - got[1][i].score) for i in got[0]) < 1e-9
+
+
 def test_lm_entries_are_normalised():
     rng = np.random.default_rng(0)
     groups, size = bilinear.layout(60)
@@ -587,6 +595,15 @@ def test_shard_codes_and_places(spark):
     assert len(by_source) == 10 and [c for _, c in by_source] == sorted(c for _, c in by_source) and len({c for _, c in by_source}) > 4
 
 
+def test_string_levels_follow_the_share_of_rows_before(spark):
+    """A value that a third of the rows have, many rare ones, nulls, and values that agree at their beginnings."""
+    values = ["m" * 3] * 100 + [f"key/{k:04d}" for k in range(150)] + [f"z{k % 7}" for k in range(50)] + [None] * 10
+    df = spark.createDataFrame([(v,) for v in values], "s string").repartition(5)
+    known = sorted(v for v in values if v is not None)
+    want = {v: 16 * known.index(v) // len(known) for v in known} | {None: 0}
+    assert {(r.s, r.level) for r in df.select("s", sharding._string_code(df, "s").alias("level")).collect()} == set(want.items())
+
+
 def test_written_shards_hold_every_row(spark, odd, tmp_path):
     df = odd.withColumn("own_key", F.lit("clash"))
     manifest = sharding.write_shards(df, str(tmp_path / "s"), shards=3)
