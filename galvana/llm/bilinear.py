@@ -23,6 +23,8 @@ ENTRY_NOISE = 6
 RATE = 0.05
 #: What the sums of squared gradients of Adagrad start from.
 SQUARE = 1e-6
+#: Tokens whose scores of groups are held at once, and batches that are judged at once.
+BLOCK, LOT = 2048, 16
 
 
 def layout(n: int) -> tuple[int, int]:
@@ -86,23 +88,28 @@ class Model:
 
     def log_probs(self, x: Contexts) -> np.ndarray:
         """Natural log of the normalised probability of every token."""
-        h = self.hidden(x)[0]
         group = x.entries // self.size
-        scores = h @ self.p["a"].T + self.p["c"]
-        at = np.arange(len(h))
-        out = scores[at, group].astype(np.float64) - _log_sum(scores)
-        order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.groups + 1))
+        order = _order(group, self.groups)
+        h, entries, group = self.hidden(x)[0][order], x.entries[order], group[order]
+        found = np.empty(len(h))
+        for k in range(0, len(h), BLOCK):
+            block = slice(k, k + BLOCK)
+            found[block] = _log_share(h[block] @ self.p["a"].T + self.p["c"], group[block])
+        ends = np.searchsorted(group, np.arange(self.groups + 1))
         q, b = (self.p[k].reshape(self.groups, self.size, -1) for k in ("q", "b"))
-        for g in np.flatnonzero(np.diff(ends)):
-            i = order[ends[g] : ends[g + 1]]
-            s = h[i] @ q[g].T + b[g, :, 0]
-            out[i] += s[np.arange(len(i)), x.entries[i] - g * self.size] - _log_sum(s)
+        for g in np.flatnonzero(np.diff(ends)).tolist():
+            of = slice(ends[g], ends[g + 1])
+            found[of] += _log_share(h[of] @ q[g].T + b[g, :, 0], entries[of] - g * self.size)
+        out = np.empty(len(h))
+        out[order] = found
         return out
 
-    def train(self, entries: np.ndarray, sizes: np.ndarray, steps_least: int = 1, seed: int = 11) -> None:
+    def train(self, entries: np.ndarray, sizes: np.ndarray, steps_least: int = 1, seed: int = 11, weights: tuple[float, ...] = ()) -> np.ndarray:
         """Passes over the documents, which follow one another, in batches of BATCH tokens: `steps_least` batches at least,
-        but no more than MOST_PASSES passes, since a small corpus is soon learnt by heart."""
+        but no more than MOST_PASSES passes, since a small corpus is soon learnt by heart.
+
+        In the first pass every batch is judged before it is learnt, LOT batches at once: given back, for each of `weights`,
+        is the log likelihood of all tokens if the model is mixed with unigrams at that weight."""
         start = len(self.mass)
         rng = np.random.default_rng(seed)
         squares = {k: np.full_like(v, SQUARE) for k, v in self.p.items()}
@@ -114,21 +121,28 @@ class Model:
             pieces.append((at, end, np.diff(np.r_[at, inside, end])))
             at = end
         passes = min(MOST_PASSES, -(-steps_least // max(len(pieces), 1)))
-        mass_before = np.cumsum(self.mass)
-        group_before = np.r_[0, np.cumsum(self.of_group)]
-        for _ in range(passes):
-            for k in rng.permutation(len(pieces)):
-                a, z, lengths = pieces[k]
-                self._step(Contexts(entries[a:z], lengths, start), rng, squares, mass_before, group_before)
-
-    def _step(self, x: Contexts, rng, squares: dict, mass_before: np.ndarray, group_before: np.ndarray) -> None:
+        noise = Noise(self)
+        fit = np.zeros(len(weights))
+        for turn in range(passes):
+            order = rng.permutation(len(pieces)).tolist()
+            for lot in (order[k : k + LOT] for k in range(0, len(order), LOT)):
+                lot = [pieces[k] for k in lot]
+                if weights and not turn:
+                    own = np.concatenate([entries[a:z] for a, z, _ in lot])
+                    logs = self.log_probs(Contexts(own, np.concatenate([lengths for _, _, lengths in lot]), start))
+                    fit += mixed_fit(logs, self.mass[own], weights)
+                for a, z, lengths in lot:
+                    self._step(Contexts(entries[a:z], lengths, start), rng, squares, noise)
+        return fit
+
+    def _step(self, x: Contexts, rng, squares: dict, of: Noise) -> None:
         p, n = self.p, len(x.entries)
         h, parts = self.hidden(x)
-        e, g = x.entries, x.entries // self.size
+        e, g = x.entries.astype(np.int64), x.entries // self.size
         grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("r", "q")}
         # groups: shared noise
-        noise = np.minimum(np.searchsorted(group_before, rng.random(GROUP_NOISE) * group_before[-1], "right") - 1, self.groups - 1)
-        shift = (np.log(GROUP_NOISE * np.maximum(self.of_group, 1e-30))).astype(np.float32)
+        noise = np.minimum(np.searchsorted(of.group_before, rng.random(GROUP_NOISE) * of.group_before[-1], "right") - 1, self.groups - 1)
+        shift = of.group_shift
         good = _rise(np.einsum("ij,ij->i", h, p["a"][g]) + p["c"][g] - shift[g]) - 1
         bad = _rise(h @ p["a"][noise].T + (p["c"] - shift)[noise])
         d_h = good[:, None] * p["a"][g] + bad @ p["a"][noise]
@@ -137,14 +151,11 @@ class Model:
         grad["c"] += np.bincount(g, good, self.groups).astype(np.float32)
         np.add.at(grad["c"], noise, bad.sum(0))
         # entries: noise from the token's group
-        draw = group_before[g][:, None] + rng.random((n, ENTRY_NOISE)) * self.of_group[g][:, None]
-        other = np.minimum(np.searchsorted(mass_before, draw, "right"), len(self.mass) - 1)
-        within = self.mass / np.repeat(np.maximum(self.of_group, 1e-30), self.size)
-        shift = np.log(ENTRY_NOISE * np.maximum(within, 1e-30)).astype(np.float32)
-        good = _rise(np.einsum("ij,ij->i", h, p["q"][e]) + p["b"][e] - shift[e]) - 1
-        of_other = p["q"][other]
-        bad = _rise(np.einsum("ij,ikj->ik", h, of_other) + (p["b"] - shift)[other])
-        d_h += good[:, None] * p["q"][e] + np.einsum("ik,ikj->ij", bad, of_other)
+        other = of.entries(of.group_before[g][:, None] + rng.random((n, ENTRY_NOISE)) * self.of_group[g][:, None])
+        own, of_other, b = p["q"].take(e, 0), p["q"].take(other, 0), p["b"] - of.shift
+        good = _rise(np.einsum("ij,ij->i", h, own) + b[e]) - 1
+        bad = _rise(np.einsum("ij,ikj->ik", h, of_other) + b[other])
+        d_h += good[:, None] * own + np.einsum("ik,ikj->ij", bad, of_other)
         rows = np.r_[e, other.ravel()]
         values = np.concatenate([good[:, None] * h, (bad[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)])
         self._sparse("q", rows, values, squares, n)
@@ -167,20 +178,60 @@ class Model:
 
     def _sparse(self, name: str, rows: np.ndarray, values: np.ndarray, squares: dict, n: int) -> None:
         """Adagrad on the rows that a batch touches."""
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
-        touched, d = rows[order][first], np.add.reduceat(values[order], first, axis=0) / n
-        squares[name][touched] += d * d
-        self.p[name][touched] -= RATE * d / np.sqrt(squares[name][touched])
+        order = _order(rows, len(self.p[name]))
+        rows = rows[order]
+        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        touched, d = rows[first], np.add.reduceat(values.take(order, 0), first, axis=0) / n
+        total = squares[name].take(touched, 0) + d * d
+        squares[name][touched] = total
+        self.p[name][touched] -= RATE * d / np.sqrt(total)
+
+
+class Noise:
+    """What the noise of a model's batches is drawn from; it doesn't change with the parameters."""
+
+    def __init__(self, model: Model):
+        mass, of_group = model.mass, np.maximum(model.of_group, 1e-30)
+        self.mass_before = np.cumsum(mass)
+        self.group_before = np.r_[0, np.cumsum(model.of_group)]
+        self.group_shift = np.log(GROUP_NOISE * of_group).astype(np.float32)
+        self.shift = np.log(ENTRY_NOISE * np.maximum(mass / np.repeat(of_group, model.size), 1e-30)).astype(np.float32)
+
+    def entries(self, draw: np.ndarray) -> np.ndarray:
+        """The entry at each place of the mass; sorted places are found several times faster."""
+        flat = draw.ravel()
+        order = np.argsort(flat)
+        out = np.empty(len(flat), np.int64)
+        out[order] = np.minimum(np.searchsorted(self.mass_before, flat[order], "right"), len(self.mass_before) - 1)
+        return out.reshape(draw.shape)
+
+
+def mixed_fit(logs: np.ndarray, unigram: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
+    """For each weight w the sum of log(w * exp(logs) + (1 - w) * unigram). Logs are taken of products of 16."""
+    ratio = np.exp(logs) / unigram
+    ratio = np.r_[ratio, np.ones(-len(ratio) % 16)].reshape(16, -1)
+    return np.log(unigram).sum() + np.array([np.log(np.multiply.reduce(w * ratio + (1 - w), axis=0)).sum() for w in weights])
+
+
+def _order(rows: np.ndarray, bound: int) -> np.ndarray:
+    """Stable order of numbers under `bound`; those of 16 bits are sorted by their digits."""
+    return np.argsort(rows.astype(np.uint16) if bound <= 1 << 16 else rows, kind="stable")
 
 
 def _rise(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _log_sum(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(1)
-    return np.log(np.exp(scores - top[:, None]).sum(1)) + top
+def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the score at `at` less the log of the sum of exponentials."""
+    own, ones = scores[np.arange(len(at)), at].astype(np.float64), np.ones(scores.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        total = np.exp(scores) @ ones
+    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):  # too near the ends of single precision
+        top = scores.max(1)
+        own -= top
+        total = np.exp(scores - top[:, None]) @ ones
+    return own - np.log(total)
 
 
 def _spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:

@@ -5,10 +5,10 @@ Word counts are gathered from all training documents, which are those whose id i
 classes of all other words by their last letters; within a class a word has its share of add-one counts, and one share is
 kept for all words never seen. So every word has a normalised probability given the words before it in its document.
 
-The model is fitted to a fixed share of the training documents, so what it learns from grows with the corpus: these
-documents are dealt to trainers of TOKENS_A_TRAINER tokens, every trainer passes over its own, and the trainers'
-parameters are averaged after each round. The model is mixed with the unigram distribution, at the weight that suits
-another share of the training documents best.
+The model is fitted to all training documents, one part of them in each of ROUNDS rounds: the part's documents are dealt to
+trainers of TOKENS_A_TRAINER tokens, every trainer passes over its own, and the trainers' parameters are averaged after
+the round. The model is mixed with the unigram distribution, at the weight that suits all training documents best, each
+judged by a trainer before it learns from it. Texts are coded once, for training and for scoring.
 """
 
 from __future__ import annotations
@@ -34,16 +34,15 @@ ENTRY_SCALE = 24
 CLASSES = 512
 ENDING = 3
 MODULUS, HELD_REMAINDER = 7, 2
-#: Shares of the training documents, by id: slices of each round of training, and of the choice of the mixture.
-SLICES = 16
-ROUNDS = ((0, 1), (2, 3))
-DEV_SLICE = 4
+#: Rounds of training; each training document takes part in the one that its id gives.
+ROUNDS = 2
 TOKENS_A_TRAINER = 2_000_000
 #: Batches in a round, all trainers together, at least; small corpora are passed over several times.
 LEAST_STEPS = 240
 MIXTURES = tuple(k / 20 for k in range(20)) + (0.98, 0.995)
 #: Values of a part of the parameters, and trainers whose parts are summed at once.
 PART, FAN = 1 << 16, 32
+_FIT = "fit"
 _SUMS = "name string, at long, trainer long, weight double, part binary"
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
@@ -62,8 +61,9 @@ def is_held_out(doc_id: int | None) -> bool:
     return _crc(doc_id) % MODULUS == HELD_REMAINDER
 
 
-def slice_of(doc_id: int | None) -> int:
-    return _crc(doc_id) // MODULUS % SLICES
+def round_of(doc_id: int | None) -> int:
+    """The round in which a document is learnt; -1 for those that are held out."""
+    return -1 if is_held_out(doc_id) else _crc(doc_id) // MODULUS % ROUNDS
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -178,28 +178,59 @@ def lexicon_of(counts: DataFrame, train_docs: int, head_words: int = HEAD_WORDS,
     return Lexicon(words, n, entries, class_total, train_docs, total["n"], total["v"])
 
 
-# --- training --------------------------------------------------------------------------------------------------------
+# --- coding ----------------------------------------------------------------------------------------------------------
+
+_CODED = (
+    "doc_id long, held_out boolean, n_tokens long, n_head long, base double, share double, rare array<binary>, rare_n array<int>, "
+    "round int, h long, ids binary"
+)
+
 
+def _entry_type(lexicon: Lexicon) -> str:
+    return "<u2" if len(lexicon.mass) <= 1 << 16 else "<i4"
 
-def training_rows(rows: DataFrame, sent) -> DataFrame:
-    """(doc_id, slice, h, tokens, ids) of the training documents in the slices of the rounds and of the mixture."""
-    wanted = {k for r in ROUNDS for k in r} | {DEV_SLICE}
+
+def coded(rows: DataFrame, sent) -> DataFrame:
+    """Each row of (doc_id, text) by the broadcast lexicon: the sums that don't depend on the model, the words outside the
+    head with their numbers, the round of training, a hash, and the entries with the end mark."""
     here: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = here.setdefault("codes", Codes(sent.value))
+        lex = sent.value
+        codes, kind = here.setdefault("codes", Codes(lex)), _entry_type(lex)
+        end = np.log10(lex.train_docs + 1.0)
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if not is_held_out(doc_id) and slice_of(doc_id) in wanted:
-                    ids = codes.entries(codes.of(words_of(text)))
-                    data = ids.tobytes()
-                    out.append((doc_id, slice_of(doc_id), zlib.crc32(data), len(ids), data))
-            if out:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "slice", "h", "tokens", "ids"])
+            numbers, sums = np.zeros((2, batch.num_rows), np.int64), np.zeros((2, batch.num_rows))
+            rare, rare_n, offsets, ids = [], [], [0], []
+            for k, text in enumerate(utf8(batch.column(1))):
+                words = words_of(text)
+                code = codes.of(words)
+                outside = np.flatnonzero(code >= codes.fixed).tolist()
+                numbers[:, k] = len(words) + 1, len(words) - len(outside) + (lex.train_docs > 0)
+                sums[:, k] = lex.base_of[code].sum() + end, lex.share_of[code].sum()
+                if outside:
+                    tail = Counter(words[i] for i in outside)
+                    rare += tail
+                    rare_n += tail.values()
+                offsets.append(len(rare))
+                ids.append(codes.entries(code).astype(kind).tobytes())
+            where, docs = pa.array(offsets, pa.int32()), batch.column(0).to_pylist()
+            columns = [
+                batch.column(0), pa.array([is_held_out(i) for i in docs], pa.bool_()), *map(pa.array, numbers), *map(pa.array, sums),
+                pa.ListArray.from_arrays(where, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(where, pa.array(rare_n, pa.int32())),
+                pa.array(map(round_of, docs), pa.int32()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary()),
+            ]
+            yield pa.record_batch(columns, [x.split()[0] for x in _CODED.split(", ")])
+
+    return rows.mapInArrow(tidy(run), _CODED)
+
+
+# --- training --------------------------------------------------------------------------------------------------------
+
 
-    return rows.mapInArrow(tidy(run), "doc_id long, slice int, h long, tokens long, ids binary")
+def training_rows(documents: DataFrame) -> DataFrame:
+    """(doc_id, round, h, tokens, ids) of all training documents among the `coded` ones."""
+    return documents.where("not held_out").select("doc_id", "round", "h", F.col("n_tokens").alias("tokens"), "ids")
 
 
 def _parameters(model: bilinear.Model, trainer: int, weight: float) -> Iterator[pa.RecordBatch]:
@@ -225,14 +256,17 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _sums_row(held[0][3], held[0][4], held[0][5], sum(r[1] for r in held), total)
 
 
-def _round(spark: SparkSession, documents: DataFrame, model: bilinear.Model, seed: int, tokens_a_trainer: int, least_steps: int) -> None:
-    """One round of training: `model` gets the mean of what the trainers make of it. Only parameters reach the driver.
+def _round(
+    spark: SparkSession, documents: DataFrame, model: bilinear.Model, kind: str, seed: int, tokens_a_trainer: int, least_steps: int
+) -> np.ndarray:
+    """One round of training: `model` gets the mean of what the trainers make of it. Only parameters and sums reach the driver.
+    Gives the fit of each of MIXTURES to the documents, judged before they were learnt. `kind` is the type of their ids.
 
     Documents are dealt by a hash of id and tokens and are sorted, and the trainers' values are summed by a tree in the order
     of the trainers, so neither the model nor its rounding depends on how the table was partitioned."""
     tokens = documents.agg(F.sum("tokens")).first()[0] or 0
     if not tokens:
-        return
+        return np.zeros(len(MIXTURES))
     trainers = max(1, -(-tokens // tokens_a_trainer))
     steps = -(-least_steps // trainers)
     sent = spark.sparkContext.broadcast((model, steps))
@@ -240,13 +274,14 @@ def _round(spark: SparkSession, documents: DataFrame, model: bilinear.Model, see
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Trains on the documents of one trainer after another; rows come sorted by trainer."""
         start, steps = sent.value
-        rows = ((t, np.frombuffer(x.as_buffer(), np.int32)) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        rows = ((t, np.frombuffer(x.as_buffer(), kind)) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         for trainer, mine in groupby(rows, key=lambda r: r[0]):
             parts = [ids for _, ids in mine]
             own = start.copy()
-            entries = np.concatenate(parts)
-            own.train(entries, np.fromiter(map(len, parts), np.int64, len(parts)), steps, seed)
+            entries = np.concatenate(parts).astype(np.int32)
+            fit = own.train(entries, np.fromiter(map(len, parts), np.int64, len(parts)), steps, seed, MIXTURES)
             yield from _parameters(own, trainer, float(len(entries)))
+            yield _sums_row(_FIT, 0, trainer, float(len(entries)), fit)
 
     trainer = F.pmod(F.xxhash64("doc_id", "h"), F.lit(trainers)).alias("trainer")
     dealt = documents.select(trainer, "h", "doc_id", "ids").repartition(trainers, "trainer")
@@ -257,26 +292,14 @@ def _round(spark: SparkSession, documents: DataFrame, model: bilinear.Model, see
         if trainers <= FAN:
             break
         trainers = -(-trainers // FAN)
-    got = sums.toArrow()
+    got, fit = sums.toArrow(), np.zeros(len(MIXTURES))
     for name, at, weight, part in zip(*(got[c].to_pylist() for c in ("name", "at", "weight", "part")), strict=True):
-        values = np.frombuffer(part) / weight
-        model.p[name].reshape(-1)[at : at + len(values)] = values
-
-
-def mixture(documents: DataFrame, model: bilinear.Model) -> float:
-    """Weight of the model against unigrams, by the likelihood of `documents`; only sums reach the driver."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = sent.value, np.zeros(len(MIXTURES))
-        for batch in batches:
-            for entries, logs in _log_probs(own, [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)]):
-                p, u = np.exp(logs), own.mass[entries]
-                total += [np.log(w * p + (1 - w) * u).sum() for w in MIXTURES]
-        yield pa.record_batch([pa.array(range(len(MIXTURES)), pa.int32()), pa.array(total)], ["k", "fit"])
-
-    best = documents.select("ids").mapInArrow(tidy(run), "k int, fit double").groupBy("k").agg(F.sum("fit").alias("fit")).orderBy(F.desc("fit"), "k").first()
-    return MIXTURES[best["k"]] if best else 0.0
+        values = np.frombuffer(part)
+        if name == _FIT:
+            fit = values
+        else:
+            model.p[name].reshape(-1)[at : at + len(values)] = values / weight
+    return fit
 
 
 def _log_probs(model: bilinear.Model, documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -316,14 +339,19 @@ class Scorer:
         return np.concatenate(logs) if logs else np.zeros(0)
 
 
+def fitted(documents: DataFrame, lexicon: Lexicon, tokens_a_trainer: int = TOKENS_A_TRAINER, least_steps: int = LEAST_STEPS) -> Scorer:
+    """The model fitted on all training documents of the `coded` ones, and its weight against unigrams."""
+    model, fit = bilinear.Model(lexicon.mass, lexicon.groups), np.zeros(len(MIXTURES))
+    documents = training_rows(documents)
+    for k in range(ROUNDS):
+        fit = fit + _round(documents.sparkSession, documents.where(F.col("round") == k), model, _entry_type(lexicon), 11 + k, tokens_a_trainer, least_steps)
+    return Scorer(lexicon, model, MIXTURES[int(np.argmax(fit))])
+
+
 def trained(rows: DataFrame, lexicon: Lexicon, tokens_a_trainer: int = TOKENS_A_TRAINER, least_steps: int = LEAST_STEPS) -> Scorer:
     """The model fitted on the training documents of `rows` (doc_id, text)."""
-    spark = rows.sparkSession
-    model = bilinear.Model(lexicon.mass, lexicon.groups)
-    documents = written(training_rows(rows, spark.sparkContext.broadcast(lexicon)), "lm-training")
-    for k, slices in enumerate(ROUNDS):
-        _round(spark, documents.where(F.col("slice").isin(*slices)), model, 11 + k, tokens_a_trainer, least_steps)
-    return Scorer(lexicon, model, mixture(documents.where(F.col("slice") == DEV_SLICE), model))
+    documents = written(coded(rows, rows.sparkSession.sparkContext.broadcast(lexicon)), "lm-coded")
+    return fitted(documents, lexicon, tokens_a_trainer, least_steps)
 
 
 # --- scoring ---------------------------------------------------------------------------------------------------------
@@ -345,49 +373,31 @@ def scores(
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     train_docs = rows.where(crc % MODULUS != HELD_REMAINDER).count()
     lexicon = lexicon_of(counts, train_docs, head_words, entry_scale)
-    scorer = trained(rows, lexicon, tokens_a_trainer, least_steps)
+    spark = docs.sparkSession
+    documents = coded(rows, spark.sparkContext.broadcast(lexicon)).withColumn("row", F.monotonically_increasing_id())
+    documents = written(documents, "lm-coded")
+    scorer = fitted(documents, lexicon, tokens_a_trainer, least_steps)
     n, v = lexicon.tokens, lexicon.types
     log_all = float(np.log10(n + v + 1))
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)
-    here: dict = {}
+    sent, kind = spark.sparkContext.broadcast(scorer), _entry_type(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        lex = own.lexicon
-        codes = here.setdefault("codes", Codes(lex))
-        end = np.log10(lex.train_docs + 1.0)
         for batch in batches:
-            numbers = np.zeros((2, batch.num_rows), np.int64)
-            base, share = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            documents, rare, rare_n, offsets = [], [], [], [0]
-            for k, text in enumerate(utf8(batch.column(1))):
-                words = words_of(text)
-                code = codes.of(words)
-                outside = code >= codes.fixed
-                documents.append(codes.entries(code))
-                numbers[:, k] = len(words) + 1, len(words) - int(outside.sum()) + (lex.train_docs > 0)
-                base[k] = lex.base_of[code].sum() + end
-                share[k] = lex.share_of[code].sum()
-                tail = Counter(words[i] for i in np.flatnonzero(outside).tolist())
-                rare += tail
-                rare_n += tail.values()
-                offsets.append(len(rare))
-            sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-            model = np.add.reduceat(own.tokens(documents), np.cumsum(sizes) - sizes) + share  # every document has its end mark
-            where = pa.array(offsets, pa.int32())
-            columns = [
-                batch.column(0), pa.array([is_held_out(i) for i in batch.column(0).to_pylist()]), *map(pa.array, numbers), pa.array(base), pa.array(model),
-                pa.ListArray.from_arrays(where, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(where, pa.array(rare_n, pa.int32())),
-            ]
-            yield pa.record_batch(columns, ["doc_id", "held_out", "n_tokens", "n_head", "base", "model", "rare", "rare_n"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_head long, base double, model double, rare array<binary>, rare_n array<int>"
-    parts = written(rows.mapInArrow(tidy(run), schema).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
+            if batch.num_rows:
+                ids = [np.frombuffer(x.as_buffer(), kind).astype(np.int32) for x in batch.column("ids")]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                model = np.add.reduceat(own.tokens(ids), np.cumsum(sizes) - sizes)  # every document has its end mark
+                yield pa.record_batch([*batch.columns[:-1], pa.array(model + batch.column("share").to_numpy())], [*batch.schema.names[:-1], "model"])
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, share double, model double"
+    parts = documents.select("row", "doc_id", "held_out", "n_tokens", "n_head", "base", "share", "ids").mapInArrow(tidy(run), schema)
+    parts = written(parts, "lm-rows")
+    rare = documents.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("times"))
     found = rare.join(counts, "word").groupBy("row").agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("log_rare")
     )
-    joined = parts.drop("rare", "rare_n").join(found, "row", "left")
+    joined = parts.join(found, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),

@@ -508,6 +508,31 @@ def test_lm_model_does_not_depend_on_the_layout(docs, monkeypatch):
     assert all(np.array_equal(one.model.p[name], other.model.p[name]) for name in one.model.p)
 
 
+def test_lm_learns_from_every_training_document(spark):
+    """Turning round the words of any one training document, which leaves all counts, changes the parameters."""
+    rng = random.Random(9)
+    listed = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(60))) for i in range(50)]
+    given = lambda at: spark.createDataFrame([(i, " ".join(t.split()[::-1]) if i == at else t) for i, t in listed], "doc_id long, text string").coalesce(1)
+    lexicon = lm.lexicon_of(lm.written(lm.word_counts(given(-1)), "counts"), sum(not lm.is_held_out(i) for i, _ in listed))
+    plain = lm.trained(given(-1), lexicon, 10**6, 2).model.p
+    by_rest: dict[int, int] = {}
+    for i, _ in listed:
+        by_rest.setdefault(zlib.crc32(str(i).encode()) // 7 % 16, i)
+    for i in [by_rest[k] for k in (4, 7, 15)]:
+        changed = lm.trained(given(i), lexicon, 10**6, 2).model.p
+        assert np.array_equal(plain["r"], changed["r"]) == lm.is_held_out(i)
+
+
+def test_lm_weight_is_chosen_on_documents_before_they_are_learnt():
+    rng = np.random.default_rng(1)
+    mass = np.full(16, 1 / 16)
+    entries, weights = rng.integers(0, 16, 500).astype(np.int32), (0.0, 0.5, 0.9)
+    model = bilinear.Model(mass, 4)
+    p = np.exp(model.log_probs(bilinear.Contexts(entries, np.array([300, 200]), 16)))
+    found = model.train(entries, np.array([300, 200]), 4, weights=weights)
+    assert np.allclose(found, [np.log(w * p + (1 - w) / 16).sum() for w in weights])
+
+
 def test_lm_entries_are_normalised():
     rng = np.random.default_rng(0)
     groups, size = bilinear.layout(60)
