@@ -1,9 +1,11 @@
 """Near duplicates by the similarity of word shingles, for the pipeline: five words, Jaccard similarity 0.8 or more.
 
-This is the first operator's work at a similarity that the bits of its fingerprints can't guarantee (figures in the README).
-Candidates come from MinHash: BANDS keys of ROWS minima each. A pair of similarity s shares no key with probability
-(1 - s^ROWS)^BANDS, 3e-6 at 0.8 and less above. Documents that are joined by keys, directly or through others, form a
-block, so every candidate pair lies in one block and the shingles of a document travel once. In a block the similarity
+This is the first operator's work, on shingles of five words, at a similarity that the bits of its fingerprints can't
+guarantee (figures in the README). Candidates are the links that its index on positional bytes finds between fingerprints,
+whatever their similarity. Those further apart come from MinHash: BANDS keys of ROWS minima each. A pair of similarity s
+shares no key with probability (1 - s^ROWS)^BANDS, 3e-6 at 0.8 and less above. Documents that are joined by links or keys,
+directly or through others, form a block, so every candidate pair lies in one block and the shingles of a document travel
+once. In a block the similarity
 is computed exactly and gives a spanning forest of the documents that are similar enough. Blocks with many shingles are
 cut into parts which are compared two by two, so no task holds more than two parts.
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, small_or_shuffled, tidy, utf8, written
 from .graph import components
+from .simhash import fingerprint, near_edges
 
 SHINGLE = 5
 #: Similarity of at least LEAST[0] / LEAST[1].
@@ -80,9 +83,12 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [shingles(t) for t in utf8(batch.column(1))]
+    texts = utf8(batch.column(1))
+    sets = [shingles(t) for t in texts]
     sizes = pa.array([len(s) for s in sets], pa.int64())
-    return pa.record_batch([batch.column(0), *_names(sets), sizes, _lists([band_keys(s) for s in sets])], ["doc_id", "k1", "k2", "n", "bands"])
+    prints = np.fromiter((fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts)).view(np.int64)
+    columns = [batch.column(0), *_names(sets), sizes, _lists([band_keys(s) for s in sets]), pa.array(prints)]
+    return pa.record_batch(columns, ["doc_id", "k1", "k2", "n", "bands", "fp"])
 
 
 def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -162,9 +168,28 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from tidy(found)(batches)
 
 
-def similar_edges(docs: DataFrame, nodes: DataFrame, part: int = PART) -> DataFrame:
-    """Edges (a, b) between nodes that connect exactly the candidates at sufficient similarity."""
-    postings = nodes.select(F.explode("bands").alias("key"), "node")
+def printed(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, n, bands, fp) of each row of (doc_id, text)."""
+    return written(arrow_map(docs, _prints, "doc_id long, k1 long, k2 long, n long, bands array<long>, fp long"), "shingle-prints")
+
+
+def distinct_sets(rows: DataFrame) -> DataFrame:
+    """The nodes: one row for each set among the `printed` rows, with its smallest doc_id."""
+    distinct = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    return written(distinct.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
+
+
+def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node): nodes whose fingerprints the first operator links, directly or through others, have the same key."""
+    prints = written(rows.select("k1", "k2", "fp").distinct().join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("fp", "node"), "node-prints")
+    roots = components(near_edges(prints.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    return prints.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("key"), "node")
+
+
+def similar_edges(docs: DataFrame, nodes: DataFrame, linked: DataFrame, part: int = PART) -> DataFrame:
+    """Edges (a, b) between nodes that connect exactly the candidates at sufficient similarity: those that share a key of
+    `linked` (key, node) or of their bands."""
+    postings = nodes.select(F.explode("bands").alias("key"), "node").unionByName(linked)
     chains = postings.repartition("key").sortWithinPartitions("key").mapInArrow(_chains, "a long, b long").distinct()
     blocks = components(chains).select("node", F.col("root").alias("block"))
     inside = Window.partitionBy("block")
@@ -187,10 +212,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts are equal. Rows that repeat a doc_id each count; a null doc_id is kept but is never the smallest.
     """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(arrow_map(chosen, _prints, "doc_id long, k1 long, k2 long, n long, bands array<long>"), "shingle-prints")
-    distinct = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
-    roots = components(similar_edges(chosen, nodes, part)).select("node", "root")
+    rows = printed(chosen)
+    nodes = distinct_sets(rows)
+    roots = components(similar_edges(chosen, nodes, links(rows, nodes), part)).select("node", "root")
     reps = nodes.select("node", "k1", "k2", "rep")
     least = written(roots.join(reps.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("least")), "least")
     joined = written(roots.join(small_or_shuffled(least), "root").select("node", "least"), "classes")

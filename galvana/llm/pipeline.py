@@ -18,7 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: links of fingerprints as the
+    first operator finds them, and those that lie beyond its bits, both verified."""
     return near.one_of_each(docs)
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from galvana.llm import near, pipeline, simhash
 from galvana.llm.common import table
@@ -54,6 +55,22 @@ def test_parts_of_blocks_are_compared_two_by_two(spark):
     assert {(r.doc_id, r.component_id) for r in near.near_duplicates(docs, part=150).collect()} == whole
 
 
+def test_links_of_fingerprints_are_candidates(spark):
+    """Without a key of MinHash, similar texts whose fingerprints the first operator links are still found, and only those."""
+    texts = corpus()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    found = near.printed(docs)
+    nodes = near.distinct_sets(found).withColumn("bands", F.array().cast("array<long>"))
+    edges = near.similar_edges(docs, nodes, near.links(found, nodes))
+    rep = {r.node: r.rep for r in nodes.collect()}
+    sets = {i: shingled(t or "") for i, t in texts if i in set(rep.values())}
+    prints = {i: simhash.fingerprint((t or "").encode(), 5) for i, t in texts}
+    close = brute.components(list(sets), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    want = brute.components(list(sets), lambda a, b: close[a] == close[b] and linked(sets[a], sets[b]))
+    pairs = {frozenset((rep[r.a], rep[r.b])) for r in edges.collect()}
+    assert pairs and brute.components(list(sets), lambda a, b: frozenset((a, b)) in pairs) == want
+
+
 def test_odd_rows(odd, none):
     assert near.near_duplicates(odd).count() == 8
     assert sorted(r.doc_id or 0 for r in near.one_of_each(odd).collect()) == [0, 0, 1, 1, 5, 5, 5]
