@@ -14,7 +14,8 @@ after each success. All segments of a shard advance in lockstep, a step of the w
 
 An anchor with many distinct segments, as a line that is common everywhere has, is cut finer: its segments are anchored
 again by longer grams, in the end by whole windows, and the pieces are dealt by their new anchors to shards of the same
-kind. So no anchor weighs more than a share of a shard, and work grows with the text.
+kind. So no anchor weighs more than a share of a shard, and work grows with the text. What is found in the pieces of a
+segment is put together for the segment, once for all documents that have it, before it meets the documents' places.
 """
 
 from __future__ import annotations
@@ -335,7 +336,7 @@ def _segments(flagged: DataFrame, window: int) -> DataFrame:
 
 def _recut(texts: DataFrame, window: int, k: int) -> DataFrame:
     """The segments `texts` (seg, least, most, words) cut finer, by anchors of k-word grams: rows that place a piece in its
-    parent, and the distinct pieces with their words, as `_segments` gives them."""
+    parent (with the parent's smallest doc_id), and the distinct pieces with their words, as `_segments` gives them."""
     hashes = Words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +349,7 @@ def _recut(texts: DataFrame, window: int, k: int) -> DataFrame:
                 for f, n in zip(*(x.tolist() for x in _runs(a)), strict=True):
                     part = b" ".join(words[f : f + n + window - 1])
                     seg = xxhash.xxh3_128_digest(part)
-                    rows.append((None, None, None, parent, f, int(a[f]), seg, n + window - 1, None))
+                    rows.append((least, None, None, parent, f, int(a[f]), seg, n + window - 1, None))
                     held.add(seg, least, most, int(a[f]), n + window - 1, part)
                 if held.size >= FLUSH_BYTES:
                     rows += held.out()
@@ -398,20 +399,30 @@ def _ranges(least: str, most: str) -> list:
     return [F.min(least).alias("least"), F.max(most).alias("most")]
 
 
+def _put_together(inside: DataFrame, verdict: DataFrame) -> DataFrame:
+    """(seg, least, shared, rest) of segments from those of their pieces; `inside` (parent, least, more, seg) places a piece in
+    its parent. A piece that a smaller document than the parent's smallest has is one of `rest` for all documents."""
+    of_piece = verdict.select("seg", F.col("least").alias("least_piece"), "shared", "rest")
+    met = inside.join(of_piece, "seg").groupBy("parent").agg(F.min("least").alias("least"), F.collect_list(F.struct("more", "least_piece", "shared", "rest")).alias("found"))
+    moved = lambda ends, by: F.transform(ends, lambda e: e + by)
+    shared = F.transform("found", lambda x: moved(F.when(F.col("least") > x["least_piece"], x["rest"]).otherwise(x["shared"]), x["more"]))
+    rest = F.transform("found", lambda x: moved(x["rest"], x["more"]))
+    return met.select(F.col("parent").alias("seg"), "least", F.flatten(shared).alias("shared"), F.flatten(rest).alias("rest"))  # bounded by MAX_RUN windows
+
+
 def removed_windows(flagged: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, key, spans: array<struct<b, e>>) for documents of `flagged` (doc_id, key, text, anchors) with windows that
     also start in a document with a smaller doc_id; b and e are first and one past the last such window of a run."""
     placed = written(_segments(flagged, window), "segments")
-    places = placed.where("words IS NULL").select("doc_id", "key", "first", "anchor", "seg")
+    places = placed.where("words IS NULL").select("doc_id", "key", "first", "seg")
     texts = placed.where("words IS NOT NULL").select(F.col("doc_id").alias("least"), "most", "anchor", "seg", "n_words", "words")
-    limit, calm, all_places, total = shard_words // SHARE, [], [], 0
+    limit, calm, levels, total = shard_words // SHARE, [], [], 0
     for k in [*gram_sizes(window)[1:], None]:
         segs = texts.groupBy("anchor", "seg").agg(F.max("n_words").alias("n_words"))
         weights = written(segs.groupBy("anchor").agg(F.sum("n_words").alias("weight")), "anchor-weights")  # a number for each anchor
         crowded = weights.where(F.col("weight") > limit).select("anchor") if k else weights.where("false")
         many = crowded.count()
         total += weights.where(F.col("weight") <= limit if k else F.lit(True)).agg(F.sum("weight")).first()[0] or 0
-        all_places.append(places)
         if not many:
             calm.append(texts)
             break
@@ -421,11 +432,8 @@ def removed_windows(flagged: DataFrame, window: int = WINDOW, shard_words: int =
         pieces = finer.where("words IS NOT NULL").select(F.col("doc_id").alias("least"), "most", "anchor", "seg", "n_words", "words")
         shared = written(pieces.groupBy("anchor").agg(*_ranges("least", "most")).where("least < most").select("anchor"), "finer-anchors")
         texts = pieces.join(small_or_shuffled(shared), "anchor", "left_semi")
-        inside = finer.where("words IS NULL").select("parent", F.col("first").alias("more"), "anchor", "seg").distinct()
-        inside = written(inside.join(small_or_shuffled(shared), "anchor", "left_semi"), "finer-places")
-        above = places.join(crowded, "anchor", "left_semi").select("doc_id", "key", "first", F.col("seg").alias("parent"))
-        places = above.join(inside, "parent").select("doc_id", "key", (F.col("first") + F.col("more")).alias("first"), "anchor", "seg")
-        places = written(places, "placed-pieces")
+        inside = finer.where("words IS NULL").groupBy("parent", F.col("first").alias("more"), "seg").agg(F.min("doc_id").alias("least"))
+        levels.append(inside)
     shards = max(1, round(total / (FILL * shard_words)))  # no anchor has more than a share of one
     dealt = None
     for part in calm:
@@ -433,10 +441,9 @@ def removed_windows(flagged: DataFrame, window: int = WINDOW, shard_words: int =
         dealt = part if dealt is None else dealt.unionByName(part)
     verdict = dealt.groupBy("shard").applyInArrow(_search_shard(window), "seg binary, least long, shared array<int>, rest array<int>")
     verdict = written(verdict, "verdicts")
-    found = None
-    for part in all_places:
-        hits = part.join(verdict, "seg").select("doc_id", "key", "first", F.when(F.col("doc_id") > F.col("least"), F.col("rest")).otherwise(F.col("shared")).alias("found"))
-        found = hits if found is None else found.unionByName(hits)
+    for inside in reversed(levels):
+        verdict = verdict.unionByName(written(_put_together(inside, verdict), "verdicts-above"))
+    found = places.join(verdict, "seg").select("doc_id", "key", "first", F.when(F.col("doc_id") > F.col("least"), F.col("rest")).otherwise(F.col("shared")).alias("found"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("found") / 2).cast("int") - 1),
         lambda i: F.struct((F.col("first") + F.element_at("found", 2 * i + 1)).alias("b"), (F.col("first") + F.element_at("found", 2 * i + 2)).alias("e")),

@@ -284,6 +284,31 @@ def test_common_line_is_cut_finer(spark):
         assert (found[i].n_words, found[i].n_removed, found[i].kept_sha256) == (len(words), len(words) - len(kept), brute.sha(" ".join(kept))), i
 
 
+def test_copies_of_a_crowded_segment_are_cut_once(spark, monkeypatch):
+    """Copies of documents add rows only where each document has rows of its own; results stay those of all windows."""
+    rng = random.Random(4)
+    line = [f"line{k}" for k in range(20)]
+    texts = [" ".join([f"w{rng.randrange(400)}" for _ in range(25)] + line + [f"w{rng.randrange(400)}" for _ in range(25)]) for _ in range(40)]
+    real, sizes = substrings.written, {}
+    for copies in (2, 8):
+        counts = sizes[copies] = Counter()
+
+        def counted(df, label, counts=counts):
+            out = real(df, label)
+            counts[label] += out.count()
+            return out
+
+        monkeypatch.setattr(substrings, "written", counted)
+        listed = [(100 * c + k, t) for c in range(copies) for k, t in enumerate(texts)]
+        df = spark.createDataFrame(listed, "doc_id long, text string").coalesce(1)
+        found = rows(substrings.report(df, window=24, shard_words=400))
+        for i, (words, kept) in brute.removed_words(listed, 24).items():
+            assert (found[i].n_words, found[i].n_removed) == (len(words), len(words) - len(kept)), i
+    own = {"word-summaries", "anchor-lists", "flagged", "segments", "removed-windows", "changed"}
+    assert sizes[2]["finer-segments"] > 0
+    assert {k: n for k, n in sizes[2].items() if k not in own} == {k: n for k, n in sizes[8].items() if k not in own}
+
+
 def test_deduplicated_texts(docs, texts):
     found = rows(substrings.deduplicated(docs))
     for i, (words, kept) in brute.removed_words(texts, 50).items():
