@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import MEMO_ENTRIES, pieces
+from .byte_bpe import pieces
 from .common import tidy
 
 WINDOW = 2048
@@ -40,9 +40,9 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Tokens:
     """Ids of texts by the tokenizer file, as little-endian unsigned 16-bit numbers, with the ends of sentences.
 
-    A text is cut at spaces that begin a pretoken, and each cut piece is encoded once and memoised. Pieces are encoded by
-    the rank file of the same vocabulary, which gives the same ids several times faster; a text in which the file's
-    special token occurs goes to the tokenizer file itself.
+    Texts are encoded by the rank file of the same vocabulary, which gives the same ids several times faster; a text in
+    which the file's special token occurs goes to the tokenizer file itself. Sentences are looked for at the spaces that
+    begin a pretoken, where tokens end too, by places of bytes.
     """
 
     def __init__(self, path: str, ranks: str):
@@ -52,25 +52,24 @@ class Tokens:
         self.rank_encode = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}
         ).encode_ordinary
-        self.known: dict[str, bytes] = {}
+        self.sizes = np.zeros(max(table.values()) + 1, np.int64)
+        self.sizes[list(table.values())] = list(map(len, table))
         self.whole = None
 
     def __call__(self, text: str) -> tuple[bytes, np.ndarray]:
         """Ids, and the positions after which a sentence has ended."""
         if SPECIAL in text:
             return self._by_file(text)
-        known, long = self.known, {}
-        cut = pieces(text)
-        cut[1:] = [" " + x for x in cut[1:]]
-        if len(known) + len(cut) > MEMO_ENTRIES:
-            known.clear()
-        for x in set(cut).difference(known):
-            ids = np.array(self.rank_encode(x), "<u2").tobytes()
-            (known if len(x) < 200 else long)[x] = ids
-        found = list(map((known | long if long else known).__getitem__, cut))
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // 2
-        stops = np.fromiter((x[-1:] in _STOPS or "\n" in x for x in cut), bool, len(cut))
-        return b"".join(found), ends[stops]
+        ids = np.array(self.rank_encode(text), "<u2")
+        data = np.frombuffer(text.encode(), np.uint8)
+        if text.isascii():
+            cuts = np.flatnonzero((data[:-1] == ord(" ")) & ~_WHITE[data[1:]])
+        else:
+            cuts = np.cumsum([len(x.encode()) + 1 for x in pieces(text)[:-1]], dtype=np.int64) - 1
+        ends = np.append(cuts, len(data))
+        stops = (ends > 0) & _ENDS[data[ends - 1]] if len(data) else ends > 0
+        stops[np.searchsorted(ends, np.flatnonzero(data == ord("\n")), "right")] = True  # a line ends in the piece
+        return ids.tobytes(), np.searchsorted(np.cumsum(self.sizes[ids]), ends[stops]) + 1
 
     def _by_file(self, text: str) -> tuple[bytes, np.ndarray]:
         if self.whole is None:
@@ -83,6 +82,8 @@ class Tokens:
 
 
 _STOPS = frozenset((".", "!", "?", "\n"))
+_ENDS = np.array([chr(k) in _STOPS for k in range(256)])
+_WHITE = np.array([chr(k).isspace() for k in range(256)])
 _tokens: dict[tuple[str, str], Tokens] = {}
 
 

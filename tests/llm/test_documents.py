@@ -239,6 +239,21 @@ def test_fingerprints_of_repeated_ids_and_rows(spark, odd, none, bits, run):
     assert fingerprint.edit_report(none).count() == 0 and fingerprint.fingerprints(none).count() == 0
 
 
+def test_ends_of_sentences_by_bytes():
+    """Ids and ends of sentences of a text encoded as a whole are those of its pieces, of any white space and script."""
+    tokens = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert not hasattr(tokens, "known")  # no memo of pieces, which took longer than their encoding
+    rng = random.Random(1)
+    some = [" ", "  ", "a", "Ab", ".", "!\n", "\n", "é", "7", "\t", "?", "\xa0", "\x1c", "end"]
+    for text in ["", " ", " a", "a ", "x" * 5000, "y. " * 300, *("".join(rng.choices(some, k=rng.randint(0, 40))) for _ in range(2000))]:
+        cut = byte_bpe.pieces(text)
+        coded = [tokens.rank_encode(" " * (k > 0) + x) for k, x in enumerate(cut)]
+        ends = np.cumsum([len(x) for x in coded])
+        data, stops = tokens(text)
+        assert np.frombuffer(data, "<u2").tolist() == [i for x in coded for i in x]
+        assert stops.tolist() == [e for e, x in zip(ends.tolist(), cut, strict=True) if x[-1:] in (".", "!", "?", "\n") or "\n" in x], repr(text)
+
+
 # --- substrings ------------------------------------------------------------------------------------------------------
 
 
