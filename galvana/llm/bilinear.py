@@ -39,20 +39,47 @@ def place(rank: np.ndarray, groups: int, size: int) -> np.ndarray:
 
 
 class Contexts:
-    """Positions of the context of every token of documents that follow one another; `start` is the entry that stands for
-    what is before a document."""
+    """Places of the tokens of documents that follow one another; `start` is the entry that stands for what is before a document."""
 
     def __init__(self, entries: np.ndarray, sizes: np.ndarray, start: int):
-        n, docs = len(entries), len(sizes)
+        self.entries, self.start = np.asarray(entries, np.intp), start
+        self.sizes = sizes = np.asarray(sizes, np.int64)
         begin = np.cumsum(sizes) - sizes
-        doc = np.repeat(np.arange(docs), sizes)
-        inside = np.arange(n) - begin[doc]
-        padded = np.r_[entries, start].astype(np.int64)
-        self.near = [padded[np.where(inside >= k, np.arange(n) - k, n)] for k in range(1, NEAR + 1)]
-        self.hi = np.maximum(np.arange(n) - NEAR, begin[doc])
-        self.lo = np.maximum(self.hi - WIDE_SPAN, begin[doc])
-        self.share = (1 / np.maximum(self.hi - self.lo, 1)).astype(np.float32)[:, None]
-        self.entries = entries
+        lead = [begin[sizes > k] + k for k in range(NEAR)]  # the tokens that have k before them in their document
+        self.before = [np.sort(np.concatenate(lead[: k + 1])) for k in range(NEAR)]  # those whose k + 1st before is none
+        few = np.minimum(sizes, NEAR + WIDE_SPAN)  # the other tokens have all WIDE_SPAN of their wide context
+        at = np.cumsum(few) - few
+        inside = np.arange(few.sum()) - np.repeat(at, few)
+        self.share = np.full(len(entries), 1 / WIDE_SPAN, np.float32)
+        self.share[np.repeat(begin, few) + inside] = 1 / np.maximum(inside - NEAR, 1)
+
+
+def window_sums(x: np.ndarray, sizes: np.ndarray, ahead: bool = False) -> np.ndarray:
+    """For each row the sum of the WIDE_SPAN rows that end NEAR rows before it, or of those of them that are in its document;
+    `ahead` the sum of the rows in whose window it is."""
+    reach, n, out = NEAR + WIDE_SPAN, len(x), np.zeros_like(x)
+    if n > reach:
+        total, k = x, 1
+        while k < WIDE_SPAN:  # WIDE_SPAN is a power of two
+            total, k = total[k:] + total[:-k], 2 * k
+        if ahead:
+            out[:-reach] = total[NEAR + 1 :]
+        else:
+            out[reach:] = total[: n - reach]
+    # the rows at the edge of each document
+    few = np.minimum(sizes, reach)
+    until = np.cumsum(few)
+    number = np.arange(until[-1] if len(until) else 0)
+    edge = number + np.repeat(np.cumsum(sizes) - (until if ahead else sizes - few + until), few)
+    sums = np.zeros((len(edge) + 1, x.shape[1]))
+    np.cumsum(x.take(edge, 0), axis=0, dtype=np.float64, out=sums[1:])
+    if ahead:
+        end = np.repeat(until, few)
+        out[edge] = sums.take(end, 0) - sums.take(np.minimum(number + NEAR + 1, end), 0)
+    else:
+        begin = np.repeat(until - few, few)
+        out[edge] = sums.take(np.maximum(number - NEAR, begin), 0) - sums.take(begin, 0)
+    return out
 
 
 class Model:
@@ -78,29 +105,60 @@ class Model:
         other.__dict__.update(self.__dict__, p={k: v.copy() for k, v in self.p.items()})
         return other
 
-    def hidden(self, x: Contexts) -> tuple[np.ndarray, list[np.ndarray]]:
-        r = self.p["r"]
-        parts = [r[e] for e in x.near]
-        sums = np.zeros((len(x.entries) + 1, WIDTH))
-        np.cumsum(r[x.entries], axis=0, dtype=np.float64, out=sums[1:])
-        parts.append(((sums[x.hi] - sums[x.lo]) * x.share).astype(np.float32))
-        return sum(p @ m.T for p, m in zip(parts, self.p["mix"], strict=True)), parts
+    def hidden(self, x: Contexts, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The context vector of every token, and the rows it is made of: the near ones and the wide one, side by side (those
+        of the last BLOCK tokens, unless all are to be kept)."""
+        rows, n = self.p["r"].take(x.entries, 0), len(x.entries)
+        wide, start = window_sums(rows, x.sizes), self.p["r"][x.start]
+        wide *= x.share[:, None]
+        mix = self.p["mix"].transpose(0, 2, 1).reshape(-1, WIDTH)
+        held, h = np.empty((n if keep else min(n, BLOCK), (NEAR + 1) * WIDTH), np.float32), np.empty((n, WIDTH), np.float32)
+        step = len(held)
+        for a in range(0, n, step):
+            z = min(a + step, n)
+            beside = held[: z - a]
+            for k, none in enumerate(x.before, 1):
+                part, low = beside[:, (k - 1) * WIDTH : k * WIDTH], max(a, k)
+                part[low - a :] = rows[low - k : z - k]
+                part[none[slice(*np.searchsorted(none, (a, z)))] - a] = start
+            beside[:, NEAR * WIDTH :] = wide[a:z]
+            np.matmul(beside, mix, out=h[a:z])
+        return h, held
 
     def log_probs(self, x: Contexts) -> np.ndarray:
         """Natural log of the normalised probability of every token."""
         group = x.entries // self.size
         order = _order(group, self.groups)
-        h, entries, group = self.hidden(x)[0][order], x.entries[order], group[order]
-        found = np.empty(len(h))
-        for k in range(0, len(h), BLOCK):
-            block = slice(k, k + BLOCK)
-            found[block] = _log_share(h[block] @ self.p["a"].T + self.p["c"], group[block])
-        ends = np.searchsorted(group, np.arange(self.groups + 1))
-        q, b = (self.p[k].reshape(self.groups, self.size, -1) for k in ("q", "b"))
-        for g in np.flatnonzero(np.diff(ends)).tolist():
-            of = slice(ends[g], ends[g + 1])
-            found[of] += _log_share(h[of] @ q[g].T + b[g, :, 0], entries[of] - g * self.size)
-        out = np.empty(len(h))
+        h, entries, group = self.hidden(x)[0].take(order, 0), x.entries.take(order), group.take(order)
+        n, at = len(h), entries - group * self.size
+        a, c, q, b = self.p["a"], self.p["c"], self.p["q"].reshape(self.groups, self.size, WIDTH), self.p["b"].reshape(self.groups, self.size)
+        held, number = np.empty(BLOCK * max(self.groups, self.size), np.float32), np.arange(BLOCK)
+        found, totals = c.take(group).astype(np.float64) + self.p["b"].take(entries), np.empty((2, n), np.float32)
+
+        def share(of: slice, rows: np.ndarray, weights: np.ndarray, own: np.ndarray, total: np.ndarray) -> None:
+            scores = held[: (of.stop - of.start) * len(rows)].reshape(-1, len(rows))
+            np.matmul(h[of], rows.T, out=scores)
+            found[of] += scores[number[: len(scores)], own[of]]
+            np.exp(scores, out=scores)
+            np.matmul(scores, weights, out=total[of])
+
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            weights = np.exp(c)
+            for k in range(0, n, BLOCK):
+                share(slice(k, min(k + BLOCK, n)), a, weights, group, totals[0])
+            weights, ends = np.exp(b), np.searchsorted(group, np.arange(self.groups + 1)).tolist()
+            for g in range(self.groups):
+                for k in range(ends[g], ends[g + 1], BLOCK):
+                    share(slice(k, min(k + BLOCK, ends[g + 1])), q[g], weights[g], at, totals[1])
+            found -= np.log(totals.astype(np.float64)).sum(0)
+        odd = np.flatnonzero(~((totals > 1e-30) & (totals < 1e30)).all(0))  # too near the ends of single precision
+        for k in range(0, len(odd), BLOCK):
+            of = odd[k : k + BLOCK]
+            found[of] = _log_share(h[of] @ a.T + c, group[of])
+            for g in np.unique(group[of]).tolist():
+                some = of[group[of] == g]
+                found[some] += _log_share(h[some] @ q[g].T + b[g], at[some])
+        out = np.empty(n)
         out[order] = found
         return out
 
@@ -137,73 +195,111 @@ class Model:
 
     def _step(self, x: Contexts, rng, squares: dict, of: Noise) -> None:
         p, n = self.p, len(x.entries)
-        h, parts = self.hidden(x)
-        e, g = x.entries.astype(np.int64), x.entries // self.size
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("r", "q")}
+        h, beside = self.hidden(x, True)
+        e, g = x.entries, x.entries // self.size
+        by_entry = _order(e, len(self.mass))  # and so by group
         # groups: shared noise
         noise = np.minimum(np.searchsorted(of.group_before, rng.random(GROUP_NOISE) * of.group_before[-1], "right") - 1, self.groups - 1)
-        shift = of.group_shift
-        good = _rise(np.einsum("ij,ij->i", h, p["a"][g]) + p["c"][g] - shift[g]) - 1
-        bad = _rise(h @ p["a"][noise].T + (p["c"] - shift)[noise])
-        d_h = good[:, None] * p["a"][g] + bad @ p["a"][noise]
-        grad["a"] += _spread(g, good[:, None] * h, self.groups)
+        a, c = p["a"], p["c"] - of.group_shift
+        own, of_noise = a.take(g, 0), a[noise]
+        good = _rise(np.einsum("ij,ij->i", h, own) + c.take(g)) - 1
+        bad = _rise(h @ of_noise.T + c[noise])
+        d_h = good[:, None] * own + bad @ of_noise
+        grad = {"a": np.zeros_like(a), "c": np.bincount(g, good, self.groups).astype(np.float32)}
+        at, sums = _row_sums(g.take(by_entry), (good[:, None] * h).take(by_entry, 0))
+        grad["a"][at] = sums
         np.add.at(grad["a"], noise, bad.T @ h)
-        grad["c"] += np.bincount(g, good, self.groups).astype(np.float32)
-        np.add.at(grad["c"], noise, bad.sum(0))
+        np.add.at(grad["c"], noise, np.ones(n, np.float32) @ bad)
         # entries: noise from the token's group
-        other = of.entries(of.group_before[g][:, None] + rng.random((n, ENTRY_NOISE)) * self.of_group[g][:, None])
-        own, of_other, b = p["q"].take(e, 0), p["q"].take(other, 0), p["b"] - of.shift
-        good = _rise(np.einsum("ij,ij->i", h, own) + b[e]) - 1
-        bad = _rise(np.einsum("ij,ikj->ik", h, of_other) + b[other])
+        other = of.entries(g, rng)
+        own, of_other = p["q"].take(e, 0), p["q"].take(other, 0)
+        b = p["b"] - of.shift
+        good = _rise(np.einsum("ij,ij->i", h, own) + b.take(e)) - 1
+        bad = _rise(np.einsum("ij,ikj->ik", h, of_other) + b.take(other))
         d_h += good[:, None] * own + np.einsum("ik,ikj->ij", bad, of_other)
-        rows = np.r_[e, other.ravel()]
-        values = np.concatenate([good[:, None] * h, (bad[:, :, None] * h[:, None, :]).reshape(-1, WIDTH)])
-        self._sparse("q", rows, values, squares, n)
-        grad["b"] += np.bincount(rows, np.r_[good, bad.ravel()], len(self.mass)).astype(np.float32)
-        # context
-        for k, part in enumerate(parts):
-            grad["mix"][k] = d_h.T @ part
-        back = [d_h @ m for m in p["mix"]]
-        wide = np.zeros((n + 1, WIDTH))
-        share = back[NEAR] * x.share
-        for edge, sign in ((x.lo, 1), (x.hi, -1)):
-            wide += sign * _spread(edge, share, n + 1)
-        rows = np.concatenate([*x.near, e])
-        values = np.concatenate([*back[:NEAR], np.cumsum(wide, 0)[:n].astype(np.float32)])
-        self._sparse("r", rows, values, squares, n)
+        rows, pull = np.concatenate([e, other.ravel()]), np.concatenate([good, bad.ravel()])
+        grad["b"] = np.bincount(rows, pull, len(self.mass)).astype(np.float32)
+        order = _order(rows, len(self.mass))
+        values = h.take(of.token(n).take(order), 0)
+        values *= pull.take(order)[:, None]
+        self._sparse("q", *_row_sums(rows.take(order), values), squares, n)
+        # context: what a row gets from the tokens after it is summed before rows of one entry are
+        grad["mix"] = (d_h.T @ beside).reshape(WIDTH, NEAR + 1, WIDTH).transpose(1, 0, 2)
+        back = d_h @ p["mix"].transpose(1, 0, 2).reshape(WIDTH, -1)
+        values = window_sums(back[:, NEAR * WIDTH :] * x.share[:, None], x.sizes, ahead=True)
+        first = np.zeros((1, WIDTH), np.float32)
+        for k, none in enumerate(x.before, 1):
+            part = back[:, (k - 1) * WIDTH : k * WIDTH]
+            first += part[none].sum(0)
+            part[none] = 0
+            values[:-k] += part[k:]
+        at, sums = _row_sums(e.take(by_entry), values.take(by_entry, 0))
+        self._sparse("r", np.append(at, x.start), np.concatenate([sums, first]), squares, n)
         for k, d in grad.items():
-            d /= n
+            d = d / n
             squares[k] += d * d
             p[k] -= RATE * d / np.sqrt(squares[k])
 
-    def _sparse(self, name: str, rows: np.ndarray, values: np.ndarray, squares: dict, n: int) -> None:
-        """Adagrad on the rows that a batch touches."""
-        order = _order(rows, len(self.p[name]))
-        rows = rows[order]
-        first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        touched, d = rows[first], np.add.reduceat(values.take(order, 0), first, axis=0) / n
-        total = squares[name].take(touched, 0) + d * d
+    def _sparse(self, name: str, touched: np.ndarray, d: np.ndarray, squares: dict, n: int) -> None:
+        """Adagrad on the rows that a batch touches, each given once."""
+        d *= np.float32(1 / n)
+        total = squares[name].take(touched, 0)
+        total += d * d
         squares[name][touched] = total
-        self.p[name][touched] -= RATE * d / np.sqrt(total)
+        d *= np.float32(-RATE)
+        d /= np.sqrt(total, out=total)
+        d += self.p[name].take(touched, 0)
+        self.p[name][touched] = d
 
 
 class Noise:
-    """What the noise of a model's batches is drawn from; it doesn't change with the parameters."""
+    """What the noise of a model's batches is drawn from; it doesn't change with the parameters.
+
+    Entries of a group are drawn by the alias method: each place of the group is as likely as the next and keeps the draw
+    with a chance of its own, else hands it to one other place."""
 
     def __init__(self, model: Model):
         mass, of_group = model.mass, np.maximum(model.of_group, 1e-30)
-        self.mass_before = np.cumsum(mass)
+        self.size, self.tokens = model.size, {}
         self.group_before = np.r_[0, np.cumsum(model.of_group)]
         self.group_shift = np.log(GROUP_NOISE * of_group).astype(np.float32)
         self.shift = np.log(ENTRY_NOISE * np.maximum(mass / np.repeat(of_group, model.size), 1e-30)).astype(np.float32)
-
-    def entries(self, draw: np.ndarray) -> np.ndarray:
-        """The entry at each place of the mass; sorted places are found several times faster."""
-        flat = draw.ravel()
-        order = np.argsort(flat)
-        out = np.empty(len(flat), np.int64)
-        out[order] = np.minimum(np.searchsorted(self.mass_before, flat[order], "right"), len(self.mass_before) - 1)
-        return out.reshape(draw.shape)
+        tables = [aliases(m) for m in mass.reshape(model.groups, model.size)]
+        self.keep = np.concatenate([keep for keep, _ in tables]).astype(np.float32)
+        self.alias = np.concatenate([k * model.size + alias for k, (_, alias) in enumerate(tables)])
+
+    def entries(self, groups: np.ndarray, rng) -> np.ndarray:
+        """ENTRY_NOISE entries of each of the groups."""
+        draw = rng.random((len(groups), ENTRY_NOISE), np.float32)
+        draw *= self.size
+        slot = np.minimum(draw.astype(np.intp), self.size - 1)
+        draw -= slot
+        slot += (groups * self.size)[:, None]
+        return np.where(draw < self.keep.take(slot), slot, self.alias.take(slot))
+
+    def token(self, n: int) -> np.ndarray:
+        """The token that each entry of a batch of n is for: their own entries, then the noise of each."""
+        if n not in self.tokens:
+            self.tokens = {n: np.concatenate([np.arange(n), np.repeat(np.arange(n), ENTRY_NOISE)])}
+        return self.tokens[n]
+
+
+def aliases(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keep, alias) of places with these masses: a place drawn evenly is kept with its chance `keep`, or else its alias is taken."""
+    n = len(mass)
+    keep, alias = np.ones(n), np.arange(n)
+    left = (mass * (n / mass.sum()) if mass.sum() > 0 else keep).tolist()
+    small, large = [k for k in range(n) if left[k] < 1], [k for k in range(n) if left[k] >= 1]
+    while small and large:
+        k, other = small.pop(), large[-1]
+        keep[k], alias[k] = left[k], other
+        left[other] -= 1 - left[k]
+        if left[other] < 1:
+            small.append(large.pop())
+    for k in small:  # by rounding alone
+        if mass[k] <= 0 < mass.sum():
+            keep[k], alias[k] = 0, int(np.argmax(mass))
+    return keep, alias
 
 
 def mixed_fit(logs: np.ndarray, unigram: np.ndarray, weights: tuple[float, ...]) -> np.ndarray:
@@ -218,22 +314,25 @@ def _order(rows: np.ndarray, bound: int) -> np.ndarray:
     return np.argsort(rows.astype(np.uint16) if bound <= 1 << 16 else rows, kind="stable")
 
 
-def _rise(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values) of sorted rows. Pairs of single numbers are added as complex ones, in half the time."""
+    first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    if values.ndim == 1:
+        return rows[first], np.add.reduceat(values, first)
+    return rows[first], np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
 
 
-def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row the score at `at` less the log of the sum of exponentials."""
-    own, ones = scores[np.arange(len(at)), at].astype(np.float64), np.ones(scores.shape[1], np.float32)
+def _rise(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
     with np.errstate(over="ignore"):
-        total = np.exp(scores) @ ones
-    if not (total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30):  # too near the ends of single precision
-        top = scores.max(1)
-        own -= top
-        total = np.exp(scores - top[:, None]) @ ones
-    return own - np.log(total)
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _spread(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    places = (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    return np.bincount(places, values.ravel(), n * WIDTH).reshape(n, WIDTH).astype(np.float32)
+def _log_share(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the score at `at` less the log of the sum of exponentials."""
+    scores = scores.astype(np.float64)
+    top = scores.max(1)
+    return scores[np.arange(len(at)), at] - top - np.log(np.exp(scores - top[:, None]).sum(1))

@@ -14,18 +14,18 @@ judged by a trainer before it learns from it. Texts are coded once, for training
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bilinear
-from .common import tidy, utf8, written
+from .common import tidy, written
 
 #: Frequent words whose counts are sent to every task; the rest is joined.
 HEAD_WORDS = 1 << 17
@@ -44,13 +44,11 @@ MIXTURES = tuple(k / 20 for k in range(20)) + (0.98, 0.995)
 PART, FAN = 1 << 16, 32
 _FIT = "fit"
 _SUMS = "name string, at long, trainer long, weight double, part binary"
-#: Distinct words that a task counts before it hands them on.
-FLUSH = 400_000
+#: Bytes of text that are split into words at once, but a whole text at least.
+SLICE = 1 << 24
 #: Tokens that are scored at once.
 CHUNK = 1 << 15
 LOOK_BACK = bilinear.NEAR + bilinear.WIDE_SPAN
-MEMO_ENTRIES = 150_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def _crc(doc_id: int | None) -> int:
@@ -66,32 +64,44 @@ def round_of(doc_id: int | None) -> int:
     return -1 if is_held_out(doc_id) else _crc(doc_id) // MODULUS % ROUNDS
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LOWER).split()
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list, pa.Array]]:
+    """(column of ids, list of ids, texts) of some rows of (doc_id, text) at a time, SLICE bytes of text or one row; a null text is empty."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+        sums = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            until = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + SLICE, "right"))
+            ids = batch.column(0).slice(at, max(until, at + 1) - at)
+            yield ids, ids.to_pylist(), texts.slice(at, len(ids))
+            at += len(ids)
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, and where those of each text begin and end among them. What is before a leading or
+    after a trailing space comes as an empty word, which is none."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    return lists.flatten().cast(pa.binary()), lists.offsets.to_numpy().astype(np.int64)
 
 
 def class_of(word: bytes) -> int:
     return zlib.crc32(word[-ENDING:]) % CLASSES
 
 
+def classes_of(words: pa.Array) -> np.ndarray:
+    endings = pc.binary_slice(words, -ENDING).dictionary_encode()
+    return np.fromiter(map(class_of, endings.dictionary.to_pylist()), np.int64, len(endings.dictionary))[endings.indices.to_numpy()]
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word: binary, c) over the training documents of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                if not is_held_out(doc_id):
-                    counts.update(words_of(text))
-                    if len(counts) >= FLUSH:
-                        yield out()
-                        counts.clear()
-        if counts:
-            yield out()
+        for _, ids, texts in slices(batches):
+            learnt = texts.filter(pa.array([not is_held_out(i) for i in ids], pa.bool_()))
+            words, counts = pc.value_counts(split(learnt)[0]).flatten()
+            real = pc.greater(pc.binary_length(words), 0)
+            yield pa.record_batch([words.filter(real), counts.filter(real)], ["word", "c"])
 
     return docs.mapInArrow(tidy(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -141,27 +151,6 @@ class Lexicon:
         return self.distinct + (self.train_docs > 0)
 
 
-class Codes(dict):
-    """Codes of words; those outside the head are worked out when they are met and remembered."""
-
-    def __init__(self, lexicon: Lexicon):
-        super().__init__(zip(lexicon.head, range(len(lexicon.head)), strict=True))
-        self.lexicon, self.fixed = lexicon, len(lexicon.head)
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = self.fixed + class_of(word)
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.fixed + MEMO_ENTRIES:
-            self.clear()
-            self.update(zip(self.lexicon.head, range(self.fixed), strict=True))
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def entries(self, codes: np.ndarray) -> np.ndarray:
-        return np.append(self.lexicon.entry_of[codes], self.lexicon.end).astype(np.int32)
-
-
 def lexicon_of(counts: DataFrame, train_docs: int, head_words: int = HEAD_WORDS, entry_scale: float = ENTRY_SCALE) -> Lexicon:
     """Head words and totals per class reach the driver; both are bounded."""
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
@@ -192,33 +181,57 @@ def _entry_type(lexicon: Lexicon) -> str:
 
 def coded(rows: DataFrame, sent) -> DataFrame:
     """Each row of (doc_id, text) by the broadcast lexicon: the sums that don't depend on the model, the words outside the
-    head with their numbers, the round of training, a hash, and the entries with the end mark."""
+    head with their numbers, the round of training, a hash, and the entries with the end mark.
+
+    Words are looked up once for each distinct word of a slice."""
     here: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = sent.value
-        codes, kind = here.setdefault("codes", Codes(lex)), _entry_type(lex)
+        head, kind = here.setdefault("head", pa.array(lex.head, pa.binary())), _entry_type(lex)
         end = np.log10(lex.train_docs + 1.0)
-        for batch in batches:
-            numbers, sums = np.zeros((2, batch.num_rows), np.int64), np.zeros((2, batch.num_rows))
-            rare, rare_n, offsets, ids = [], [], [0], []
-            for k, text in enumerate(utf8(batch.column(1))):
-                words = words_of(text)
-                code = codes.of(words)
-                outside = np.flatnonzero(code >= codes.fixed).tolist()
-                numbers[:, k] = len(words) + 1, len(words) - len(outside) + (lex.train_docs > 0)
-                sums[:, k] = lex.base_of[code].sum() + end, lex.share_of[code].sum()
-                if outside:
-                    tail = Counter(words[i] for i in outside)
-                    rare += tail
-                    rare_n += tail.values()
-                offsets.append(len(rare))
-                ids.append(codes.entries(code).astype(kind).tobytes())
-            where, docs = pa.array(offsets, pa.int32()), batch.column(0).to_pylist()
+        for ids, docs, texts in slices(batches):
+            words, at = split(texts)
+            words = words.dictionary_encode()
+            which, words = words.indices.to_numpy(), words.dictionary
+            sizes, doc = np.diff(at), np.repeat(np.arange(len(at) - 1), np.diff(at))
+            real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+            if not real.all():
+                keep = real[which]
+                which, doc = which[keep], doc[keep]
+                sizes = np.bincount(doc, minlength=len(sizes))
+            code = pc.fill_null(pc.index_in(words, value_set=head), -1).to_numpy().astype(np.int64)
+            outside = np.flatnonzero(code < 0)
+            code[outside] = len(head) + classes_of(words.take(pa.array(outside)))
+            # the words outside the head, in each text in the order of the slice's distinct words
+            rare = np.flatnonzero((code >= len(head))[which])
+            rare, rare_n = np.unique(doc[rare] * len(words) + which[rare], return_counts=True)
+            rare_doc = rare // max(len(words), 1)
+            where = pa.array(np.searchsorted(rare_doc, np.arange(len(sizes) + 1)), pa.int32())
+            n_rare = np.bincount(rare_doc, rare_n, len(sizes)).astype(np.int64)
+            # an end mark after the words of each text
+            begin = np.cumsum(sizes + 1) - sizes - 1
+            ends = begin + sizes
+            inside = np.ones(len(which) + len(sizes), bool)
+            inside[ends] = False
+
+            def sequence(of_word: np.ndarray, of_end: float) -> np.ndarray:
+                out = np.full(len(inside), of_end, of_word.dtype)
+                out[inside] = of_word[which]
+                return out
+
+            entries = sequence(lex.entry_of[code].astype(kind), lex.end)
+            cuts = np.append(begin, len(entries)) * entries.itemsize
+            held = pa.py_buffer(entries)
+            coded_ids = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int32)), held])
+            view = memoryview(held)
+            hashes = [zlib.crc32(view[a:z]) for a, z in pairwise(cuts.tolist())]
+            base, share = (np.add.reduceat(sequence(of[code], last), begin) for of, last in ((lex.base_of, end), (lex.share_of, 0.0)))
+            n_head = sizes - n_rare + (lex.train_docs > 0)
             columns = [
-                batch.column(0), pa.array([is_held_out(i) for i in docs], pa.bool_()), *map(pa.array, numbers), *map(pa.array, sums),
-                pa.ListArray.from_arrays(where, pa.array(rare, pa.binary())), pa.ListArray.from_arrays(where, pa.array(rare_n, pa.int32())),
-                pa.array(map(round_of, docs), pa.int32()), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(ids, pa.binary()),
+                ids, pa.array([is_held_out(i) for i in docs], pa.bool_()), *map(pa.array, (sizes + 1, n_head, base, share)),
+                pa.ListArray.from_arrays(where, words.take(pa.array(rare % max(len(words), 1)))), pa.ListArray.from_arrays(where, pa.array(rare_n, pa.int32())),
+                pa.array(map(round_of, docs), pa.int32()), pa.array(hashes, pa.int64()), coded_ids,
             ]
             yield pa.record_batch(columns, [x.split()[0] for x in _CODED.split(", ")])
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -573,6 +574,59 @@ def test_lm_weight_is_chosen_on_documents_before_they_are_learnt():
     assert np.allclose(found, [np.log(w * p + (1 - w) / 16).sum() for w in weights])
 
 
+def test_lm_batches_give_each_row_once(monkeypatch):
+    """What a batch does to one row is summed before rows are gathered; the context gives a row for each token, not for each use."""
+    given, plain = [], bilinear.Model._sparse
+    monkeypatch.setattr(bilinear.Model, "_sparse", lambda self, name, rows, *rest: (given.append((name, rows.copy())), plain(self, name, rows, *rest)))
+    bilinear.Model(np.full(64, 1 / 64), 8).train(np.random.default_rng(2).integers(0, 64, 3000).astype(np.int32), np.full(30, 100))
+    assert {name for name, _ in given} == {"q", "r"}
+    assert all(len(set(rows.tolist())) == len(rows) for _, rows in given)
+
+
+@pytest.mark.parametrize("sizes", [[90], [1, 2, 3, 4, 5, 18, 19, 20, 21, 40], [1] * 7])
+def test_lm_windows(sizes):
+    rows, doc = np.random.default_rng(3).random((sum(sizes), 16), np.float32), np.repeat(np.arange(len(sizes)), sizes)
+    inside = lambda t, s: doc[t] == doc[s] and t - 20 < s < t - 3
+    each = range(len(rows))
+    before, after = (np.array([sum((rows[s] for s in each if (inside(t, s) if back else inside(s, t))), np.zeros(16)) for t in each]) for back in (True, False))
+    assert np.allclose(bilinear.window_sums(rows, np.array(sizes)), before, atol=1e-5)
+    assert np.allclose(bilinear.window_sums(rows, np.array(sizes), ahead=True), after, atol=1e-5)
+
+
+@pytest.mark.parametrize("mass", [[1.0], [0.0, 0.0], [0.5, 0, 0.25, 0.25], [1e-9, 1, 3, 0, 7, 7, 1e-3]])
+def test_lm_noise_has_the_chances_of_the_masses(mass):
+    keep, alias = bilinear.aliases(np.array(mass))
+    found = keep + np.bincount(alias, 1 - keep, len(mass))
+    assert np.allclose(found, np.array(mass) / sum(mass) * len(mass) if sum(mass) else 1)
+
+
+def test_lm_scores_beyond_single_precision():
+    """Sums of exponentials that single precision can't hold."""
+    model = bilinear.Model(np.full(16, 1 / 16), 4)
+    entries = np.random.default_rng(4).integers(0, 16, 300)
+    model.p["c"][:] = [-200, -300, -250, -220]
+    model.p["b"][:8] = 150
+    x = bilinear.Contexts(entries, np.array([300]), 16)
+    h = model.hidden(x)[0].astype(np.float64)
+    soft = lambda s: s - s.max(1, keepdims=True) - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True))
+    group = soft(h @ model.p["a"].T + model.p["c"])
+    inside = soft((h @ model.p["q"].T + model.p["b"]).reshape(-1, 4)).reshape(300, 16)
+    assert np.allclose(model.log_probs(x), group[np.arange(300), entries // 4] + inside[np.arange(300), entries], atol=1e-3)
+
+
+def test_lm_words_of_slices(monkeypatch):
+    """Texts are split some bytes at a time, a whole text at least, by the spaces of the contract alone."""
+    texts = [" A  b ", None, "", "\t\n", "Zq\x1cX\x85y\u2003z  \u00c0B", "one" * 9, "the the\x0bof\x0c", "\u212a"]
+    batch = pa.record_batch([pa.array(range(8), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for size in (1, 12, 1 << 24):
+        monkeypatch.setattr(lm, "SLICE", size)
+        found = list(lm.slices(iter([batch, batch.slice(0, 0), batch.slice(5)])))
+        assert [i for _, ids, _ in found for i in ids] == [*range(8), 5, 6, 7]
+        parts = [(words.to_pylist(), at) for words, at in (lm.split(t) for _, _, t in found)]
+        each = [[w for w in words[a:z] if w] for words, at in parts for a, z in zip(at, at[1:], strict=False)]
+        assert each == [[w.encode() for w in brute.WORD.findall(brute.low(t or ""))] for t in [*texts, *texts[5:]]]
+
+
 def test_lm_entries_are_normalised():
     rng = np.random.default_rng(0)
     groups, size = bilinear.layout(60)
