@@ -52,11 +52,16 @@ def _own_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write `df` as Parquet under the shared folder and read it back."""
+#: Writer's options for rows of megabytes. Parquet looks at the size of a page and of a row group after 100 rows at first, so pages
+#: would hold 100 such rows; its Snappy codec keeps buffers of a page's size outside the heap, for each thread and direction.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(4 << 20), "compression": "zstd"}
+
+
+def written(df: DataFrame, label: str, wide: bool = False) -> DataFrame:
+    """Cut lineage: write `df` as Parquet under the shared folder and read it back. `wide`: its rows may have megabytes."""
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**WIDE_ROWS if wide else {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

@@ -104,7 +104,7 @@ def chunks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
             yield close(lang)
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return written(docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema), "phrases-chunks")
+    return written(docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema), "phrases-chunks", wide=True)
 
 
 # --- runs ------------------------------------------------------------------------------------------------------------
@@ -328,7 +328,7 @@ def counted(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, l
     totals, members, table = frequent_runs(words, "key", least, "phrases-words", numbered=True)
     offsets = dense_ids(totals)
     lexicon = written(totals.select("key", "n", _id(offsets).alias("id")), "phrases-lexicon")
-    level = written(first_level(texts, per_chunk(members), offsets), "phrases-level")
+    level = written(first_level(texts, per_chunk(members), offsets), "phrases-level", wide=True)
     forget(texts)
     forget(table)
     bytes_of = lambda c, width: F.unhex(F.lpad(F.hex(c), 2 * width, "0"))  # noqa: E731  big-endian
@@ -337,7 +337,7 @@ def counted(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, l
         totals, members, table = frequent_runs(exploded(level), "key", least, "phrases-runs")
         found.append(written(totals.select((bytes_of("key", 8) if k == 2 else F.col("key")).alias("key"), "n", F.lit(k).alias("size")), "phrases-frequent"))
         if k < longest:
-            further = written(next_level(level, per_chunk(members), k + 1), "phrases-level")
+            further = written(next_level(level, per_chunk(members), k + 1), "phrases-level", wide=True)
         forget(level)
         forget(table)
         level = further

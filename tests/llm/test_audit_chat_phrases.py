@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +226,35 @@ def test_runs_survive_batch_borders(spark, small_batches, monkeypatch, least):
         assert got == Counter((k, c, at) for k, c, at, _ in rows if total[k] >= least)
 
 
+def test_tables_of_chunks_have_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "CHUNK_BYTES", 1 << 19)
+    before, sizes, real = spark.conf.get("spark.sql.shuffle.partitions"), {}, phrases.written
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, label, *args, **kwargs):
+        out = real(df, label, *args, **kwargs)
+        files = [pq.ParquetFile(x.removeprefix("file:")).metadata for x in out.inputFiles()]
+        sizes[label] = [max(m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)), sum(m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups))]
+        if label == "phrases-level":
+            raise Seen
+        return out
+
+    monkeypatch.setattr(phrases, "written", seen)
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(3000)])
+    docs = spark.createDataFrame([("en", " ".join(words[rng.integers(0, 3000, 200_000)])) for _ in range(16)], "lang string, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with pytest.raises(Seen):
+            phrases.counted(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sizes["phrases-level"][1] > 24 << 20
+    assert max(sizes[x][0] for x in ("phrases-chunks", "phrases-level")) < 16 << 20
+
+
 def test_products_pass_64_bits(spark):
     big = 10**12
     key = lambda *ids: b"".join(i.to_bytes(4, "big") for i in ids)
